@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat_format import digests, format_conversations
+from .hilbert_shards import shard_rows
 from .packing import pack
 from .token_count import count_tokens
 from .token_store import store_digest
@@ -14,6 +17,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = shard_rows(_table(spark, sf_dir, "documents"), ["lang", "source", "n_chars"], 8)
+    return rows.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -22,13 +30,42 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+#: A conversation that holds the template's own and other templates' marks.
+MARKED_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marked = spark.range(2).select(F.lit(-7).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(MARKED_TEXT))
+    return digests(format_conversations(turns.union(marked)))
+
+
+_OP9_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+placed AS (
+  SELECT *, lag(role) OVER w AS before, replace(replace(text, '\', '\b'), '<', '\l') AS escaped,
+         row_number() OVER w AS place
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(escaped) + length(role) + CASE WHEN before IS NULL THEN 16 WHEN before = role THEN 7 ELSE 16 END) AS BIGINT) AS formatted_chars
+FROM placed GROUP BY conv_id
+"""
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES = {
+    "op5_hilbert_shards": op5_hilbert_shards,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
+    "op9_chat_format": op9_chat_format,
     "op10_token_store": op10_token_store,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_chat_format": _OP9_SQL}
