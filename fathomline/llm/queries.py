@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 
 from .chat_format import digests, format_conversations
 from .hilbert_shards import shard_rows
+from .language_id import held_out, identify
+from .language_id import train as train_languages
 from .packing import pack
+from .toxicity_chain import predict
+from .toxicity_chain import train as train_toxicity
 from .token_count import count_tokens
 from .token_store import store_digest
 
@@ -17,6 +21,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The chain: poor quality first, whose probability the toxicity model sees.
+CHAIN = ["low_quality=1 - quality", "toxic"]
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    chain = train_toxicity(docs, _table(spark, sf_dir, "labels"), CHAIN)
+    return predict(docs, chain).withColumn("is_toxic", F.col("p_toxic") >= chain.links[-1].threshold)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = identify(docs, train_languages(docs.where(~held_out(docs))))
+    return found.withColumn("held_out", held_out(found))
+
+
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shard_rows(_table(spark, sf_dir, "documents"), ["lang", "source", "n_chars"], 8)
     return rows.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
@@ -62,6 +82,8 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
+    "op4_language_id": op4_language_id,
     "op5_hilbert_shards": op5_hilbert_shards,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
