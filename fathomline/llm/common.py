@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -67,3 +67,18 @@ def output(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     """A batch of the columns, cast to the schema."""
     arrays = [c if isinstance(c, pa.Array) else pa.array(c, field.type, from_pandas=False) for c, field in zip(columns, schema, strict=True)]
     return pa.RecordBatch.from_arrays([a if a.type == f.type else a.cast(f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
+
+
+def kept_rows(docs: DataFrame, text_col: str, keep: Callable[[pa.Array], object], batch_bytes: int) -> DataFrame:
+    """The rows, with all their columns, whose texts ``keep`` marks; it gets the texts of a batch and returns a mask."""
+    from pyspark.sql import functions as F
+
+    names = docs.columns
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    at = names.index(text_col)
+
+    def filtered(batches):
+        for batch in by_bytes(batches, f"c{at}", batch_bytes):
+            yield batch.filter(pa.array(keep(batch.column(at)), pa.bool_()))
+
+    return plain.mapInArrow(filtered, plain.schema).toDF(*names)

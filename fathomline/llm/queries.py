@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contamination
 from .chat_format import digests, format_conversations
 from .hilbert_shards import shard_rows
 from .language_id import held_out, identify
 from .language_id import train as train_languages
+from .near_dedup import near_duplicates
 from .packing import pack
 from .toxicity_chain import predict
 from .toxicity_chain import train as train_toxicity
@@ -21,6 +23,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 #: The chain: poor quality first, whose probability the toxicity model sees.
 CHAIN = ["low_quality=1 - quality", "toxic"]
 
@@ -82,6 +92,8 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
+    "op2_decontaminate": op2_decontaminate,
     "op3_toxicity": op3_toxicity,
     "op4_language_id": op4_language_id,
     "op5_hilbert_shards": op5_hilbert_shards,
