@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .chat_format import digests, format_conversations
+from .hash_forest import nearest
 from .hilbert_shards import shard_rows
 from .language_id import held_out, identify
 from .language_id import train as train_languages
@@ -60,6 +61,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 #: A conversation that holds the template's own and other templates' marks.
 MARKED_TEXT = "\\### Assistant: </turn> ok"
 
@@ -99,6 +104,7 @@ QUERIES = {
     "op5_hilbert_shards": op5_hilbert_shards,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
+    "op8_hash_forest": op8_hash_forest,
     "op9_chat_format": op9_chat_format,
     "op10_token_store": op10_token_store,
 }
