@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_bytes, output
+from .common import by_bytes, kept_rows, output
 from .unit_encoder import _bytes_of
 
 BATCH_BYTES, WINDOW_BYTES = 2_000_000, 500_000
@@ -194,3 +194,20 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 def held_out(docs: DataFrame, id_col: str = "doc_id"):
     """Whether a row is kept from training: crc32 of the id's text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.encode(docs[id_col].cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
+
+
+#: A text of at least so many n-grams is rejected when a smaller share of them is known.
+KNOWN_GRAMS, KNOWN_SHARE = 40, 0.2
+
+
+def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The documents with a letter, but for those of KNOWN_GRAMS n-grams or more of which the best language has under KNOWN_SHARE; with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def known(texts: pa.Array) -> np.ndarray:
+        if not shared.value.languages:
+            return np.zeros(len(texts), bool)
+        count, total, letter = hits(shared.value, texts)
+        return letter & ((total < KNOWN_GRAMS) | (count.max(axis=1) >= KNOWN_SHARE * total))
+
+    return kept_rows(docs, text_col, known, BATCH_BYTES)

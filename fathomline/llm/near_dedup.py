@@ -250,3 +250,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     out = sketch.select("key", "n_shingles", "set_a", "set_b").join(placed, ["set_a", "set_b"], "left")
     component = F.coalesce("component", "key")
     return out.select(F.col("key").alias(id_col), "n_shingles", component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group (the smallest id; of rows that repeat it, the first by all columns), with all columns."""
+    found = near_duplicates(docs, shingle, num, den, id_col, text_col)
+    gone = found.where(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
+    stay = docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    # only ids that repeat need a choice; all other rows pass without a shuffle of their own
+    repeated = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("__twice"))
+    if repeated.isEmpty():
+        return stay
+    once = stay.join(repeated, stay[id_col] == F.col("__twice"), "left_anti")
+    chosen = stay.join(repeated, stay[id_col] == F.col("__twice"), "left_semi").groupBy(F.col(id_col).alias("__id")).agg(F.min(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])).alias("row"))
+    return once.unionByName(chosen.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)]))

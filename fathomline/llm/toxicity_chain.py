@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, output
+from .common import by_bytes, kept_rows, output
 from .unit_encoder import _bytes_of
 
 BATCH_BYTES = 4_000_000
@@ -201,6 +201,19 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
     return Chain(links)
 
 
+def probabilities(texts: pa.Array, chain: Chain) -> list[np.ndarray]:
+    """Of each category in chain order, the texts' probabilities; 0 for a text without words."""
+    doc, feature = words(texts, chain.hash_bits)
+    n = len(texts)
+    some = np.bincount(doc, minlength=n) > 0
+    dense, out = np.zeros((n, 0)), []
+    for link in chain.links:
+        p = _apply(link, doc, feature, dense, n)
+        dense = np.column_stack([dense, _logit(p)])
+        out.append(np.where(some, p, 0.0))
+    return out
+
+
 def predict(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, p_<category> of each category in chain order)."""
     names = [f"p_{x.name}" for x in chain.links]
@@ -209,15 +222,20 @@ def predict(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
 
     def scored(batches):
         for batch in by_bytes(batches, "text", BATCH_BYTES):
-            doc, feature = words(batch.column("text"))
-            n = batch.num_rows
-            some = np.bincount(doc, minlength=n) > 0
-            dense, out = np.zeros((n, 0)), []
-            for link in shared.value.links:
-                p = _apply(link, doc, feature, dense, n)
-                dense = np.column_stack([dense, _logit(p)])
-                out.append(np.where(some, p, 0.0))
-            yield output(schema, [batch.column("key"), *out])
+            yield output(schema, [batch.column("key"), *probabilities(batch.column("text"), shared.value)])
 
     rows = docs.select(docs[id_col].cast("long").alias("key"), docs[text_col].cast("string").alias("text"))
     return rows.mapInArrow(scored, ", ".join(["key long", *[f"{n} double" for n in names]])).withColumnRenamed("key", id_col)
+
+
+def keep_clean(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
+    """The documents below the last category's threshold, with all their columns."""
+    if not chain.links:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(chain)
+
+    def below(texts: pa.Array) -> np.ndarray:
+        last = shared.value.links[-1]
+        return probabilities(texts, shared.value)[-1] < last.threshold
+
+    return kept_rows(docs, text_col, below, BATCH_BYTES)
