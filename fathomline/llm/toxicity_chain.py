@@ -198,6 +198,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
 
     out = sample.groupBy(F.lit(0).alias("all")).applyInPandas(lambda pdf: fitted(pdf), "k int, features array<long>, weights array<double>, earlier array<double>, intercept double, threshold double")
     links = [Link(names[r.k], np.asarray(r.features, np.int64), np.asarray(r.weights), np.asarray(r.earlier), r.intercept, r.threshold) for r in sorted(out.collect(), key=lambda r: r.k)]
+    if not links:  # nothing to learn from: every category has rate 0
+        nothing = np.zeros(0, np.int64)
+        links = [Link(n, nothing, np.zeros(0), np.zeros(k), float(_logit(np.array(0.0)))) for k, n in enumerate(names)]
     return Chain(links)
 
 
