@@ -1,6 +1,6 @@
 """Merging offers into products: live and cheapest first, within the currency most offers share.
 
-Rows: group (the query), identity, pos (order of arrival), url, title, seller, brand, image, currency,
+Rows: group (the query), identity, pos (order of arrival; ties go by url), url, title, seller, brand, image, currency,
 amount, availability, condition, rating, reviews. Rows without identity are products of their own.
 """
 
@@ -25,7 +25,7 @@ def merge_items(items: DataFrame) -> DataFrame:
     rows = rows.withColumn("currency", text("currency")).withColumn("stale", F.lower(F.trim(text("availability"))).isin(STALE))
     # the same listing twice: the richer copy, the first on ties; its place is that of the first
     page = Window.partitionBy("group", "product", "page")
-    rows = rows.withColumn("seen", F.min("pos").over(page)).withColumn("copy", F.row_number().over(page.orderBy(rich, "pos"))).where("copy = 1").withColumn("pos", F.col("seen")).drop("seen", "copy")
+    rows = rows.withColumn("seen", F.min("pos").over(page)).withColumn("copy", F.row_number().over(page.orderBy(rich, "pos", "url"))).where("copy = 1").withColumn("pos", F.col("seen")).drop("seen", "copy")
     product, priced = Window.partitionBy("group", "product"), F.col("amount").isNotNull()
     rows = rows.withColumn("share", F.sum(priced.cast("int")).over(Window.partitionBy("group", "product", "currency")))
     rows = rows.withColumn("lead", F.min(F.when(priced, F.struct("pos", "currency"))).over(product)["currency"])
@@ -33,11 +33,11 @@ def merge_items(items: DataFrame) -> DataFrame:
     rows = rows.withColumn("since", F.min(F.when(priced, F.col("pos"))).over(Window.partitionBy("group", "product", "currency")))
     rows = rows.withColumn("major", F.min(F.when(priced, F.struct(-F.col("share"), (F.col("currency") != F.col("lead")).cast("int"), "since", "currency"))).over(product)["currency"])
     in_pool = priced & (F.col("currency") == F.col("major"))
-    first = F.when(in_pool, F.struct(F.lit(0).alias("p"), F.col("stale").cast("int").alias("s"), F.col("amount").alias("a"), F.col("pos").alias("o"))).otherwise(F.struct(F.lit(1).alias("p"), F.lit(0).alias("s"), F.lit(0.0).alias("a"), F.col("pos").alias("o")))
+    first = F.when(in_pool, F.struct(F.lit(0).alias("p"), F.col("stale").cast("int").alias("s"), F.col("amount").alias("a"), F.col("pos").alias("o"), F.col("url").alias("u"))).otherwise(F.struct(F.lit(1).alias("p"), F.lit(0).alias("s"), F.lit(0.0).alias("a"), F.col("pos").alias("o"), F.col("url").alias("u")))
     rows = rows.withColumn("turn", F.row_number().over(product.orderBy(first)))
     offer = F.struct("pos", "url", F.coalesce(F.nullif(F.col("seller"), F.lit("")), doc_domain(F.col("url"))).alias("seller"), F.col("amount").alias("price"), "currency", "availability", "condition")
-    fill = lambda c: F.min(F.when(text(c) != "", F.struct((F.col("turn") > 1).cast("int").alias("w"), F.col("pos"), F.col(c))))[c].alias(c)
-    value = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct((F.col("turn") > 1).cast("int").alias("w"), F.col("pos"), F.col(c))))[c].alias(c)
+    fill = lambda c: F.min(F.when(text(c) != "", F.struct((F.col("turn") > 1).cast("int").alias("w"), F.col("pos"), F.col("url"), F.col(c))))[c].alias(c)
+    value = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct((F.col("turn") > 1).cast("int").alias("w"), F.col("pos"), F.col("url"), F.col(c))))[c].alias(c)
     won = lambda c: F.max(F.when(F.col("turn") == 1, F.col(c))).alias(c)
     merged = rows.groupBy("group", "product").agg(
         *[won(c) for c in ("identity", "url", "title", "seller", "currency", "amount", "availability", "condition")], fill("brand"), fill("image"), value("rating"), value("reviews"),
@@ -46,5 +46,5 @@ def merge_items(items: DataFrame) -> DataFrame:
     common = F.sum(F.col("amount").isNotNull().cast("int")).over(Window.partitionBy("group", "currency"))
     loner = F.col("product").startswith("_").cast("int")
     merged = merged.withColumn("common", common)
-    order = Window.partitionBy("group").orderBy(F.col("amount").isNull(), F.desc("common"), "currency", F.coalesce("amount", F.lit(0.0)), loner, "pos")
+    order = Window.partitionBy("group").orderBy(F.col("amount").isNull(), F.desc("common"), "currency", F.coalesce("amount", F.lit(0.0)), loner, "pos", "product")
     return merged.withColumn("place", F.row_number().over(order)).drop("common", "pos")

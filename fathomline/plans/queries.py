@@ -328,24 +328,24 @@ def identity_model(spark, sf_dir):
 
 # --- items ----------------------------------------------------------------
 
-_ITEMS_SQL = T.OFFERS_SQL + """, ranked AS (SELECT *, min(pos) OVER (PARTITION BY identity, page) AS seen, row_number() OVER (PARTITION BY identity, page ORDER BY (amount IS NULL)::INT, (rating IS NULL)::INT, (reviews IS NULL)::INT, (brand = '')::INT, pos) AS copy FROM offers),
+_ITEMS_SQL = T.OFFERS_SQL + """, ranked AS (SELECT *, min(pos) OVER (PARTITION BY identity, page) AS seen, row_number() OVER (PARTITION BY identity, page ORDER BY (amount IS NULL)::INT, (rating IS NULL)::INT, (reviews IS NULL)::INT, (brand = '')::INT, pos, url) AS copy FROM offers),
 uniq AS (SELECT * REPLACE (seen AS pos) FROM ranked WHERE copy = 1),
 counted AS (SELECT *, sum((amount IS NOT NULL)::INT) OVER (PARTITION BY identity, currency) AS share, min(CASE WHEN amount IS NOT NULL THEN pos END) OVER (PARTITION BY identity, currency) AS since, arg_min(currency, pos) FILTER (amount IS NOT NULL) OVER (PARTITION BY identity) AS lead FROM uniq),
 majors AS (SELECT identity, arg_min(currency, {'a': -share, 'b': (currency <> lead)::INT, 'c': since}) AS major FROM counted WHERE amount IS NOT NULL GROUP BY identity),
-turned AS (SELECT c.*, major, row_number() OVER (PARTITION BY c.identity ORDER BY (amount IS NULL OR currency <> major)::INT, CASE WHEN amount IS NOT NULL AND currency = major THEN (availability = 'SoldOut')::INT ELSE 0 END, CASE WHEN amount IS NOT NULL AND currency = major THEN amount ELSE 0 END, pos) AS turn
+turned AS (SELECT c.*, major, row_number() OVER (PARTITION BY c.identity ORDER BY (amount IS NULL OR currency <> major)::INT, CASE WHEN amount IS NOT NULL AND currency = major THEN (availability = 'SoldOut')::INT ELSE 0 END, CASE WHEN amount IS NOT NULL AND currency = major THEN amount ELSE 0 END, pos, url) AS turn
   FROM counted c LEFT JOIN majors m ON c.identity = m.identity)"""
 
 
 @_query("WITH " + _ITEMS_SQL + """, merged AS (SELECT grp, identity, max(seller) FILTER (turn = 1) AS seller, max(currency) FILTER (turn = 1) AS currency, max(amount) FILTER (turn = 1) AS amount, max(availability) FILTER (turn = 1) AS availability, count(*) AS offer_count, min(pos) AS pos,
-  arg_min(brand, {'w': (turn > 1)::INT, 'p': pos}) FILTER (brand <> '') AS brand, arg_min(rating, {'w': (turn > 1)::INT, 'p': pos}) FILTER (rating IS NOT NULL) AS rating, arg_min(reviews, {'w': (turn > 1)::INT, 'p': pos}) FILTER (reviews IS NOT NULL) AS reviews FROM turned GROUP BY grp, identity),
+  arg_min(brand, {'w': (turn > 1)::INT, 'p': pos, 'u': url}) FILTER (brand <> '') AS brand, arg_min(rating, {'w': (turn > 1)::INT, 'p': pos, 'u': url}) FILTER (rating IS NOT NULL) AS rating, arg_min(reviews, {'w': (turn > 1)::INT, 'p': pos, 'u': url}) FILTER (reviews IS NOT NULL) AS reviews FROM turned GROUP BY grp, identity),
 common AS (SELECT *, sum((amount IS NOT NULL)::INT) OVER (PARTITION BY grp, currency) AS common FROM merged)
-SELECT grp, identity, seller, currency, amount, availability, offer_count, brand, rating, reviews, row_number() OVER (PARTITION BY grp ORDER BY (amount IS NULL)::INT, common DESC, currency, coalesce(amount, 0), pos) AS place FROM common""")
+SELECT grp, identity, seller, currency, amount, availability, offer_count, brand, rating, reviews, row_number() OVER (PARTITION BY grp ORDER BY (amount IS NULL)::INT, common DESC, currency, coalesce(amount, 0), pos, identity) AS place FROM common""")
 def merge_items(spark, sf_dir):
     found = items.merge_items(T.offers(spark, sf_dir))
     return found.select(F.col("group").alias("grp"), "identity", "seller", "currency", "amount", "availability", F.col("offer_count").cast("long").alias("offer_count"), "brand", "rating", "reviews", F.col("place").cast("long").alias("place"))
 
 
-@_query("WITH " + _ITEMS_SQL + " SELECT identity, count(*) FILTER (turn > 1) AS n_offers, coalesce(string_agg(seller || '=' || coalesce(CAST(CAST(round(amount * 100) AS BIGINT) AS VARCHAR), '?') || currency, ';' ORDER BY pos) FILTER (turn > 1), '') AS offers FROM turned GROUP BY identity")
+@_query("WITH " + _ITEMS_SQL + " SELECT identity, count(*) FILTER (turn > 1) AS n_offers, coalesce(string_agg(seller || '=' || coalesce(CAST(CAST(round(amount * 100) AS BIGINT) AS VARCHAR), '?') || currency, ';' ORDER BY pos, url) FILTER (turn > 1), '') AS offers FROM turned GROUP BY identity")
 def offers_per_part(spark, sf_dir):
     found = items.merge_items(T.offers(spark, sf_dir))
     said = F.transform("offers", lambda o: F.concat(o["seller"], F.lit("="), F.coalesce(F.round(o["price"] * 100).cast("long").cast("string"), F.lit("?")), o["currency"]))
