@@ -26,9 +26,9 @@ def canonical_path(path: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
-def canonical_path_column(paths):
-    return paths.map(lambda p: None if p is None else canonical_path(p))
+def canonical_path_column(paths: Column) -> Column:
+    spelled = F.pandas_udf(lambda rows: rows.map(lambda p: None if p is None else canonical_path(p)), "string")
+    return spelled(paths)
 
 
 _RULES = "origin string, agent string, seq int, allow boolean, pattern string, crawl_delay double"

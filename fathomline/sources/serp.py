@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import age_days, duration_s, rss_date, views
 from ..functions.text import strip_tags, unescaped
 from ..functions.url import canonical_url, is_self_redirect
+from .objects import objects_column
 
 
 def unwrap_ddg(href: Column) -> Column:
@@ -68,7 +69,7 @@ def _ranked(rows: DataFrame, limit: int) -> DataFrame:
 
 def video_cards(rows: DataFrame) -> DataFrame:
     """(query_id, rank, url, title, channel, age_days, seconds, views) of the video cards in a result page's initial data, each video once."""
-    cards = F.regexp_extract_all("body", F.lit(r'(?s)"videoRenderer":(\{.*?\})(?=,?\{"videoRenderer"|\]|\z)'), F.lit(1))
+    cards = objects_column(F.col("body"), '"videoRenderer":')
     shape = "videoId string, title struct<runs:array<struct<text:string>>>, ownerText struct<runs:array<struct<text:string>>>, publishedTimeText struct<simpleText:string>, lengthText struct<simpleText:string>, viewCountText struct<simpleText:string>"
     each = rows.select("query_id", F.posexplode(cards).alias("pos", "card")).select("query_id", "pos", F.from_json("card", shape).alias("v")).where("v.videoId IS NOT NULL")
     once = each.groupBy("query_id", "v.videoId").agg(F.min("pos").alias("pos"), F.min(F.struct("pos", "v"))["v"].alias("v"))
