@@ -4,15 +4,19 @@
    SuperMinHash signature folded into band keys.
 2. Texts with equal sets form a class with one representative (an aggregation with map-side combine);
    only representatives go on, so groups of copies cost one row from here.
-3. Representatives that share a band key form a bucket; each is compared with the bucket's smallest id,
-   on full shingle sets. Links are grouped by union-find inside tasks, then by rounds of large-star
-   and small-star joins.
+3. Representatives that share a band key form a bucket; each is compared with the bucket's smallest
+   id: first by signature, and where that does not rule a link out, on full shingle sets. Links are
+   grouped by union-find inside tasks, then by rounds of large-star and small-star joins.
 4. Buckets of three or more that still hold several groups are compared in full, between groups, in
-   blocks of bounded size whose common shingles are counted by matrix products; a block returns a
+   blocks of bounded size: signatures leave the members that may have a link to another group, and
+   the common shingles of those are counted by matrix products. A block returns members, or a
    spanning forest of its links, never its pairs. So no link between texts that share a band is lost.
 
 With r rows a band and b bands, a pair of similarity s misses all bands with (1 - s**r)**b: at the
-default 4 and 28 that is 1e-9 at 0.85 and 4e-7 at 0.8. Every reported link is confirmed exactly.
+default 4 and 28 that is 1e-9 at 0.85 and 4e-7 at 0.8. Signatures rule a link out where they agree in
+0.2 less than the similarity asked for, six of their standard deviations. Every reported link is
+confirmed exactly. Ids whose texts are wanted again are broadcast up to a checked count, and joined by
+shuffle beyond it.
 
 Null or empty texts have no shingles and are linked with nothing. Rows that repeat an id count as one
 document; should their texts differ, the largest set is compared. Rows without id keep to themselves. An empty
@@ -33,6 +37,8 @@ BATCH_BYTES = 1_000_000
 ROWS, BANDS = 4, 28
 #: Elements whose permutations are held at once, and rows of a block's side.
 ELEMENTS, BLOCK_ROWS = 200_000, 1024
+#: Ids that may be broadcast (8 bytes each), and how far below the similarity signatures must lie to rule a link out.
+BROADCAST_IDS, MARGIN = 4_000_000, 0.2
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -75,21 +81,23 @@ def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _sketch(rows: DataFrame, size: int, per_band: int, bands: int) -> DataFrame:
-    schema = pa.schema([("key", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("key", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("slots", pa.binary())])
 
     def sketched(batches):
         for batch in by_bytes(batches, "text", BATCH_BYTES):
             element, ends = shingles(*word_hashes(batch.column("text")), size)
             n = np.diff(ends)
-            keys = band_keys(super_minhash(element, ends, per_band * bands), per_band)
+            signatures = super_minhash(element, ends, per_band * bands)
+            keys = band_keys(signatures, per_band)
+            slots = (mix(signatures) & np.uint64(255)).astype(np.uint8)
             ids = []
             for seed in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25):
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(element ^ np.uint64(seed)), dtype=np.uint64)])
                 ids.append(pa.array((sums[ends[1:]] - sums[ends[:-1]]).view(np.int64), mask=n == 0))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1).view(np.int64)))
-            yield output(schema, [batch.column("key"), n, *ids, lists])
+            yield output(schema, [batch.column("key"), n, *ids, lists, [row.tobytes() for row in slots]])
 
-    return rows.mapInArrow(sketched, "key long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return rows.mapInArrow(sketched, "key long, n_shingles long, set_a long, set_b long, bands array<long>, slots binary")
 
 
 def _sets(rows: DataFrame, size: int) -> DataFrame:
@@ -103,6 +111,11 @@ def _sets(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(listed, "key long, elements array<long>")
 
 
+def _sets_of(rows: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(key, elements) of the ids (want), one row each."""
+    return written(_sets(_texts_of(rows, written(ids.distinct(), "wanted")), size).groupBy("key").agg(F.max("elements").alias("elements")), "sets")
+
+
 def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     common = len(np.intersect1d(x, y, assume_unique=True))
     return den * common >= num * (len(x) + len(y) - common)
@@ -125,6 +138,31 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(left, "a").join(right, "b").select("a", "b", "xs", "ys").mapInArrow(confirmed, "a long, b long")
 
 
+def _slots(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
+
+
+def _likely(pairs: DataFrame, slots: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in at least so large a share."""
+    left, right = slots.select(F.col("node").alias("a"), F.col("slots").alias("sa")), slots.select(F.col("node").alias("b"), F.col("slots").alias("sb"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def kept(batches):
+        for batch in batches:
+            if batch.num_rows:
+                keep = (_slots(batch.column("sa")) == _slots(batch.column("sb"))).mean(axis=1) >= least
+                yield output(schema, [batch.column("a"), batch.column("b")]).filter(pa.array(keep))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(kept, "a long, b long")
+
+
+def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows (key, text) whose key is wanted (a written table, distinct)."""
+    few = wanted.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(wanted) if few else wanted, rows["key"] == wanted["want"], "left_semi")
+
+
 class Forest:
     """Union-find whose roots are the smallest members."""
 
@@ -206,45 +244,73 @@ def block_links(nodes: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], n
     return out
 
 
-def _between_groups(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Links of rows (bucket, n, node, component, elements) between components of a bucket, in blocks."""
+def _blocks(rows: DataFrame, *carried: str) -> DataFrame:
+    """Rows (bucket, n, node, component, carried) dealt to pairs of chunks (i, j) of their bucket."""
     chunks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     split = rows.withColumn("chunks", chunks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    blocks = split.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", "elements")
+    return split.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", *carried)
+
+
+def near_members(groups: np.ndarray, slots: np.ndarray, least: float) -> np.ndarray:
+    """Which rows have a row of another group whose signature agrees in at least so large a share."""
+    near = np.zeros(len(groups), bool)
+    own, members = np.unique(groups, return_counts=True)
+    for i in np.flatnonzero(groups != own[members.argmax()]):
+        partner = ((slots == slots[i]).mean(axis=1) >= least) & (groups != groups[i])
+        if partner.any():
+            near |= partner
+            near[i] = True
+    return near
+
+
+def _open_members(rows: DataFrame, least: float) -> DataFrame:
+    """(bucket, node) of rows (bucket, n, node, component, slots) that may be linked with another component of their bucket."""
 
+    def opened(table: pa.Table) -> pa.Table:
+        keep = near_members(table.column("component").to_numpy(), _slots(table.column("slots")), least)
+        return table.select(["bucket", "node"]).filter(pa.array(keep))
+
+    return _blocks(rows, "slots").groupBy("bucket", "i", "j").applyInArrow(lambda t: opened(t), "bucket long, node long").distinct()
+
+
+def _between_groups(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Links of rows (bucket, n, node, component, elements) between components of a bucket, in blocks."""
     def linked(table: pa.Table) -> pa.Table:
         sets = [s.values.to_numpy() for s in table.column("elements")]
         found = block_links(table.column("node").to_numpy(), table.column("component").to_numpy(), sets, num, den)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    return blocks.groupBy("bucket", "i", "j").applyInArrow(lambda t: linked(t), "a long, b long")
+    return _blocks(rows, "elements").groupBy("bucket", "i", "j").applyInArrow(lambda t: linked(t), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", per_band: int = ROWS, bands: int = BANDS) -> DataFrame:
     """(id, n_shingles, component_id, kept) of each row; texts are linked if den * common >= num * union of their shingles."""
     rows = docs.select(docs[id_col].cast("long").alias("key"), docs[text_col].cast("string").alias("text"))
     sketch = written(_sketch(rows, shingle, per_band, bands), "sketch")
-    classes = written(sketch.where("n_shingles > 0 AND key IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("key").alias("node"), F.any_value("bands").alias("bands")), "classes")
+    classes = written(sketch.where("n_shingles > 0 AND key IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("key").alias("node"), F.any_value("bands").alias("bands"), F.any_value("slots").alias("slots")), "classes")
 
     members = classes.select("node", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead"), F.bit_xor(F.xxhash64("node")).alias("held")).where("n > 1")
     members = written(members.join(buckets, "bucket").select("bucket", "node", "lead", "n", "held"), "bucket-members")
-    pairs = written(members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "star-pairs")
-
-    wanted = pairs.select(F.col("a").alias("want")).union(pairs.select("b")).distinct()
-    texts = rows.join(wanted, rows["key"] == wanted["want"], "left_semi")
-    sets = written(_sets(texts, shingle).groupBy("key").agg(F.max("elements").alias("elements")), "sets")
-    links = written(_verified(pairs, sets, num, den), "links")
+    least = num / den - MARGIN
+    slots = classes.select("node", "slots")
+    pairs = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = written(_likely(pairs, slots, least), "star-pairs")
+    links = written(_verified(pairs, _sets_of(rows, pairs.select(F.col("a").alias("want")).union(pairs.select("b")), shingle), num, den), "links")
     found = components(links)
 
     # buckets of two are settled; of the others, those that hold several groups are left, each set of members once
-    grouped = members.where("n > 2").join(found, "node", "left").select("bucket", "n", "held", "node", F.coalesce("component", "node").alias("component"))
-    grouped = written(grouped, "bucket-groups")
+    grouped = written(members.where("n > 2").join(found, "node", "left").select("bucket", "n", "held", "node", F.coalesce("component", "node").alias("component")), "bucket-groups")
     left = grouped.groupBy("bucket", "held").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").groupBy("held").agg(F.min("bucket").alias("bucket")).select("bucket")
-    more = written(_between_groups(grouped.join(left, "bucket").join(sets, F.col("node") == sets["key"]).select("bucket", "n", "node", "component", "elements"), num, den), "more-links")
-    if not more.isEmpty():
-        found = components(links.union(more))
+    opened = written(_open_members(grouped.join(left, "bucket").join(slots, "node"), least), "open-members")
+    if not opened.isEmpty():
+        sizes = opened.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+        open_rows = grouped.drop("n", "held").join(opened, ["bucket", "node"], "left_semi").join(sizes, "bucket")
+        sets = _sets_of(rows, opened.select(F.col("node").alias("want")), shingle)
+        more = written(_between_groups(open_rows.join(sets, F.col("node") == sets["key"]).select("bucket", "n", "node", "component", "elements"), num, den), "more-links")
+        if not more.isEmpty():
+            found = components(links.union(more))
 
     placed = classes.join(found, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
     out = sketch.select("key", "n_shingles", "set_a", "set_b").join(placed, ["set_a", "set_b"], "left")
