@@ -314,7 +314,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 
     placed = classes.join(found, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
     out = sketch.select("key", "n_shingles", "set_a", "set_b").join(placed, ["set_a", "set_b"], "left")
-    component = F.coalesce("component", "key")
+    component = F.when(F.col("key").isNotNull(), F.coalesce("component", "key"))
     return out.select(F.col("key").alias(id_col), "n_shingles", component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
 
 
