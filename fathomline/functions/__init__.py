@@ -1 +1,13 @@
 """Scalar functions as Columns."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it; also keeps generated code small."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import bound
+
 # Query parameters that never change what a page shows.
 JUNK_PARAMS = [
     "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "fbclid", "gclid", "gbraid", "wbraid",
@@ -60,21 +62,24 @@ def _encoded(text: Column) -> Column:
 def canonical_url(url: Column) -> Column:
     """The key of "the same page": scheme and host folded, tracking parameters gone, the rest sorted; null stays null."""
     scheme = scheme_of(url)
-    scheme = F.when(scheme.isin("http", "https", ""), "https").otherwise(scheme)
     host = F.regexp_replace(F.lower(netloc_of(url)), "^.*@", "")
     host = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"^www\.", ""), ":443$", ""), ":80$", "")
-    path = path_of(url)
-    path = F.when(path == "", "/").otherwise(path)
-    asin = F.upper(F.regexp_extract(path, r"(?i)^/(?:[^/]+/)?(?:dp|gp/product)/([A-Z0-9]{10})", 1))
-    store = (host.startswith("amazon.") | host.contains(".amazon.")) & (asin != "")
-    short = F.when(F.length(path) > 1, F.regexp_replace(path, "/+$", "")).otherwise(path)
-    pairs = F.transform(F.split(query_of(url), "&"), lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), _decoded(F.when(p.contains("="), F.substr(p, F.instr(p, "=") + 1)).otherwise("")).alias("v")))
-    kept = F.array_sort(F.filter(pairs, lambda p: (p["v"] != "") & ~F.lower(p["k"]).isin([j for j in JUNK_PARAMS if j == j.lower()])))
+    pair = lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), _decoded(F.when(p.contains("="), F.substr(p, F.instr(p, "=") + 1)).otherwise("")).alias("v"))
+    kept = F.array_sort(F.filter(F.transform(F.split(query_of(url), "&"), pair), lambda p: (p["v"] != "") & ~F.lower(p["k"]).isin([j for j in JUNK_PARAMS if j == j.lower()])))
     query = F.array_join(F.transform(kept, lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
-    opaque = (host == "") & (scheme != "https")
-    rooted = F.when(short.startswith("/") | (short == ""), short).otherwise(F.concat(F.lit("/"), short))
-    page = F.concat(scheme, F.when(opaque, F.lit(":")).otherwise(F.lit("://")), host, F.when(opaque, short).otherwise(rooted), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
-    return F.when(store, F.concat(scheme, F.lit("://"), host, F.lit("/dp/"), asin)).otherwise(page)
+    parts = F.struct(F.when(scheme.isin("http", "https", ""), "https").otherwise(scheme).alias("scheme"), host.alias("host"), F.regexp_replace(path_of(url), "^$", "/").alias("path"), query.alias("query"))
+
+    def page(p: Column) -> Column:
+        asin = F.upper(F.regexp_extract(p["path"], r"(?i)^/(?:[^/]+/)?(?:dp|gp/product)/([A-Z0-9]{10})", 1))
+        store = (p["host"].startswith("amazon.") | p["host"].contains(".amazon.")) & (asin != "")
+        short = F.when(F.length(p["path"]) > 1, F.regexp_replace(p["path"], "/+$", "")).otherwise(p["path"])
+        rooted = F.when(short.startswith("/") | (short == ""), short).otherwise(F.concat(F.lit("/"), short))
+        opaque = (p["host"] == "") & (p["scheme"] != "https")
+        front = F.when(opaque, F.concat(p["scheme"], F.lit(":"), short)).otherwise(F.concat(p["scheme"], F.lit("://"), p["host"], rooted))
+        full = F.concat(front, F.when(p["query"] == "", "").otherwise(F.concat(F.lit("?"), p["query"])))
+        return F.when(store, F.concat(p["scheme"], F.lit("://"), p["host"], F.lit("/dp/"), asin)).otherwise(full)
+
+    return bound(parts, page)
 
 
 def strip_trackers(url: Column) -> Column:
