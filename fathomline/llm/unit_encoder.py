@@ -53,8 +53,8 @@ def encoder(path: str) -> "UnitEncoder":
 
 
 class UnitEncoder:
-    def __init__(self, path: str, most_units: int = 600_000):
-        """most_units: bound of the memo; it starts afresh beyond that."""
+    def __init__(self, path: str, most_units: int = 400_000):
+        """most_units: bound of the memo; the less used half is forgotten beyond that."""
         import json
         import os
 
@@ -74,15 +74,17 @@ class UnitEncoder:
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, self.dtype)
+        self.uses = np.zeros(0, np.int32)  # batches that held a unit, halved whenever units are forgotten
 
-    def _keep_only(self, keys: list[str]) -> None:
-        """Forget all units but these."""
-        kept = {k: self.known[k] for k in keys if k in self.known}
-        at = np.fromiter(kept.values(), np.int64, len(kept))
+    def _keep_used(self) -> None:
+        """Forget the less used half of the units."""
+        names = list(self.known)
+        at = np.sort(np.argsort(-self.uses, kind="stable")[: self.most_units // 2])
         length = self.lengths[at]
         flat = self._gather(self.starts[at], length)
-        self.known = {k: i for i, k in enumerate(kept)}
+        self.known = {names[i]: k for k, i in enumerate(at.tolist())}
         self.starts, self.lengths, self.flat = np.cumsum(length, dtype=np.int64) - length, length, flat
+        self.uses = self.uses[at] // 2
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the positions where each text begins (and the last ends)."""
@@ -167,8 +169,9 @@ class UnitEncoder:
         known, one = self.known, _ONE[self.kind].fullmatch
         new = dict.fromkeys(k for k in keys if k not in known)
         if new and len(known) + len(new) > self.most_units:
-            self._keep_only(keys)
+            self._keep_used()
             known = self.known
+            new = dict.fromkeys(k for k in keys if k not in known)
         direct, rest = [], []
         for k in new:
             (direct if one(k) else rest).append(k)
@@ -181,8 +184,11 @@ class UnitEncoder:
             length = np.fromiter(map(len, got), np.int32, len(got))
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(length, dtype=np.int64) - length])
             self.lengths = np.concatenate([self.lengths, length])
+            self.uses = np.concatenate([self.uses, np.zeros(len(got), np.int32)])
             self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), self.dtype, int(length.sum()))])
-        return np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
+        numbers = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))
+        self.uses[numbers] += 1
+        return numbers
 
 
 #: A byte-level vocabulary writes the bytes that are not printable in Latin-1 as the characters from U+0100 on, in order.
