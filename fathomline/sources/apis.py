@@ -43,6 +43,11 @@ def github(rows: DataFrame) -> DataFrame:
     return _documents(rows, "github", body["items"], body["message"], lambda d: (d["html_url"], d["full_name"], F.substring(_or_empty(d["description"]), 1, 300), F.substring(_or_empty(d["pushed_at"]), 1, 10)))
 
 
+def marginalia(rows: DataFrame) -> DataFrame:
+    body = F.from_json("body", "results array<struct<url:string,title:string,description:string>>, error string, message string")
+    return _documents(rows, "marginalia", body["results"], F.coalesce(body["error"], body["message"]), lambda d: (d["url"], strip_tags(_or_empty(d["title"])), F.substring(strip_tags(_or_empty(d["description"])), 1, 300), F.lit("")))
+
+
 def stackexchange(rows: DataFrame) -> DataFrame:
     body = F.from_json("body", "items array<struct<link:string,title:string,excerpt:string,creation_date:long>>, error_message string, error_name string")
     return _documents(rows, "stackexchange", body["items"], F.coalesce(body["error_message"], body["error_name"]), lambda d: (d["link"], strip_tags(_or_empty(d["title"])), F.substring(strip_tags(_or_empty(d["excerpt"])), 1, 300), _or_empty(epoch_to_iso(d["creation_date"]))))

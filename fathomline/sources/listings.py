@@ -2,36 +2,96 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.money import identity_for, parse_price
+from ..functions.money import identity_for, money_text, parse_price, price_from_meta, price_from_offer
+from ..functions.net import resolved
+from ..functions.text import visible_text
 
 _LD = r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
-_OFFER = "price string, lowPrice string, highPrice string, priceCurrency string, availability string, itemCondition string"
-_NODE = f"`@type` string, name string, url string, gtin13 string, gtin string, mpn string, sku string, image string, brand struct<name:string>, aggregateRating struct<ratingValue:double,reviewCount:int>, offers struct<{', '.join(f.replace(' ', ':', 1) for f in _OFFER.split(', '))}>, vehicleIdentificationNumber string"
+_NODE = "`@type` string, name string, url string, gtin13 string, gtin string, mpn string, sku string, image string, brand string, aggregateRating struct<ratingValue:double,reviewCount:int>, offers string, seller string, vehicleIdentificationNumber string, mileageFromOdometer string, vehicleTransmission string, vehicleEngine string"
 # Types of nodes that are products.
 TYPES = ["Product", "ProductGroup", "Vehicle", "IndividualProduct", "Car", "Motorcycle"]
 
 
-def jsonld_items(pages: DataFrame) -> DataFrame:
-    """Items (page_id, pos, title, url, price, currency, …) of the JSON-LD products of pages (page_id, url, html): single nodes, arrays and graphs."""
+def _nodes(pages: DataFrame) -> DataFrame:
+    """(page_id, page, blob, pos, n) of every product node: single nodes, arrays and graphs. Fields of several shapes stay JSON text."""
     blobs = pages.select("page_id", F.col("url").alias("page"), F.posexplode(F.regexp_extract_all("html", F.lit(_LD), F.lit(1))).alias("blob", "json"))
     node = F.from_json("json", _NODE)
     graph = F.from_json("json", f"`@graph` array<struct<{_struct()}>>")["@graph"]
     listed = F.from_json("json", f"array<struct<{_struct()}>>")
     nodes = F.when(F.ltrim("json").startswith("["), listed).when(graph.isNotNull(), graph).otherwise(F.array(node))
-    each = blobs.select("page_id", "page", "blob", F.posexplode(nodes).alias("pos", "n")).where(F.col("n.@type").isin(TYPES) & F.col("n.name").isNotNull())
-    offer = F.coalesce(F.col("n.offers.price"), F.col("n.offers.lowPrice"), F.col("n.offers.highPrice"))
+    kind = F.coalesce(F.get_json_object("n.@type", "$[0]"), F.col("n.@type"))
+    return blobs.select("page_id", "page", "blob", F.posexplode(nodes).alias("pos", "n")).where(kind.isin(TYPES) & F.col("n.name").isNotNull())
+
+
+def _named(json: Column) -> Column:
+    """The name in a value that is an object, a list of them, or the name itself."""
+    inner = F.coalesce(*[F.get_json_object(json, p) for p in ("$[0].name", "$.name", "$[0].value", "$.value", "$[0]")])
+    return F.coalesce(inner, F.when(~json.rlike(r"^\s*[\[{]"), json))
+
+
+def _of_offer(name: str) -> Column:
+    return F.coalesce(F.get_json_object("n.offers", f"$[0].{name}"), F.get_json_object("n.offers", f"$.{name}"))
+
+
+def _first_offer() -> Column:
+    return F.when(F.ltrim("n.offers").startswith("["), F.get_json_object("n.offers", "$[0]")).otherwise(F.col("n.offers"))
+
+
+def jsonld_items(pages: DataFrame) -> DataFrame:
+    """Items (page_id, pos, title, url, price, currency, …) of the JSON-LD products of pages (page_id, url, html); a page's own price declaration serves when it holds exactly one product that has none."""
+    alone = F.count("*").over(Window.partitionBy("page_id")) == 1
+    declared = pages.select("page_id", price_from_meta(F.col("html")).alias("meta"))
+    each = _nodes(pages).withColumn("offer", price_from_offer(_first_offer())).withColumn("alone", alone).join(declared, "page_id", "left")
+    price = F.when(F.col("offer.amount").isNull() & F.col("alone") & F.col("meta.amount").isNotNull(), F.col("meta")).when(F.col("offer").isNotNull(), F.col("offer"))
     clean = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^https?://schema\.org/", "")
-    url = F.coalesce(F.when(F.col("n.url").rlike("(?i)^https?://"), F.col("n.url")), F.col("page"))
-    return each.select(
-        "page_id", "blob", "pos", F.col("n.name").alias("title"), url.alias("url"), offer.try_cast("double").alias("amount"), F.coalesce("n.offers.priceCurrency", F.lit("USD")).alias("currency"), F.col("n.brand.name").alias("brand"),
-        F.col("n.aggregateRating.ratingValue").alias("rating"), F.col("n.aggregateRating.reviewCount").alias("reviews"), "n.image", clean(F.col("n.offers.availability")).alias("availability"), clean(F.col("n.offers.itemCondition")).alias("condition"),
-        F.col("n.vehicleIdentificationNumber").alias("vin"), identity_for(F.coalesce("n.gtin13", "n.gtin"), F.coalesce("n.mpn", F.lit("")), F.col("n.brand.name"), F.col("n.name"), url).alias("identity"),
+    url, brand = F.coalesce(F.when(F.col("n.url") != "", resolved(F.col("page"), F.col("n.url"))), F.col("page")), _named(F.col("n.brand"))
+    return each.withColumn("price", price).select(
+        "page_id", "blob", "pos", F.col("n.name").alias("title"), url.alias("url"), F.col("price.amount").alias("amount"), F.coalesce("price.currency", F.lit("USD")).alias("currency"), brand.alias("brand"),
+        F.col("n.aggregateRating.ratingValue").alias("rating"), F.col("n.aggregateRating.reviewCount").alias("reviews"), "n.image", clean(_of_offer("availability")).alias("availability"), clean(_of_offer("itemCondition")).alias("condition"),
+        F.col("n.vehicleIdentificationNumber").alias("vin"), identity_for(F.coalesce("n.gtin13", "n.gtin"), F.coalesce("n.mpn", F.lit("")), brand, F.col("n.name"), F.when(F.col("alone"), url).otherwise("")).alias("identity"),
     )
 
 
+_ENGINE = r"(?i)^(?=.{2,60}$).*(?:\d(?:\.\d)?\s*L\b|cyl|\b[VIW]-?\d{1,2}\b|inline|flat-?\d|boxer|electric|hybrid|rotary|turbo|diesel|\bhp\b).*$"
+#: Rows a page may add to its text.
+MOST_ROWS = 60
+
+
+def listing_rows(pages: DataFrame, prose: Column | None = None) -> DataFrame:
+    """(page_id, place, key, row): the listings of pages (page_id, url, html) that their prose does not already name, as lines of text.
+
+    A row is name | price | distance | transmission | engine | VIN | seller (place) | link, without what is
+    missing; its key is the VIN, else the name. Each key counts once a page, at most MOST_ROWS rows a page.
+    ``prose``: the text to search, the visible text where it is not given.
+    """
+    text = pages.select("page_id", (visible_text(F.col("html")) if prose is None else prose).alias("prose"))
+    some = lambda c: F.nullif(F.trim(c), F.lit(""))
+    comma = lambda c: F.format_number(F.replace(c, F.lit(","), F.lit("")).try_cast("long"), 0)
+    miles, name = F.col("n.mileageFromOdometer"), F.trim("n.name")
+    value, unit = F.get_json_object(miles, "$.value"), F.upper(F.coalesce(F.get_json_object(miles, "$.unitCode"), F.lit("")))
+    measured = F.concat_ws(" ", F.coalesce(comma(value), value), F.when(unit == "SMI", "mi").when(unit == "KMT", "km"))
+    distance = F.when(value.isNotNull(), some(measured)).when(~miles.rlike(r"^\s*\{"), F.coalesce(F.concat(comma(miles), F.lit(" mi")), some(miles)))
+    engine = _named(F.col("n.vehicleEngine"))
+    vin, seller = some(F.col("n.vehicleIdentificationNumber")), F.coalesce(_of_offer("seller"), F.col("n.seller"))
+    place = F.concat_ws(", ", *[some(F.get_json_object(seller, f"$.address.{k}")) for k in ("addressLocality", "addressRegion")])
+    sold_by = some(F.concat_ws(" ", some(_named(seller)), F.when(place != "", F.concat(F.lit("("), place, F.lit(")")))))
+    link = F.coalesce(some(_of_offer("url")), some(F.col("n.url")))
+    link = F.when(link.isNotNull(), resolved(F.col("page"), link))
+    each = _nodes(pages).withColumn("price", price_from_offer(_first_offer())).select(
+        "page_id", "blob", "pos", F.coalesce(vin, name).alias("key"),
+        F.concat_ws(" | ", some(name), some(money_text(F.col("price.amount"), F.col("price.currency"))), distance, some(F.col("n.vehicleTransmission")),
+                    F.when(engine.rlike(_ENGINE) & ~F.lower(name).contains(F.lower(engine)), engine), F.concat(F.lit("VIN "), vin), sold_by, F.when(link.rlike("(?i)^https?://"), link)).alias("row"),
+    ).where("key <> '' AND row <> ''")
+    once = each.groupBy("page_id", "key").agg(F.min(F.struct("blob", "pos", "row")).alias("r"))
+    new = once.join(text, "page_id").where(~F.col("prose").contains(F.col("key"))).select("page_id", "key", "r.*")
+    ranked = new.withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy("blob", "pos")))
+    return ranked.where(F.col("place") <= MOST_ROWS).select("page_id", "place", "key", "row")
+
+
 def _struct() -> str:
     from pyspark.sql.types import StructType
 
