@@ -186,7 +186,7 @@ class Forest:
         return True
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of the links (a, b): the smallest node it is connected with."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -202,7 +202,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     edges = cut_lineage(links.mapInArrow(forest, "u long, v long").distinct())
     mark = None
-    for _ in range(most_rounds):
+    while True:  # until a round changes nothing, a number of rounds that grows with the logarithm of the nodes
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
