@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import bound
 from ..functions.money import identity_for, money_text, parse_price, price_from_meta, price_from_offer
 from ..functions.net import resolved
 from ..functions.text import visible_text
@@ -77,14 +78,17 @@ def listing_rows(pages: DataFrame, prose: Column | None = None) -> DataFrame:
     distance = F.when(value.isNotNull(), some(measured)).when(~miles.rlike(r"^\s*\{"), F.coalesce(F.concat(comma(miles), F.lit(" mi")), some(miles)))
     engine = _named(F.col("n.vehicleEngine"))
     vin, seller = some(F.col("n.vehicleIdentificationNumber")), F.coalesce(_of_offer("seller"), F.col("n.seller"))
-    place = F.concat_ws(", ", *[some(F.get_json_object(seller, f"$.address.{k}")) for k in ("addressLocality", "addressRegion")])
-    sold_by = some(F.concat_ws(" ", some(_named(seller)), F.when(place != "", F.concat(F.lit("("), place, F.lit(")")))))
+
+    def who(s: Column) -> Column:
+        place = F.concat_ws(", ", *[some(F.get_json_object(s, f"$.address.{k}")) for k in ("addressLocality", "addressRegion")])
+        return some(F.concat_ws(" ", some(_named(s)), bound(place, lambda p: F.when(p != "", F.concat(F.lit("("), p, F.lit(")"))))))
+
     link = F.coalesce(some(_of_offer("url")), some(F.col("n.url")))
-    link = F.when(link.isNotNull(), resolved(F.col("page"), link))
-    each = _nodes(pages).withColumn("price", price_from_offer(_first_offer())).select(
+    link = bound(F.when(link.isNotNull(), bound(link, lambda u: resolved(F.col("page"), u))), lambda u: F.when(u.rlike("(?i)^https?://"), u))
+    each = _nodes(pages).select(
         "page_id", "blob", "pos", F.coalesce(vin, name).alias("key"),
-        F.concat_ws(" | ", some(name), some(money_text(F.col("price.amount"), F.col("price.currency"))), distance, some(F.col("n.vehicleTransmission")),
-                    F.when(engine.rlike(_ENGINE) & ~F.lower(name).contains(F.lower(engine)), engine), F.concat(F.lit("VIN "), vin), sold_by, F.when(link.rlike("(?i)^https?://"), link)).alias("row"),
+        F.concat_ws(" | ", some(name), some(bound(price_from_offer(_first_offer()), lambda p: money_text(p["amount"], p["currency"]))), distance, some(F.col("n.vehicleTransmission")),
+                    bound(engine, lambda e: F.when(e.rlike(_ENGINE) & ~F.lower(name).contains(F.lower(e)), e)), F.concat(F.lit("VIN "), vin), bound(seller, who), link).alias("row"),
     ).where("key <> '' AND row <> ''")
     once = each.groupBy("page_id", "key").agg(F.min(F.struct("blob", "pos", "row")).alias("r"))
     new = once.join(text, "page_id").where(~F.col("prose").contains(F.col("key"))).select("page_id", "key", "r.*")
