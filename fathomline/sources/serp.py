@@ -60,19 +60,20 @@ def bing_rss(rows: DataFrame, limit: int = 20) -> DataFrame:
     return _ranked(found.where(F.col("url").rlike("(?i)^https?://")), limit)
 
 
-def _ranked(rows: DataFrame, limit: int) -> DataFrame:
+def _ranked(rows: DataFrame, limit: int | None = None) -> DataFrame:
     from pyspark.sql.window import Window
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("pos")) - 1
-    return rows.withColumn("rank", rank).where(F.col("rank") < limit).drop("pos")
+    ranked = rows.withColumn("rank", rank).drop("pos")
+    return ranked if limit is None else ranked.where(F.col("rank") < limit)
 
 
 def video_cards(rows: DataFrame) -> DataFrame:
-    """(query_id, rank, url, title, channel, age_days, seconds, views) of the video cards in a result page's initial data, each video once."""
+    """(query_id, rank, url, title, channel, age_days, seconds, views) of the video cards in a result page's initial data: all of them, each video once."""
     cards = objects_column(F.col("body"), '"videoRenderer":')
     shape = "videoId string, title struct<runs:array<struct<text:string>>>, ownerText struct<runs:array<struct<text:string>>>, publishedTimeText struct<simpleText:string>, lengthText struct<simpleText:string>, viewCountText struct<simpleText:string>"
     each = rows.select("query_id", F.posexplode(cards).alias("pos", "card")).select("query_id", "pos", F.from_json("card", shape).alias("v")).where("v.videoId IS NOT NULL")
     once = each.groupBy("query_id", "v.videoId").agg(F.min("pos").alias("pos"), F.min(F.struct("pos", "v"))["v"].alias("v"))
     text = lambda c: F.array_join(F.transform(c, lambda r: r["text"]), "")
     found = once.select("query_id", "pos", F.concat(F.lit("https://www.youtube.com/watch?v="), F.col("videoId")).alias("url"), text(F.col("v.title.runs")).alias("title"), text(F.col("v.ownerText.runs")).alias("channel"), age_days(F.col("v.publishedTimeText.simpleText")).alias("age_days"), duration_s(F.col("v.lengthText.simpleText")).alias("seconds"), views(F.col("v.viewCountText.simpleText")).alias("views"))
-    return _ranked(found, 1000)
+    return _ranked(found)
