@@ -46,9 +46,9 @@ def stream_health(calls: DataFrame) -> DataFrame:
 
 
 def progressive_fusion(answers: DataFrame, k: int = 60) -> DataFrame:
-    """(query_id, page, score, agreement) over all answers (query_id, provider, pos, page) so far; each arrival changes its own pages only."""
+    """(query_id, page, score, agreement) over all answers (query_id, provider, pos, page) so far; each arrival changes its own pages only. A page's state holds its sources by name, which are few."""
     share = F.lit(1.0) / (F.lit(float(k)) + F.col("pos") + 1)
-    return answers.groupBy("query_id", "page").agg(F.sum(share).alias("score"), F.approx_count_distinct("provider").alias("agreement"))
+    return answers.groupBy("query_id", "page").agg(F.sum(share).alias("score"), F.size(F.collect_set("provider")).cast("long").alias("agreement"))
 
 
 def on_time(answers: DataFrame, at: str, soft_deadline: str = "90 minutes") -> DataFrame:
