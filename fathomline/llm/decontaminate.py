@@ -11,7 +11,7 @@ items whose coverage reaches ``threshold``.
 If the benchmark's tokens fit the checked bound ``ship_bytes``, its sequences and seeds are shipped to
 the tasks and the documents are neither shuffled nor copied. Beyond it, seeds are joined by shuffle:
 document seeds (distinct in a document) against item seeds, then pairs against texts. Both ways give
-the same rows; a seed that many documents share costs one row a document in either.
+the same rows, also where ids are null or repeated; a seed that many documents share costs one row a document in either.
 
 Null or empty texts, and items of fewer than ``seed`` tokens, match nothing, unless such a short item
 is found whole: its own length is its seed. Items without tokens never match. Repeated documents each
@@ -179,7 +179,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, id_col: str
     """(row, key, item_id, covered, item_tokens, tiles) of documents and items that share a seed; row numbers repeated ids apart."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("long").alias("key"), docs[text_col].cast("string").alias("text"))
     items = _items(benchmark)
-    return _by_shipping(rows, items, seed) if _bytes(items) <= ship_bytes else _by_join(rows, items, seed)
+    return _by_shipping(rows, items, seed) if _bytes(items) <= ship_bytes else _by_join(written(rows, "tiling-rows"), items, seed)
 
 
 def _by_shipping(rows: DataFrame, items: DataFrame, seed: int) -> DataFrame:
@@ -201,7 +201,8 @@ def _by_shipping(rows: DataFrame, items: DataFrame, seed: int) -> DataFrame:
 
 
 def _by_join(rows: DataFrame, items: DataFrame, seed: int) -> DataFrame:
-    rows, items = written(rows, "tiling-rows"), written(items.withColumn("item", F.monotonically_increasing_id()), "tiling-items")
+    """The rows must be written: their numbers are read more than once."""
+    items = written(items.withColumn("item", F.monotonically_increasing_id()), "tiling-items")
     lengths = pa.schema([("item", pa.int64()), ("size", pa.int32()), ("h", pa.int64())])
 
     def item_seeds(batches):
@@ -246,11 +247,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, seed: int = SEED, ship_bytes: int = SHIP_BYTES) -> DataFrame:
-    """The documents that no item contaminates, with all their columns."""
+    """The documents that no item contaminates, with all their columns; each row is judged by its own text, whatever its id."""
     items = _items(benchmark)
     if _bytes(items) > ship_bytes:
-        bad = contamination(docs, benchmark, threshold, seed, ship_bytes=ship_bytes).select(F.col("doc_id").alias("__bad")).distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti")
+        tagged = written(docs.withColumn("__row", F.monotonically_increasing_id()), "tiling-rows")
+        rows = tagged.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
+        bad = _by_join(rows, items, seed).where(F.col("covered") / F.col("item_tokens") >= threshold).select(F.col("row").alias("__row")).distinct()
+        return tagged.join(bad, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     shared = _shared(items, seed)
 
     def untouched(texts: pa.Array) -> np.ndarray:
@@ -259,7 +262,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, s
         keep = np.ones(len(texts), bool)
         for n, near in _near(hashed, ends, shipped):
             doc = hashed[ends[n] : ends[n + 1]]
-            keep[n] = not any(_covered(doc, shipped.tokens[k], seed)[0] >= threshold * len(shipped.tokens[k]) for k in near)
+            keep[n] = not any(_covered(doc, shipped.tokens[k], seed)[0] / len(shipped.tokens[k]) >= threshold for k in near)
         return keep
 
     return kept_rows(docs, "text", untouched, BATCH_BYTES)
