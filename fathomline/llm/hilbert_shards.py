@@ -1,13 +1,13 @@
 """Sharding along a Hilbert curve over several metadata dimensions.
 
-Each dimension is quantised by approximate quantiles over all rows (strings by their first eight
-bytes as a number that keeps their order), the cell's index on the Hilbert curve is computed, rows are
+Each dimension is quantised by quantiles over all rows (numbers by approximate ones; strings by exact
+ones of their whole values, ranked in byte order with their counts), the cell's index on the Hilbert curve is computed, rows are
 range-partitioned and sorted by it, and the order is cut into runs of equal row counts. Neighbours on
 the curve share value ranges in every dimension, so a shard's min/max statistics prune by any of them.
 
 Only ids, sizes and metadata are shuffled for the assignment. Ties on the curve are broken by id,
 text hash and input position, so neither one hot value nor repeated rows pile up in one range. The
-driver sees one count a range.
+driver sees one count a range, and of a string dimension the values at its cuts.
 
 Nulls form the lowest quantum of a dimension; null text has size 1. Repeated rows each get a place;
 an empty table gives an empty table; extra columns do not matter.
@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import written
 
@@ -51,11 +52,27 @@ def curve_index(cells: list[np.ndarray], bits: int) -> np.ndarray:
     return index
 
 
-def ordinal(column: Column, kind: str) -> Column:
-    """A double that keeps the column's order: numbers as they are, strings by their first six bytes."""
-    if kind == "string":
-        return F.conv(F.hex(F.substring(F.rpad(F.encode(column, "UTF-8"), 6, b"\x00"), 1, 6)), 16, 10).cast("double")
-    return column.cast("double")
+def string_edges(lean: DataFrame, name: str, bits: int) -> list[str]:
+    """The values at the 2**bits - 1 cuts of a string column, in byte order; only distinct values are sorted."""
+    spark = lean.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counts = lean.where(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+    ranges = written(counts.repartitionByRange(parts, name).withColumn("range", F.spark_partition_id()), "shard-values")
+    before, total = [], 0
+    for r in sorted(ranges.groupBy("range").agg(F.sum("n").alias("n")).collect(), key=lambda r: r["range"]):
+        before.append((r["range"], total))
+        total += r["n"]
+    offsets = spark.createDataFrame(before, "range int, before long")
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("range").orderBy(name).rowsBetween(Window.unboundedPreceding, 0))
+    cuts = lambda rank: F.least(F.floor(rank * (1 << bits) / max(total, 1)), F.lit((1 << bits) - 1))
+    ranked = ranges.join(F.broadcast(offsets), "range").withColumn("upto", upto)
+    return [r[0] for r in ranked.where(cuts(F.col("upto")) > cuts(F.col("upto") - F.col("n"))).orderBy("upto").select(name).collect()]
+
+
+def _below(column: Column, edges: list[str]) -> Column:
+    """How many of the edges are smaller than the value; none for null."""
+    below = F.filter(F.array(*[F.lit(e) for e in edges]).cast("array<string>"), lambda e: e < column)
+    return F.when(column.isNull(), 0).otherwise(F.size(below)).cast("double")
 
 
 def shard_rows(docs: DataFrame, dimensions: list[Column | str], shards: int, id_col: str = "doc_id", text_col: str = "text", bits: int = 5, accuracy: int = 1000) -> DataFrame:
@@ -66,7 +83,7 @@ def shard_rows(docs: DataFrame, dimensions: list[Column | str], shards: int, id_
     spark = docs.sparkSession
     named = [docs[d] if isinstance(d, str) else d for d in dimensions]
     probe = docs.select(*[c.alias(f"d{i}") for i, c in enumerate(named)])
-    values = [ordinal(c, kind).alias(f"d{i}") for i, (c, (_, kind)) in enumerate(zip(named, probe.dtypes, strict=True))]
+    values = [(c if kind == "string" else c.cast("double")).alias(f"d{i}") for i, (c, (_, kind)) in enumerate(zip(named, probe.dtypes, strict=True))]
     text = docs[text_col].cast("string")
     lean = docs.select(
         docs[id_col].cast("long").alias("key"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
@@ -75,8 +92,11 @@ def shard_rows(docs: DataFrame, dimensions: list[Column | str], shards: int, id_
     lean = written(lean, "shard-rows")  # the texts are read and hashed once
     at = [k / (1 << bits) for k in range(1, 1 << bits)]
     names = [f"d{i}" for i in range(len(values))]
-    cuts = lean.agg(*[F.percentile_approx(n, at, accuracy).alias(n) for n in names]).first()
-    edges = [sorted({v for v in (cuts[n] or []) if v == v}) for n in names]
+    texts = [n for n, kind in probe.dtypes if kind == "string"]
+    cuts = lean.agg(F.count(F.lit(1)), *[F.percentile_approx(n, at, accuracy).alias(n) for n in names if n not in texts]).first()
+    # a string comes to the curve as its quantum already, which these edges leave as it is
+    edges = [list(range(1 << bits)) if n in texts else sorted({v for v in (cuts[n] or []) if v == v}) for n in names]
+    quanta = [_below(F.col(n), string_edges(lean, n, bits)).alias(n) if n in texts else F.col(n) for n in names]
 
     @F.pandas_udf("long")
     def curve(values: pd.DataFrame) -> pd.Series:
@@ -88,7 +108,7 @@ def shard_rows(docs: DataFrame, dimensions: list[Column | str], shards: int, id_
 
     keys = ["curve", "key", "crc", "row"]
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = lean.select("key", "size", "crc", "row", curve(F.struct(*names)).alias("curve"))
+    placed = lean.select("key", "size", "crc", "row", curve(F.struct(*quanta)).alias("curve"))
     ordered = placed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("range", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     ordered = written(ordered, "shard-order")  # ranks stay as they are, whatever is read from here again
     counts = sorted((r["range"], r["n"]) for r in ordered.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect())

@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from fathomline.llm import decontaminate
+from fathomline.llm import decontaminate, hilbert_shards
 from fathomline.sources import serp
 from fathomline.streaming import live
 
@@ -42,3 +42,16 @@ def test_a_share_at_the_threshold_is_contaminated_either_way(spark, ship_bytes):
     bench = spark.createDataFrame([(0, " ".join(words))], "item_id long, text string")
     docs = spark.createDataFrame([(1, " ".join(words[:7])), (2, " ".join(words[:6]))], "doc_id long, text string")
     assert [r.doc_id for r in decontaminate.clean(docs, bench, threshold=0.07, ship_bytes=ship_bytes).collect()] == [2]
+
+
+def test_sources_with_one_beginning_have_their_own_places_on_the_curve(spark):
+    rows = [(i, "t", None if i % 10 == 9 else f"https://source_{i % 10}.example.com/") for i in range(200)]
+    got = hilbert_shards.shard_rows(spark.createDataFrame(rows, "doc_id long, text string, source string"), ["source"], 4).collect()
+    places = {}
+    for r in got:
+        places.setdefault(rows[r.doc_id][2], set()).add(r.curve)
+    curves = [places[s] for s in sorted(places, key=lambda s: s or "")]
+    # null shares the lowest quantum with the smallest value, as among numbers
+    assert all(len(c) == 1 for c in curves) and sorted(set().union(*curves)) == [min(c) for c in curves[1:]] and curves[0] == curves[1] and len(got) == 200
+    none = spark.createDataFrame([(1, "t", None)], "doc_id long, text string, source string")
+    assert [r.curve for r in hilbert_shards.shard_rows(none, ["source"], 4).collect()] == [0]
