@@ -100,7 +100,7 @@ def _block_search(index: pa.Table, queries: pa.Table, radius: float, k: int, tre
         for at in range(0, len(asked), 256):
             for i, rows in forest.candidates(asked[at : at + 256], max(least, int(share * len(vectors)))):
                 score = (vectors[rows] * asked[at + i]).sum(axis=1)
-                best = np.lexsort((names[rows], -score))[: k + 1] if len(rows) <= 4 * k else _top(score, names[rows], k + 1)
+                best = _top(score, names[rows], min(k + 1, len(rows)))
                 out["query"] += [int(classes[at + i])] * len(best)
                 out["found"] += names[rows[best]].tolist()
                 out["score"] += score[best].tolist()

@@ -2,9 +2,11 @@
 
 import json
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from fathomline.llm import decontaminate, hilbert_shards
+from fathomline.llm import decontaminate, hash_forest, hilbert_shards
 from fathomline.sources import serp
 from fathomline.streaming import live
 
@@ -55,3 +57,9 @@ def test_sources_with_one_beginning_have_their_own_places_on_the_curve(spark):
     assert all(len(c) == 1 for c in curves) and sorted(set().union(*curves)) == [min(c) for c in curves[1:]] and curves[0] == curves[1] and len(got) == 200
     none = spark.createDataFrame([(1, "t", None)], "doc_id long, text string, source string")
     assert [r.curve for r in hilbert_shards.shard_rows(none, ["source"], 4).collect()] == [0]
+
+
+def test_neighbours_that_tie_are_the_smallest_ids(spark):
+    rows = [(i, [float(x) for x in row]) for i, row in enumerate(np.eye(60))]
+    got = hash_forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0, 20).orderBy("rank").collect()
+    assert [(r["rank"], r.vec_id) for r in got] == [(i, i) for i in range(1, 21)]
