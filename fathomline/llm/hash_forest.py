@@ -1,25 +1,33 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
 Every tree hashes vectors to 64-bit strings (signs of random projections, the first projection in the
-highest bit) and keeps them as a sorted array. A query descends in each tree to its longest-prefix
-matches, whose lengths vary with the density there; then all trees ascend together, one bit at a time,
-until the ranges at that prefix length hold enough candidates. Candidates are scored exactly.
+highest bit) and keeps them as a sorted array. A query descends in each tree towards its longest-prefix
+matches, whose lengths vary with the density there, as far as any level may hold enough; then all trees
+ascend together, one bit at a time, until their ranges hold enough candidates. At the last level the
+trees are taken in order and the ascent ends inside it, so little more than asked for are scored, exactly.
 
 Inner products are brought to angles by one more coordinate that fills every vector up to the largest
 norm. The index is cut into blocks of distinct vectors (by hash), each with a forest of its own; the
-stated queries visit every block, in query blocks, so no task holds more than one block of each.
-Equal vectors form a class: it is indexed once, with its smallest k + 1 ids, which is all that any
-result can show, so a very common vector costs one entry.
-
-``trees`` and ``share`` (candidates as a share of a block, ``least`` at least) fix the recall: vectors
-whose neighbours are barely nearer than the rest need a large share. Vectors that are null, empty, zero
-or hold null or non-finite components take no part. Vectors of different lengths never meet. Repeated
-rows count once; an id that repeats with other vectors is searched and found with each. Fewer
-candidates than k: all of them. An empty table gives an empty result; other columns are not read.
+stated queries visit every block, in blocks of their own that are larger, so a vector is shipped once
+for every ``query_rows`` queries and no task holds more than one block of each. Equal vectors form a
+class: it is indexed once, with its smallest k + 1 ids, which is all that any result can show, so a very
+common vector costs one entry.
+
+``share`` (candidates as a share of a block, ``least`` at least) decides the recall: vectors whose
+neighbours are barely nearer than the rest need a large one. It is fitted, unless given: on a bounded
+sample of classes (one block, ``FIT_QUERIES`` of them as queries) the forest is held against brute force
+and the smallest of ``SHARES`` whose recall reaches ``target`` is taken. Every class is indexed.
+
+Vectors that are null, empty, zero or hold null or non-finite components take no part. Vectors of
+different lengths never meet. Repeated rows count once; an id that repeats with other vectors is searched
+with all of them, and found, by its best score. Fewer candidates than k: all of them. An empty table gives
+an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,9 +36,11 @@ from pyspark.sql.window import Window
 
 from .common import written
 
-TREES, SHARE, LEAST = 32, 0.5, 2048
-BLOCK_ROWS, SEED = 8192, 20
+TREES, LEAST, SEED = 256, 200, 20
+BLOCK_ROWS, QUERY_ROWS = 8192, 65_536
 BITS = 64
+#: The fit: queries of the sample, shares that are tried, and the recall that is asked for.
+FIT_QUERIES, SHARES, TARGET = 128, (0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0), 0.93
 
 
 def takes_part(vector: Column) -> Column:
@@ -48,8 +58,8 @@ class Forest:
         self.planes = draw.standard_normal((vectors.shape[1] + 1, trees * BITS))
         rest = np.sqrt(np.maximum(radius**2 - (vectors**2).sum(axis=1), 0))
         strings = self._strings(np.column_stack([vectors, rest]))
-        self.order = np.argsort(strings, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(strings, self.order, 0)
+        self.order = np.ascontiguousarray(np.argsort(strings, axis=0, kind="stable").T.astype(np.int32))
+        self.sorted = np.ascontiguousarray(np.take_along_axis(strings.T, self.order, 1))
 
     def _strings(self, full: np.ndarray) -> np.ndarray:
         out = np.empty((len(full), self.trees), np.uint64)
@@ -59,37 +69,54 @@ class Forest:
         return out
 
     def candidates(self, queries: np.ndarray, enough: int):
-        """Of each query, the rows of the block that the synchronous ascent reaches."""
+        """Of each query, the rows of the block that the synchronous ascent reaches: ``enough`` of them and the rest of the last tree's range, or all."""
+        size = len(self.vectors)
+        if enough >= size:
+            yield from ((i, np.arange(size)) for i in range(len(queries)))
+            return
         norms = np.sqrt((queries**2).sum(axis=1, keepdims=True))
         strings = self._strings(np.column_stack([queries / norms, np.zeros(len(queries))]))
-        n, deepest = len(queries), BITS
-        low = np.zeros((BITS + 1, n, self.trees), np.int32)
-        high = np.full((BITS + 1, n, self.trees), len(self.vectors), np.int32)
-        for bits in range(1, BITS + 1):  # descend, until no tree has a match that long
+        levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # by prefix length from 1: queries, where their ranges begin, and how long they are
+        going = np.arange(len(queries))
+        for bits in range(1, BITS + 1):  # each query descends as long as it may find enough at that length
             span = np.uint64(BITS - bits)
-            first = strings >> span << span
+            first = strings[going] >> span << span
             last = first | np.uint64((1 << int(span)) - 1)
+            low, length = np.empty(first.shape, np.int64), np.empty(first.shape, np.int64)
             for t in range(self.trees):
-                low[bits, :, t] = np.searchsorted(self.sorted[:, t], first[:, t])
-                high[bits, :, t] = np.searchsorted(self.sorted[:, t], last[:, t], "right")
-            if (low[bits] == high[bits]).all():
-                deepest = bits
+                low[:, t] = np.searchsorted(self.sorted[t], first[:, t])
+                length[:, t] = np.searchsorted(self.sorted[t], last[:, t], "right")
+            length -= low
+            stays = length.sum(axis=1) >= enough
+            going = going[stays]
+            if not len(going):
                 break
-        for i in range(n):
-            for bits in range(deepest, -1, -1):  # ascend in all trees at once
-                a, b = low[bits, i], high[bits, i]
-                if int((b - a).sum()) < enough and bits:
+            levels.append((going, low[stays], length[stays]))
+        flat, base = self.order.reshape(-1), np.arange(self.trees, dtype=np.int64) * size
+        for i in range(len(queries)):
+            deeper = np.zeros(0, np.int32)
+            for own, lows, lengths in reversed(levels):  # ascend in all trees at once
+                at = int(np.searchsorted(own, i))
+                if at == len(own) or own[at] != i:
+                    continue
+                low, length = lows[at], lengths[at]
+                upto = np.cumsum(length)
+                found = flat[np.arange(upto[-1]) + np.repeat(base + low - upto + length, length)]
+                tree = np.full(size, self.trees + 1, np.int16)  # of each row, the first tree that has it; 0 if a longer prefix had it
+                tree[found[::-1]] = np.repeat(np.arange(1, self.trees + 1, dtype=np.int16), length)[::-1]
+                tree[deeper] = 0
+                held = np.cumsum(np.bincount(tree, minlength=self.trees + 2))[: self.trees + 1]
+                if held[-1] < enough:
+                    deeper = np.flatnonzero(tree <= self.trees)
                     continue
-                seen = np.zeros(len(self.vectors), bool)
-                for t in range(self.trees):
-                    seen[self.order[a[t] : b[t], t]] = True
-                if not bits or int(seen.sum()) >= enough:
-                    yield i, np.flatnonzero(seen)
-                    break
+                yield i, np.flatnonzero(tree <= int(np.searchsorted(held, enough)))
+                break
+            else:
+                yield i, np.arange(size)
 
 
 def _block_search(index: pa.Table, queries: pa.Table, radius: float, k: int, trees: int, share: float, least: int) -> pa.Table:
-    out: dict[str, list] = {"query": [], "found": [], "score": []}
+    out: tuple[list, list, list] = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)])
     if index.num_rows and queries.num_rows:
         vectors = _matrix(index)
         names = index.column("class").to_numpy()
@@ -101,10 +128,38 @@ def _block_search(index: pa.Table, queries: pa.Table, radius: float, k: int, tre
             for i, rows in forest.candidates(asked[at : at + 256], max(least, int(share * len(vectors)))):
                 score = (vectors[rows] * asked[at + i]).sum(axis=1)
                 best = _top(score, names[rows], min(k + 1, len(rows)))
-                out["query"] += [int(classes[at + i])] * len(best)
-                out["found"] += names[rows[best]].tolist()
-                out["score"] += score[best].tolist()
-    return pa.table({"query": pa.array(out["query"], pa.int64()), "found": pa.array(out["found"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
+                for part, values in zip(out, (np.full(len(best), classes[at + i]), names[rows[best]], score[best]), strict=True):
+                    part.append(values)
+    return pa.table(dict(zip(("query", "found", "score"), (np.concatenate(part) for part in out), strict=True)))
+
+
+def fit_share(vectors: np.ndarray, radius: float, k: int, trees: int, least: int, target: float, queries: int = FIT_QUERIES) -> tuple[float, float]:
+    """The smallest share whose recall of the k nearest among these distinct vectors reaches the target, and that recall."""
+    forest, asked = Forest(vectors, radius, trees), np.arange(min(queries, len(vectors)))
+    score = vectors[asked] @ vectors.T
+    score[asked, asked] = -np.inf
+    k = min(k, len(vectors) - 1)
+    if k < 1:
+        return 1.0, 1.0
+    edge = -np.partition(-score, k - 1, axis=1)[:, k - 1]
+
+    def recall(share: float) -> float:
+        return float(np.mean([min(k, int((score[i, rows] >= edge[i]).sum())) / k for i, rows in forest.candidates(vectors[asked], max(least, int(share * len(vectors))))]))
+
+    share = SHARES[min(bisect.bisect_left(SHARES, target, key=recall), len(SHARES) - 1)]
+    return share, recall(share)
+
+
+def _fitted(classes: DataFrame, n: int, radius: float, k: int, trees: int, least: int, target: float, block_rows: int) -> float:
+    """The largest of the shares that the vectors' lengths need, each fitted on a sample of at most about one block."""
+    chance = F.pmod(F.xxhash64("class", F.lit(3)), F.lit(1 << 30)) < int(min(1.0, block_rows / max(n, 1)) * (1 << 30))
+
+    def fit(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("class").to_numpy(), kind="stable")
+        return pa.table({"share": [fit_share(_matrix(table)[order], radius, k, trees, least, target)[0]]})
+
+    found = classes.where(chance).groupBy("width").applyInArrow(lambda t: fit(t), "share double").agg(F.max("share")).first()[0]
+    return 1.0 if found is None else found
 
 
 def _top(score: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
@@ -119,20 +174,28 @@ def _matrix(table: pa.Table) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, share: float = SHARE, least: int = LEAST, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest(
+    vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, share: float | None = None, least: int = LEAST, block_rows: int = BLOCK_ROWS,
+    query_rows: int = QUERY_ROWS, target: float = TARGET,
+) -> DataFrame:
     """(query_id, rank, id, score): of each query row, the k rows found with the largest inner product."""
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    rows = rows.where(takes_part(F.col("vector")) & F.col("id").isNotNull()).withColumn("class", F.xxhash64("vector"))
-    rows = written(rows, "vectors")
+    # two hashes of different seeds name a vector; -0.0 and 0.0 are one
+    rows = rows.where(takes_part(F.col("vector")) & F.col("id").isNotNull()).withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))
+    rows = written(rows.withColumn("a", F.xxhash64("vector")).withColumn("b", F.xxhash64(F.lit(1), "vector")), "vectors")
     size = rows.agg(F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)))).first()[0]
     radius = float(size or 0.0)
-    classes = written(rows.groupBy("class").agg(F.any_value("vector").alias("vector"), F.max("asks").alias("asks"), F.size(F.any_value("vector")).alias("width")), "vector-classes")
-    ids = rows.groupBy("class", "id").agg(F.max("asks").alias("asks"))
-    smallest = Window.partitionBy("class").orderBy("id")
-    members = ids.withColumn("place", F.row_number().over(smallest)).where(F.col("place") <= k + 1).select(F.col("class").alias("found"), F.col("id").alias("candidate"))
+    distinct = rows.groupBy("a", "b").agg(F.any_value("vector").alias("vector"), F.max("asks").alias("asks"))
+    classes = written(distinct.withColumn("width", F.size("vector")).withColumn("class", F.monotonically_increasing_id()), "vector-classes")
+    named = classes.select("a", "b", "class")
+    ids = rows.groupBy("a", "b", "id").agg(F.max("asks").alias("asks"))
+    smallest = Window.partitionBy("a", "b").orderBy("id")
+    members = ids.withColumn("place", F.row_number().over(smallest)).where(F.col("place") <= k + 1).join(named, ["a", "b"]).select(F.col("class").alias("found"), F.col("id").alias("candidate"))
 
     n, asked = classes.count(), classes.where("asks").count()
-    blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-asked // block_rows))
+    if share is None:
+        share = _fitted(classes, n, radius, k, trees, least, target, block_rows)
+    blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-asked // query_rows))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     own = lambda count, salt: F.pmod(F.xxhash64("class", F.lit(salt)), F.lit(count)).cast("int")
     index = classes.select("class", "vector", "width", own(blocks, 1).alias("block"), every(query_blocks).alias("query_block"))
@@ -146,7 +209,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     # k + 1 classes and those that tie with the last hold k rows besides the query's own
     best = near.withColumn("place", F.rank().over(Window.partitionBy("query").orderBy(F.desc("score")))).where(F.col("place") <= k + 1).drop("place")
     best = written(best, "near-classes")
-    pairs = ids.where("asks").select(F.col("id").alias("query_id"), F.col("class").alias("query")).join(best, "query").join(members, "found").where("candidate <> query_id")
-    pairs = pairs.groupBy("query_id", "candidate", "query").agg(F.max("score").alias("score"))
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "candidate"))).where(F.col("rank") <= k)
+    asking = ids.where("asks").join(named, ["a", "b"]).select(F.col("id").alias("query_id"), F.col("class").alias("query"))
+    pairs = asking.join(best, "query").join(members, "found").where("candidate <> query_id").groupBy("query_id", "candidate").agg(F.max("score").alias("score"))
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "candidate"))).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("candidate").alias(id_col), "score")
