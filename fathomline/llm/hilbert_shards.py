@@ -75,10 +75,11 @@ def _below(column: Column, edges: list[str]) -> Column:
     return F.when(column.isNull(), 0).otherwise(F.size(below)).cast("double")
 
 
-def shard_rows(docs: DataFrame, dimensions: list[Column | str], shards: int, id_col: str = "doc_id", text_col: str = "text", bits: int = 5, accuracy: int = 1000) -> DataFrame:
+def shard_rows(docs: DataFrame, dimensions: list[Column | str], shards: int, id_col: str = "doc_id", text_col: str = "text", bits: int = 5, accuracy: int = 1000, row_col: str | None = None) -> DataFrame:
     """(id, size, text_crc32, shard, slot, curve) of each row; shards differ by one row at most.
 
-    bits: a dimension is cut into at most 2**bits quanta; accuracy: of the quantiles' sketch.
+    bits: a dimension is cut into at most 2**bits quanta; accuracy: of the quantiles' sketch; row_col: a
+    column that numbers the rows and is returned with them (their position in the input breaks ties without it).
     """
     spark = docs.sparkSession
     named = [docs[d] if isinstance(d, str) else d for d in dimensions]
@@ -87,7 +88,7 @@ def shard_rows(docs: DataFrame, dimensions: list[Column | str], shards: int, id_
     text = docs[text_col].cast("string")
     lean = docs.select(
         docs[id_col].cast("long").alias("key"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).cast("long").alias("crc"), *values, F.monotonically_increasing_id().alias("row"),
+        F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).cast("long").alias("crc"), *values, (docs[row_col] if row_col else F.monotonically_increasing_id()).alias("row"),
     )
     lean = written(lean, "shard-rows")  # the texts are read and hashed once
     at = [k / (1 << bits) for k in range(1, 1 << bits)]
@@ -123,15 +124,23 @@ def shard_rows(docs: DataFrame, dimensions: list[Column | str], shards: int, id_
     edge = more * (small + 1)
     shard = F.when(rank < edge, F.floor(rank / (small + 1))).otherwise(more + F.floor((rank - edge) / max(small, 1)))
     first = F.col("shard") * small + F.least(F.col("shard"), F.lit(more))
-    return ordered.join(F.broadcast(offsets), "range").select(F.col("key").alias(id_col), "size", F.col("crc").alias("text_crc32"), shard.cast("int").alias("shard"), rank.alias("rank"), "curve").select(id_col, "size", "text_crc32", "shard", (F.col("rank") - first).cast("long").alias("slot"), "curve")
+    out = ordered.join(F.broadcast(offsets), "range").withColumn("rank", rank).withColumn("shard", shard.cast("int"))
+    slot = (F.col("rank") - first).cast("long").alias("slot")
+    return out.select(F.col("key").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", slot, "curve", *([F.col("row").alias(row_col)] if row_col else []))
 
 
 def write_shards(docs: DataFrame, path: str, dimensions: list[Column | str], shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the rows, whole, under path/shard=N/ in curve order; returns the assignment. Ids must be unique."""
-    placed = written(shard_rows(docs, dimensions, shards, id_col, text_col), "shard-plan")
-    own = [c for c in docs.columns if c not in ("__shard", "__slot")]
-    plan = placed.select(F.col(id_col).alias("__key"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
-    rows = docs.select(*own).join(plan, F.col(id_col).eqNullSafe(F.col("__key"))).drop("__key")
+    """Writes the rows, whole and each once, under path/shard=N/ in curve order; returns the assignment.
+
+    Rows are told apart by a number of their own, so ids may repeat or be null. A column named ``shard`` gives way to the shard's number.
+    """
+    names = docs.columns
+    plain = docs.select(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(names)], *[(docs[d] if isinstance(d, str) else d).alias(f"d{i}") for i, d in enumerate(dimensions)])
+    tagged = written(plain.withColumn("row", F.monotonically_increasing_id()), "shard-docs")
+    placed = written(shard_rows(tagged, [f"d{i}" for i in range(len(dimensions))], shards, f"c{names.index(id_col)}", f"c{names.index(text_col)}", row_col="row"), "shard-plan")
+    own = [c for c in tagged.columns if c.startswith("c")]
+    rows = tagged.select("row", *own).join(placed.select("row", "shard", "slot"), "row")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows.repartitionByRange(max(parts, shards), "__shard", "__slot").sortWithinPartitions("__shard", "__slot").withColumn("shard", F.col("__shard")).drop("__shard", "__slot").write.partitionBy("shard").parquet(path)
-    return placed
+    ordered = rows.repartitionByRange(max(parts, shards), "shard", "slot").sortWithinPartitions("shard", "slot")
+    ordered.select(*[F.col(c).alias(n) for c, n in zip(own, names, strict=True) if n != "shard"], "shard").write.partitionBy("shard").parquet(path)
+    return placed.drop("row").withColumnRenamed(f"c{names.index(id_col)}", id_col)
