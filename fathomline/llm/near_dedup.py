@@ -2,14 +2,14 @@
 
 1. Sketch (one narrow map): each text's distinct word shingles, a 128-bit id of that set, and a
    SuperMinHash signature folded into band keys.
-2. Texts with equal sets form a class with one representative (an aggregation with map-side combine);
-   only representatives go on, so groups of copies cost one row from here.
-3. Representatives that share a band key form a bucket; each is compared with the bucket's smallest
-   id: first by signature, and where that does not rule a link out, on full shingle sets. Links are
+2. Texts with equal sets form a class with one number (an aggregation with map-side combine); only
+   classes go on, so groups of copies cost one row from here.
+3. Classes that share a band key form a bucket; each is compared with the bucket's smallest
+   number: first by signature, and where that does not rule a link out, on full shingle sets. Links are
    grouped by union-find inside tasks, then by rounds of large-star and small-star joins.
 4. Buckets of three or more that still hold several groups are compared in full, between groups, in
-   blocks of bounded size: signatures leave the members that may have a link to another group, and
-   the common shingles of those are counted by matrix products. A block returns members, or a
+   blocks bounded in members and in shingles: signatures leave the members that may have a link to
+   another group, and the common shingles of those are counted by matrix products. A block returns members, or a
    spanning forest of its links, never its pairs. So no link between texts that share a band is lost.
 
 With r rows a band and b bands, a pair of similarity s misses all bands with (1 - s**r)**b: at the
@@ -18,9 +18,9 @@ default 4 and 28 that is 1e-9 at 0.85 and 4e-7 at 0.8. Signatures rule a link ou
 confirmed exactly. Ids whose texts are wanted again are broadcast up to a checked count, and joined by
 shuffle beyond it.
 
-Null or empty texts have no shingles and are linked with nothing. Rows that repeat an id count as one
-document; should their texts differ, the largest set is compared. Rows without id keep to themselves. An empty
-table gives an empty result; other columns are not read.
+Null or empty texts have no shingles and are linked with nothing. Each row is judged by its own text:
+rows that repeat an id have their own components should their texts differ, and are kept or not one by
+one. Rows without id keep to themselves. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ from .words import mix, shingles, word_hashes
 
 BATCH_BYTES = 1_000_000
 ROWS, BANDS = 4, 28
-#: Elements whose permutations are held at once, and rows of a block's side.
-ELEMENTS, BLOCK_ROWS = 200_000, 1024
+#: Elements whose permutations are held at once; rows and about how many shingles of a block's side.
+ELEMENTS, BLOCK_ROWS, BLOCK_SHINGLES = 200_000, 1024, 1_000_000
 #: Ids that may be broadcast (8 bytes each), and how far below the similarity signatures must lie to rule a link out.
 BROADCAST_IDS, MARGIN = 4_000_000, 0.2
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -80,8 +80,17 @@ def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
     return keys
 
 
+def _set_ids(element: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+    """Two 64-bit ids of each set; null for an empty one."""
+    ids = []
+    for seed in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(element ^ np.uint64(seed)), dtype=np.uint64)])
+        ids.append(pa.array((sums[ends[1:]] - sums[ends[:-1]]).view(np.int64), mask=np.diff(ends) == 0))
+    return ids
+
+
 def _sketch(rows: DataFrame, size: int, per_band: int, bands: int) -> DataFrame:
-    schema = pa.schema([("key", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("slots", pa.binary())])
+    schema = pa.schema([("key", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("slots", pa.binary())])
 
     def sketched(batches):
         for batch in by_bytes(batches, "text", BATCH_BYTES):
@@ -90,30 +99,29 @@ def _sketch(rows: DataFrame, size: int, per_band: int, bands: int) -> DataFrame:
             signatures = super_minhash(element, ends, per_band * bands)
             keys = band_keys(signatures, per_band)
             slots = (mix(signatures) & np.uint64(255)).astype(np.uint8)
-            ids = []
-            for seed in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25):
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(element ^ np.uint64(seed)), dtype=np.uint64)])
-                ids.append(pa.array((sums[ends[1:]] - sums[ends[:-1]]).view(np.int64), mask=n == 0))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1).view(np.int64)))
-            yield output(schema, [batch.column("key"), n, *ids, lists, [row.tobytes() for row in slots]])
+            yield output(schema, [batch.column("key"), batch.column("mark"), n, *_set_ids(element, ends), lists, [row.tobytes() for row in slots]])
 
-    return rows.mapInArrow(sketched, "key long, n_shingles long, set_a long, set_b long, bands array<long>, slots binary")
+    return rows.withColumn("mark", F.xxhash64("text")).mapInArrow(sketched, "key long, mark long, n_shingles long, set_a long, set_b long, bands array<long>, slots binary")
 
 
 def _sets(rows: DataFrame, size: int) -> DataFrame:
-    schema = pa.schema([("key", pa.int64()), ("elements", pa.list_(pa.int64()))])
+    schema = pa.schema([("set_a", pa.int64()), ("set_b", pa.int64()), ("elements", pa.list_(pa.int64()))])
 
     def listed(batches):
         for batch in by_bytes(batches, "text", BATCH_BYTES):
             element, ends = shingles(*word_hashes(batch.column("text")), size)
-            yield output(schema, [batch.column("key"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(element.view(np.int64)))])
+            yield output(schema, [*_set_ids(element, ends), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(element.view(np.int64)))])
 
-    return rows.mapInArrow(listed, "key long, elements array<long>")
+    return rows.mapInArrow(listed, "set_a long, set_b long, elements array<long>")
 
 
-def _sets_of(rows: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(key, elements) of the ids (want), one row each."""
-    return written(_sets(_texts_of(rows, written(ids.distinct(), "wanted")), size).groupBy("key").agg(F.max("elements").alias("elements")), "sets")
+def _sets_of(rows: DataFrame, classes: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, elements) of the classes (want), one row each."""
+    named = written(classes.select("node", "key", "set_a", "set_b").join(nodes.distinct(), F.col("node") == F.col("want"), "left_semi"), "wanted")
+    texts = _texts_of(rows, named.select(F.col("key").alias("want")).distinct())
+    found = _sets(texts, size).where("set_a IS NOT NULL").groupBy("set_a", "set_b").agg(F.any_value("elements").alias("elements"))
+    return written(found.join(named.select("node", "set_a", "set_b"), ["set_a", "set_b"]).select("node", "elements"), "sets")
 
 
 def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
@@ -123,7 +131,7 @@ def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    left, right = sets.select(F.col("key").alias("a"), F.col("elements").alias("xs")), sets.select(F.col("key").alias("b"), F.col("elements").alias("ys"))
+    left, right = sets.select(F.col("node").alias("a"), F.col("elements").alias("xs")), sets.select(F.col("node").alias("b"), F.col("elements").alias("ys"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def confirmed(batches):
@@ -158,7 +166,7 @@ def _likely(pairs: DataFrame, slots: DataFrame, least: float) -> DataFrame:
 
 
 def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows (key, text) whose key is wanted (a written table, distinct)."""
+    """The rows (key, text) whose key is wanted (want, distinct)."""
     few = wanted.count() <= BROADCAST_IDS
     return rows.join(F.broadcast(wanted) if few else wanted, rows["key"] == wanted["want"], "left_semi")
 
@@ -245,8 +253,8 @@ def block_links(nodes: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], n
 
 
 def _blocks(rows: DataFrame, *carried: str) -> DataFrame:
-    """Rows (bucket, n, node, component, carried) dealt to pairs of chunks (i, j) of their bucket."""
-    chunks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+    """Rows (bucket, n, total, node, component, carried) dealt to pairs of chunks (i, j) of their bucket; total: its shingles."""
+    chunks = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("total") / BLOCK_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     split = rows.withColumn("chunks", chunks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     return split.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component", *carried)
@@ -271,11 +279,12 @@ def _open_members(rows: DataFrame, least: float) -> DataFrame:
         keep = near_members(table.column("component").to_numpy(), _slots(table.column("slots")), least)
         return table.select(["bucket", "node"]).filter(pa.array(keep))
 
-    return _blocks(rows, "slots").groupBy("bucket", "i", "j").applyInArrow(lambda t: opened(t), "bucket long, node long").distinct()
+    return _blocks(rows.withColumn("total", F.lit(0)), "slots").groupBy("bucket", "i", "j").applyInArrow(lambda t: opened(t), "bucket long, node long").distinct()
 
 
 def _between_groups(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Links of rows (bucket, n, node, component, elements) between components of a bucket, in blocks."""
+    """Links of rows (bucket, n, total, node, component, elements) between components of a bucket, in blocks."""
+
     def linked(table: pa.Table) -> pa.Table:
         sets = [s.values.to_numpy() for s in table.column("elements")]
         found = block_links(table.column("node").to_numpy(), table.column("component").to_numpy(), sets, num, den)
@@ -284,11 +293,15 @@ def _between_groups(rows: DataFrame, num: int, den: int) -> DataFrame:
     return _blocks(rows, "elements").groupBy("bucket", "i", "j").applyInArrow(lambda t: linked(t), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", per_band: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """(id, n_shingles, component_id, kept) of each row; texts are linked if den * common >= num * union of their shingles."""
+def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", per_band: int = ROWS, bands: int = BANDS, marked: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id, kept) of each row; texts are linked if den * common >= num * union of their shingles.
+
+    marked: also ``mark``, a 64-bit hash of the row's text, and ``group``, a number of its component (null without shingles).
+    """
     rows = docs.select(docs[id_col].cast("long").alias("key"), docs[text_col].cast("string").alias("text"))
     sketch = written(_sketch(rows, shingle, per_band, bands), "sketch")
-    classes = written(sketch.where("n_shingles > 0 AND key IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("key").alias("node"), F.any_value("bands").alias("bands"), F.any_value("slots").alias("slots")), "classes")
+    grouped = sketch.where("n_shingles > 0 AND key IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("key").alias("key"), F.max("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"), F.any_value("slots").alias("slots"))
+    classes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     members = classes.select("node", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead"), F.bit_xor(F.xxhash64("node")).alias("held")).where("n > 1")
@@ -297,7 +310,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     slots = classes.select("node", "slots")
     pairs = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     pairs = written(_likely(pairs, slots, least), "star-pairs")
-    links = written(_verified(pairs, _sets_of(rows, pairs.select(F.col("a").alias("want")).union(pairs.select("b")), shingle), num, den), "links")
+    links = written(_verified(pairs, _sets_of(rows, classes, pairs.select(F.col("a").alias("want")).union(pairs.select("b")), shingle), num, den), "links")
     found = components(links)
 
     # buckets of two are settled; of the others, those that hold several groups are left, each set of members once
@@ -305,28 +318,40 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     left = grouped.groupBy("bucket", "held").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").groupBy("held").agg(F.min("bucket").alias("bucket")).select("bucket")
     opened = written(_open_members(grouped.join(left, "bucket").join(slots, "node"), least), "open-members")
     if not opened.isEmpty():
-        sizes = opened.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+        sizes = opened.join(classes.select("node", "n_shingles"), "node").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"))
         open_rows = grouped.drop("n", "held").join(opened, ["bucket", "node"], "left_semi").join(sizes, "bucket")
-        sets = _sets_of(rows, opened.select(F.col("node").alias("want")), shingle)
-        more = written(_between_groups(open_rows.join(sets, F.col("node") == sets["key"]).select("bucket", "n", "node", "component", "elements"), num, den), "more-links")
+        sets = _sets_of(rows, classes, opened.select(F.col("node").alias("want")), shingle)
+        more = written(_between_groups(open_rows.join(sets, "node").select("bucket", "n", "total", "node", "component", "elements"), num, den), "more-links")
         if not more.isEmpty():
             found = components(links.union(more))
 
-    placed = classes.join(found, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
-    out = sketch.select("key", "n_shingles", "set_a", "set_b").join(placed, ["set_a", "set_b"], "left")
-    component = F.when(F.col("key").isNotNull(), F.coalesce("component", "key"))
-    return out.select(F.col("key").alias(id_col), "n_shingles", component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
+    # a component is named by the smallest id of its classes
+    placed = classes.select("set_a", "set_b", "key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = placed.groupBy("component").agg(F.min("key").alias("name"))
+    placed = placed.select("set_a", "set_b", "component").join(named, "component")
+    out = sketch.select("key", "mark", "n_shingles", "set_a", "set_b").join(placed, ["set_a", "set_b"], "left")
+    component = F.when(F.col("key").isNotNull(), F.coalesce("name", "key"))
+    return out.select(F.col("key").alias(id_col), "n_shingles", component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"), *(["mark", F.col("component").alias("group")] if marked else []))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group (the smallest id; of rows that repeat it, the first by all columns), with all columns."""
-    found = near_duplicates(docs, shingle, num, den, id_col, text_col)
-    gone = found.where(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
-    stay = docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    """One document of each group, with all columns: that of the smallest id, and should several rows of the group have it, the first by all columns.
+
+    Of rows without words that repeat an id, one stays, too.
+    """
+    found = written(near_duplicates(docs, shingle, num, den, id_col, text_col, marked=True), "near-duplicates")
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # so that no name clashes with a helper's
+    own = F.col(f"c{names.index(id_col)}")
+    same = (own == F.col("id")) & (F.xxhash64(F.col(f"c{names.index(text_col)}").cast("string")) == F.col("mark"))
+    named = found.select(F.col(id_col).alias("id"), "mark", "group", "kept")
+    stay = plain.join(named.where("NOT kept").select("id", "mark").distinct(), same, "left_anti")
     # only ids that repeat need a choice; all other rows pass without a shuffle of their own
-    repeated = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("__twice"))
-    if repeated.isEmpty():
-        return stay
-    once = stay.join(repeated, stay[id_col] == F.col("__twice"), "left_anti")
-    chosen = stay.join(repeated, stay[id_col] == F.col("__twice"), "left_semi").groupBy(F.col(id_col).alias("__id")).agg(F.min(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])).alias("row"))
-    return once.unionByName(chosen.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)]))
+    kept = named.where("kept AND id IS NOT NULL").drop("kept")
+    twice = kept.groupBy("id").count().where("count > 1").select("id")
+    if not twice.isEmpty():
+        once = stay.join(twice, own == F.col("id"), "left_anti")
+        several = plain.join(kept.join(twice, "id", "left_semi").distinct(), same)
+        chosen = several.groupBy("id", "group").agg(F.min(F.struct(*plain.columns)).alias("row"))
+        stay = once.unionByName(chosen.select("row.*"))
+    return stay.toDF(*names)
