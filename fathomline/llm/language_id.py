@@ -4,8 +4,9 @@ Slot ``i`` of the filter holds one bit a language; ANDing the slots of an n-gram
 languages whose filter has it. For every text the hits of each language are counted, corrected for
 the language's false-positive rate, and the largest count decides.
 
-Training takes a bounded sample of labelled rows a language (``sample_docs``, by hash) and keeps the
-``grams`` most frequent n-grams of each order; counting them is a Spark aggregation. Prediction is one
+Training takes a bounded sample of labelled rows a language (about ``sample_docs``, by hash of text and
+position, so copies of one text are drawn one by one) of the ``most_languages`` most frequent languages,
+and keeps the ``grams`` most frequent n-grams of each order; counting them is a Spark aggregation. Prediction is one
 narrow map that works in windows of bytes, whatever the lengths of texts, and ships one array whose
 size the parameters fix.
 
@@ -30,8 +31,8 @@ from .unit_encoder import _bytes_of
 
 BATCH_BYTES, WINDOW_BYTES = 2_000_000, 500_000
 ORDERS = (3, 5)
-#: Bounds of training: labelled rows a language, n-grams kept a language and order, and the largest n-gram table a batch sends.
-SAMPLE_DOCS, GRAMS, SLOT_BITS = 2000, 20_000, 20
+#: Bounds of training: labelled rows a language, n-grams kept a language and order, bits of a filter's slot number, and languages.
+SAMPLE_DOCS, GRAMS, SLOT_BITS, MOST_LANGUAGES = 2000, 20_000, 20, 1000
 HASHES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 UNKNOWN = "und"
 
@@ -75,17 +76,18 @@ def _windows(raw: np.ndarray, offsets: np.ndarray, order: int):
         yield grams[keep], doc[keep]
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, grams: int = GRAMS, slot_bits: int = SLOT_BITS) -> LanguageModel:
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, grams: int = GRAMS, slot_bits: int = SLOT_BITS, most_languages: int = MOST_LANGUAGES) -> LanguageModel:
     """Learns from rows with a text and a language."""
     rows = docs.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = rows.groupBy("lang").count()
-    share = F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("count"))
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
     found = {r["lang"]: r["count"] for r in counts.collect()}
     languages = sorted(found)
     if not languages:
         return LanguageModel([], UNKNOWN, np.zeros((1, 1), np.uint8), np.zeros(0))
-    chance = counts.select(F.col("lang").alias("of"), (share * (1 << 30)).cast("long").alias("below"))
-    sample = rows.join(F.broadcast(chance), rows["lang"] == F.col("of")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("below")).select("lang", "text")
+    below = [(name, int(min(1.0, sample_docs / n) * (1 << 30))) for name, n in found.items()]
+    chance = docs.sparkSession.createDataFrame(below, "of string, below long")
+    drawn = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 30))
+    sample = rows.withColumn("drawn", drawn).join(F.broadcast(chance), F.col("lang") == F.col("of")).where("drawn < below").select("lang", "text")
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def counted(batches):
@@ -107,7 +109,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sampl
     order = F.shiftright("gram", 24).cast("int")  # order 3 leaves its tag above 24 bits
     best = Window.partitionBy("lang", F.when(order == 3, 3).otherwise(5)).orderBy(F.desc("n"), "gram")
     kept = table.withColumn("place", F.row_number().over(best)).where(F.col("place") <= grams).select("lang", "gram").toPandas()
-    return build(languages, max(languages, key=lambda x: (found[x], x)), {k: v["gram"].to_numpy(np.int64).view(np.uint64) for k, v in kept.groupby("lang")}, slot_bits)
+    return build(languages, min(languages, key=lambda x: (-found[x], x)), {k: v["gram"].to_numpy(np.int64).view(np.uint64) for k, v in kept.groupby("lang")}, slot_bits)
 
 
 def build(languages: list[str], prior: str, grams: dict[str, np.ndarray], slot_bits: int = SLOT_BITS) -> LanguageModel:

@@ -11,7 +11,7 @@ out-of-fold probabilities, 0.5 at least.
 
 Null or empty text: probability 0, not toxic. Missing labels are left out of the fit of their
 category; a category with one class only predicts its rate. Repeated labels of an id: the largest
-holds. Repeated documents each get their row; an empty table gives an empty one; other columns are
+holds; of documents that repeat an id, the smallest text is learned from. Repeated documents each get their row; an empty table gives an empty one; other columns are
 not read.
 """
 
@@ -174,7 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
     share = min(1.0, sample_docs / max(1, own.count()))
     own = own.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30)))
     texts = docs.select(docs[id_col].cast("long").alias("key"), docs[text_col].cast("string").alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
-    rows = texts.join(F.broadcast(own), "key")  # a bounded sample
+    # bounded by the sampled ids: of rows that repeat one, the smallest text is learned from
+    rows = texts.join(F.broadcast(own), "key").groupBy("key", *[f"y{i}" for i in range(len(pairs))]).agg(F.min("text").alias("text"))
     y_fields = [(f"y{i}", pa.float64()) for i in range(len(pairs))]
     schema = pa.schema([("key", pa.int64()), *y_fields, ("words", pa.list_(pa.int32()))])
 
