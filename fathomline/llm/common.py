@@ -8,24 +8,31 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in local tests.
+#: Used only where a local session names no shared folder, as in tests.
 LOCAL_SHARED = "/tmp/fathomline-shared"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir; a local master may leave it unset, a cluster may not."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = LOCAL_SHARED
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    named = named or LOCAL_SHARED
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path that no other run uses, in a folder of the application's own that is removed when its JVM ends."""
+    sc = spark.sparkContext
+    own = f"{shared_dir(spark)}/fathomline-{sc.applicationId}"
+    folder = sc._jvm.org.apache.hadoop.fs.Path(own)
+    files = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+    if files.mkdirs(folder):
+        files.deleteOnExit(folder)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -250,10 +250,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, s
     """The documents that no item contaminates, with all their columns; each row is judged by its own text, whatever its id."""
     items = _items(benchmark)
     if _bytes(items) > ship_bytes:
-        tagged = written(docs.withColumn("__row", F.monotonically_increasing_id()), "tiling-rows")
-        rows = tagged.select(F.col("__row").alias("row"), F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
-        bad = _by_join(rows, items, seed).where(F.col("covered") / F.col("item_tokens") >= threshold).select(F.col("row").alias("__row")).distinct()
-        return tagged.join(bad, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+        names = docs.columns
+        tagged = written(docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("row", F.monotonically_increasing_id()), "tiling-rows")
+        rows = tagged.select("row", F.lit(None).cast("long").alias("key"), F.col(f"c{names.index('text')}").cast("string").alias("text"))
+        bad = _by_join(rows, items, seed).where(F.col("covered") / F.col("item_tokens") >= threshold).select("row").distinct()
+        return tagged.join(bad, "row", "left_anti").drop("row").toDF(*names)
     shared = _shared(items, seed)
 
     def untouched(texts: pa.Array) -> np.ndarray:

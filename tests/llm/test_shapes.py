@@ -52,6 +52,39 @@ def test_written_shards_are_whole_and_prunable(spark, tmp_path):
     assert sum(r.langs < 4 or r.span < 49 for r in spans) >= 4
 
 
+def test_written_shards_keep_repeated_null_and_long_rows_each(spark, tmp_path):
+    rows = [(1, "a", "l1", 1.0, "x"), (1, "b", "l2", 2.0, "y"), (1, "a", "l1", 1.0, "x"), (None, None, None, None, "z"), (None, "é" * 200_000, "l1", 3.0, "long")]
+    plan = hilbert_shards.write_shards(shard_frame(spark, rows).withColumn("shard", F.lit("own")), str(tmp_path / "s"), ["lang", F.col("n") * 2], 3)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    key = lambda r: str(r)
+    assert sorted(((r.doc_id, r.text, r.lang, r.n, r["rank"]) for r in back.collect()), key=key) == sorted(rows, key=key)
+    assert plan.count() == 5 and "__row" not in plan.columns
+    assert sorted(r["count"] for r in back.groupBy("shard").count().collect()) == [1, 2, 2]
+
+
+def test_shards_are_runs_of_the_curve(spark):
+    """Recomputed plainly: quanta by quantiles, the curve's index, the order, and the runs."""
+    draw = np.random.default_rng(3)
+    rows = [(i, f"t{i % 5}", [None, "de", "en", "fr"][i % 4], float(draw.integers(0, 1000)), "x") for i in range(500)]
+    got = {r.doc_id: r for r in hilbert_shards.shard_rows(shard_frame(spark, rows), ["lang", "n"], 8, accuracy=1_000_000).collect()}
+    n = np.array([r[3] for r in rows])
+    edges = np.unique(np.sort(n)[[max(0, int(np.ceil(k / 32 * 500)) - 1) for k in range(1, 32)]])
+    langs = {None: 0}
+    names = sorted(x for x in (r[2] for r in rows) if x)
+    cuts = sorted({names[min(len(names) - 1, int(np.ceil(k / 32 * len(names))) - 1)] for k in range(1, 32)})
+    langs |= {x: sum(c < x for c in cuts) for x in set(names)}
+    index = hilbert_shards.curve_index([np.array([langs[r[2]] for r in rows]), np.searchsorted(edges, n, side="left")], 5)
+    assert [got[i].curve for i in range(500)] == index.tolist()
+    order = sorted(range(500), key=lambda i: (index[i], i))
+    small, more = divmod(500, 8)
+    sizes = [small + (s < more) for s in range(8)]
+    at = 0
+    for s, size in enumerate(sizes):
+        for slot, i in enumerate(order[at : at + size]):
+            assert (got[i].shard, got[i].slot) == (s, slot)
+        at += size
+
+
 def vectors(spark, v, extra=()):
     rows = [(i, [float(x) for x in row], "c") for i, row in enumerate(v)] + list(extra)
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
@@ -86,6 +119,27 @@ def test_recall_over_several_blocks(spark):
     assert np.mean([len(got[q] & set(want[q])) / 20 for q in want]) >= 0.9
 
 
+def test_the_forest_scores_a_part_of_the_block_and_finds_its_neighbours():
+    draw = np.random.default_rng(4)
+    centres = draw.standard_normal((400, 32))
+    v = (centres[:, None] + 0.4 * draw.standard_normal((400, 15, 32))).reshape(-1, 32)  # real neighbours
+    radius = float(np.sqrt((v**2).sum(axis=1).max()))
+    share, recall = hash_forest.fit_share(v, radius, 10, 64, 100, 0.93)
+    assert share <= 0.1 and recall >= 0.93
+    forest = hash_forest.Forest(v, radius, 64)
+    assert all(600 <= len(rows) < 1500 for _, rows in forest.candidates(v[:50], 600))
+    assert all(i in rows for i, rows in forest.candidates(v[:50], 600))  # the longest match of all is its own string
+    flat = draw.standard_normal((3000, 32))
+    share, recall = hash_forest.fit_share(flat, float(np.sqrt((flat**2).sum(axis=1).max())), 10, 256, 100, 0.93)
+    assert share < 0.5 and recall >= 0.93
+
+
+def test_ids_that_repeat_with_other_vectors_and_lengths(spark):
+    rows = [(0, [1.0, 0.0], "c"), (0, [0.0, 1.0], "c"), (1, [2.0, 0.5], "c"), (2, [0.25, 3.0], "c"), (2, [0.0, 1.0], "c"), (3, [1.0, 0.0, 0.0], "c"), (0, [0.0, 0.0, 1.0], "c"), (4, [0.0, -0.0, -2.0], "c")]
+    got = hash_forest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string"), F.col("vec_id") == 0, 20).orderBy("rank").collect()
+    assert [(r["rank"], r.vec_id, r.score) for r in got] == [(1, 2, 3.0), (2, 1, 2.0), (3, 3, 0.0), (4, 4, -2.0)]
+
+
 def test_fewer_candidates_than_asked(spark):
     got = hash_forest.nearest(vectors(spark, np.eye(3)), F.col("vec_id") == 0, 20).orderBy("rank").collect()
     assert [(r.rank, r.vec_id) for r in got] == [(1, 1), (2, 2)]
@@ -118,6 +172,12 @@ def test_chats_read_back(spark):
         assert formatted[c].n_runs == sum(i == 0 or roles[i] != roles[i - 1] for i in range(len(roles))) == formatted[c].formatted.count("<turn:")
 
 
+def test_very_long_turns(spark):
+    long = "a<\\" * 300_000
+    (r,) = chat_format.digests(chat_format.format_conversations(spark.createDataFrame([(1, 0, "assistant", long), (1, 0, "assistant", long)], "conv_id long, turn long, role string, text string"))).collect()
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (2, 1_800_000, hashlib.sha256((long * 2).encode()).hexdigest())
+
+
 def test_chats_of_nothing_nulls_and_ties(spark):
     schema = "conv_id long, turn long, role string, text string"
     assert chat_format.format_conversations(spark.createDataFrame([], schema)).count() == 0
@@ -151,3 +211,60 @@ def test_the_pipeline_keeps_columns_and_drops_what_it_should(spark, tmp_path):
             kept = docs.count()
     assert docs.select("doc_id").distinct().count() == kept
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language", "near_dedup", "decontaminate", "packing"]
+
+
+def small_tables(spark, path, rows):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `__id` string, `group` int, c0 string, bucket array<int>"
+    spark.createDataFrame([(*r, "a", 1, "b", [1]) for r in rows], schema).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 2), int(i == 4)) for i, *_ in rows if i is not None][:50], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_the_pipeline_takes_nulls_ties_repeats_and_clashing_names(spark, tmp_path):
+    import corpus_pipeline
+
+    base = "the quick brown fox jumps over the lazy dog and runs away from all of them again"
+    leak = "well then one two three four five six seven eight nine ten it was"
+    rows = [
+        (1, base, "en", "s", 10), (2, base, "en", "s", 10), (2, base, "en", "s", 10), (3, base + " today", None, None, None), (4, "12 34 ...", "en", "s", 1), (5, None, "en", "s", None), (6, "", "en", "s", 0),
+        (7, leak, "en", "s", 3), (8, "quite another text about a garden with many trees and some birds in it", "en", "s", 4), (8, "quite another text about a garden with many trees and some birds in it", "en", "s", 4),
+        (None, "a text without a number that still has letters and stays in the table", None, "s", 5), (9, "word " * 50_000, "en", "s", 250_000),
+    ]
+    path = small_tables(spark, tmp_path, rows)
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    columns, left = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.columns == columns
+        out.write.parquet(f"{path}/{name}")
+        docs = spark.read.parquet(f"{path}/{name}")
+        left[name] = sorted(str(r.doc_id) for r in docs.collect())
+    assert left["toxicity"] == sorted(str(r[0]) for r in rows)
+    assert left["language"] == sorted(["1", "2", "2", "3", "7", "8", "8", "None", "9"])
+    assert left["near_dedup"] == sorted(["1", "7", "8", "None", "9"])
+    assert left["decontaminate"] == sorted(["1", "8", "None", "9"])
+    packed = corpus_pipeline.run(spark, path)
+    assert sorted({str(r.doc_id) for r in packed.collect()}) == left["decontaminate"]
+
+
+def test_the_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, small_tables(spark, tmp_path, [])).count() == 0
+
+
+@tables
+def test_recall_on_the_tables(spark):
+    docs = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    v = np.asarray([r.embedding for r in sorted(docs, key=lambda r: r.vec_id)], np.float64)
+    ids = sorted(r.vec_id for r in docs)
+    found = {}
+    for r in queries.QUERIES["op8_hash_forest"](spark, SF).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in found:
+        s = v @ v[ids.index(q)]
+        s[ids.index(q)] = -9
+        hits += len(found[q] & {ids[i] for i in np.argsort(-s, kind="stable")[:20]})
+    assert set(found) == {i for i in ids if i % 20 == 0} and hits / (20 * len(found)) >= 0.9

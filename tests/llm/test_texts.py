@@ -211,3 +211,155 @@ def test_languages_of_nothing(spark):
     model = language_id.train(docs.limit(0))
     assert {r.lang_pred for r in language_id.identify(docs.limit(3), model).collect()} == {"und"}
     assert language_id.identify(docs.limit(0), language_id.train(docs)).count() == 0
+
+
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    draw = random.Random(9)
+    x, y = prose(40, draw), prose(90, draw)
+    near_x, near_y = x + " tail", y + " tail"
+    # id 5 stands over two texts; each is linked with another document, one of a smaller id and one of a larger
+    docs = docs_of(spark, [x, y, near_x, near_y, y + " tail more"], [5, 5, 3, 8, 5])
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs, 3, 85).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 5, True), (5, 5, True), (8, 5, False)]
+    stay = sorted((r.doc_id, r.text) for r in near_dedup.keep_one(docs, 3, 85).collect())
+    assert stay == [(3, near_x), (5, y)]
+    apart = docs_of(spark, [x, y, x, None, "", None], [5, 5, 5, 7, 7, None])
+    assert sorted(str((r.doc_id, r.text)) for r in near_dedup.keep_one(apart, 3, 85).collect()) == sorted(str(p) for p in [(5, x), (5, y), (7, None), (None, None)])
+
+
+def test_blocks_are_cut_by_shingles_too(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 300)
+    draw = random.Random(6)
+    base = prose(100, draw)
+    texts = [edited(base, draw.randint(0, 9), draw) for _ in range(30)] + [" ".join(prose(20_000, draw).split()) + " end"] * 2
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs_of(spark, texts), 3, 85).collect()}
+    assert got == brute_groups(texts, list(range(32)), 3, 85, 100)
+
+
+def plain_tiles(doc, item, least):
+    """Greedy string tiling by comparing every pair of places: longest first; of equal ones, by place in doc, then in item."""
+    used_d, used_i, tiles = set(), set(), []
+    while True:
+        best = []
+        for d in range(len(doc)):
+            for i in range(len(item)):
+                n = 0
+                while d + n < len(doc) and i + n < len(item) and doc[d + n] == item[i + n] and d + n not in used_d and i + n not in used_i:
+                    n += 1
+                if n >= least:
+                    best.append((-n, d, i))
+        if not best:
+            return tiles
+        top = min(best)[0]
+        for n, d, i in sorted(b for b in best if b[0] == top):
+            if not used_d & {*range(d, d - n)} and not used_i & {*range(i, i - n)}:
+                used_d |= {*range(d, d - n)}
+                used_i |= {*range(i, i - n)}
+                tiles.append((d, i, -n))
+
+
+def test_tilings_equal_brute_force():
+    draw = random.Random(18)
+    for _ in range(80):
+        doc, item = ([draw.randrange(5) for _ in range(n)] for n in (60, 40))
+        assert decontaminate.tile(np.array(doc, np.uint64), np.array(item, np.uint64), 3) == plain_tiles(doc, item, 3)
+
+
+def folded(text):
+    return [w for w in (w.lower().strip(".,;:!?\"'()[]{}*#$%&|") for w in re.split(r"[\x20\x09-\x0D]+", text or "")) if w]
+
+
+@pytest.mark.parametrize("ship_bytes", [1 << 20, 0])
+def test_contamination_equals_brute_force_on_odd_rows(spark, ship_bytes):
+    items, bench = benchmark(spark)
+    draw = random.Random(40)
+    pool = [w for t in items[:3] for w in t.split()]
+
+    def mixed():
+        parts = []
+        for _ in range(draw.randint(1, 8)):
+            at = draw.randrange(len(pool))
+            parts += pool[at : at + draw.randint(1, 18)] if draw.random() < 0.7 else prose(draw.randint(1, 9), draw).split()
+        return " ".join(parts)
+
+    texts = [mixed() for _ in range(40)] + [None, "", items[0] + " " + prose(60_000, draw) + " " + items[1], items[0], prose(30, draw), items[1], "?!"]
+    ids = [i % 9 if i % 4 else None for i in range(len(texts))]  # repeated and null ids, clean and not
+    want, stay = [], []
+    for i, t in zip(ids, texts, strict=True):
+        found = []
+        for k, item in enumerate(items):
+            doc, tokens = folded(t), folded(item)
+            if tokens and (len(doc) < 5000 or k < 2):
+                covered = 40 if len(doc) > 5000 and k == 0 else 25 if len(doc) > 5000 else sum(n for *_, n in plain_tiles(doc, tokens, min(5, len(tokens))))
+                if covered / len(tokens) >= 0.5:
+                    found.append((i, k, covered, len(tokens)))
+        want += found
+        if not found:
+            stay.append((i, t))
+    docs = docs_of(spark, texts, ids)
+    got = [(r.doc_id, r.item_id, r.covered, r.item_tokens) for r in decontaminate.contamination(docs, bench, ship_bytes=ship_bytes).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) > 15
+    left = [(r.doc_id, r.text) for r in decontaminate.clean(docs, bench, ship_bytes=ship_bytes).collect()]
+    assert sorted(map(str, left)) == sorted(map(str, stay)) and None in {i for i, _ in stay}
+
+
+def test_chain_on_unseen_documents_and_repeated_ids(spark):
+    docs, labels = labelled(spark)
+    seen, unseen = docs.where("doc_id % 4 < 2"), docs.where("doc_id % 4 >= 2")
+    repeated = seen.union(seen.where("doc_id = 0").withColumn("text", F.lit("zzz"))).union(seen.where("doc_id = 1"))
+    chain = toxicity_chain.train(repeated, labels.union(labels), ["low_quality=1 - quality", "toxic"])
+    rows = {r.doc_id: r.p_toxic for r in toxicity_chain.predict(unseen, chain).collect()}
+    assert len(rows) == 200 and sum((p >= chain.links[1].threshold) == (i % 5 == 0) for i, p in rows.items()) >= 196
+    again = toxicity_chain.train(repeated.repartition(7), labels, ["low_quality=1 - quality", "toxic"])
+    assert np.allclose(again.links[1].weights, chain.links[1].weights)
+
+
+def test_chain_equals_its_plain_form():
+    """Applying the links to dense 0/1 word columns gives the same probabilities."""
+    draw = np.random.default_rng(5)
+    n, words = 300, 30
+    x = draw.random((n, words)) < 0.3
+    a = (x[:, 0] | x[:, 1]).astype(float)
+    b = (x[:, 2] | (a > 0)).astype(float)
+    doc, feature = np.nonzero(x)
+    links = toxicity_chain.fit_chain(doc, feature, {"a": a, "b": b}, np.arange(n) % 3, 100)
+    dense = np.zeros((n, 0))
+    for link, want in zip(links, (a, b), strict=True):
+        full = np.zeros(words)
+        full[link.features] = link.weights
+        z = x @ full + (dense @ link.earlier if dense.shape[1] else 0) + link.intercept
+        p = toxicity_chain._apply(link, doc, feature, dense, n)
+        assert np.allclose(p, 1 / (1 + np.exp(-z))) and ((p >= link.threshold) == (want > 0)).mean() > 0.97
+        dense = np.column_stack([dense, toxicity_chain._logit(p)])
+
+
+def test_languages_equal_exact_sets_of_grams(spark):
+    """Predictions by the Bloom filters are those of exact n-gram sets."""
+    docs = spoken(spark)
+    model = language_id.train(docs)
+    held = {}
+    for r in docs.collect():
+        raw = language_id._FOLD[np.frombuffer(r.text.encode(), np.uint8)]
+        for order in language_id.ORDERS:
+            own = held.setdefault(r.lang, set())
+            own |= {int(g) for g in language_id.grams_of(raw, order).tolist() if g != language_id._blank(order)}
+    draw = random.Random(77)
+    texts = [" ".join([speech("aa", draw.randint(0, 30), draw), speech("bb", draw.randint(0, 30), draw), speech("cc", draw.randint(0, 30), draw)]) for _ in range(60)]
+    got = {r.doc_id: r for r in language_id.identify(docs_of(spark, texts), model).collect()}
+    for i, t in enumerate(texts):
+        raw = language_id._FOLD[np.frombuffer(t.encode(), np.uint8)]
+        grams = [g for order in language_id.ORDERS for g in language_id.grams_of(raw, order).tolist() if g != language_id._blank(order)]
+        count = {name: sum(g in own for g in grams) for name, own in held.items()}
+        first, second = sorted(count.values())[-1], sorted(count.values())[-2]
+        if first - second > 0.05 * first:
+            assert got[i].lang_pred == max(count, key=count.get) and abs(got[i].score - first / sum(count.values())) < 0.05
+
+
+def test_language_ties_and_common_texts(spark):
+    tied = spark.createDataFrame([(1, "abcabc", "yy"), (2, "abcabc", "xx")], "doc_id long, text string, lang string")
+    model = language_id.train(tied)
+    assert model.prior == "xx" and language_id.identify(tied, model).select("lang_pred").distinct().first()[0] == "xx"
+    common = spark.createDataFrame([(i, "the same text", "aa") for i in range(4000)] + [(9000, "autre chose", "bb")], "doc_id long, text string, lang string")
+    model = language_id.train(common, sample_docs=100)
+    assert {r.lang_pred for r in language_id.identify(common.where("doc_id in (1, 9000)"), model).collect()} == {"aa", "bb"}
+    assert language_id.train(common, most_languages=1).languages == ["aa"]

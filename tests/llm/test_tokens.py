@@ -1,5 +1,6 @@
 """Counts, packing and the token store, against the tokenizers library itself."""
 
+import functools
 import random
 import zlib
 
@@ -20,8 +21,11 @@ ODD = [
 ]
 
 
+OPEN = functools.cache(Tokenizer.from_file)
+
+
 def library(path, text):
-    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
+    return OPEN(path).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
@@ -86,6 +90,35 @@ def test_packing_wastes_little(spark):
     assert held / (2048 * len({p.sequence_id for p in pieces})) > 0.985
 
 
+def test_tiny_documents_fill_windows_in_bounded_memory(spark):
+    docs = spark.range(0, 600_000, 1, 1).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("")).alias("text"))
+    pieces = packing.pack(docs, BYTE)
+    r = pieces.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("held"), F.count_distinct("sequence_id").alias("windows"), F.count_distinct("doc_id").alias("docs")).first()
+    assert r.n == r.held == r.docs == 600_000 and r.held / (2048 * r.windows) >= 0.99
+    sums = pieces.groupBy("sequence_id").agg(F.sum("length").alias("held"), F.max(F.col("offset") + F.col("length")).alias("end"), F.count_distinct("offset").alias("n"))
+    assert sums.where("held <> end OR n <> held OR held > 2048").isEmpty()
+
+
+def test_a_full_block_of_tiny_pieces_is_small():
+    import tracemalloc
+
+    tracemalloc.start()
+    block = packing._Block(2048, 256)
+    for i in range(packing.BLOCK_PIECES):
+        block.add((i, 1), 0, 1, b"\1\0\0\0")
+    rest = block.split_off(256)
+    columns = block.packed()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6 and len(columns[0]) + len(rest.pieces) == packing.BLOCK_PIECES and len(columns[0]) % 2044 == 0
+
+
+@pytest.mark.parametrize(("capacity", "item_tokens", "block_pieces"), [(64, 63, 10), (16, 300, 3), (7, 2, 1), (2048, 256, 5)])
+def test_packing_in_odd_shapes(spark, capacity, item_tokens, block_pieces):
+    texts = [*ODD, *("a few words " * (k % 23) for k in range(80))]
+    check_pieces(packing.pack(frame(spark, texts).coalesce(1), BYTE, capacity=capacity, item_tokens=item_tokens, block_windows=4, block_pieces=block_pieces).collect(), texts, capacity)
+
+
 def test_packing_is_the_same_again_and_of_nothing_is_nothing(spark):
     docs = frame(spark, ODD).coalesce(1)
     assert sorted(packing.pack(docs, BYTE).collect()) == sorted(packing.pack(docs, BYTE).collect())
@@ -124,6 +157,13 @@ def test_store_round_trip(spark, tmp_path):
     assert shard.find(10**9) == []
 
 
+def test_store_keeps_repeated_rows_each(spark, tmp_path):
+    path = str(tmp_path / "store")
+    manifest = token_store.write_store(frame(spark, ["same text", "same text", "other", None], [4, 4, 4, 2]), path, WORD)
+    got = token_store.read_store(spark, path, manifest).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [2, 4, 4, 4] and sorted(r.n_tokens for r in got) == sorted(len(library(WORD, t)) + 1 for t in ("same text", "same text", "other", None))
+
+
 def test_store_refuses_another_dictionary(spark, tmp_path):
     path = str(tmp_path / "store")
     manifest = token_store.write_store(frame(spark, ["a b c"] * 3), path, WORD)
