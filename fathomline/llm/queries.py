@@ -28,6 +28,25 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
 
+#: Every pair that shares a shingle, and every id that reaches another; for small tables.
+_OP1_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM words),
+each AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS c
+  FROM each a JOIN each b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y FROM common WHERE 100 * c >= 85 * (nx + ny - c)),
+ends AS (SELECT x AS u, y AS v FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS low FROM sets UNION SELECT ends.v, reach.low FROM reach JOIN ends ON ends.u = reach.node AND reach.low < ends.v),
+components AS (SELECT node, min(low) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN components ON node = doc_id
+"""
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -108,4 +127,4 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_token_store": op10_token_store,
 }
-ORACLE_SQL: dict[str, str] = {"op9_chat_format": _OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_near_dedup": _OP1_SQL, "op9_chat_format": _OP9_SQL}

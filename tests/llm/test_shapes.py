@@ -186,11 +186,12 @@ def test_chats_of_nothing_nulls_and_ties(spark):
 
 
 @tables
-def test_op9_equals_its_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_equal_their_sql(spark, name):
     from oracle import connection, rows_of
 
-    got = queries.QUERIES["op9_chat_format"](spark, SF)
-    result = connection(SF).execute(queries.ORACLE_SQL["op9_chat_format"])
+    got = queries.QUERIES[name](spark, SF)
+    result = connection(SF).execute(queries.ORACLE_SQL[name])
     columns = [d[0] for d in result.description]
     assert rows_of(got.columns, got.collect()) == rows_of(columns, result.fetchall())
 
