@@ -57,7 +57,7 @@ def rate_limit_wait(status: Column, headers: Column, now_s: Column) -> Column:
     return F.when(wait.isNotNull(), F.greatest(F.least(wait, F.lit(3600.0)), F.lit(1.0)))
 
 
-def _attribute(tag: Column, name: str) -> Column:
+def attribute(tag: Column, name: str) -> Column:
     """An attribute's value, however it is quoted; null if the tag has none."""
     pattern = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
     value = F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
@@ -85,7 +85,7 @@ def resolved(base: Column, link: Column) -> Column:
 def meta_refresh(status: Column, content_type: Column, html: Column, final_url: Column) -> Column:
     """Where the first refresh tag of a page leads at once; null where none does (no page, no tag, a long delay, a bare reload)."""
     tags = F.regexp_extract_all(F.substring(html, 1, REFRESH_HEAD), F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
-    first = F.get(F.filter(tags, lambda t: F.lower(F.trim(F.coalesce(_attribute(t, "http-equiv"), F.lit("")))) == "refresh"), F.lit(0))
+    first = F.get(F.filter(tags, lambda t: F.lower(F.trim(F.coalesce(attribute(t, "http-equiv"), F.lit("")))) == "refresh"), F.lit(0))
 
     def target(content: Column) -> Column:
         delay = F.regexp_extract(content, r"(?s)^\s*(\d+(?:\.\d+)?)\s*(?:[;,].*)?$", 1).try_cast("double")
@@ -93,7 +93,7 @@ def meta_refresh(status: Column, content_type: Column, html: Column, final_url:
         raw = F.trim(F.regexp_replace(rest, r"""(?s)^(["'])(.*)\1$""", "$2"))
         return F.when((delay <= REFRESH_DELAY_S) & (raw != ""), resolved(final_url, raw))
 
-    return F.when((status == 200) & F.lower(content_type).contains("html"), bound(_attribute(first, "content"), target))
+    return F.when((status == 200) & F.lower(content_type).contains("html"), bound(attribute(first, "content"), target))
 
 
 def header_charset(content_type: Column) -> Column:

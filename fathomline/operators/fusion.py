@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import shingles
 from ..functions.url import canonical_url, doc_domain
+from ..scratch import written
 
 RRF_K = 60
 
@@ -85,6 +86,7 @@ def collapse_syndication(fused: DataFrame, threshold: float = 0.82) -> DataFrame
 
     kind = dict(fused.dtypes)["query_id"]
     gone = similar_pairs(fused, threshold).groupBy("query_id").applyInPandas(lambda pdf: walk(pdf), f"query_id {kind}, place int, kept int")
+    gone = written(gone, "syndicated")
     copies = gone.join(fused.select("query_id", "place", "url"), ["query_id", "place"]).groupBy("query_id", F.col("kept").alias("place")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "url"))), lambda c: c["url"]).alias("near_duplicates"))
     stay = fused.join(gone.select("query_id", "place"), ["query_id", "place"], "left_anti")
     return stay.join(copies, ["query_id", "place"], "left").withColumn("near_duplicates", F.coalesce("near_duplicates", F.array().cast("array<string>")))
@@ -92,6 +94,7 @@ def collapse_syndication(fused: DataFrame, threshold: float = 0.82) -> DataFrame
 
 def fuse(lists: DataFrame, weights: DataFrame | None = None, limit: int = 20, k: int = RRF_K) -> DataFrame:
     """Dedupe, fuse, collapse syndicated copies, and keep the first ``limit`` of each query."""
-    collapsed = collapse_syndication(rrf(dedupe_lists(lists), weights, k))
+    fused = written(rrf(dedupe_lists(lists), weights, k), "fused")  # read by each step of the comparison
+    collapsed = collapse_syndication(fused)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("place"))
     return collapsed.withColumn("place", place).where(F.col("place") <= limit)

@@ -6,45 +6,55 @@ amount, availability, condition, rating, reviews. Rows without identity are prod
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import bound
 from ..functions.url import canonical_url, doc_domain
 
 # Availabilities under which an offer cannot be taken.
 STALE = ["outofstock", "soldout", "discontinued"]
 
 
+_FIELDS = ["identity", "url", "title", "seller", "brand", "image", "currency", "amount", "availability", "condition", "rating", "reviews"]
+
+
 def merge_items(items: DataFrame) -> DataFrame:
-    """One row an identity: the winner, its gaps filled from the others, and the others as ``offers``; ``place`` is the order in its group."""
+    """One row an identity: the winner, its gaps filled from the others, and the others as ``offers``; ``place`` is the order in its group.
+
+    Two aggregations: copies of a listing to one, and listings to products, whose offers are then ordered
+    within the product's own row.
+    """
     own = F.when(F.coalesce("identity", F.lit("")) == "", F.concat(F.lit("_"), F.col("pos").cast("string"))).otherwise(F.col("identity"))
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    rich = F.struct(*[(~x).cast("int") for x in (F.col("amount").isNotNull(), F.col("rating").isNotNull(), F.col("reviews").isNotNull(), text("brand") != "", text("image") != "")])
-    rows = items.withColumn("product", own).withColumn("page", F.when(text("url") == "", F.concat(F.lit("_"), F.col("pos").cast("string"))).otherwise(canonical_url(F.col("url"))))
-    rows = rows.withColumn("currency", text("currency")).withColumn("stale", F.lower(F.trim(text("availability"))).isin(STALE))
+    lacks = [F.col("amount").isNull(), F.col("rating").isNull(), F.col("reviews").isNull(), text("brand") == "", text("image") == ""]
+    rows = items.withColumn("product", own).withColumn("page", F.when(text("url") == "", F.concat(F.lit("_"), F.col("pos").cast("string"))).otherwise(canonical_url(F.col("url")))).withColumn("currency", text("currency"))
     # the same listing twice: the richer copy, the first on ties; its place is that of the first
-    page = Window.partitionBy("group", "product", "page")
-    rows = rows.withColumn("seen", F.min("pos").over(page)).withColumn("copy", F.row_number().over(page.orderBy(rich, "pos", "url"))).where("copy = 1").withColumn("pos", F.col("seen")).drop("seen", "copy")
-    product, priced = Window.partitionBy("group", "product"), F.col("amount").isNotNull()
-    rows = rows.withColumn("share", F.sum(priced.cast("int")).over(Window.partitionBy("group", "product", "currency")))
-    rows = rows.withColumn("lead", F.min(F.when(priced, F.struct("pos", "currency"))).over(product)["currency"])
-    # the majority currency; on a tie that of the first priced offer, else the one seen first
-    rows = rows.withColumn("since", F.min(F.when(priced, F.col("pos"))).over(Window.partitionBy("group", "product", "currency")))
-    rows = rows.withColumn("major", F.min(F.when(priced, F.struct(-F.col("share"), (F.col("currency") != F.col("lead")).cast("int"), "since", "currency"))).over(product)["currency"])
-    in_pool = priced & (F.col("currency") == F.col("major"))
-    first = F.when(in_pool, F.struct(F.lit(0).alias("p"), F.col("stale").cast("int").alias("s"), F.col("amount").alias("a"), F.col("pos").alias("o"), F.col("url").alias("u"))).otherwise(F.struct(F.lit(1).alias("p"), F.lit(0).alias("s"), F.lit(0.0).alias("a"), F.col("pos").alias("o"), F.col("url").alias("u")))
-    rows = rows.withColumn("turn", F.row_number().over(product.orderBy(first)))
-    offer = F.struct("pos", "url", F.coalesce(F.nullif(F.col("seller"), F.lit("")), doc_domain(F.col("url"))).alias("seller"), F.col("amount").alias("price"), "currency", "availability", "condition")
-    fill = lambda c: F.min(F.when(text(c) != "", F.struct((F.col("turn") > 1).cast("int").alias("w"), F.col("pos"), F.col("url"), F.col(c))))[c].alias(c)
-    value = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct((F.col("turn") > 1).cast("int").alias("w"), F.col("pos"), F.col("url"), F.col(c))))[c].alias(c)
-    won = lambda c: F.max(F.when(F.col("turn") == 1, F.col(c))).alias(c)
-    merged = rows.groupBy("group", "product").agg(
-        *[won(c) for c in ("identity", "url", "title", "seller", "currency", "amount", "availability", "condition")], fill("brand"), fill("image"), value("rating"), value("reviews"),
-        F.array_sort(F.collect_list(F.when(F.col("turn") > 1, offer))).alias("offers"), F.count(F.lit(1)).cast("int").alias("offer_count"), F.min("pos").alias("pos"),
-    )
-    common = F.sum(F.col("amount").isNotNull().cast("int")).over(Window.partitionBy("group", "currency"))
+    rich = F.struct(F.struct(*[x.cast("int").alias(f"l{i}") for i, x in enumerate(lacks)]).alias("lacks"), F.col("pos").alias("own"), F.col("url").alias("at"), F.struct(*_FIELDS).alias("x"))
+    listings = rows.groupBy("group", "product", "page").agg(F.min("pos").alias("pos"), F.min(rich)["x"].alias("x"))
+    stale = F.lower(F.trim(F.coalesce("x.availability", F.lit("")))).isin(STALE)
+    products = listings.groupBy("group", "product").agg(F.collect_list(F.struct("pos", stale.alias("stale"), "x.*")).alias("all"), F.count(F.lit(1)).cast("int").alias("offer_count"), F.min("pos").alias("pos"))
+
+    def major(priced: Column) -> Column:  # the currency of most offers; on a tie the one seen first
+        of = lambda c: F.filter(priced, lambda o: o["currency"] == c)
+        votes = F.transform(F.array_distinct(F.transform(priced, lambda o: o["currency"])), lambda c: F.named_struct(F.lit("n"), -F.size(of(c)), F.lit("since"), F.array_min(F.transform(of(c), lambda o: o["pos"])), F.lit("c"), c))
+        return F.array_min(votes)["c"]
+
+    products = products.withColumn("major", bound(F.filter("all", lambda o: o["amount"].isNotNull()), major))
+
+    def turn(o: Column) -> Column:
+        pooled = o["amount"].isNotNull() & (o["currency"] == F.col("major"))
+        zero = F.lit(0)
+        return F.named_struct(F.lit("p"), F.when(pooled, zero).otherwise(1), F.lit("s"), F.when(pooled, o["stale"].cast("int")).otherwise(zero), F.lit("a"), F.when(pooled, o["amount"]).otherwise(0.0), F.lit("o"), o["pos"], F.lit("u"), o["url"], F.lit("x"), o)
+
+    products = products.withColumn("turns", F.transform(F.array_sort(F.transform("all", turn)), lambda t: t["x"])).withColumn("first", F.get("turns", F.lit(0))).withColumn("rest", F.array_sort(F.slice("turns", 2, F.greatest(F.size("turns") - 1, F.lit(1)))))
+    # the winner's own value, else that of the first of the others that has one
+    fill = lambda c: F.coalesce(F.nullif(F.col(f"first.{c}"), F.lit("")), F.get(F.filter("rest", lambda o: F.coalesce(o[c], F.lit("")) != ""), F.lit(0))[c]).alias(c)
+    value = lambda c: F.coalesce(F.col(f"first.{c}"), F.get(F.filter("rest", lambda o: o[c].isNotNull()), F.lit(0))[c]).alias(c)
+    offer = lambda o: F.struct(o["pos"].alias("pos"), o["url"].alias("url"), F.coalesce(F.nullif(o["seller"], F.lit("")), doc_domain(o["url"])).alias("seller"), o["amount"].alias("price"), o["currency"].alias("currency"), o["availability"].alias("availability"), o["condition"].alias("condition"))
+    merged = products.select("group", "product", *[F.col(f"first.{c}").alias(c) for c in ("identity", "url", "title", "seller", "currency", "amount", "availability", "condition")], fill("brand"), fill("image"), value("rating"), value("reviews"), F.transform("rest", offer).alias("offers"), "offer_count", "pos")
+    common = merged.groupBy("group", "currency").agg(F.count("amount").alias("common"))
     loner = F.col("product").startswith("_").cast("int")
-    merged = merged.withColumn("common", common)
     order = Window.partitionBy("group").orderBy(F.col("amount").isNull(), F.desc("common"), "currency", F.coalesce("amount", F.lit(0.0)), loner, "pos", "product")
-    return merged.withColumn("place", F.row_number().over(order)).drop("common", "pos")
+    return merged.join(common, ["group", "currency"]).withColumn("place", F.row_number().over(order)).drop("common", "pos")

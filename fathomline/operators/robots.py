@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Patterns of a file that are read; a file of more is cut there, as readers of such files do.
 MAX_RULES = 2000
 _PLAIN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
 _KEPT = _PLAIN | frozenset("/*$?=&+,;:@!'()")
@@ -38,7 +39,7 @@ def rules_of(text: str) -> list[tuple[str, bool | None, str | None, float | None
     """(agent, allow, pattern, crawl_delay) in file order; a row without pattern states a group or its delay."""
     out: list[tuple] = []
     agents: list[str] = []
-    naming = False
+    naming, patterns = False, 0
     for line in (text or "").splitlines():
         name, colon, value = line.split("#", 1)[0].strip().partition(":")
         name, value = name.strip().lower(), value.strip()
@@ -52,6 +53,9 @@ def rules_of(text: str) -> list[tuple[str, bool | None, str | None, float | None
         naming = False
         if name in ("allow", "disallow") and value:
             pattern = value if value[0] in "/*" else "/" + value
+            patterns += 1
+            if patterns > MAX_RULES:
+                continue
             out += [(a, name == "allow", canonical_path(pattern), None) for a in agents]
         elif name == "crawl-delay":
             try:
@@ -86,11 +90,17 @@ def decide(requests: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
     best = named.groupBy("origin").agg(F.max(F.struct(weight.alias("w"), "agent"))["agent"].alias("agent"))
     own = named.join(best, ["origin", "agent"])
     delay = own.where(F.col("crawl_delay").isNotNull()).groupBy("origin").agg(F.max(F.struct("seq", "crawl_delay"))["crawl_delay"].alias("crawl_delay"))
-    patterns = own.where(F.col("pattern").isNotNull()).select("origin", "pattern", "allow")
-    asked = requests.select("origin", "path").distinct().withColumn("spelled", canonical_path_column(F.col("path")))
-    met = asked.join(patterns, "origin").where(_like(F.col("spelled"), _pattern(F.col("pattern"))))
-    ruled = met.groupBy("origin", "path").agg(F.max(F.struct(F.length("pattern").alias("n"), F.col("allow").cast("int").alias("a")))["a"].alias("a"))
-    return requests.select("origin", "path").join(ruled, ["origin", "path"], "left").join(delay, "origin", "left").select("origin", "path", (F.coalesce("a", F.lit(1)) == 1).alias("allowed"), F.nullif(F.col("crawl_delay"), F.lit(0.0)).alias("crawl_delay"))
+    # an origin's patterns are one bounded row, so a path meets them without a row a pair
+    patterns = own.where(F.col("pattern").isNotNull()).groupBy("origin").agg(F.collect_list(F.struct(F.length("pattern").alias("n"), F.col("allow").cast("int").alias("a"), _pattern(F.col("pattern")).alias("like"))).alias("patterns"))
+    asked = requests.select("origin", "path").withColumn("spelled", canonical_path_column(F.col("path"))).join(patterns, "origin", "left").join(delay, "origin", "left")
+    met = F.array_max(F.filter("patterns", lambda p: _like(F.col("spelled"), p["like"])))
+    return asked.select("origin", "path", (F.coalesce(met["a"], F.lit(1)) == 1).alias("allowed"), F.nullif(F.col("crawl_delay"), F.lit(0.0)).alias("crawl_delay"))
+
+
+def permitted(decisions: DataFrame, policy: str = "enforce") -> DataFrame:
+    """decisions with ``permitted`` and ``warning``: ``enforce`` refuses what the rules disallow, ``warn`` lets it pass with a warning, ``off`` does not look."""
+    bad = ~F.col("allowed")
+    return decisions.withColumn("permitted", ~bad if policy == "enforce" else F.lit(True)).withColumn("warning", bad if policy == "warn" else F.lit(False))
 
 
 def _pattern(pattern: Column) -> Column:

@@ -1,8 +1,9 @@
 """Adaptive state replayed over logs: health, breaker, rates, buckets, profiles, caches.
 
-``ordered_fold`` is the common form: rows are hash-partitioned by key, sorted by time, and folded as
-they stream through the task, so a key's log is never gathered in memory. What needs no order
-(counters, profiles) is a plain aggregation; what needs only neighbours is a window.
+Averages and breakers are windows. Rates, buckets and tiers, whose steps are clamped, go through
+``ordered_fold``: rows are hash-partitioned by key, sorted by time, and folded as they stream through
+the task, so a key's log is never gathered in memory. What needs no order (counters, profiles) is a
+plain aggregation; what needs only neighbours is a window.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from .routing import cooldown_s
+
 ALPHA, TRIP_AFTER = 0.3, 3
 ADDITIVE, BACKOFF, FLOOR = 0.05, 0.5, 0.1
 
@@ -45,22 +48,52 @@ def _arrow(kind: str) -> pa.DataType:
     return {"double": pa.float64(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}[kind]
 
 
+#: Calls that an average is summed over at once; of what came before the four chunks before, nothing is left in a double.
+CHUNK = 32
+
+
+def average_log(calls: DataFrame, key: str, order: list[str], averages: dict[str, tuple[Column, float]], alpha: float = ALPHA) -> DataFrame:
+    """The log with exponential averages after each call; averages: name to the value of a call and where the average starts.
+
+    An average is a sum of decayed values: running sums within chunks of the log, and of the chunks
+    before only the last four. So all of it is windows, and no row passes through Python.
+    """
+    keep = 1 - alpha
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
+    rows = calls.withColumn("nth", nth).withColumn("chunk", F.floor(F.col("nth") / CHUNK)).withColumn("at", F.col("nth") % CHUNK)
+    within, chunks = Window.partitionBy(key, "chunk").orderBy("at"), Window.partitionBy(key).orderBy("chunk")
+    weighed = {n: value * F.pow(F.lit(keep), -F.col("at")) for n, (value, _) in averages.items()}
+    whole = rows.groupBy(key, "chunk").agg(*[F.sum(w).alias(n) for n, w in weighed.items()])
+    end = keep ** (CHUNK - 1)
+    # what the chunks before leave when a chunk begins
+    before = lambda n: sum((F.coalesce(F.lag(F.col(n) * end, i).over(chunks), F.lit(0.0)) * keep ** (CHUNK * (i - 1)) for i in range(1, 5)), F.lit(0.0))
+    left = whole.select(key, "chunk", *[before(n).alias(f"{n}_left") for n in averages])
+    found = rows.join(left, [key, "chunk"])
+    decay = F.pow(F.lit(keep), F.col("at"))
+    total = {n: F.pow(F.lit(keep), F.col("nth") + 1) * start + alpha * (F.sum(weighed[n]).over(within) * decay + F.col(f"{n}_left") * decay * keep) for n, (_, start) in averages.items()}
+    return found.select(*calls.columns, *[t.alias(n) for n, t in total.items()])
+
+
+def breaker_log(calls: DataFrame, key: str, order: list[str], ok: str) -> DataFrame:
+    """The log with its failure streak, trips since the last success, and whether each call tripped the breaker."""
+    good = F.sum(F.col(ok).cast("int")).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    streak = F.sum((~F.col(ok)).cast("int")).over(Window.partitionBy(key, "good").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    rows = calls.withColumn("good", good).withColumn("streak", streak).drop("good")
+    return rows.withColumn("trips", F.greatest(F.col("streak") - (TRIP_AFTER - 1), F.lit(0))).withColumn("tripped", F.col("streak") >= TRIP_AFTER)
+
+
 def health_log(calls: DataFrame, key: str, order: list[str], ok: str, latency_ms: str) -> DataFrame:
     """The log with running averages, failure streak, trips and whether each call tripped the breaker."""
+    averages = {"ema_latency_ms": (F.col(latency_ms).cast("double"), 500.0), "ema_success": (F.col(ok).cast("int").cast("double"), 1.0)}
+    return breaker_log(average_log(calls, key, order, averages), key, order, ok)
 
-    def start():
-        return {"latency": 500.0, "success": 1.0, "streak": 0, "trips": 0}
-
-    def step(s, row):
-        good = bool(row[ok])
-        s["latency"] = (1 - ALPHA) * s["latency"] + ALPHA * float(row[latency_ms])
-        s["success"] = (1 - ALPHA) * s["success"] + ALPHA * (1.0 if good else 0.0)
-        s["streak"] = 0 if good else s["streak"] + 1
-        tripped = s["streak"] >= TRIP_AFTER
-        s["trips"] = 0 if good else s["trips"] + tripped
-        return {"ema_latency_ms": s["latency"], "ema_success": s["success"], "streak": s["streak"], "trips": s["trips"], "tripped": tripped}
 
-    return ordered_fold(calls, key, order, start, step, "ema_latency_ms double, ema_success double, streak int, trips int, tripped boolean")
+def health_report(calls: DataFrame, key: str, order: list[str], ok: str, latency_ms: str, base_s: float = 15.0) -> DataFrame:
+    """(key, ema_latency_ms, ema_success, streak, calls, open, cooldown_s) of each source after its last call, in short figures."""
+    log = health_log(calls, key, order, ok, latency_ms)
+    last = F.struct(*order, "ema_latency_ms", "ema_success", "streak", "trips", "tripped")
+    found = log.groupBy(key).agg(F.max(last).alias("s"), F.count(F.lit(1)).alias("calls"))
+    return found.select(key, F.round("s.ema_latency_ms", 1).alias("ema_latency_ms"), F.round("s.ema_success", 3).alias("ema_success"), F.col("s.streak").cast("long").alias("streak"), "calls", F.col("s.tripped").alias("open"), F.when(F.col("s.tripped"), cooldown_s(F.lit(0.0), F.lit(base_s), F.col("s.trips"))).otherwise(0.0).alias("cooldown_s"))
 
 
 def aimd_log(calls: DataFrame, key: str, order: list[str], ok: str, rps: float = 0.75, max_rps: float = 4.0) -> DataFrame:
@@ -133,3 +166,37 @@ def link_down(failures: DataFrame, at: Column, kind: str, provider: str, within_
     near = Window.partitionBy(kind, "bucket").orderBy("t").rangeBetween(-within_s, 0)
     seen = rows.withColumn("link_down", F.min(provider).over(near) != F.max(provider).over(near))
     return seen.where(F.floor(F.col("t") / within_s) == F.col("bucket")).drop("t", "bucket")
+
+
+# How a tier's verdict leads on. A wall or a thin page climbs; what no tier mends stops.
+CLIMBS = ["blocked", "thin", "js_required", "empty_mount"]
+
+
+def climbed(attempts: DataFrame, key: str) -> DataFrame:
+    """(key, tier, verdict, text_len, answered): of the attempts (key, tier, verdict, text_len) on a page the one that answers: the lowest tier that is ok; else, of thin pages, the longest text; else the last that was tried.
+
+    Attempts above one that ended the climb (neither ok nor of CLIMBS) are not looked at.
+    """
+    ends = F.min(F.when((F.col("verdict") != "ok") & ~F.col("verdict").isin(CLIMBS), F.col("tier"))).over(Window.partitionBy(key))
+    seen = attempts.withColumn("ends", ends).where(F.col("ends").isNull() | (F.col("tier") <= F.col("ends")))
+    rank = F.when(F.col("verdict") == "ok", F.struct(F.lit(0).alias("r"), F.col("tier").alias("t"))).when(F.col("verdict").isin("thin", "empty_mount"), F.struct(F.lit(1).alias("r"), (-F.col("text_len")).alias("t"))).otherwise(F.struct(F.lit(2).alias("r"), (-F.col("tier")).alias("t")))
+    best = seen.groupBy(key).agg(F.min(F.struct(rank.alias("rank"), "tier", "verdict", "text_len")).alias("b"))
+    return best.select(key, "b.tier", "b.verdict", "b.text_len", (F.col("b.rank.r") < 2).alias("answered"))
+
+
+def seeded(snapshots: DataFrame, key: str, at: Column, now_s: Column, ceiling: float = 4.0) -> DataFrame:
+    """Rate limiters as a new process starts them: the last rate learned of each key, recovered for the time since, and no tokens, so a restart is no burst."""
+    last = snapshots.withColumn("at_s", at).groupBy(key).agg(F.max_by("rate", "at_s").alias("learned"), F.max("at_s").alias("at_s"))
+    return last.select(key, recovered_rate(F.col("learned"), F.greatest(now_s - F.col("at_s"), F.lit(0.0)), ceiling).alias("rate"), F.lit(0.0).alias("tokens"))
+
+
+def memo_hits(reads: DataFrame, key: str, at: str, lasts: Column, order: str) -> DataFrame:
+    """Reads with ``memo``: whether the read before left a remark (a failure that lasts so many seconds; null for none) that still holds."""
+    w = Window.partitionBy(key).orderBy(at, order)
+    until = F.lag(F.when(lasts.isNotNull(), F.col(at) + lasts)).over(w)
+    return reads.withColumn("memo", F.coalesce(F.col(at) <= until, F.lit(False)))
+
+
+def with_stale_if_error(log: DataFrame, ok: Column, stale_s: float) -> DataFrame:
+    """A cache log (age_s, answer) in which a failed fetch is answered by what is not too old: ``stale_if_error``; else ``error``."""
+    return log.withColumn("answer", F.when((F.col("answer") == "miss") & ~ok, F.when(F.col("age_s") <= stale_s, "stale_if_error").otherwise("error")).otherwise(F.col("answer")))

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import dates, money, text, url
 from ..functions.page import classify
 from ..operators import filters, fusion, grounding, items, routing, state
+from ..scratch import written
 from . import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,16 +210,29 @@ pairs AS (SELECT a.query_id, a.place AS first, b.place AS second, len(list_inter
 SELECT query_id, first, second, round(c / (na + nb - c)::DOUBLE, 9) AS similarity FROM pairs WHERE c / (na + nb - c)::DOUBLE >= 0.82"""
 
 
-@_query(T.fused_sql() + _PAIRS_SQL)
+@_query(T.fused_sql(wired=True) + _PAIRS_SQL)
 def jaccard_pairs(spark, sf_dir):
-    pairs = fusion.similar_pairs(fusion.rrf(fusion.dedupe_lists(T.lists(spark, sf_dir))))
+    """Pages that a wire service repeats on its own domain with a word more."""
+    pairs = fusion.similar_pairs(written(fusion.rrf(fusion.dedupe_lists(T.wired_lists(spark, sf_dir))), "fused"))
     return pairs.select("query_id", F.col("first").cast("long").alias("first"), F.col("second").cast("long").alias("second"), F.round("similarity", 9).alias("similarity"))
 
 
-@_query()
+_GREEDY_SQL = _PAIRS_SQL.replace("SELECT query_id, first, second, round(", "near AS (SELECT query_id, first, second, round(") + """),
+firsts AS (SELECT query_id, second, list(first) AS fs FROM near GROUP BY ALL), sizes AS (SELECT query_id, max(place) AS last FROM fused GROUP BY query_id),
+walk AS (SELECT query_id, 0::BIGINT AS at, []::BIGINT[] AS kept FROM sizes
+  UNION ALL SELECT w.query_id, w.at + 1, CASE WHEN len(list_intersect(w.kept, coalesce(fs, []))) > 0 THEN w.kept ELSE list_append(w.kept, w.at + 1) END
+  FROM walk w JOIN sizes s ON s.query_id = w.query_id AND w.at < s.last LEFT JOIN firsts f ON f.query_id = w.query_id AND f.second = w.at + 1),
+ends AS (SELECT w.query_id, kept FROM walk w JOIN sizes s ON s.query_id = w.query_id AND w.at = s.last),
+gone AS (SELECT f.query_id, f.second, list_min(list_intersect(fs, kept)) AS by FROM firsts f JOIN ends e USING (query_id) WHERE NOT list_contains(kept, f.second)),
+stay AS (SELECT f.*, (SELECT count(*) FROM gone g WHERE g.query_id = f.query_id AND g.by = f.place) AS copies FROM fused f JOIN ends e ON e.query_id = f.query_id AND list_contains(e.kept, f.place))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS place, page, agreement, round(score, 9) AS score, copies FROM stay QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY place) <= 20"""
+
+
+@_query(T.fused_sql(wired=True).replace("WITH ", "WITH RECURSIVE ", 1) + _GREEDY_SQL)
 def greedy_syndication(spark, sf_dir):
-    fused = fusion.fuse(T.lists(spark, sf_dir), limit=20)
-    return fused.select("query_id", "place", "page", "agreement", F.round("score", 9).alias("score"), F.size("near_duplicates").alias("copies"))
+    """The fused lists of a fan-out with a wire service, without what it repeats."""
+    fused = fusion.fuse(T.wired_lists(spark, sf_dir), limit=20)
+    return fused.select("query_id", F.col("place").cast("long").alias("place"), "page", F.col("agreement").cast("long").alias("agreement"), F.round("score", 9).alias("score"), F.size("near_duplicates").cast("long").alias("copies"))
 
 
 @_query(f"""WITH {T.LISTS_SQL}, asked AS (SELECT conv_id AS query_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9\\-]{{2,}}'), lambda w: w NOT IN ({_STOP_SQL})) AS terms FROM conversations WHERE turn = 0 AND text IS NOT NULL),
@@ -269,14 +283,15 @@ def operator_parse(spark, sf_dir):
     return parse_operators(pages, "asked").select("page_id", "clean", F.array_join("domains", ",").alias("domains"), F.array_join("excluded", ",").alias("excluded"))
 
 
-_OPERATOR = r"""(?i)(?<![^\s(\["'])(-?)site(?::\s*([^\s]+)|\s+((?=[A-Za-z0-9.-]*\.[A-Za-z]{2,})[^\s]+))"""
+#: ``site:`` and a target, or ``site`` and a word that holds a dotted name, each at the beginning of a word or after an opening bracket or quote.
+_OPERATOR = r"""(?i)(?:^|(?<=[\s(\["']))(-?)site(?::\s*|\s+(?=\S*?[a-z0-9]\.[a-z]{2}))(\S+)"""
 
 
 def parse_operators(rows: DataFrame, column: str) -> DataFrame:
     """rows with ``clean`` (the text without inline site operators and dangling booleans), ``domains`` and ``excluded``, each host once, in order."""
     said = F.regexp_extract_all(column, F.lit(_OPERATOR), F.lit(0))
     sign = lambda m: F.regexp_extract(m, _OPERATOR, 1)
-    raw = lambda m: F.concat(F.regexp_extract(m, _OPERATOR, 2), F.regexp_extract(m, _OPERATOR, 3))
+    raw = lambda m: F.regexp_extract(m, _OPERATOR, 2)
     hosts = lambda deny: F.array_distinct(F.filter(F.flatten(F.transform(F.filter(said, lambda m: (sign(m) == "-") == F.lit(deny)), lambda m: F.transform(F.split(raw(m), ","), url.operator_host))), lambda h: h != ""))
     bare = F.regexp_replace(F.regexp_replace(column, _OPERATOR, " "), r"(?<!\S)(?:OR|AND|\|)(?!\S)", " ")
     return rows.withColumn("domains", hosts(False)).withColumn("excluded", hosts(True)).withColumn("clean", text.folded(bare))
@@ -310,7 +325,7 @@ def gtin_check(spark, sf_dir):
 
 
 @_query(f"""WITH w AS (SELECT p_partkey, list_filter(regexp_extract_all(lower(p_brand || ' ' || p_name || ' ' || p_type), '[a-z0-9]+'), lambda w: w NOT IN ({_words(money.STOP + money.SITE_WORDS)})) AS w FROM part),
-m AS (SELECT *, list_filter(w, lambda x: regexp_matches(x, '[a-z]') AND regexp_matches(x, '[0-9]') AND length(x) >= 2 AND NOT regexp_matches(x, '{money.UNITS}')) AS models FROM w)
+m AS (SELECT *, list_filter(w, lambda x: regexp_matches(x, '[a-z]') AND regexp_matches(x, '[0-9]') AND length(x) >= 2 AND NOT regexp_matches(x, '{money.MEASURE}')) AS models FROM w)
 SELECT p_partkey, CASE WHEN len(models) > 0 THEN 'model:' || models[1] ELSE 'slug:' || array_to_string(list_sort(list_filter(w, lambda x: length(x) >= 3 OR regexp_matches(x, '^[0-9]+$'))[1:6]), '-') END AS identity FROM m""")
 def identity_slug(spark, sf_dir):
     none = F.lit("")
@@ -418,7 +433,7 @@ def health_ema(spark, sf_dir):
 s AS (SELECT *, count(*) FILTER (NOT ok) OVER (PARTITION BY provider, block ORDER BY event_id) AS streak FROM g)
 SELECT event_id, provider, streak, greatest(streak - 2, 0) AS trips, streak >= 3 AS tripped FROM s""")
 def breaker_trips(spark, sf_dir):
-    log = state.health_log(T.calls(spark, sf_dir).select("event_id", "provider", "ok", "latency_ms"), "provider", ["event_id"], "ok", "latency_ms")
+    log = state.breaker_log(T.calls(spark, sf_dir).select("event_id", "provider", "ok"), "provider", ["event_id"], "ok")
     return log.select("event_id", "provider", F.col("streak").cast("long").alias("streak"), F.col("trips").cast("long").alias("trips"), "tripped")
 
 

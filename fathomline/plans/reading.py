@@ -12,9 +12,9 @@ from .queries import _query
 from .sources import _ANSWERS_SQL, _answers, _bodies, _plain
 
 
-@_query("""SELECT page_id, page_id % 4 AS kind, CASE page_id % 4 WHEN 0 THEN 'https://raw.githubusercontent.com/o' || page_id || '/r/HEAD/README.md' WHEN 1 THEN 'https://www.rfc-editor.org/rfc/rfc' || page_id || '.txt'
+@_query("""SELECT page_id, page_id % 4 AS kind, CASE page_id % 4 WHEN 0 THEN 'https://raw.githubusercontent.com/o' || page_id || '/r/HEAD/README.md' WHEN 1 THEN 'https://www.rfc-editor.org/rfc/rfc' || (page_id % 90000 + 1) || '.txt'
   ELSE 'https://raw.githubusercontent.com/kubernetes/website/HEAD/content/en/docs/a/p' || page_id || CASE place WHEN 0 THEN '.md' ELSE '/_index.md' END END AS lean_url, place
-  FROM pages, (VALUES (0), (1)) t(place) WHERE page_id > 0 AND page_id < 100000 AND page_id % 4 <> 3 AND (place = 0 OR page_id % 4 = 2)""")
+  FROM pages, (VALUES (0), (1)) t(place) WHERE page_id % 4 <> 3 AND (place = 0 OR page_id % 4 = 2)""")
 def lean_targets(spark, sf_dir):
     """Pages of four kinds, one of which has no lighter form."""
     found = lean.targets(_known_pages(spark, sf_dir))
@@ -23,13 +23,13 @@ def lean_targets(spark, sf_dir):
 
 def _known_pages(spark, sf_dir):
     key = F.col("page_id").cast("string")
-    shapes = F.array(F.concat(F.lit("https://github.com/o"), key, F.lit("/r")), F.concat(F.lit("https://datatracker.ietf.org/doc/html/rfc"), key), F.concat(F.lit("https://kubernetes.io/docs/a/p"), key, F.lit("/?x=1")), F.col("url"))
-    return T.table(spark, sf_dir, "pages").where("page_id > 0 AND page_id < 100000").select("page_id", F.get(shapes, (F.col("page_id") % 4).cast("int")).alias("url"))
+    shapes = F.array(F.concat(F.lit("https://github.com/o"), key, F.lit("/r")), F.concat(F.lit("https://datatracker.ietf.org/doc/html/rfc"), (F.col("page_id") % 90_000 + 1).cast("string")), F.concat(F.lit("https://kubernetes.io/docs/a/p"), key, F.lit("/?x=1")), F.col("url"))
+    return T.table(spark, sf_dir, "pages").select("page_id", F.get(shapes, (F.col("page_id") % 4).cast("int")).alias("url"))
 
 
-@_query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'o' || page_id || '/r' WHEN 1 THEN 'RFC ' || page_id || ': About ' || page_id ELSE 'Page ' || page_id END AS title,
+@_query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'o' || page_id || '/r' WHEN 1 THEN 'RFC ' || (page_id % 90000 + 1) || ': About ' || page_id ELSE 'Page ' || page_id END AS title,
   CASE page_id % 4 WHEN 0 THEN '# R' || repeat('x', 100) WHEN 1 THEN 'Group' || chr(10) || chr(10) || 'About ' || page_id || chr(10) || repeat('y', 600) ELSE 'body' || repeat('z', 300) END AS text
-  FROM pages WHERE page_id > 0 AND page_id < 100000 AND page_id % 4 <> 3 AND page_id % 8 <> 4""")
+  FROM pages WHERE page_id % 4 <> 3 AND page_id % 8 <> 4""")
 def lean_read(spark, sf_dir):
     """A page whose lighter form is an error document is absent; a section page is read from its second candidate."""
     pages = _known_pages(spark, sf_dir)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import fusion, robots
+from ..scratch import fresh_path
 from ..sources import apis, listings, serp
 from ..streaming import live
 from . import tables as T
@@ -117,12 +118,12 @@ def jsonld_items(spark, sf_dir):
     return listings.jsonld_items(pages).select("page_id", "title", "url", "amount", "currency", "brand", "availability", (F.col("page_id") % 3).alias("shape"))
 
 
-@_query("SELECT p_partkey % 20 AS page_id, 'fbmp:' || p_partkey AS identity, p_name AS title, CAST(floor(p_retailprice) AS DOUBLE) AS amount, p_partkey % 5 = 0 AS sold FROM part")
+@_query("SELECT p_partkey // 100 AS page_id, 'fbmp:' || p_partkey AS identity, p_name AS title, CAST(floor(p_retailprice) AS DOUBLE) AS amount, p_partkey % 5 = 0 AS sold FROM part")
 def relay_payload(spark, sf_dir):
     """A marketplace payload; every listing comes twice and counts once."""
     key = F.col("p_partkey")
     listing = F.struct(F.struct(key.cast("string").alias("id"), F.col("p_name").alias("marketplace_listing_title"), F.struct(F.floor("p_retailprice").cast("string").alias("amount"), F.lit("USD").alias("currency")).alias("listing_price"), (key % 5 == 0).alias("is_sold")).alias("listing"))
-    pages = T.table(spark, sf_dir, "part").groupBy((key % 20).alias("page_id")).agg(F.array_join(F.flatten(F.array(F.collect_list(F.to_json(listing)), F.collect_list(F.to_json(listing)))), ",").alias("edges"))
+    pages = T.table(spark, sf_dir, "part").groupBy(F.floor(key / 100).alias("page_id")).agg(F.array_join(F.flatten(F.array(F.collect_list(F.to_json(listing)), F.collect_list(F.to_json(listing)))), ",").alias("edges"))
     return listings.relay_listings(pages.select("page_id", F.concat(F.lit('{"marketplace_search":{"feed_units":{"edges":['), "edges", F.lit("]}}}")).alias("html"))).select("page_id", "identity", "title", "amount", "sold")
 
 
@@ -133,7 +134,7 @@ def classified_cards(spark, sf_dir):
     return listings.card_prices(T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), spans.alias("spans")))
 
 
-@_query("SELECT p_partkey % 20 AS query_id, 'https://www.youtube.com/watch?v=id' || p_partkey AS url, p_name AS title, (p_size % 12 + 1) * 30.0::DOUBLE AS age_days, 60 * p_size + 7 AS seconds, CAST(p_partkey * 1000 AS BIGINT) AS views FROM part")
+@_query("SELECT p_partkey // 100 AS query_id, 'https://www.youtube.com/watch?v=id' || p_partkey AS url, p_name AS title, (p_size % 12 + 1) * 30.0::DOUBLE AS age_days, 60 * p_size + 7 AS seconds, CAST(p_partkey * 1000 AS BIGINT) AS views FROM part")
 def video_cards(spark, sf_dir):
     key = F.col("p_partkey")
     runs = lambda c: F.struct(F.array(F.struct(c.alias("text"))).alias("runs"))
@@ -142,7 +143,7 @@ def video_cards(spark, sf_dir):
         F.concat(F.lit("id"), key.cast("string")).alias("videoId"), runs(F.col("p_name")).alias("title"), runs(F.lit("a channel")).alias("ownerText"), simple(F.concat((F.col("p_size") % 12 + 1).cast("string"), F.lit(" months ago"))).alias("publishedTimeText"),
         simple(F.concat(F.col("p_size").cast("string"), F.lit(":07"))).alias("lengthText"), simple(F.concat(key.cast("string"), F.lit("K views"))).alias("viewCountText"),
     ).alias("videoRenderer"))
-    pages = T.table(spark, sf_dir, "part").groupBy((key % 20).alias("query_id")).agg(F.array_join(F.collect_list(F.to_json(card)), ",").alias("cards"))
+    pages = T.table(spark, sf_dir, "part").groupBy(F.floor(key / 100).alias("query_id")).agg(F.array_join(F.collect_list(F.to_json(card)), ",").alias("cards"))
     found = serp.video_cards(pages.select("query_id", F.concat(F.lit('var ytInitialData = {"contents":['), "cards", F.lit("]}")).alias("body")))
     return found.select("query_id", "url", "title", "age_days", "seconds", "views")
 
@@ -165,7 +166,7 @@ _HEALTH_SQL = """f AS (
 def _event_stream(spark, sf_dir) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    source = spark.readStream.schema(spark.read.parquet(path).schema)
+    source = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 200)
     if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
         rows = source.parquet(path)
     else:  # a stream reads folders
@@ -184,7 +185,7 @@ def stream_health(spark, sf_dir):
 @_query(f"WITH {T.DEDUPED_SQL} SELECT query_id, page, round(sum(1.0::DOUBLE / (60 + pos + 1)), 9) AS score, count(DISTINCT provider) AS agreement FROM deduped GROUP BY ALL")
 def progressive_fusion(spark, sf_dir):
     """Lists that arrive as a stream of files, fused again with each; the last state is the whole fusion."""
-    arrivals = live.stream_dir(spark, "arrivals")
+    arrivals = fresh_path(spark, "arrivals")
     fusion.dedupe_lists(T.lists(spark, sf_dir)).select("query_id", "provider", F.col("pos").cast("int").alias("pos"), F.col("key").alias("page")).repartition(4, "provider").write.parquet(arrivals)
     rows = spark.readStream.schema("query_id long, provider string, pos int, page string").option("maxFilesPerTrigger", 2).parquet(arrivals)
     shown = live.run_to_end(live.progressive_fusion(rows), "update", "progressive-fusion")
@@ -196,8 +197,8 @@ def progressive_fusion(spark, sf_dir):
 def late_merge(spark, sf_dir):
     """What every fourth source answers comes late and is merged into the answer."""
     rows = fusion.dedupe_lists(T.lists(spark, sf_dir)).select("query_id", "provider", "pos", F.col("key").alias("page"), (F.col("provider_pos") % 4 == 3).alias("late"))
-    early = rows.where("NOT late").groupBy("query_id", "page").agg(F.sum(F.lit(1.0) / (F.lit(60.0) + F.col("pos") + 1)).alias("score"), F.count_distinct("provider").alias("agreement"))
-    return live.late_merge(early, rows.where("late")).withColumn("score", F.round("score", 9))
+    early = rows.where("NOT late").groupBy("query_id", "page").agg(F.sum(F.lit(1.0) / (F.lit(60.0) + F.col("pos") + 1)).alias("score"), F.collect_set("provider").alias("providers"))
+    return live.late_merge(early, rows.where("late")).select("query_id", "page", F.round("score", 9).alias("score"), "agreement")
 
 
 @_query("""SELECT event_id, CAST(json_extract_string(props, '$.' || json_keys(props)[1]) AS VARCHAR) AS first_value, len(json_keys(props)) AS fields FROM events WHERE props IS NOT NULL""")

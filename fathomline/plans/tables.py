@@ -46,6 +46,22 @@ LISTS_SQL = DOCUMENTS_SQL + """, lists AS (
          CAST(row_number() OVER (PARTITION BY doc_id // 100, source ORDER BY doc_id) - 1 AS INTEGER) AS rank, url, page, title, snippet, published, doc_id, lang
   FROM docs)"""
 
+#: Place of the wire service among the sources.
+WIRE_POS = 99
+
+
+def wired_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lists(), and a wire service that repeats every third document on its own domain with a word more."""
+    own = lists(spark, sf_dir)
+    rank = (F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")) - 1).cast("int")
+    wire = own.where("doc_id % 3 = 0").withColumns({"provider": F.lit("wire"), "provider_pos": F.lit(WIRE_POS), "rank": rank, "url": F.concat(F.lit("https://wire.example.org/"), F.regexp_extract("url", "/([0-9a-f]{32})/", 1)), "snippet": F.concat("snippet", F.lit(" today"))})
+    return own.unionByName(wire)
+
+
+WIRED_SQL = LISTS_SQL.replace(", lists AS (", ", plain_lists AS (") + f""", lists AS (SELECT * FROM plain_lists UNION ALL
+  SELECT query_id, 'wire', {WIRE_POS}, CAST(row_number() OVER (PARTITION BY query_id ORDER BY doc_id) - 1 AS INTEGER), 'https://wire.example.org/' || regexp_extract(page, '([0-9a-f]{{32}})$', 1), 'https://wire.example.org/' || regexp_extract(page, '([0-9a-f]{{32}})$', 1),
+         title, snippet || ' today', published, doc_id, lang FROM plain_lists WHERE doc_id % 3 = 0)"""
+
 DEDUPED_SQL = LISTS_SQL + """, grouped AS (
   SELECT query_id, provider, provider_pos, page, min(rank) AS rank, count(*) AS copies, arg_min(url, rank) AS url,
          arg_min(title, rank) FILTER (title <> '') AS title, arg_min(snippet, rank) FILTER (snippet <> '') AS snippet, arg_min(published, rank) FILTER (published <> '') AS published
@@ -67,8 +83,8 @@ EVEN_SQL = ", weighted AS (SELECT *, 1.0::DOUBLE AS weight FROM deduped)"
 WEIGHT_SQL = ", weighted AS (SELECT *, 1.0::DOUBLE + (provider_pos % 4) / 4.0::DOUBLE AS weight FROM deduped)"
 
 
-def fused_sql(weights: str = EVEN_SQL) -> str:
-    head, tail = FUSED_SQL.split(", summed AS", 1)
+def fused_sql(weights: str = EVEN_SQL, wired: bool = False) -> str:
+    head, tail = (FUSED_SQL.replace(LISTS_SQL, WIRED_SQL) if wired else FUSED_SQL).split(", summed AS", 1)
     return f"WITH {head}{weights}, summed AS{tail}"
 
 
@@ -91,7 +107,7 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     currency = F.element_at(F.array(*[F.lit(c) for c in ("USD", "EUR", "GBP")]), (F.col("s_nationkey") % 3 + 1).cast("int"))
     sold = line.join(supplier, line["l_suppkey"] == supplier["s_suppkey"]).join(part, line["l_partkey"] == part["p_partkey"])
     return sold.select(
-        (F.col("l_partkey") % 50).alias("group"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("identity"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"),
+        F.floor(F.col("l_partkey") / 40).alias("group"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("identity"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"),
         F.concat(F.lit("https://www.shop"), F.col("l_suppkey").cast("string"), F.lit(".example.com/p/"), F.col("l_partkey").cast("string"), F.lit("?ref="), F.col("l_orderkey").cast("string")).alias("url"), F.col("p_name").alias("title"),
         F.col("s_name").alias("seller"), F.when(F.col("l_linenumber") % 2 == 0, F.col("p_brand")).otherwise("").alias("brand"), F.lit("").alias("image"), currency.alias("currency"),
         F.when(F.col("l_linenumber") != 7, F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100) / 100).alias("amount"), F.when(F.col("l_returnflag") == "R", "SoldOut").otherwise("").alias("availability"), F.col("l_linestatus").alias("condition"),
@@ -100,7 +116,7 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OFFERS_SQL = """offers AS (
-  SELECT l_partkey % 50 AS grp, 'part:' || l_partkey AS identity, l_orderkey * 10 + l_linenumber AS pos, 'https://shop' || l_suppkey || '.example.com/p/' || l_partkey AS page,
+  SELECT l_partkey // 40 AS grp, 'part:' || l_partkey AS identity, l_orderkey * 10 + l_linenumber AS pos, 'https://shop' || l_suppkey || '.example.com/p/' || l_partkey AS page,
          'https://www.shop' || l_suppkey || '.example.com/p/' || l_partkey || '?ref=' || l_orderkey AS url,
          p_name AS title, s_name AS seller, CASE WHEN l_linenumber % 2 = 0 THEN p_brand ELSE '' END AS brand, ['USD', 'EUR', 'GBP'][s_nationkey % 3 + 1] AS currency,
          CASE WHEN l_linenumber <> 7 THEN floor(l_extendedprice / l_quantity * 100) / 100 END AS amount, CASE WHEN l_returnflag = 'R' THEN 'SoldOut' ELSE '' END AS availability,

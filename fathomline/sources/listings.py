@@ -10,6 +10,8 @@ from ..functions import bound
 from ..functions.money import identity_for, money_text, parse_price, price_from_meta, price_from_offer
 from ..functions.net import resolved
 from ..functions.text import visible_text
+from .objects import objects_column
+from .records import generic_listings, is_engine, merged, result_counts, row_text, without_twins
 
 _LD = r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
 _NODE = "`@type` string, name string, url string, gtin13 string, gtin string, mpn string, sku string, image string, brand string, aggregateRating struct<ratingValue:double,reviewCount:int>, offers string, seller string, vehicleIdentificationNumber string, mileageFromOdometer string, vehicleTransmission string, vehicleEngine string"
@@ -57,19 +59,12 @@ def jsonld_items(pages: DataFrame) -> DataFrame:
     )
 
 
-_ENGINE = r"(?i)^(?=.{2,60}$).*(?:\d(?:\.\d)?\s*L\b|cyl|\b[VIW]-?\d{1,2}\b|inline|flat-?\d|boxer|electric|hybrid|rotary|turbo|diesel|\bhp\b).*$"
 #: Rows a page may add to its text.
 MOST_ROWS = 60
 
 
-def listing_rows(pages: DataFrame, prose: Column | None = None) -> DataFrame:
-    """(page_id, place, key, row): the listings of pages (page_id, url, html) that their prose does not already name, as lines of text.
-
-    A row is name | price | distance | transmission | engine | VIN | seller (place) | link, without what is
-    missing; its key is the VIN, else the name. Each key counts once a page, at most MOST_ROWS rows a page.
-    ``prose``: the text to search, the visible text where it is not given.
-    """
-    text = pages.select("page_id", (visible_text(F.col("html")) if prose is None else prose).alias("prose"))
+def ld_listings(pages: DataFrame) -> DataFrame:
+    """(page_id, path, key, name, price, miles, transmission, engine, color, vin, seller, distance, history, link, ids) of the JSON-LD products of pages; what JSON-LD does not say is null."""
     some = lambda c: F.nullif(F.trim(c), F.lit(""))
     comma = lambda c: F.format_number(F.replace(c, F.lit(","), F.lit("")).try_cast("long"), 0)
     miles, name = F.col("n.mileageFromOdometer"), F.trim("n.name")
@@ -85,15 +80,43 @@ def listing_rows(pages: DataFrame, prose: Column | None = None) -> DataFrame:
 
     link = F.coalesce(some(_of_offer("url")), some(F.col("n.url")))
     link = bound(F.when(link.isNotNull(), bound(link, lambda u: resolved(F.col("page"), u))), lambda u: F.when(u.rlike("(?i)^https?://"), u))
-    each = _nodes(pages).select(
-        "page_id", "blob", "pos", F.coalesce(vin, name).alias("key"),
-        F.concat_ws(" | ", some(name), some(bound(price_from_offer(_first_offer()), lambda p: money_text(p["amount"], p["currency"]))), distance, some(F.col("n.vehicleTransmission")),
-                    bound(engine, lambda e: F.when(e.rlike(_ENGINE) & ~F.lower(name).contains(F.lower(e)), e)), F.concat(F.lit("VIN "), vin), bound(seller, who), link).alias("row"),
-    ).where("key <> '' AND row <> ''")
-    once = each.groupBy("page_id", "key").agg(F.min(F.struct("blob", "pos", "row")).alias("r"))
-    new = once.join(text, "page_id").where(~F.col("prose").contains(F.col("key"))).select("page_id", "key", "r.*")
-    ranked = new.withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy("blob", "pos")))
-    return ranked.where(F.col("place") <= MOST_ROWS).select("page_id", "place", "key", "row")
+    none = F.lit(None).cast("string")
+    return _nodes(pages).select(
+        "page_id", F.array(F.col("blob").cast("int"), F.col("pos").cast("int")).alias("path"), F.coalesce(vin, name).alias("key"), some(name).alias("name"), some(bound(price_from_offer(_first_offer()), lambda p: money_text(p["amount"], p["currency"]))).alias("price"),
+        distance.alias("miles"), some(F.col("n.vehicleTransmission")).alias("transmission"), bound(engine, lambda e: F.when(is_engine(e) & ~F.lower(name).contains(F.lower(e)), e)).alias("engine"), none.alias("color"), vin.alias("vin"), bound(seller, who).alias("seller"),
+        none.alias("distance"), none.alias("history"), link.alias("link"), F.lit(None).cast("array<string>").alias("ids"),
+    ).where("key <> ''")
+
+
+def listing_rows(pages: DataFrame, prose: Column | None = None, generic: bool = False) -> DataFrame:
+    """(page_id, place, key, row): the listings of pages (page_id, url, html) that their prose does not already name, as lines of text.
+
+    A row is name | price | miles | transmission | engine | colour | VIN | seller (place) | distance | history |
+    link, without what is missing; its key is the VIN, else the name. Each key counts once a page, gaps
+    filled from its copies (JSON-LD first, then, with ``generic``, the page's own state), at most MOST_ROWS
+    rows a page. ``prose``: the text to search, the visible text where it is not given.
+    """
+    text = pages.select("page_id", (visible_text(F.col("html")) if prose is None else prose).alias("prose"))
+    found = ld_listings(pages)
+    if generic:
+        state = generic_listings(pages).withColumn("ids", F.lit(None).cast("array<string>"))
+        found = found.unionByName(state.withColumn("path", F.concat(F.array(F.lit(1 << 30)), "path")))
+    once = merged(found)
+    if generic:
+        once = without_twins(once)
+    new = once.join(text, "page_id").where(~F.col("prose").contains(F.col("key")))
+    ranked = new.withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy("path")))
+    return ranked.where(F.col("place") <= MOST_ROWS).select("page_id", "place", "key", row_text().alias("row"))
+
+
+def with_listings(pages: DataFrame, prose: Column) -> DataFrame:
+    """(page_id, text): each page's prose and, where it has listings that the prose does not name, a section of them headed by the total that the page's data gives; a search without matches says so."""
+    rows = listing_rows(pages, prose, generic=True)
+    lines = rows.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "row"))), lambda r: F.concat(F.lit("- "), r["row"])), "\n").alias("lines"))
+    whole = pages.select("page_id", prose.alias("prose")).join(lines, "page_id", "left").join(result_counts(pages), "page_id", "left")
+    total = F.when(F.col("total") > 0, F.concat(F.lit("The page's own data reports "), F.format_number("total", 0), F.lit(" results in all.\n\n"))).otherwise("")
+    section = F.when(F.col("lines").isNotNull(), F.concat(F.lit("\n\n## Listings\n\n"), total, "lines")).when((F.col("total") == 0) & (F.length("prose") < 500), "\n\n## Listings\n\nNo matches: the page's own data reports 0 results.").otherwise("")
+    return whole.select("page_id", F.concat("prose", section).alias("text"))
 
 
 def _struct() -> str:
@@ -103,13 +126,13 @@ def _struct() -> str:
 
 
 def relay_listings(pages: DataFrame) -> DataFrame:
-    """Listings (page_id, pos, id, title, amount, currency, sold) in a marketplace payload, each id once."""
-    found = F.regexp_extract_all("html", F.lit(r'"listing":(\{.*?"is_sold":(?:true|false)[^{}]*\})'), F.lit(1))
+    """Listings (page_id, pos, identity, title, amount, currency, sold) in a marketplace payload, each id once; what is not said to be sold is not."""
+    found = objects_column(F.col("html"), '"listing":')
     shape = "id string, marketplace_listing_title string, listing_price struct<amount:string,currency:string,formatted_amount:string>, is_sold boolean"
     each = pages.select("page_id", F.posexplode(found).alias("pos", "json")).select("page_id", "pos", F.from_json("json", shape).alias("v")).where("v.id IS NOT NULL")
     once = each.groupBy("page_id", F.col("v.id").alias("id")).agg(F.min(F.struct("pos", "v")).alias("one"))
     v = F.col("one.v")
-    return once.select("page_id", F.col("one.pos").alias("pos"), F.concat(F.lit("fbmp:"), F.col("id")).alias("identity"), v["marketplace_listing_title"].alias("title"), v["listing_price"]["amount"].try_cast("double").alias("amount"), F.coalesce(v["listing_price"]["currency"], F.lit("USD")).alias("currency"), v["is_sold"].alias("sold"))
+    return once.select("page_id", F.col("one.pos").alias("pos"), F.concat(F.lit("fbmp:"), F.col("id")).alias("identity"), v["marketplace_listing_title"].alias("title"), v["listing_price"]["amount"].try_cast("double").alias("amount"), F.coalesce(v["listing_price"]["currency"], F.lit("USD")).alias("currency"), F.coalesce(v["is_sold"], F.lit(False)).alias("sold"))
 
 
 def card_prices(cards: DataFrame) -> DataFrame:

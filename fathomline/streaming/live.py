@@ -6,37 +6,39 @@ number, so a batch that is run again replaces itself.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.state import ALPHA, TRIP_AFTER
-
-LOCAL_SHARED = "/tmp/fathomline-shared"
-
-
-def stream_dir(spark: SparkSession, label: str) -> str:
-    """A new path in spark.checkpoint.dir, or in a local folder where it is unset."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or LOCAL_SHARED).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+from ..scratch import fresh_path
 
 
 def stream_health(calls: DataFrame) -> DataFrame:
     """(provider, calls, ema_latency_ms, ema_success, streak, tripped, seen): each source's state after every batch of a stream (provider, event_id, ok, latency_ms).
 
-    A batch's calls of one source are folded chunk by chunk in their order; only the state is kept.
+    Only the state is kept between batches. A source's calls of one batch come chunk by chunk and are
+    held as three numbers each until they are sorted; ``maxFilesPerTrigger`` of the stream bounds a batch.
     """
 
     def fold(key, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         calls, latency, success, streak, seen = state.get if state.exists else (0, 500.0, 1.0, 0, -1)
-        rows = pd.concat(list(chunks)).sort_values("event_id")
-        for ok, ms in zip(rows["ok"], rows["latency_ms"], strict=True):
-            latency = (1 - ALPHA) * latency + ALPHA * ms
-            success = (1 - ALPHA) * success + ALPHA * (1.0 if ok else 0.0)
-            streak = 0 if ok else streak + 1
-        calls, seen = calls + len(rows), max(seen, int(rows["event_id"].iloc[-1]))
+        parts = [(c["event_id"].to_numpy(), c["ok"].to_numpy(bool), c["latency_ms"].to_numpy(float)) for c in chunks]
+        ids, good, ms = (np.concatenate(p) for p in zip(*parts, strict=True))
+        order = np.argsort(ids, kind="stable")
+        good, ms, n = good[order], ms[order], len(order)
+        # a fold of s = (1 - a) s + a x: decayed from where it stood, and from each call on
+        for at in range(0, n, 256):
+            x, ok = ms[at : at + 256], good[at : at + 256]
+            decay = (1 - ALPHA) ** np.arange(len(x), -1, -1)
+            latency = float(latency * decay[0] + ALPHA * (x * decay[1:]).sum())
+            success = float(success * decay[0] + ALPHA * (ok * decay[1:]).sum())
+        last = np.flatnonzero(good)
+        streak = streak + n if not len(last) else int(n - 1 - last[-1])
+        calls, seen = calls + n, max(seen, int(ids.max()))
         state.update((calls, latency, success, streak, seen))
         yield pd.DataFrame({"provider": [key[0]], "calls": [calls], "ema_latency_ms": [latency], "ema_success": [success], "streak": [streak], "tripped": [streak >= TRIP_AFTER], "seen": [seen]})
 
@@ -57,16 +59,20 @@ def on_time(answers: DataFrame, at: str, soft_deadline: str = "90 minutes") -> D
 
 
 def late_merge(fused: DataFrame, late: DataFrame, k: int = 60) -> DataFrame:
-    """A fused answer (query_id, page, score, agreement) with stragglers (query_id, provider, pos, page) added; both are keyed, so only touched pages move."""
-    more = late.groupBy("query_id", "page").agg(F.sum(F.lit(1.0) / (F.lit(float(k)) + F.col("pos") + 1)).alias("more"), F.count_distinct("provider").alias("others"))
-    zero = F.lit(0)
-    return fused.join(more, ["query_id", "page"], "full_outer").select("query_id", "page", (F.coalesce("score", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("score"), (F.coalesce("agreement", zero) + F.coalesce("others", zero)).alias("agreement"))
+    """A fused answer (query_id, page, score, providers) with stragglers (query_id, provider, pos, page) added; both are keyed, so only touched pages move.
+
+    ``providers`` are the names already counted; one that answered early and late counts once in ``agreement``.
+    """
+    more = late.groupBy("query_id", "page").agg(F.sum(F.lit(1.0) / (F.lit(float(k)) + F.col("pos") + 1)).alias("more"), F.collect_set("provider").alias("others"))
+    none = F.array().cast("array<string>")
+    whole = F.array_sort(F.array_union(F.coalesce("providers", none), F.coalesce("others", none)))
+    return fused.join(more, ["query_id", "page"], "full_outer").select("query_id", "page", (F.coalesce("score", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("score"), whole.alias("providers"), F.size(whole).cast("long").alias("agreement"))
 
 
 def run_to_end(stream: DataFrame, mode: str, label: str) -> DataFrame:
     """Runs a stream over what is there now; all rows it put out, with the number of their ``batch``."""
     spark = stream.sparkSession
-    out, marks = stream_dir(spark, label), stream_dir(spark, f"{label}-marks")
+    out, marks = fresh_path(spark, label), fresh_path(spark, f"{label}-marks")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")

@@ -166,7 +166,55 @@ def test_citations(spark):
 
 
 def test_late_answers_merge(spark):
-    fused = spark.createDataFrame([(1, "a", 0.5, 1)], "query_id long, page string, score double, agreement long")
-    late = spark.createDataFrame([(1, "z", 0, "a"), (1, "z", 1, "b")], "query_id long, provider string, pos int, page string")
-    got = {r.page: (round(r.score, 6), r.agreement) for r in live.late_merge(fused, late).collect()}
-    assert got == {"a": (round(0.5 + 1 / 61, 6), 2), "b": (round(1 / 62, 6), 1)}
+    fused = spark.createDataFrame([(1, "a", 0.5, ["y"])], "query_id long, page string, score double, providers array<string>")
+    late = spark.createDataFrame([(1, "z", 0, "a"), (1, "z", 1, "b"), (1, "y", 3, "a")], "query_id long, provider string, pos int, page string")
+    got = {r.page: (round(r.score, 6), r.providers, r.agreement) for r in live.late_merge(fused, late).collect()}
+    # y answered early and late: its place counts, its name once
+    assert got == {"a": (round(0.5 + 1 / 61 + 1 / 64, 6), ["y", "z"], 2), "b": (round(1 / 62, 6), ["z"], 1)}
+
+
+def plain_health(calls):
+    latency, success, streak, trips, out = 500.0, 1.0, 0, 0, []
+    for ok, ms in calls:
+        latency, success = 0.7 * latency + 0.3 * ms, 0.7 * success + 0.3 * ok
+        streak = 0 if ok else streak + 1
+        trips = 0 if ok else trips + (streak >= 3)
+        out.append((round(latency, 7), round(success, 9), streak, trips, streak >= 3))
+    return out
+
+
+def test_health_by_windows_equals_a_plain_fold(spark):
+    import random
+
+    draw = random.Random(8)
+    logs = {k: [(draw.random() < 0.6, draw.random() * 10 ** draw.randint(0, 5)) for _ in range(n)] for k, n in (("a", 500), ("b", 31), ("c", 33), ("d", 1))}
+    rows = [(k, i, ok, ms) for k, log in logs.items() for i, (ok, ms) in enumerate(log)]
+    draw.shuffle(rows)
+    log = state.health_log(spark.createDataFrame(rows, "p string, i int, ok boolean, ms double"), "p", ["i"], "ok", "ms")
+    got = {k: [] for k in logs}
+    for r in sorted(log.collect(), key=lambda r: r.i):
+        got[r.p].append((round(r.ema_latency_ms, 7), round(r.ema_success, 9), r.streak, r.trips, r.tripped))
+    assert got == {k: plain_health(v) for k, v in logs.items()}
+
+
+def test_reports_climbs_and_memos(spark):
+    calls = spark.createDataFrame([("a", i, i < 2, 100.0) for i in range(6)] + [("b", 0, True, 10.0)], "p string, i int, ok boolean, ms double")
+    got = {r.p: (r.streak, r.calls, r.open, r.cooldown_s) for r in state.health_report(calls, "p", ["i"], "ok", "ms").collect()}
+    assert got == {"a": (4, 6, True, 30.0), "b": (0, 1, False, 0.0)}
+    tries = [("x", 0, "blocked", 0), ("x", 1, "ok", 900), ("x", 2, "ok", 950), ("y", 0, "thin", 40), ("y", 1, "thin", 90), ("z", 0, "blocked", 0), ("z", 1, "http_404", 0), ("z", 2, "ok", 500)]
+    climbs = {r.page: (r.tier, r.verdict, r.answered) for r in state.climbed(spark.createDataFrame(tries, "page string, tier int, verdict string, text_len int"), "page").collect()}
+    assert climbs == {"x": (1, "ok", True), "y": (1, "thin", True), "z": (1, "http_404", False)}
+    reads = spark.createDataFrame([("u", 0, 0.0, 300.0), ("u", 1, 100.0, None), ("u", 2, 150.0, 30.0), ("u", 3, 181.0, None), ("v", 4, 0.0, None)], "url string, n int, at double, holds double")
+    assert [r.memo for r in state.memo_hits(reads, "url", "at", F.col("holds"), "n").orderBy("n").collect()] == [False, True, False, False, False]
+    rates = spark.createDataFrame([("h", 0.5, 10.0), ("h", 0.2, 20.0), ("k", 3.9, 0.0)], "host string, rate double, at double")
+    assert {r.host: (round(r.rate, 3), r.tokens) for r in state.seeded(rates, "host", F.col("at"), F.lit(120.0)).collect()} == {"h": (0.7, 0.0), "k": (4.0, 0.0)}
+
+
+def test_robots_patterns_past_the_bound_are_not_read(spark):
+    from fathomline.operators import robots
+
+    body = "User-agent: *\n" + "\n".join(f"Disallow: /p{i}$" for i in range(robots.MAX_RULES)) + "\nDisallow: /late\n"
+    rules = robots.parse(spark.createDataFrame([("o", body)], "origin string, body string"))
+    asked = spark.createDataFrame([("o", "/p5"), ("o", "/late"), ("o", "/p5"), ("q", "/p5")], "origin string, path string")
+    got = [(r.origin, r.path, r.permitted, r.warning) for r in robots.permitted(robots.decide(asked, rules, "fathom"), "warn").collect()]
+    assert sorted(got) == [("o", "/late", True, False), ("o", "/p5", True, True), ("o", "/p5", True, True), ("q", "/p5", True, False)]
