@@ -72,3 +72,24 @@ def select_providers(queries: DataFrame, providers: DataFrame, n: int, allow_exp
 
 def _by_intent(providers: DataFrame) -> DataFrame:
     return providers.withColumn("intent", F.explode("intents")).drop("intents")
+
+
+def walled(asked: DataFrame, key: str) -> DataFrame:
+    """(key, walled) of what was asked of sources (key, provider, state: used, failed, late or skipped): whether general engines were asked and none answered, so that one costed source may be tried."""
+    general = F.col("provider").isin(GENERALISTS)
+    tried, answered = F.max(F.when(general, F.lit(1)).otherwise(0)), F.max(F.when(general & (F.col("state") == "used"), 1).otherwise(0))
+    return asked.groupBy(key).agg(((tried == 1) & (answered == 0)).alias("walled"))
+
+
+def cooling(queries: DataFrame, providers: DataFrame) -> DataFrame:
+    """(query_id, provider, note): the sources a query lost to open breakers: those that serve its intent, and general engines but for shopping. providers (small): provider, intents, open, streak, last_error, left_s."""
+    broken = F.broadcast(providers.where("open"))
+    serves = F.array_contains("intents", F.col("intent")) | (F.col("provider").isin(GENERALISTS) & (F.col("intent") != "shopping"))
+    note = F.concat(F.lit("circuit open: "), F.col("streak").cast("string"), F.lit(" consecutive failures, last '"), "last_error", F.lit("', cooling for "), F.greatest(F.floor("left_s"), F.lit(0)).cast("string"), F.lit("s"))
+    return queries.join(broken, serves).select("query_id", "provider", note.alias("note"))
+
+
+def refused_if_cooling(answers: DataFrame, lost: DataFrame) -> DataFrame:
+    """answers (query_id, docs) with ``outcome``: ``answered``, ``empty``, or ``refused`` where nothing was found while sources were cooling."""
+    n = lost.groupBy("query_id").agg(F.count(F.lit(1)).alias("cooling"))
+    return answers.join(n, "query_id", "left").withColumn("outcome", F.when(F.col("docs") > 0, "answered").when(F.col("cooling") > 0, "refused").otherwise("empty")).drop("cooling")

@@ -217,7 +217,7 @@ def jaccard_pairs(spark, sf_dir):
     return pairs.select("query_id", F.col("first").cast("long").alias("first"), F.col("second").cast("long").alias("second"), F.round("similarity", 9).alias("similarity"))
 
 
-_GREEDY_SQL = _PAIRS_SQL.replace("SELECT query_id, first, second, round(", "near AS (SELECT query_id, first, second, round(") + """),
+_GREEDY_SQL = _PAIRS_SQL.replace("SELECT query_id, first, second, round(", ", near AS (SELECT query_id, first, second, round(") + """),
 firsts AS (SELECT query_id, second, list(first) AS fs FROM near GROUP BY ALL), sizes AS (SELECT query_id, max(place) AS last FROM fused GROUP BY query_id),
 walk AS (SELECT query_id, 0::BIGINT AS at, []::BIGINT[] AS kept FROM sizes
   UNION ALL SELECT w.query_id, w.at + 1, CASE WHEN len(list_intersect(w.kept, coalesce(fs, []))) > 0 THEN w.kept ELSE list_append(w.kept, w.at + 1) END

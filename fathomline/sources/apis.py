@@ -76,3 +76,9 @@ def arxiv(rows: DataFrame) -> DataFrame:
     good = F.col("body").contains("<feed") & ~((F.size(entries) == 1) & F.get(entries, F.lit(0)).contains("api/errors"))
     part = lambda e, tag: strip_tags(F.regexp_extract(e, f"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1))
     return _documents(rows, "arxiv", F.when(good, entries), F.lit("arxiv refused"), lambda e: (part(e, "id"), part(e, "title"), F.substring(part(e, "summary"), 1, 400), F.substring(part(e, "published"), 1, 10)))
+
+
+def quota_hold(body: Column, least: float = 3600.0) -> Column:
+    """Seconds for which an answer asks to be left alone: its backoff, and ``least`` at least where its quota is used up; null if it asks nothing."""
+    said = F.from_json(body, "backoff double, quota_remaining long")
+    return F.when(said["quota_remaining"] == 0, F.greatest(F.lit(least), F.coalesce(said["backoff"], F.lit(0.0)))).otherwise(said["backoff"])

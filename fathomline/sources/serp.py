@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import age_days, duration_s, rss_date, views
+from ..functions.dates import VIDEO_DAYS, age_days, duration_s, rss_date, views
+from ..functions.net import attribute
 from ..functions.text import strip_tags, unescaped
 from ..functions.url import canonical_url, is_self_redirect
 from .objects import objects_column
@@ -38,6 +39,22 @@ def ddg_html(rows: DataFrame, limit: int = 20) -> DataFrame:
     return _ranked(kept, limit)
 
 
+def ddg_lite(rows: DataFrame, limit: int = 20) -> DataFrame:
+    """(query_id, rank, url, title) of the engine's lighter form, which has no snippets."""
+    anchors = F.regexp_extract_all("body", F.lit(r"""(?is)<a\b[^>]*class=["'][^"']*result-link[^"']*["'][^>]*>.*?</a\s*>"""), F.lit(0))
+    each = rows.select("query_id", F.posexplode(anchors).alias("pos", "a"))
+    found = each.select("query_id", "pos", unwrap_ddg(unescaped(attribute(F.regexp_extract("a", "^<[^>]*>", 0), "href"))).alias("url"), strip_tags(F.col("a")).alias("title"))
+    kept = found.where(F.col("url").rlike("(?i)^https?://") & ~is_self_redirect(F.col("url"), "duckduckgo.com", "/y.js"))
+    return _ranked(kept, limit)
+
+
+def bing(rows: DataFrame, limit: int = 20) -> DataFrame:
+    """(query_id, rank, url, title, snippet) of answers (query_id, feed, page): the feed's items, and where it has none those of the page."""
+    feed = bing_rss(rows.select("query_id", F.col("feed").alias("body")), limit).drop("published")
+    bare = rows.join(feed.select("query_id").distinct(), "query_id", "left_anti")
+    return feed.unionByName(bing_html(bare.select("query_id", F.col("page").alias("body")), limit).select(feed.columns))
+
+
 def bing_html(rows: DataFrame, limit: int = 20) -> DataFrame:
     """Organic results only, each page once, captions of at most 300 characters."""
     blocks = F.regexp_extract_all("body", F.lit(r'(?is)(<li[^>]*class="[^"]*\bb_algo\b.*?)(?=<li[^>]*class="[^"]*\bb_algo\b|\z)'), F.lit(1))
@@ -69,11 +86,32 @@ def _ranked(rows: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def video_cards(rows: DataFrame) -> DataFrame:
-    """(query_id, rank, url, title, channel, age_days, seconds, views) of the video cards in a result page's initial data: all of them, each video once."""
-    cards = objects_column(F.col("body"), '"videoRenderer":')
-    shape = "videoId string, title struct<runs:array<struct<text:string>>>, ownerText struct<runs:array<struct<text:string>>>, publishedTimeText struct<simpleText:string>, lengthText struct<simpleText:string>, viewCountText struct<simpleText:string>"
-    each = rows.select("query_id", F.posexplode(cards).alias("pos", "card")).select("query_id", "pos", F.from_json("card", shape).alias("v")).where("v.videoId IS NOT NULL")
+    """(query_id, rank, url, title, channel, age_days, seconds, views, live, shorts, snippet) of the videos in a result page's initial data: all of them, each once; short ones after the others.
+
+    A live video has no age but 0.
+    """
+    cards = lambda mark, shorts: F.transform(objects_column(F.col("body"), mark), lambda c, i: F.named_struct(F.lit("shorts"), F.lit(shorts), F.lit("pos"), i, F.lit("card"), c))
+    text = "struct<simpleText:string,runs:array<struct<text:string>>>"
+    shape = f"videoId string, title {text}, headline {text}, ownerText {text}, publishedTimeText {text}, lengthText {text}, viewCountText {text}, badges array<struct<metadataBadgeRenderer:struct<label:string>>>"
+    each = rows.select("query_id", F.inline(F.concat(cards('"videoRenderer":', False), cards('"reelItemRenderer":', True)))).select("query_id", F.struct("shorts", "pos").alias("pos"), F.from_json("card", shape).alias("v")).where("v.videoId IS NOT NULL")
     once = each.groupBy("query_id", "v.videoId").agg(F.min("pos").alias("pos"), F.min(F.struct("pos", "v"))["v"].alias("v"))
-    text = lambda c: F.array_join(F.transform(c, lambda r: r["text"]), "")
-    found = once.select("query_id", "pos", F.concat(F.lit("https://www.youtube.com/watch?v="), F.col("videoId")).alias("url"), text(F.col("v.title.runs")).alias("title"), text(F.col("v.ownerText.runs")).alias("channel"), age_days(F.col("v.publishedTimeText.simpleText")).alias("age_days"), duration_s(F.col("v.lengthText.simpleText")).alias("seconds"), views(F.col("v.viewCountText.simpleText")).alias("views"))
+    said = lambda c: F.coalesce(F.col(f"v.{c}.simpleText"), F.array_join(F.transform(F.col(f"v.{c}.runs"), lambda r: r["text"]), ""))
+    live = F.coalesce(said("viewCountText").endswith("watching"), F.lit(False)) | F.coalesce(F.exists("v.badges", lambda b: b["metadataBadgeRenderer"]["label"] == "LIVE"), F.lit(False))
+    snippet = F.substring(F.concat_ws(" · ", *[F.nullif(said(c), F.lit("")) for c in ("ownerText", "viewCountText", "publishedTimeText", "lengthText")]), 1, 500)
+    found = once.select(
+        "query_id", "pos", F.concat(F.lit("https://www.youtube.com/watch?v="), F.col("videoId")).alias("url"), F.substring(F.coalesce(said("title"), said("headline")), 1, 400).alias("title"), said("ownerText").alias("channel"), F.when(live, 0.0).otherwise(age_days(said("publishedTimeText"))).alias("age_days"),
+        duration_s(said("lengthText")).alias("seconds"), views(said("viewCountText")).alias("views"), live.alias("live"), F.col("pos.shorts").alias("shorts"), snippet.alias("snippet"),
+    )
     return _ranked(found)
+
+
+def fresh_videos(videos: DataFrame, freshness: Column) -> DataFrame:
+    """The videos (age_days) that are not older than a bound; those of unknown age stay."""
+    most = F.try_element_at(F.create_map(*[F.lit(x) for pair in VIDEO_DAYS.items() for x in pair]), freshness)
+    return videos.where(F.coalesce(F.col("age_days") <= most, F.lit(True)))
+
+
+def feed_gated(answers: DataFrame) -> DataFrame:
+    """(query_id, gated) of answers (query_id, body): a marketplace page whose feed is there and holds nothing, as it is shown to visitors who are not let in."""
+    feed = F.regexp_extract("body", r'"feed_units"\s*:\s*(null|\{\s*"edges"\s*:\s*\[\s*\])', 1)
+    return answers.select("query_id", (F.col("body").contains('"marketplace_search"') & (feed != "")).alias("gated"))
