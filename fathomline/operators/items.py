@@ -17,6 +17,11 @@ from ..functions.url import canonical_url, doc_domain
 STALE = ["outofstock", "soldout", "discontinued"]
 
 
+def _by_arrival(offers: Column) -> Column:
+    keyed = F.transform(offers, lambda o: F.named_struct(F.lit("o"), o["pos"], F.lit("u"), o["url"], F.lit("x"), o))
+    return F.transform(F.array_sort(keyed), lambda k: k["x"])
+
+
 _FIELDS = ["identity", "url", "title", "seller", "brand", "image", "currency", "amount", "availability", "condition", "rating", "reviews"]
 
 
@@ -48,7 +53,7 @@ def merge_items(items: DataFrame) -> DataFrame:
         zero = F.lit(0)
         return F.named_struct(F.lit("p"), F.when(pooled, zero).otherwise(1), F.lit("s"), F.when(pooled, o["stale"].cast("int")).otherwise(zero), F.lit("a"), F.when(pooled, o["amount"]).otherwise(0.0), F.lit("o"), o["pos"], F.lit("u"), o["url"], F.lit("x"), o)
 
-    products = products.withColumn("turns", F.transform(F.array_sort(F.transform("all", turn)), lambda t: t["x"])).withColumn("first", F.get("turns", F.lit(0))).withColumn("rest", F.array_sort(F.slice("turns", 2, F.greatest(F.size("turns") - 1, F.lit(1)))))
+    products = products.withColumn("turns", F.transform(F.array_sort(F.transform("all", turn)), lambda t: t["x"])).withColumn("first", F.get("turns", F.lit(0))).withColumn("rest", _by_arrival(F.slice("turns", 2, F.greatest(F.size("turns") - 1, F.lit(1)))))
     # the winner's own value, else that of the first of the others that has one
     fill = lambda c: F.coalesce(F.nullif(F.col(f"first.{c}"), F.lit("")), F.get(F.filter("rest", lambda o: F.coalesce(o[c], F.lit("")) != ""), F.lit(0))[c]).alias(c)
     value = lambda c: F.coalesce(F.col(f"first.{c}"), F.get(F.filter("rest", lambda o: o[c].isNotNull()), F.lit(0))[c]).alias(c)

@@ -48,15 +48,15 @@ def learn(reads: DataFrame, seq: str, url: Column, final: Column) -> DataFrame:
     """
     moves = reads.select(F.col(seq).alias("seq"), moved_prefix(url, final).alias("m")).where("m IS NOT NULL").select("m.origin", "seq", "m.old", "m.new")
 
-    def step(rules: dict, row: dict) -> dict:
-        held = rules.pop(row["old"], None)
-        seen = held[1] + 1 if held and held[0] == row["new"] else 1
-        rules[row["old"]] = (row["new"], seen)
+    def step(rules: dict, old: str, new: str) -> tuple[dict, int]:
+        held = rules.pop(old, None)
+        seen = held[1] + 1 if held and held[0] == new else 1
+        rules[old] = (new, seen)
         if len(rules) > RULES:
             del rules[next(iter(rules))]  # the one learned longest ago
-        return {"seen": seen}
+        return rules, seen
 
-    log = ordered_fold(moves, "origin", ["seq", "old", "new"], dict, step, "seen int")
+    log = ordered_fold(moves, "origin", ["seq", "old", "new"], ["old", "new"], dict, step, "seen int")
     last = log.groupBy("origin", "old").agg(F.max_by(F.struct("new", "seen", "seq"), F.struct("seq", "new")).alias("r")).select("origin", "old", "r.*")
     newest = Window.partitionBy("origin").orderBy(F.desc("seq"), F.desc("old"))
     return last.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= RULES).drop("place")

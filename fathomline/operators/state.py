@@ -1,7 +1,7 @@
 """Adaptive state replayed over logs: health, breaker, rates, buckets, profiles, caches.
 
-Averages and breakers are windows. Rates, buckets and tiers, whose steps are clamped, go through
-``ordered_fold``: rows are hash-partitioned by key, sorted by time, and folded as they stream through
+Breakers are windows. Averages (whose last bits hang on the order of additions), rates, buckets and
+tiers (whose steps are clamped) go through ``ordered_fold``: rows are hash-partitioned by key, sorted by time, and folded as they stream through
 the task, so a key's log is never gathered in memory. What needs no order (counters, profiles) is a
 plain aggregation; what needs only neighbours is a window.
 """
@@ -22,24 +22,27 @@ ALPHA, TRIP_AFTER = 0.3, 3
 ADDITIVE, BACKOFF, FLOOR = 0.05, 0.5, 0.1
 
 
-def ordered_fold(rows: DataFrame, key: str, order: list[str], start: Callable[[], dict], step: Callable[[dict, dict], dict], added: str) -> DataFrame:
-    """All rows, in order within their key, with the columns that ``step(state, row)`` returns; added: their DDL."""
+def ordered_fold(rows: DataFrame, key: str, order: list[str], reads: list[str], start: Callable[[], object], step: Callable[..., tuple], added: str) -> DataFrame:
+    """All rows, in order within their key, with what ``step(state, *reads)`` finds for each: (state, *added); added: DDL of the new columns.
+
+    Only the columns read leave the Arrow batch, as plain lists.
+    """
     extra = StructType.fromDDL(added)
     schema = StructType(rows.schema.fields + extra.fields)
     names, new = rows.columns, extra.fieldNames()
+    kinds = [_arrow(extra[n].dataType.simpleString()) for n in new]
 
     def folded(batches):
-        key_now, state = object(), {}
+        key_now, state = object(), None
         for batch in batches:
-            out: dict[str, list] = {n: [] for n in new}
-            for row in batch.to_pylist():
-                if row[key] != key_now:
-                    key_now, state = row[key], start()
-                found = step(state, row)
-                for n in new:
-                    out[n].append(found[n])
-            columns = [batch.column(n) for n in names] + [pa.array(out[n], _arrow(extra[n].dataType.simpleString())) for n in new]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, *new])
+            out: tuple[list, ...] = tuple([] for _ in new)
+            for k, *values in zip(batch.column(key).to_pylist(), *(batch.column(c).to_pylist() for c in reads), strict=True):
+                if k != key_now:
+                    key_now, state = k, start()
+                state, *found = step(state, *values)
+                for column, value in zip(out, found, strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], names=[*names, *new])
 
     return rows.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInArrow(folded, schema)
 
@@ -48,30 +51,15 @@ def _arrow(kind: str) -> pa.DataType:
     return {"double": pa.float64(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}[kind]
 
 
-#: Calls that an average is summed over at once; of what came before the four chunks before, nothing is left in a double.
-CHUNK = 32
+def average_log(calls: DataFrame, key: str, order: list[str], ok: str, latency_ms: str) -> DataFrame:
+    """The log with the running averages of latency and success after each call, in the order of the calls (to the last bit)."""
 
+    def step(state, good, ms):
+        latency, success = state
+        state = (1 - ALPHA) * latency + ALPHA * ms, (1 - ALPHA) * success + ALPHA * (1.0 if good else 0.0)
+        return state, *state
 
-def average_log(calls: DataFrame, key: str, order: list[str], averages: dict[str, tuple[Column, float]], alpha: float = ALPHA) -> DataFrame:
-    """The log with exponential averages after each call; averages: name to the value of a call and where the average starts.
-
-    An average is a sum of decayed values: running sums within chunks of the log, and of the chunks
-    before only the last four. So all of it is windows, and no row passes through Python.
-    """
-    keep = 1 - alpha
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    rows = calls.withColumn("nth", nth).withColumn("chunk", F.floor(F.col("nth") / CHUNK)).withColumn("at", F.col("nth") % CHUNK)
-    within, chunks = Window.partitionBy(key, "chunk").orderBy("at"), Window.partitionBy(key).orderBy("chunk")
-    weighed = {n: value * F.pow(F.lit(keep), -F.col("at")) for n, (value, _) in averages.items()}
-    whole = rows.groupBy(key, "chunk").agg(*[F.sum(w).alias(n) for n, w in weighed.items()])
-    end = keep ** (CHUNK - 1)
-    # what the chunks before leave when a chunk begins
-    before = lambda n: sum((F.coalesce(F.lag(F.col(n) * end, i).over(chunks), F.lit(0.0)) * keep ** (CHUNK * (i - 1)) for i in range(1, 5)), F.lit(0.0))
-    left = whole.select(key, "chunk", *[before(n).alias(f"{n}_left") for n in averages])
-    found = rows.join(left, [key, "chunk"])
-    decay = F.pow(F.lit(keep), F.col("at"))
-    total = {n: F.pow(F.lit(keep), F.col("nth") + 1) * start + alpha * (F.sum(weighed[n]).over(within) * decay + F.col(f"{n}_left") * decay * keep) for n, (_, start) in averages.items()}
-    return found.select(*calls.columns, *[t.alias(n) for n, t in total.items()])
+    return ordered_fold(calls, key, order, [ok, latency_ms], lambda: (500.0, 1.0), step, "ema_latency_ms double, ema_success double")
 
 
 def breaker_log(calls: DataFrame, key: str, order: list[str], ok: str) -> DataFrame:
@@ -84,8 +72,7 @@ def breaker_log(calls: DataFrame, key: str, order: list[str], ok: str) -> DataFr
 
 def health_log(calls: DataFrame, key: str, order: list[str], ok: str, latency_ms: str) -> DataFrame:
     """The log with running averages, failure streak, trips and whether each call tripped the breaker."""
-    averages = {"ema_latency_ms": (F.col(latency_ms).cast("double"), 500.0), "ema_success": (F.col(ok).cast("int").cast("double"), 1.0)}
-    return breaker_log(average_log(calls, key, order, averages), key, order, ok)
+    return breaker_log(average_log(calls, key, order, ok, latency_ms), key, order, ok)
 
 
 def health_report(calls: DataFrame, key: str, order: list[str], ok: str, latency_ms: str, base_s: float = 15.0) -> DataFrame:
@@ -99,37 +86,35 @@ def health_report(calls: DataFrame, key: str, order: list[str], ok: str, latency
 def aimd_log(calls: DataFrame, key: str, order: list[str], ok: str, rps: float = 0.75, max_rps: float = 4.0) -> DataFrame:
     """The log with the rate after each call: a step up on success, half on a block."""
 
-    def step(s, row):
-        s["rate"] = min(max_rps, s["rate"] + ADDITIVE) if row[ok] else max(FLOOR, s["rate"] * BACKOFF)
-        return {"rate": s["rate"]}
+    def step(rate, good):
+        rate = min(max_rps, rate + ADDITIVE) if good else max(FLOOR, rate * BACKOFF)
+        return rate, rate
 
-    return ordered_fold(calls, key, order, lambda: {"rate": rps}, step, "rate double")
+    return ordered_fold(calls, key, order, [ok], lambda: rps, step, "rate double")
 
 
 def token_bucket_log(calls: DataFrame, key: str, order: list[str], seconds: str, rate: float = 0.75, burst: float = 3.0) -> DataFrame:
     """The log with the tokens left and whether each call was let through at once; ``seconds``: time as a number."""
 
-    def step(s, row):
-        now = float(row[seconds])
-        s["tokens"] = min(burst, s["tokens"] + (now - s["at"]) * rate) if s["at"] is not None else burst
-        s["at"] = now
-        admitted = s["tokens"] >= 1.0
-        wait = 0.0 if admitted else (1.0 - s["tokens"]) / rate
-        s["tokens"] -= 1.0 if admitted else 0.0
-        return {"tokens": s["tokens"], "admitted": admitted, "wait_s": wait}
+    def step(state, now):
+        tokens, at = state
+        tokens = burst if at is None else min(burst, tokens + (now - at) * rate)
+        admitted = tokens >= 1.0
+        wait = 0.0 if admitted else (1.0 - tokens) / rate
+        tokens -= 1.0 if admitted else 0.0
+        return (tokens, now), tokens, admitted, wait
 
-    return ordered_fold(calls, key, order, lambda: {"tokens": burst, "at": None}, step, "tokens double, admitted boolean, wait_s double")
+    return ordered_fold(calls, key, order, [seconds], lambda: (burst, None), step, "tokens double, admitted boolean, wait_s double")
 
 
 def profile_log(fetches: DataFrame, key: str, order: list[str], ok: str, tier: str) -> DataFrame:
     """The log with the lowest tier that a domain is believed to need after each fetch."""
 
-    def step(s, row):
-        t = int(row[tier])
-        s["tier"] = min(s["tier"], t) if row[ok] else max(s["tier"], min(t + 1, 2))
-        return {"min_tier": s["tier"]}
+    def step(lowest, good, t):
+        lowest = min(lowest, t) if good else max(lowest, min(t + 1, 2))
+        return lowest, lowest
 
-    return ordered_fold(fetches, key, order, lambda: {"tier": 0}, step, "min_tier int")
+    return ordered_fold(fetches, key, order, [ok, tier], lambda: 0, step, "min_tier int")
 
 
 def block_rates(fetches: DataFrame, key: str, ok: Column) -> DataFrame:

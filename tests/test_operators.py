@@ -183,7 +183,7 @@ def plain_health(calls):
     return out
 
 
-def test_health_by_windows_equals_a_plain_fold(spark):
+def test_health_equals_a_plain_fold(spark):
     import random
 
     draw = random.Random(8)
