@@ -508,15 +508,8 @@ def citation_grounding(spark, sf_dir):
 
 @_query("SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)")
 def benchmark_containment(spark, sf_dir):
-    """Documents that hold an item's text: they meet on three inner words of it, then the whole text decides. Items too short for that are few and compared directly."""
-    docs, bench = T.table(spark, sf_dir, "documents"), T.table(spark, sf_dir, "benchmark")
-    items = bench.where("text IS NOT NULL").select("item_id", F.col("text").alias("item"), F.split("text", r"\s+").alias("w"))
-    three = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-    runs = F.transform(F.array(F.split("text", r"\s+")), lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: three(w, i)))
-    met = docs.where("text IS NOT NULL").select("doc_id", F.explode(F.array_distinct(F.flatten(runs))).alias("at")).join(items.where(F.size("w") >= 5).select("item_id", three(F.col("w"), F.lit(1)).alias("at")), "at").select("doc_id", "item_id").distinct()
-    long = met.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", "item"), "item_id").where(F.col("text").contains(F.col("item")))
-    short = docs.join(items.where(F.size("w") < 5), F.col("text").contains(F.col("item")))
-    return long.select("doc_id", "item_id").union(short.select("doc_id", "item_id"))
+    items = T.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
+    return grounding.containing(T.table(spark, sf_dir, "documents").select("doc_id", "text"), items)
 
 
 @_query("""WITH u AS (SELECT conv_id, turn, role, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used_before FROM conversations)

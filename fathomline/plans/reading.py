@@ -21,6 +21,53 @@ def lean_targets(spark, sf_dir):
     return found.select("page_id", (F.col("page_id") % 4).alias("kind"), F.get("lean_urls", F.lit(0)).alias("lean_url"), "place")
 
 
+#: Addresses of other kinds and the first lighter form of each; {k} is the page's number.
+_SHAPES = [
+    ("https://en.m.wikipedia.org/wiki/Topic_{k}#History", "https://en.wikipedia.org/w/api.php?action=query&prop=extracts&explaintext=1&redirects=1&format=json&formatversion=2&titles=Topic_{k}"),
+    ("https://arxiv.org/pdf/2101.0{k}v2.pdf", "https://arxiv.org/html/2101.0{k}v2"), ("https://github.com/o{k}/r/blob/main/src/a.py?raw=1", "https://raw.githubusercontent.com/o{k}/r/main/src/a.py"),
+    ("https://huggingface.co/datasets/o{k}/d/", "https://huggingface.co/datasets/o{k}/d/raw/main/README.md"), ("https://crates.io/crates/crate{k}", "https://docs.rs/crate/crate{k}/latest"), ("https://www.npmjs.com/package/@s{k}/p", "https://unpkg.com/@s{k}/p/README.md"),
+    ("https://github.com/o{k}/r/issues/7#c", "https://api.github.com/repos/o{k}/r/issues/7"), ("https://github.com/o{k}/r/releases/tag/v1", "https://api.github.com/repos/o{k}/r/releases/tags/v1"), ("https://github.com/o{k}/r/releases", "https://api.github.com/repos/o{k}/r/releases?per_page=10"),
+    ("https://doc.rust-lang.org/stable/book/ch{k}.html", "https://raw.githubusercontent.com/rust-lang/book/HEAD/src/ch{k}.md"), ("https://github.com/o{k}/r/wiki/Page-1", "https://raw.githubusercontent.com/wiki/o{k}/r/Page-1.md"),
+    ("https://react.dev/learn/topic{k}", "https://raw.githubusercontent.com/reactjs/react.dev/main/src/content/learn/topic{k}.md"), ("https://vuejs.org/guide/topic{k}.html", "https://raw.githubusercontent.com/vuejs/docs/main/src/guide/topic{k}.md"),
+    ("https://docs.djangoproject.com/en/5.0/topics/t{k}/", "https://raw.githubusercontent.com/django/django/stable/5.0.x/docs/topics/t{k}.txt"), ("https://stackoverflow.com/questions/{k}/a-title", "https://api.stackexchange.com/2.3/questions/{k}?site=stackoverflow&filter=withbody"),
+    ("https://pubmed.ncbi.nlm.nih.gov/{k}/", "https://eutils.ncbi.nlm.nih.gov/entrez/eutils/efetch.fcgi?db=pubmed&id={k}&rettype=abstract&retmode=text"), ("https://www.pnas.org/doi/full/10.1073/x{k}", "https://api.crossref.org/works/10.1073/x{k}"), ("https://gitlab.com/g{k}/sub/p", "https://gitlab.com/g{k}/sub/p/-/raw/HEAD/README.md"),
+    ("https://www.biorxiv.org/content/10.1101/2020.{k}v3.full", "https://api.biorxiv.org/details/biorxiv/10.1101/2020.{k}"), ("https://github.com/o{k}/r/tree/main/lib", "https://api.github.com/repos/o{k}/r/contents/lib?ref=main"), ("https://example.com/{k}", None),
+]
+
+
+def _number_sql(key: str) -> str:
+    return f"lpad(CAST({key} % 9000 + 1 AS VARCHAR), 4, '0')"
+
+
+_SHAPES_SQL = " ".join(f"WHEN {i} THEN '" + lean_url.replace("{k}", f"' || {_number_sql('c_custkey')} || '") + "'" for i, (_, lean_url) in enumerate(_SHAPES) if lean_url)
+
+
+@_query(f"SELECT c_custkey AS page_id, CASE c_custkey % {len(_SHAPES)} {_SHAPES_SQL} END AS lean_url FROM customer WHERE c_custkey % {len(_SHAPES)} <> {len(_SHAPES) - 1}")
+def lean_rules(spark, sf_dir):
+    """The first lighter form of addresses of twenty more kinds; one kind has none."""
+    key = F.col("c_custkey")
+    number = F.lpad((key % 9000 + 1).cast("string"), 4, "0")
+    address = F.get(F.array(*[F.lit(page) for page, _ in _SHAPES]), (key % len(_SHAPES)).cast("int"))
+    pages = T.table(spark, sf_dir, "customer").select(key.alias("page_id"), F.replace(address, F.lit("{k}"), number).alias("url"))
+    return lean.targets(pages).where("place = 0").select("page_id", F.get("lean_urls", F.lit(0)).alias("lean_url"))
+
+
+@_query("""SELECT p_partkey AS page_id, p_name AS title, '# ' || p_name || chr(10) || chr(10) || 'Journal, 2020' || chr(10) || chr(10) || 'Ann Bell' || chr(10) || chr(10) || 'DOI: 10.1073/x' || p_partkey || chr(10) || chr(10) || '## Abstract' || chr(10) || chr(10)
+  || CASE WHEN p_partkey % 2 = 0 THEN 'By the first' ELSE 'by the second' END || CASE WHEN p_partkey % 2 = 1 THEN chr(10) || chr(10) || 'Open-access copy: https://oa.example.org/' || p_partkey ELSE '' END AS text FROM part""")
+def doi_records(spark, sf_dir):
+    """A paper's record from one index, its abstract and open copy from another where the first has none."""
+    key = F.col("p_partkey").cast("string")
+    part = T.table(spark, sf_dir, "part")
+    doi = F.concat(F.lit("10.1073/x"), key)
+    found = lean.targets(part.select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://www.pnas.org/doi/abs/"), doi).alias("url")))
+    first = F.to_json(F.struct(F.struct(F.array("p_name").alias("title"), F.when(F.col("p_partkey") % 2 == 0, "<jats:p>By the first</jats:p>").alias("abstract"), F.array(F.lit("Journal")).alias("container-title"), F.array(F.struct(F.lit("Ann").alias("given"), F.lit("Bell").alias("family"))).alias("author"), F.struct(F.array(F.array(F.lit(2020)))).alias("issued")).alias("message")))
+    first = F.replace(first, F.lit('"issued":{"col1"'), F.lit('"issued":{"date-parts"'))
+    second = F.when(F.col("p_partkey") % 2 == 1, F.concat(F.lit('{"abstract_inverted_index":{"second":[2],"by":[0],"the":[1]},"open_access":{"oa_url":"https://oa.example.org/'), key, F.lit('"}}'))).otherwise("{}")
+    urls = found.where("place = 0").select("page_id", F.get("lean_urls", F.lit(0)).alias("u1"), F.get("lean_urls", F.lit(1)).alias("u2")).join(part.select(F.col("p_partkey").alias("page_id"), first.alias("b1"), second.alias("b2")), "page_id")
+    bodies = urls.select(F.inline(F.array(F.struct(F.col("u1").alias("lean_url"), F.col("b1").alias("body")), F.struct(F.col("u2").alias("lean_url"), F.col("b2").alias("body")))))
+    return lean.read(found, bodies).select("page_id", "title", "text")
+
+
 def _known_pages(spark, sf_dir):
     key = F.col("page_id").cast("string")
     shapes = F.array(F.concat(F.lit("https://github.com/o"), key, F.lit("/r")), F.concat(F.lit("https://datatracker.ietf.org/doc/html/rfc"), (F.col("page_id") % 90_000 + 1).cast("string")), F.concat(F.lit("https://kubernetes.io/docs/a/p"), key, F.lit("/?x=1")), F.col("url"))

@@ -218,3 +218,11 @@ def test_robots_patterns_past_the_bound_are_not_read(spark):
     asked = spark.createDataFrame([("o", "/p5"), ("o", "/late"), ("o", "/p5"), ("q", "/p5")], "origin string, path string")
     got = [(r.origin, r.path, r.permitted, r.warning) for r in robots.permitted(robots.decide(asked, rules, "fathom"), "warn").collect()]
     assert sorted(got) == [("o", "/late", True, False), ("o", "/p5", True, True), ("o", "/p5", True, True), ("q", "/p5", True, False)]
+
+
+def test_containment_of_long_short_and_odd_items(spark):
+    docs = [(1, "so the quick brown fox, jumps over the lazy dog today"), (2, "quickfox"), (3, None), (4, ""), (2, "quickfox again"), (5, "the quick brown fox jumps")]
+    items = [(10, "ick brown fox, jumps over the la"), (11, "fox"), (12, "fox"), (13, None), (14, "quick brown"), (15, "absent"), (16, "k b")]
+    got = grounding.containing(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item string"))
+    want = {(d, i) for d, t in docs for i, s in items if t is not None and s is not None and s in t}
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and got.count() == len(want)
