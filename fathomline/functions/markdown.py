@@ -17,9 +17,9 @@ BLOCKS = ["p", "div", "section", "article", "main", "header", "aside", "blockquo
 #: What becomes of tags, in order: (pattern, replacement).
 STEPS = [
     (element_pattern(AROUND), " "), (r"(?s)<!--.*?(?:-->|\z)", " "), (r"(?is)<title\b[^>]*>.*?</title\s*>", " "), (r"[\t\r\n ]+", " "),
-    *[(rf"(?i) ?<h{n}\b[^>]*> ?", "\n\n" + "#" * n + " ") for n in range(1, 7)], (r"(?i) ?</h[1-6]\s*> ?", "\n\n"),
-    (r"(?i) ?<li\b[^>]*> ?", "\n- "), (r"(?i) ?</li\s*> ?", "\n"), (r"(?i) ?<tr\b[^>]*> ?", "\n| "), (r"(?i) ?</t[dh]\s*> ?", " | "), (r"(?i) ?</tr\s*> ?", "\n"), (r"(?i)</?(?:strong|b)>", "**"), (r"(?i)</?code>", "`"),
-    (r"(?i) ?<br\s*/?> ?", "\n"), (rf"(?i) ?</?(?:{'|'.join(BLOCKS)})\b[^>]*> ?", "\n\n"), (r"<[^<>]+>", ""), (r"[\x00-\x08\x0b-\x1f\x7f]", ""), (r" *\n *", "\n"), (r"\n{3,}", "\n\n"), (r" {2,}", " "),
+    *[(rf"(?i)<h{n}\b[^>]*>", "\n\n" + "#" * n + " ") for n in range(1, 7)], (r"(?i)</h[1-6]\s*>", "\n\n"),
+    (r"(?i)<li\b[^>]*>", "\n- "), (r"(?i)</li\s*>", "\n"), (r"(?i)<tr\b[^>]*>", "\n| "), (r"(?i)</t[dh]\s*>", " | "), (r"(?i)</tr\s*>", "\n"), (r"(?i)</?(?:strong|b)>", "**"), (r"(?i)</?code>", "`"),
+    (r"(?i)<br\s*/?>", "\n"), (rf"(?i)</?(?:{'|'.join(BLOCKS)})\b[^>]*>", "\n\n"), (r"<[^<>]+>", ""), (r"[\x00-\x08\x0b-\x1f\x7f]", ""), (r" {2,}", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"),
 ]
 
 

@@ -59,7 +59,8 @@ def merge_items(items: DataFrame) -> DataFrame:
     value = lambda c: F.coalesce(F.col(f"first.{c}"), F.get(F.filter("rest", lambda o: o[c].isNotNull()), F.lit(0))[c]).alias(c)
     offer = lambda o: F.struct(o["pos"].alias("pos"), o["url"].alias("url"), F.coalesce(F.nullif(o["seller"], F.lit("")), doc_domain(o["url"])).alias("seller"), o["amount"].alias("price"), o["currency"].alias("currency"), o["availability"].alias("availability"), o["condition"].alias("condition"))
     merged = products.select("group", "product", *[F.col(f"first.{c}").alias(c) for c in ("identity", "url", "title", "seller", "currency", "amount", "availability", "condition")], fill("brand"), fill("image"), value("rating"), value("reviews"), F.transform("rest", offer).alias("offers"), "offer_count", "pos")
-    common = merged.groupBy("group", "currency").agg(F.count("amount").alias("common"))
+    # one exchange by group serves both windows
+    merged = merged.repartition("group").withColumn("common", F.count("amount").over(Window.partitionBy("group", "currency")))
     loner = F.col("product").startswith("_").cast("int")
     order = Window.partitionBy("group").orderBy(F.col("amount").isNull(), F.desc("common"), "currency", F.coalesce("amount", F.lit(0.0)), loner, "pos", "product")
-    return merged.join(common, ["group", "currency"]).withColumn("place", F.row_number().over(order)).drop("common", "pos")
+    return merged.withColumn("place", F.row_number().over(order)).drop("common", "pos")

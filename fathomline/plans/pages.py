@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import asking, markdown, net, text
 from ..operators import research, robots, routing, state
+from ..scratch import written
 from ..sources import apis, cards, listings, records, serp, video
 from . import tables as T
 from .queries import _query
@@ -59,7 +60,8 @@ def _state_pages(spark, sf_dir):
     script = lambda json: F.concat(F.lit("<script>window.__STATE__ = "), json, F.lit(";</script>"))
     html = _pick(key, card, script(vehicle), script(nested), F.concat(script(named), F.lit("<p>"), "p_name", F.lit("</p>")))
     total = F.concat(F.lit('<script>var c={"totalCount":'), said, F.lit(',"resultCount":'), said, F.lit(',"facetCount":5}</script>'))
-    return part.select(key.alias("page_id"), F.lit("https://shop.example.com/list").alias("url"), F.concat(html, total).alias("html"))
+    made = part.repartition(spark.sparkContext.defaultParallelism, key).select(key.alias("page_id"), F.lit("https://shop.example.com/list").alias("url"), F.concat(html, total).alias("html"))
+    return written(made, "state-pages")  # a table, as captured pages are
 
 
 @_query(f"""WITH {_STATE_SQL}, h AS (SELECT *, p_partkey % 3 AS n FROM p)
