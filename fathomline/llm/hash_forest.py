@@ -15,8 +15,8 @@ common vector costs one entry.
 
 ``share`` (candidates as a share of a block, ``least`` at least) decides the recall: vectors whose
 neighbours are barely nearer than the rest need a large one. It is fitted, unless given: on a bounded
-sample of classes (one block, ``FIT_QUERIES`` of them as queries) the forest is held against brute force
-and the smallest of ``SHARES`` whose recall reaches ``target`` is taken. Every class is indexed.
+sample of classes (one block, ``FIT_QUERIES`` of them as queries) the forest is held against brute force,
+for as many neighbours as a block may hold of the k nearest of all (``fit_k``), and the smallest of ``SHARES`` whose recall reaches ``target`` is taken. Every class is indexed.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part. Vectors of
 different lengths never meet. Repeated rows count once; an id that repeats with other vectors is searched
@@ -150,6 +150,11 @@ def fit_share(vectors: np.ndarray, radius: float, k: int, trees: int, least: int
     return share, recall(share)
 
 
+def fit_k(k: int, blocks: int) -> int:
+    """How many neighbours in one block a fit looks at: half as many again as fall to a block on average, since only the nearest of all blocks count."""
+    return min(k, -(-3 * k // (2 * blocks)))
+
+
 def _fitted(classes: DataFrame, n: int, radius: float, k: int, trees: int, least: int, target: float, block_rows: int) -> float:
     """The largest of the shares that the vectors' lengths need, each fitted on a sample of at most about one block."""
     chance = F.pmod(F.xxhash64("class", F.lit(3)), F.lit(1 << 30)) < int(min(1.0, block_rows / max(n, 1)) * (1 << 30))
@@ -193,9 +198,9 @@ def nearest(
     members = ids.withColumn("place", F.row_number().over(smallest)).where(F.col("place") <= k + 1).join(named, ["a", "b"]).select(F.col("class").alias("found"), F.col("id").alias("candidate"))
 
     n, asked = classes.count(), classes.where("asks").count()
-    if share is None:
-        share = _fitted(classes, n, radius, k, trees, least, target, block_rows)
     blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-asked // query_rows))
+    if share is None:
+        share = _fitted(classes, n, radius, fit_k(k, blocks), trees, least, target, block_rows)
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     own = lambda count, salt: F.pmod(F.xxhash64("class", F.lit(salt)), F.lit(count)).cast("int")
     index = classes.select("class", "vector", "width", own(blocks, 1).alias("block"), every(query_blocks).alias("query_block"))
