@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import decode_ids, encode_texts
+from .conversation_repair import damaged, repair
 from .decontaminate import contamination
 from .chat_format import digests, format_conversations
 from .hash_forest import nearest
@@ -18,6 +20,7 @@ from .toxicity_chain import predict
 from .toxicity_chain import train as train_toxicity
 from .token_count import count_tokens
 from .token_store import store_digest
+from .whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,6 +118,80 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    read = decode_ids(encode_texts(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
+    return read.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damaged(_table(spark, sf_dir, "conversations")))
+
+
+#: Signatures are folded from their ends; of each state (1 nothing, 2 a system turn, 3 whole pairs, 4 a user turn) the best so far is its
+#: cost in nine digits before its audit, so the least string is the least cost and then the least audit.
+_OP13_SQL = r"""
+WITH source AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+dealt AS (
+  SELECT *, xor(list_reduce(list_transform(string_split(name, ''), lambda ch: CAST(ascii(ch) AS BIGINT)),
+                            lambda c, b: list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)),
+                            CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS dealt FROM source),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN dealt = 4 THEN 'user' ELSE role END AS role,
+         CASE dealt WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN dealt = 3 THEN 2 ELSE 1 END)) AS copy FROM dealt WHERE dealt <> 0),
+placed AS (
+  SELECT *, left(role, 1) AS initial, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS place,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen FROM damaged),
+judged AS (
+  SELECT *, CASE WHEN bare = '' THEN 1 WHEN seen THEN 2 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY place) AS before FROM placed),
+coded AS (
+  SELECT *, CASE WHEN fault IN (1, 2) THEN '-' WHEN initial NOT IN ('s', 'u', 'a') THEN CASE fault WHEN 3 THEN 'X' ELSE 'x' END
+                 WHEN fault = 3 THEN upper(initial) ELSE initial END AS code FROM judged),
+read AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+         count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+         count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal, list(code ORDER BY place DESC) AS back FROM coded GROUP BY conv_id),
+solved AS (
+  SELECT *, list_reduce(list_concat(back, ['.']), lambda v, ch:
+      list_transform([[
+        list_min([v[1], lpad(CAST(CAST(left(v[4], 9) AS INT) + 3 AS VARCHAR), 9, '0') || 'I' || substr(v[4], 10), lpad(CAST(CAST(left(v[3], 9) AS INT) + 6 AS VARCHAR), 9, '0') || 'II' || substr(v[3], 10)]),
+        list_min([v[2], lpad(CAST(CAST(left(v[4], 9) AS INT) + 3 AS VARCHAR), 9, '0') || 'I' || substr(v[4], 10), lpad(CAST(CAST(left(v[3], 9) AS INT) + 6 AS VARCHAR), 9, '0') || 'II' || substr(v[3], 10)]),
+        list_min([v[3], lpad(CAST(CAST(left(v[4], 9) AS INT) + 3 AS VARCHAR), 9, '0') || 'I' || substr(v[4], 10)]),
+        list_min([v[4], lpad(CAST(CAST(left(v[3], 9) AS INT) + 3 AS VARCHAR), 9, '0') || 'I' || substr(v[3], 10)])]],
+      lambda w: CASE WHEN ch = '.' THEN w ELSE list_transform([1, 2, 3, 4], lambda s: list_min(list_transform(list_filter([
+          {'goes': s, 'cost': 4, 'edit': 'D'},
+          {'goes': CASE WHEN ch = '-' THEN 0 WHEN s = 4 THEN 3 ELSE 4 END, 'cost': 3 + CASE WHEN ch = upper(ch) THEN 3 ELSE 0 END, 'edit': 'R'},
+          {'goes': CASE WHEN lower(ch) = 's' AND s = 1 THEN 2 WHEN lower(ch) = 'u' AND s <> 4 THEN 4 WHEN lower(ch) = 'a' AND s = 4 THEN 3 ELSE 0 END, 'cost': CASE WHEN ch = upper(ch) THEN 3 ELSE 0 END, 'edit': 'K'}],
+        lambda o: o.goes > 0), lambda o: lpad(CAST(CAST(left(w[o.goes], 9) AS INT) + o.cost AS VARCHAR), 9, '0') || o.edit || substr(w[o.goes], 10)))) END)[1],
+    ['000000000', '099999999', '000000000', '099999999'])[1] AS best FROM read),
+edits AS (
+  SELECT conv_id, unnest(string_split(substr(best, 10), '')) AS edit, generate_subscripts(string_split(substr(best, 10), ''), 1) AS step FROM solved WHERE length(best) > 9),
+steps AS (
+  SELECT *, count(*) FILTER (edit <> 'I') OVER w AS place, count(*) FILTER (edit <> 'D') OVER w AS written FROM edits
+  WINDOW w AS (PARTITION BY conv_id ORDER BY step ROWS UNBOUNDED PRECEDING)),
+kept AS (
+  SELECT s.conv_id, s.edit, s.written, c.role, CASE WHEN s.edit = 'I' THEN '' ELSE c.text END AS text, c.initial
+  FROM steps s LEFT JOIN coded c ON s.edit <> 'I' AND c.conv_id IS NOT DISTINCT FROM s.conv_id AND c.place = s.place WHERE s.edit <> 'D'),
+led AS (SELECT *, max(CASE WHEN written = 1 AND edit = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS system FROM kept),
+repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (written - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY written) AS whole
+  FROM led GROUP BY conv_id)
+SELECT o.conv_id, coalesce(s.gaps, 0) AS gaps, coalesce(s.blank, 0) AS blank, coalesce(s.duplicate, 0) AS duplicate, coalesce(s.truncated, 0) AS truncated,
+       coalesce(s.illegal, 0) AS illegal, coalesce(CAST(left(s.best, 9) AS BIGINT), 0) AS cost, coalesce(substr(s.best, 10), '') AS audit, sha256(coalesce(r.whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN solved s ON s.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -126,5 +203,8 @@ QUERIES = {
     "op8_hash_forest": op8_hash_forest,
     "op9_chat_format": op9_chat_format,
     "op10_token_store": op10_token_store,
+    "op11_whitening": op11_whitening,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_conversation_repair": op13_conversation_repair,
 }
-ORACLE_SQL: dict[str, str] = {"op1_near_dedup": _OP1_SQL, "op9_chat_format": _OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_near_dedup": _OP1_SQL, "op9_chat_format": _OP9_SQL, "op13_conversation_repair": _OP13_SQL}
