@@ -30,7 +30,8 @@ from .common import by_bytes, output
 from .unit_encoder import UnitEncoder
 from .words import mix
 
-BATCH_BYTES = 8_000_000
+#: Bytes of text, or of ids, that are worked on at a time.
+BATCH_BYTES = 4_000_000
 #: The pattern whose units unit_encoder knows; texts are cut only by their own matches under any other.
 KNOWN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -171,24 +172,27 @@ class RankEncoder(UnitEncoder):
 
     def merged(self, match: bytes) -> list[int]:
         """The ids of a match that is no token: of all adjacent pairs the lowest rank, leftmost first, is merged until none is left."""
-        pairs, rank = self.pairs, [self.byte[b] for b in match]
+        pair, rank = self.pairs.get, [self.byte[b] for b in match]
         n = len(rank)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i) for i in range(n - 1) if (r := pairs.get(rank[i] << 32 | rank[i + 1])) is not None]
+        # rank and place in one number, so that the heap compares numbers
+        heap = [r << 32 | i for i in range(n - 1) if (r := pair(rank[i] << 32 | rank[i + 1], -1)) >= 0]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            r, i = heapq.heappop(heap)
+            least = pop(heap)
+            r, i = least >> 32, least & 0xFFFFFFFF
             j = after[i]
-            if rank[i] < 0 or j >= n or pairs.get(rank[i] << 32 | rank[j]) != r:
+            if rank[i] < 0 or j >= n or pair(rank[i] << 32 | rank[j]) != r:
                 continue  # one of the two has been merged since
             rank[i], rank[j] = r, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (own := pairs.get(r << 32 | rank[k])) is not None:
-                    heapq.heappush(heap, (own, i))
-            if (h := before[i]) >= 0 and (own := pairs.get(rank[h] << 32 | r)) is not None:
-                heapq.heappush(heap, (own, h))
+                if (own := pair(r << 32 | rank[k], -1)) >= 0:
+                    push(heap, own << 32 | i)
+            if (h := before[i]) >= 0 and (own := pair(rank[h] << 32 | r, -1)) >= 0:
+                push(heap, own << 32 | h)
         return [r for r in rank if r >= 0]
 
     def _cuts(self, raw: np.ndarray) -> np.ndarray:
@@ -224,23 +228,35 @@ class RankEncoder(UnitEncoder):
             raise ValueError(f"the file has no token {int(ids.max())}")
         size = np.diff(self.ends)[ids]
         upto = np.concatenate([[0], np.cumsum(size)])
-        return self.raw[np.repeat(self.ends[:-1][ids] - upto[:-1], size) + np.arange(upto[-1])], upto
+        raw = np.empty(upto[-1], np.uint8)
+        for a in range(0, len(ids), 1 << 18):  # places of bytes take eight times the bytes
+            b = min(a + (1 << 18), len(ids))
+            raw[upto[a] : upto[b]] = self.raw[np.repeat(self.ends[:-1][ids[a:b]] - upto[a:b] + upto[a], size[a:b]) + np.arange(upto[b] - upto[a])]
+        return raw, upto
 
 
-def encode_texts(docs: DataFrame, ranks: str, pattern: str = KNOWN_PATTERN, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """(id, n_tokens, ids) of each row; ids: binary, little-endian unsigned 32-bit; ranks: path of a rank file on every worker."""
-    schema = pa.schema([("key", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.large_binary())])
+def encode_texts(docs: DataFrame, ranks: str, pattern: str = KNOWN_PATTERN, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """(id, n_tokens, ids) of each row; ids: binary, little-endian unsigned 32-bit; ranks: path of a rank file on every worker.
+
+    With ``decoded`` one column more: the bytes that decode_ids gives for the ids, made in the same pass.
+    """
+    schema = pa.schema([("key", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.large_binary()), *([("decoded", pa.large_binary())] if decoded else [])])
 
     def encoded(batches):
         for batch in by_bytes(batches, "text", batch_bytes):
-            ids, ends = rank_encoder(ranks, pattern).encode(batch.column("text"))
-            yield output(schema, [batch.column("key"), np.diff(ends), _binaries(ids.astype("<u4").view(np.uint8), 4 * ends)])
+            known = rank_encoder(ranks, pattern)
+            ids, ends = known.encode(batch.column("text"))
+            columns = [batch.column("key"), np.diff(ends), _binaries(ids.astype("<u4").view(np.uint8), 4 * ends)]
+            if decoded:
+                raw, upto = known.decode(ids)
+                columns.append(_binaries(raw, upto[ends]))
+            yield output(schema, columns)
 
     rows = docs.select(docs[id_col].cast("long").alias("key"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(encoded, "key long, n_tokens long, ids binary").withColumnRenamed("key", id_col)
+    return rows.mapInArrow(encoded, "key long, n_tokens long, ids binary" + (", decoded binary" if decoded else "")).withColumnRenamed("key", id_col)
 
 
-def decode_ids(rows: DataFrame, ranks: str, pattern: str = KNOWN_PATTERN, ids_col: str = "ids", decoded_col: str = "decoded", batch_bytes: int = 4 * BATCH_BYTES) -> DataFrame:
+def decode_ids(rows: DataFrame, ranks: str, pattern: str = KNOWN_PATTERN, ids_col: str = "ids", decoded_col: str = "decoded", batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """The rows with the bytes of their ids in one more column."""
     names = rows.columns
     plain = rows.toDF(*[f"c{i}" for i in range(len(names))])

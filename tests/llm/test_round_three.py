@@ -102,6 +102,8 @@ def test_encoding_is_the_librarys_and_decodes_to_the_text(spark):
     plain = library()
     want = sorted((i // 2 * 2, np.array(plain.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t in enumerate(texts))
     assert sorted((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in rows) == want and all(r.n_tokens * 4 == len(r.ids) for r in rows)
+    both = byte_bpe.encode_texts(docs, RANKS, decoded=True, batch_bytes=60_000).collect()
+    assert sorted((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in both) == want
     assert byte_bpe.encode_texts(docs.limit(0), RANKS).count() == 0
 
 
