@@ -50,9 +50,6 @@ def covers(cached_k: Column, asked_k: Column) -> Column:
     return cached_k >= asked_k
 
 
-_TAG = r"^[A-Za-z]{2,3}(?:-[A-Za-z0-9]{2,8})*$"
-
-
 def locale_of(tag: Column) -> Column:
     """struct(locale, region) of a language tag, in its canonical spelling; null if it is none, region null if it names none."""
     spelled = F.replace(F.trim(F.coalesce(tag, F.lit(""))), F.lit("_"), F.lit("-"))
@@ -64,4 +61,8 @@ def locale_of(tag: Column) -> Column:
         region = F.lower(F.get(F.filter(rest, lambda p: p.rlike("^[A-Za-z]{2}$")), F.lit(0)))
         return F.struct(F.array_join(F.concat(F.array(F.lower(F.get(parts, F.lit(0)))), F.transform(rest, canon)), "-").alias("locale"), region.alias("region"))
 
-    return F.when(spelled.rlike(_TAG) & (F.length(spelled) <= 35), bound(F.split(spelled, "-"), read))
+    def checked(parts: Column) -> Column:
+        sound = F.get(parts, F.lit(0)).rlike("^[A-Za-z]{2,3}$") & F.forall(F.slice(parts, 2, 64), lambda p: p.rlike("^[A-Za-z0-9]{2,8}$"))
+        return F.when(sound, read(parts))
+
+    return F.when(F.length(spelled) <= 35, bound(F.split(spelled, "-"), checked))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import bound
 from .text import element_pattern, unescaped, visible_text
 
 # Elements around the text of a page that are not part of it, and elements that end a line.
@@ -16,10 +17,10 @@ BLOCKS = ["p", "div", "section", "article", "main", "header", "aside", "blockquo
 
 #: What becomes of tags, in order: (pattern, replacement).
 STEPS = [
-    (element_pattern(AROUND), " "), (r"(?s)<!--.*?(?:-->|\z)", " "), (r"(?is)<title\b[^>]*>.*?</title\s*>", " "), (r"[\t\r\n ]+", " "),
-    *[(rf"(?i)<h{n}\b[^>]*>", "\n\n" + "#" * n + " ") for n in range(1, 7)], (r"(?i)</h[1-6]\s*>", "\n\n"),
-    (r"(?i)<li\b[^>]*>", "\n- "), (r"(?i)</li\s*>", "\n"), (r"(?i)<tr\b[^>]*>", "\n| "), (r"(?i)</t[dh]\s*>", " | "), (r"(?i)</tr\s*>", "\n"), (r"(?i)</?(?:strong|b)>", "**"), (r"(?i)</?code>", "`"),
-    (r"(?i)<br\s*/?>", "\n"), (rf"(?i)</?(?:{'|'.join(BLOCKS)})\b[^>]*>", "\n\n"), (r"<[^<>]+>", ""), (r"[\x00-\x08\x0b-\x1f\x7f]", ""), (r" {2,}", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"),
+    (element_pattern(AROUND), " "), (r"(?s)<!--.*?(?:-->|\z)", " "), (r"(?is)<title\b[^<>]*>.*?(?:</title\s*>|\z)", " "), (r"[\t\r\n ]+", " "),
+    *[(rf"(?i)<h{n}\b[^<>]*>", "\n\n" + "#" * n + " ") for n in range(1, 7)], (r"(?i)</h[1-6]\s*>", "\n\n"),
+    (r"(?i)<li\b[^<>]*>", "\n- "), (r"(?i)</li\s*>", "\n"), (r"(?i)<tr\b[^<>]*>", "\n| "), (r"(?i)</t[dh]\s*>", " | "), (r"(?i)</tr\s*>", "\n"), (r"(?i)</?(?:strong|b)>", "**"), (r"(?i)</?code>", "`"),
+    (r"(?i)<br\s*/?>", "\n"), (rf"(?i)</?(?:{'|'.join(BLOCKS)})\b[^<>]*>", "\n\n"), (r"<[^<>]+>", ""), (r"[\x00-\x08\x0b-\x1f\x7f]", ""), (r" {2,}", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"),
 ]
 
 
@@ -28,8 +29,8 @@ def to_markdown(html: Column) -> Column:
     text = html
     for pattern, mark in STEPS:
         text = F.regexp_replace(text, F.lit(pattern), F.lit(mark.replace("$", "\\$")))
-    text = F.regexp_replace(unescaped(text), r"\A\s+|\s+\z", "")
-    return F.when(text != "", text).otherwise(unescaped(visible_text(html)))
+    trimmed = F.regexp_replace(unescaped(text), r"\A\s+|\s+\z", "")
+    return bound(trimmed, lambda t: F.when(t != "", t).otherwise(unescaped(visible_text(html))))
 
 
 def excerpt(text: Column, most: int) -> Column:

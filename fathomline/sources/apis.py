@@ -72,9 +72,9 @@ def openalex(rows: DataFrame) -> DataFrame:
 
 def arxiv(rows: DataFrame) -> DataFrame:
     """Atom: a body without a feed, or with one entry of the error namespace, is a refusal."""
-    entries = F.regexp_extract_all("body", F.lit("(?s)<entry>(.*?)</entry>"), F.lit(1))
+    entries = F.regexp_extract_all("body", F.lit(r"(?s)<entry>(.*?)(?:</entry>|\z)"), F.lit(1))
     good = F.col("body").contains("<feed") & ~((F.size(entries) == 1) & F.get(entries, F.lit(0)).contains("api/errors"))
-    part = lambda e, tag: strip_tags(F.regexp_extract(e, f"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1))
+    part = lambda e, tag: strip_tags(F.regexp_extract(e, rf"(?s)<{tag}\b[^<>]*+>(.*?)(?:</{tag}>|\z)", 1))
     return _documents(rows, "arxiv", F.when(good, entries), F.lit("arxiv refused"), lambda e: (part(e, "id"), part(e, "title"), F.substring(part(e, "summary"), 1, 400), F.substring(part(e, "published"), 1, 10)))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.money import parse_price
+from ..functions.net import attribute
 from ..functions.text import strip_tags
 from ..functions.url import canonical_url, domain_allowed, is_product_url, netloc_of
 from .listings import jsonld_items
@@ -49,12 +50,14 @@ def card_fields(spans: Column) -> Column:
 def dom_cards(pages: DataFrame) -> DataFrame:
     """(page_id, pos, identity, url, title, amount, was, availability, condition, place, delivery) of the cards of rendered pages (page_id, html), each item once.
 
-    An anchor without a title (around a picture) does not claim its item.
+    An anchor without a title (around a picture) does not claim its item. One that is never closed ends where the next begins.
     """
-    anchors = F.regexp_extract_all("html", F.lit(r'(?is)<a\b[^>]*href="[^"]*/marketplace/item/\d+[^"]*"[^>]*>.*?</a\s*>'), F.lit(0))
-    each = pages.select("page_id", F.posexplode(anchors).alias("pos", "a"))
-    texts = F.filter(F.transform(F.regexp_extract_all("a", F.lit(r"(?is)<span[^>]*>([^<]*)"), F.lit(1)), strip_tags), lambda s: s != "")
-    read = each.select("page_id", "pos", F.regexp_extract("a", r"/marketplace/item/(\d+)", 1).alias("item"), texts.alias("spans")).withColumn("f", card_fields(F.col("spans"))).where("f.title <> ''")
+    # each anchor's text is read once: it ends at the next tag of an anchor, whichever that is
+    anchors = F.regexp_extract_all("html", F.lit(r"(?is)<a\b[^<>]*+>(?:(?!</?a\b).)*+"), F.lit(0))
+    leads = F.coalesce(attribute(F.regexp_extract("a", "^<[^<>]*+>", 0), "href"), F.lit(""))
+    each = pages.select("page_id", F.posexplode(anchors).alias("pos", "a")).withColumn("item", F.regexp_extract(leads, r"/marketplace/item/(\d++)", 1)).where("item <> ''")
+    texts = F.filter(F.transform(F.regexp_extract_all("a", F.lit(r"(?is)<span\b[^<>]*+>([^<]*+)"), F.lit(1)), strip_tags), lambda s: s != "")
+    read = each.select("page_id", "pos", "item", texts.alias("spans")).withColumn("f", card_fields(F.col("spans"))).where("f.title <> ''")
     once = read.groupBy("page_id", "item").agg(F.min(F.struct("pos", "f")).alias("c"))
     status = F.transform("c.f.badges", lambda b: F.lower(F.trim(b)))
     availability = F.when(F.array_contains(status, "sold"), "SoldOut").when(F.array_contains(status, "pending"), "Pending").otherwise("InStock")

@@ -13,7 +13,8 @@ from ..functions.text import visible_text
 from .objects import objects_column
 from .records import generic_listings, is_engine, merged, result_counts, row_text, without_twins
 
-_LD = r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
+#: The text of JSON-LD scripts; one that is never closed reaches to the end of its page.
+_LD = r"""(?is)<script\b[^<>]*["']application/ld\+json["'][^<>]*+>(.*?)(?:</script\s*>|\z)"""
 _NODE = "`@type` string, name string, url string, gtin13 string, gtin string, mpn string, sku string, image string, brand string, aggregateRating struct<ratingValue:double,reviewCount:int>, offers string, seller string, vehicleIdentificationNumber string, mileageFromOdometer string, vehicleTransmission string, vehicleEngine string"
 # Types of nodes that are products.
 TYPES = ["Product", "ProductGroup", "Vehicle", "IndividualProduct", "Car", "Motorcycle"]

@@ -27,23 +27,41 @@ def unwrap_bing(href: Column) -> Column:
     return F.when(href.contains("/ck/a") & (packed != ""), target).otherwise(href)
 
 
+def _blocks(body: Column, tag: str, word: str) -> Column:
+    """The parts of a page that begin with a tag in which a word stands, each to the next."""
+    # the blank keeps what precedes the first tag, as a split at the very beginning would leave nothing
+    return F.slice(F.split(F.concat(F.lit(" "), body), rf"(?i)(?=<{tag}\b[^<>]*\b{word}\b)"), 2, 1 << 30)
+
+
+def _opening(block: Column) -> Column:
+    return F.regexp_extract(block, "^<[^<>]*+>", 0)
+
+
+def _inside(html: Column, tag: str) -> Column:
+    """What the first element of a name holds; "" without one."""
+    return F.regexp_extract(html, rf"(?is)<{tag}\b[^<>]*+>(.*?)(?:</{tag}\b|\z)", 1)
+
+
+def _behind(html: Column, word: str) -> Column:
+    """What the first tag in which a word stands holds, to the end of an anchor, division or cell; "" without one."""
+    rest = F.when(html.contains(word), F.substr(html, F.instr(html, word)))
+    return F.coalesce(F.get(F.split(F.substr(rest, F.instr(rest, ">") + 1), r"(?i)</(?:a|div|td)\b", 2), F.lit(0)), F.lit(""))
+
+
 def ddg_html(rows: DataFrame, limit: int = 20) -> DataFrame:
     """(query_id, rank, url, title, snippet) of (query_id, body): organic anchors; links back to the engine are dropped."""
-    blocks = F.regexp_extract_all("body", F.lit(r'(?is)(<a[^>]*class="[^"]*result__a[^"]*".*?)(?=<a[^>]*class="[^"]*result__a|\z)'), F.lit(1))
-    each = rows.select("query_id", F.posexplode(blocks).alias("pos", "block"))
-    found = each.select(
-        "query_id", "pos", unwrap_ddg(unescaped(F.regexp_extract("block", r'(?is)^<a[^>]*href="([^"]*)"', 1))).alias("url"), strip_tags(F.regexp_extract("block", "(?is)^<a[^>]*>(.*?)</a>", 1)).alias("title"),
-        strip_tags(F.regexp_extract("block", r'(?is)class="[^"]*result__snippet[^"]*"[^>]*>(.*?)</(?:a|div|td)>', 1)).alias("snippet"),
-    )
+    each = rows.select("query_id", F.posexplode(_blocks(F.col("body"), "a", "result__a")).alias("pos", "block"))
+    href = F.coalesce(attribute(_opening(F.col("block")), "href"), F.lit(""))
+    found = each.select("query_id", "pos", unwrap_ddg(unescaped(href)).alias("url"), strip_tags(_inside(F.col("block"), "a")).alias("title"), strip_tags(_behind(F.col("block"), "result__snippet")).alias("snippet"))
     kept = found.where(F.col("url").rlike("(?i)^https?://") & ~is_self_redirect(F.col("url"), "duckduckgo.com", "/y.js"))
     return _ranked(kept, limit)
 
 
 def ddg_lite(rows: DataFrame, limit: int = 20) -> DataFrame:
     """(query_id, rank, url, title) of the engine's lighter form, which has no snippets."""
-    anchors = F.regexp_extract_all("body", F.lit(r"""(?is)<a\b[^>]*class=["'][^"']*result-link[^"']*["'][^>]*>.*?</a\s*>"""), F.lit(0))
-    each = rows.select("query_id", F.posexplode(anchors).alias("pos", "a"))
-    found = each.select("query_id", "pos", unwrap_ddg(unescaped(attribute(F.regexp_extract("a", "^<[^>]*>", 0), "href"))).alias("url"), strip_tags(F.col("a")).alias("title"))
+    each = rows.select("query_id", F.posexplode(_blocks(F.col("body"), "a", "result-link")).alias("pos", "a"))
+    href = F.coalesce(attribute(_opening(F.col("a")), "href"), F.lit(""))
+    found = each.select("query_id", "pos", unwrap_ddg(unescaped(href)).alias("url"), strip_tags(_inside(F.col("a"), "a")).alias("title"))
     kept = found.where(F.col("url").rlike("(?i)^https?://") & ~is_self_redirect(F.col("url"), "duckduckgo.com", "/y.js"))
     return _ranked(kept, limit)
 
@@ -57,12 +75,9 @@ def bing(rows: DataFrame, limit: int = 20) -> DataFrame:
 
 def bing_html(rows: DataFrame, limit: int = 20) -> DataFrame:
     """Organic results only, each page once, captions of at most 300 characters."""
-    blocks = F.regexp_extract_all("body", F.lit(r'(?is)(<li[^>]*class="[^"]*\bb_algo\b.*?)(?=<li[^>]*class="[^"]*\bb_algo\b|\z)'), F.lit(1))
-    each = rows.select("query_id", F.posexplode(blocks).alias("pos", "block"))
-    found = each.select(
-        "query_id", "pos", unwrap_bing(unescaped(F.regexp_extract("block", r'(?is)<h2[^>]*>\s*<a[^>]*href="([^"]*)"', 1))).alias("url"), strip_tags(F.regexp_extract("block", "(?is)<h2[^>]*>(.*?)</h2>", 1)).alias("title"),
-        F.substring(strip_tags(F.regexp_extract("block", "(?is)<p[^>]*>(.*?)</p>", 1)), 1, 300).alias("snippet"),
-    )
+    each = rows.select("query_id", F.posexplode(_blocks(F.col("body"), "li", "b_algo")).alias("pos", "block")).withColumn("head", _inside(F.col("block"), "h2"))
+    href = F.coalesce(attribute(F.regexp_extract("head", r"(?i)<a\b[^<>]*+>", 0), "href"), F.lit(""))
+    found = each.select("query_id", "pos", unwrap_bing(unescaped(href)).alias("url"), strip_tags(F.col("head")).alias("title"), F.substring(strip_tags(_inside(F.col("block"), "p")), 1, 300).alias("snippet"))
     kept = found.where(F.col("url").rlike("(?i)^https?://"))
     once = kept.groupBy("query_id", canonical_url(F.col("url")).alias("page")).agg(F.min(F.struct("pos", "url", "title", "snippet")).alias("one"))
     return _ranked(once.select("query_id", "one.*"), limit)
@@ -70,9 +85,9 @@ def bing_html(rows: DataFrame, limit: int = 20) -> DataFrame:
 
 def bing_rss(rows: DataFrame, limit: int = 20) -> DataFrame:
     """Items of a feed, CDATA or not, with ISO dates."""
-    items = F.regexp_extract_all("body", F.lit("(?is)<item>(.*?)</item>"), F.lit(1))
+    items = F.regexp_extract_all("body", F.lit(r"(?is)<item>(.*?)(?:</item>|\z)"), F.lit(1))
     each = rows.select("query_id", F.posexplode(items).alias("pos", "item"))
-    plain = lambda tag: F.regexp_replace(F.regexp_extract("item", f"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1), r"^\s*<!\[CDATA\[|\]\]>\s*$", "")
+    plain = lambda tag: F.regexp_replace(F.regexp_extract("item", rf"(?is)<{tag}\b[^<>]*+>(.*?)(?:</{tag}>|\z)", 1), r"^\s*<!\[CDATA\[|\]\]>\s*$", "")
     found = each.select("query_id", "pos", F.trim(unescaped(plain("link"))).alias("url"), strip_tags(plain("title")).alias("title"), F.substring(strip_tags(plain("description")), 1, 300).alias("snippet"), rss_date(plain("pubDate")).alias("published"))
     return _ranked(found.where(F.col("url").rlike("(?i)^https?://")), limit)
 

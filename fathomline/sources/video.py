@@ -34,7 +34,7 @@ def caption_segments(tracks: DataFrame) -> DataFrame:
     stamp = r"(?:(\d+):)?(\d{1,2}):(\d{1,2}[.,]\d{1,3})"
     seconds = lambda line, at: F.coalesce(F.regexp_extract(line, stamp + r"\s+-->\s+" + stamp, at).try_cast("double"), F.lit(0.0)) * 3600 + F.regexp_extract(line, stamp + r"\s+-->\s+" + stamp, at + 1).try_cast("double") * 60 + F.replace(F.regexp_extract(line, stamp + r"\s+-->\s+" + stamp, at + 2), F.lit(","), F.lit(".")).try_cast("double")
     cues = F.filter(F.split(F.regexp_replace("body", r"\r\n?", "\n"), r"\n{2,}"), lambda c: c.contains("-->"))
-    from_vtt = F.transform(cues, lambda c: F.named_struct(F.lit("s"), seconds(c, 1), F.lit("e"), seconds(c, 4), F.lit("t"), F.regexp_replace(F.regexp_replace(c, r"(?s)\A.*?-->[^\n]*\n?", ""), "<[^>]+>", "")))
+    from_vtt = F.transform(cues, lambda c: F.named_struct(F.lit("s"), seconds(c, 1), F.lit("e"), seconds(c, 4), F.lit("t"), F.regexp_replace(F.regexp_replace(c, r"(?s)\A.*?-->[^\n]*\n?", ""), "<[^<>]++>", "")))
     rows = tracks.select("video_id", F.posexplode(F.when(F.ltrim("body").startswith("{"), from_json).otherwise(from_vtt)).alias("pos", "c"))
     clean = rows.select("video_id", "pos", F.round("c.s", 2).alias("start"), F.round("c.e", 2).alias("end"), folded(unescaped(F.coalesce("c.t", F.lit("")))).alias("text"))
     return clean.where("text <> ''")
