@@ -1,13 +1,17 @@
 """Benchmark decontamination by greedy string tiling.
 
 Documents and benchmark items become token sequences (lower-cased words). Every run of ``seed`` tokens
-is a seed; documents and items meet where they share one. For each such pair the tiling repeats:
-find the longest matches of unmarked tokens of at least the current length by running Karp-Rabin
-hashes, confirm them token by token, mark them as tiles where they do not overlap earlier ones, and
-lower the length, down to ``seed``. The share of an item's tokens under tiles is its coverage; the
+is a seed; documents and items meet where they share one. For each such pair the tiling repeats: find the
+greatest length at which a run of unmarked tokens matches, by halving between ``seed`` and the length before
+(running Karp-Rabin hashes of all runs of a length come from sums taken once a text); go through the matches of
+that length from the left, confirm each token by token, and mark it as a tile if it overlaps no earlier one;
+until no match of ``seed`` tokens is left. The share of an item's tokens under tiles is its coverage; the
 order of tiles does not matter, so reordered passages are caught. A document is contaminated by the
 items whose coverage reaches ``threshold``.
 
+Only the places of a text that begin a seed of the item are looked at, all at once, and a round of one length is
+one pass over them, however often the text repeats itself; an item has few lengths of tiles.
+
 If the benchmark's tokens fit the checked bound ``ship_bytes``, its sequences and seeds are shipped to
 the tasks and the documents are neither shuffled nor copied. Beyond it, seeds are joined by shuffle:
 document seeds (distinct in a document) against item seeds, then pairs against texts. Both ways give
@@ -54,61 +58,102 @@ def _each(texts: pa.Array) -> list[np.ndarray]:
     return [hashed[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
+class Runs:
+    """Karp-Rabin hashes of a text's runs of any length, each from two sums."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.tokens = tokens
+        with np.errstate(over="ignore"):
+            self.powers = np.full(len(tokens) + 1, BASE, np.uint64)
+            self.powers[0] = 1
+            self.powers = np.multiply.accumulate(self.powers)
+            # sum of token * BASE**-i up to each place; a run is a difference, scaled to one power
+            back = np.full(len(tokens), np.uint64(pow(int(BASE), -1, 1 << 64)), np.uint64)
+            back[:1] = 1
+            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens * np.multiply.accumulate(back), dtype=np.uint64)])
+
+    def hashes(self, length: int, at: np.ndarray | None = None) -> np.ndarray:
+        """Of the runs that begin at the places, or of all."""
+        with np.errstate(over="ignore"):
+            if at is None:
+                n = max(len(self.tokens) - length + 1, 0)
+                mixed = (self.sums[length : length + n] - self.sums[:n]) * self.powers[:n]
+            else:
+                mixed = (self.sums[at + length] - self.sums[at]) * self.powers[at]
+            return mixed ^ (mixed >> np.uint64(29))
+
+
 def windows(tokens: np.ndarray, length: int) -> np.ndarray:
-    """Karp-Rabin hashes of all runs of ``length`` tokens, each from the one before."""
-    n = len(tokens) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        powers = np.full(len(tokens) + 1, BASE, np.uint64)
-        powers[0] = 1
-        powers = np.multiply.accumulate(powers)
-        # sum of token * BASE**-i up to each place; a run is a difference, scaled to one power
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-        back = np.full(len(tokens), inverse, np.uint64)
-        back[0] = 1
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens * np.multiply.accumulate(back), dtype=np.uint64)])
-        mixed = (sums[length:] - sums[:n]) * powers[:n]
-        return mixed ^ (mixed >> np.uint64(29))
-
-
-def tile(doc: np.ndarray, item: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
-    """Tiles (place in doc, place in item, length), longest first, none overlapping in either."""
-    marked_doc, marked_item = np.zeros(len(doc), bool), np.zeros(len(item), bool)
-    tiles = []
-    while True:
-        # candidate starts: runs of ``seed`` unmarked tokens with equal hashes
-        free_doc, free_item = _free(marked_doc, seed), _free(marked_item, seed)
-        hd, hi = windows(doc, seed)[free_doc], windows(item, seed)[free_item]
-        order = np.argsort(hi, kind="stable")
-        hi, free_item = hi[order], free_item[order]
-        first, last = np.searchsorted(hi, hd), np.searchsorted(hi, hd, "right")
-        best, found = 0, []
-        for d, a, b in zip(free_doc[last > first].tolist(), first[last > first].tolist(), last[last > first].tolist(), strict=True):
-            for i in free_item[a:b].tolist():
-                if d and i and doc[d - 1] == item[i - 1] and not (marked_doc[d - 1] or marked_item[i - 1]):
-                    continue  # not the start of its match
-                most = min(len(doc) - d, len(item) - i)
-                stop = (doc[d : d + most] != item[i : i + most]) | marked_doc[d : d + most] | marked_item[i : i + most]
-                length = int(stop.argmax()) if stop.any() else most
-                if length >= seed:
-                    if length > best:
-                        best = length
-                    found.append((length, d, i))
-        if not best:
-            return tiles
-        for length, d, i in found:
-            if length == best and not (marked_doc[d : d + length].any() or marked_item[i : i + length].any()):
-                marked_doc[d : d + length] = marked_item[i : i + length] = True
-                tiles.append((d, i, length))
+    """Karp-Rabin hashes of all runs of ``length`` tokens."""
+    return Runs(tokens).hashes(length)
 
 
-def _free(marked: np.ndarray, length: int) -> np.ndarray:
-    """Starts of runs of unmarked tokens."""
-    if len(marked) < length:
-        return np.zeros(0, np.int64)
+def _free(marked: np.ndarray, length: int, at: np.ndarray) -> np.ndarray:
+    """Those of the places where runs of unmarked tokens begin."""
+    at = at[at + length <= len(marked)]
     sums = np.concatenate([[0], np.cumsum(marked)])
-    return np.flatnonzero(sums[length:] == sums[:-length])
+    return at[sums[at + length] == sums[at]]
+
+
+def _held(sorted_hashes: np.ndarray, found: np.ndarray) -> np.ndarray:
+    if not len(sorted_hashes):
+        return np.zeros(len(found), bool)
+    return sorted_hashes[np.minimum(np.searchsorted(sorted_hashes, found), len(sorted_hashes) - 1)] == found
+
+
+def tile(doc: np.ndarray | Runs, item: np.ndarray | Runs, seed: int) -> list[tuple[int, int, int]]:
+    """Tiles (place in doc, place in item, length), longest first, of one length from the left, none overlapping in either."""
+    doc, item = (x if isinstance(x, Runs) else Runs(x) for x in (doc, item))
+    places = np.arange(len(item.tokens))
+    starts = np.flatnonzero(_held(np.sort(item.hashes(seed)), doc.hashes(seed)))
+    marked_doc, marked_item = np.zeros(len(doc.tokens), bool), np.zeros(len(item.tokens), bool)
+    tiles: list[tuple[int, int, int]] = []
+    most = min(len(doc.tokens), len(item.tokens))
+
+    def matching(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the text whose free runs match a free run of the item; the item's free runs and their hashes."""
+        at = _free(marked_item, length, places)
+        own = item.hashes(length, at)
+        free = _free(marked_doc, length, starts)
+        return free[_held(np.sort(own), doc.hashes(length, free))], at, own
+
+    while True:
+        low, high, found = seed - 1, most, None  # a match of a length holds matches of all smaller ones
+        while low < high:
+            length = high if found is None else (low + high + 1) // 2
+            got = matching(length)
+            if len(got[0]):
+                low, found = length, got
+            else:
+                high, found = length - 1, found or ()
+        if low < seed:
+            return tiles
+        _mark(doc, item, low, *found, marked_doc, marked_item, tiles)
+        most = low - 1  # all that is left is shorter
+
+
+def _mark(doc: Runs, item: Runs, length: int, starting: np.ndarray, at: np.ndarray, own: np.ndarray, marked_doc: np.ndarray, marked_item: np.ndarray, tiles: list) -> None:
+    """Marks the tiles of one length, from the left."""
+    order = np.argsort(own, kind="stable")
+    at, own, hashed = at[order], own[order], doc.hashes(length, starting)
+    k = 0
+    while k < len(starting) and len(at):
+        fits = _held(own, hashed[k : k + 4096])
+        if not fits.any():
+            k += 4096
+            continue
+        k += int(fits.argmax())
+        d = int(starting[k])
+        places = at[np.searchsorted(own, hashed[k]) : np.searchsorted(own, hashed[k], "right")]
+        i = next((int(i) for i in places if np.array_equal(doc.tokens[d : d + length], item.tokens[i : i + length])), None)
+        if i is None:  # the hash deceived
+            k += 1
+            continue
+        marked_doc[d : d + length] = marked_item[i : i + length] = True
+        tiles.append((d, i, length))
+        apart = (at + length <= i) | (at >= i + length)
+        at, own = at[apart], own[apart]
+        k = int(np.searchsorted(starting, d + length))
 
 
 @dataclass
@@ -154,7 +199,7 @@ def _near(hashed: np.ndarray, ends: np.ndarray, shipped: _Shipped) -> list[tuple
     return [(n, sorted(items)) for n, items in sorted(found.items())]
 
 
-def _covered(doc: np.ndarray, item: np.ndarray, seed: int) -> tuple[int, int]:
+def _covered(doc: np.ndarray | Runs, item: np.ndarray, seed: int) -> tuple[int, int]:
     tiles = tile(doc, item, min(seed, len(item)))
     return sum(t[2] for t in tiles), len(tiles)
 
@@ -191,8 +236,9 @@ def _by_shipping(rows: DataFrame, items: DataFrame, seed: int) -> DataFrame:
             hashed, ends = token_hashes(batch.column("text"))
             out = []
             for n, items in _near(hashed, ends, shipped):
+                doc = Runs(hashed[ends[n] : ends[n + 1]])
                 for k in items:
-                    covered, tiles = _covered(hashed[ends[n] : ends[n + 1]], shipped.tokens[k], seed)
+                    covered, tiles = _covered(doc, shipped.tokens[k], seed)
                     out.append((batch.column("row")[n].as_py(), batch.column("key")[n].as_py(), int(shipped.ids[k]), covered, len(shipped.tokens[k]), tiles))
             if out:
                 yield output(_MATCH_ARROW, [list(c) for c in zip(*out, strict=True)])
@@ -262,7 +308,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, s
         hashed, ends = token_hashes(texts)
         keep = np.ones(len(texts), bool)
         for n, near in _near(hashed, ends, shipped):
-            doc = hashed[ends[n] : ends[n + 1]]
+            doc = Runs(hashed[ends[n] : ends[n + 1]])
             keep[n] = not any(_covered(doc, shipped.tokens[k], seed)[0] / len(shipped.tokens[k]) >= threshold for k in near)
         return keep
 

@@ -363,3 +363,24 @@ def test_language_ties_and_common_texts(spark):
     model = language_id.train(common, sample_docs=100)
     assert {r.lang_pred for r in language_id.identify(common.where("doc_id in (1, 9000)"), model).collect()} == {"aa", "bb"}
     assert language_id.train(common, most_languages=1).languages == ["aa"]
+
+
+@pytest.mark.parametrize("words", [1, 2, 3])
+def test_tiling_of_a_million_repeated_tokens_takes_seconds(words):
+    import time
+
+    draw = np.random.default_rng(words)
+    doc, item = draw.integers(0, words, 1_000_000).astype(np.uint64), draw.integers(0, words, 400).astype(np.uint64)
+    began = time.time()
+    tiles = decontaminate.tile(doc, item, 5)
+    assert time.time() - began < 30
+    assert all((doc[d : d + n] == item[i : i + n]).all() for d, i, n in tiles) and sum(n for *_, n in tiles) >= (400 if words == 1 else 350)  # gaps shorter than a seed stay
+
+
+def test_tiling_equals_plain_steps_on_texts_of_few_words():
+    draw = np.random.default_rng(11)
+    for _ in range(300):
+        doc, item = (draw.integers(0, int(draw.integers(1, 4)), int(draw.integers(0, 60))).tolist() for _ in range(2))
+        for seed in (1, 2, 5):
+            got = decontaminate.tile(np.array(doc, np.uint64), np.array(item, np.uint64), seed)
+            assert got == plain_tiles(doc, item, seed)
