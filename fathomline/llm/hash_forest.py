@@ -9,14 +9,17 @@ trees are taken in order and the ascent ends inside it, so little more than aske
 Inner products are brought to angles by one more coordinate that fills every vector up to the largest
 norm. The index is cut into blocks of distinct vectors (by hash), each with a forest of its own; the
 stated queries visit every block, in blocks of their own that are larger, so a vector is shipped once
-for every ``query_rows`` queries and no task holds more than one block of each. Equal vectors form a
+for every ``query_rows`` queries and no task holds more than ``TASK_BLOCKS`` blocks of it and one of queries. A
+task goes through its blocks one by one and hands on the best of them all, so fewer rows are ranked; building
+a block's trees anew for each block of queries is about a fiftieth of searching it. Equal vectors form a
 class: it is indexed once, with its smallest k + 1 ids, which is all that any result can show, so a very
 common vector costs one entry.
 
 ``share`` (candidates as a share of a block, ``least`` at least) decides the recall: vectors whose
 neighbours are barely nearer than the rest need a large one. It is fitted, unless given: on a bounded
 sample of classes (one block, ``FIT_QUERIES`` of them as queries) the forest is held against brute force,
-for as many neighbours as a block may hold of the k nearest of all (``fit_k``), and the smallest of ``SHARES`` whose recall reaches ``target`` is taken. Every class is indexed.
+for as many neighbours as a block may hold of the k nearest of all (``fit_k``), and the smallest of ``SHARES`` is taken whose
+recall, less two standard errors of its mean, reaches ``target``. Every class is indexed.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part. Vectors of
 different lengths never meet. Repeated rows count once; an id that repeats with other vectors is searched
@@ -30,6 +33,7 @@ import bisect
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,9 +42,9 @@ from .common import written
 
 TREES, LEAST, SEED = 256, 200, 20
 BLOCK_ROWS, QUERY_ROWS = 8192, 65_536
-BITS = 64
+BITS, TASK_BLOCKS = 64, 8
 #: The fit: queries of the sample, shares that are tried, and the recall that is asked for.
-FIT_QUERIES, SHARES, TARGET = 128, (0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0), 0.93
+FIT_QUERIES, SHARES, TARGET = 512, (0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.7, 0.8, 0.9, 1.0), 0.95
 
 
 def takes_part(vector: Column) -> Column:
@@ -115,26 +119,45 @@ class Forest:
                 yield i, np.arange(size)
 
 
-def _block_search(index: pa.Table, queries: pa.Table, radius: float, k: int, trees: int, share: float, least: int) -> pa.Table:
-    out: tuple[list, list, list] = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)])
+def _search(index: pa.Table, queries: pa.Table, radius: float, k: int, trees: int, share: float, least: int) -> pa.Table:
+    """(query, found, score): of each query the best k + 1 of several blocks, with all that tie with the last."""
+    held: tuple[np.ndarray, ...] = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     if index.num_rows and queries.num_rows:
-        vectors = _matrix(index)
-        names = index.column("class").to_numpy()
-        order = np.argsort(names, kind="stable")
-        vectors, names = vectors[order], names[order]
         asked, classes = _matrix(queries), queries.column("class").to_numpy()
-        forest = Forest(vectors, radius, trees)
-        for at in range(0, len(asked), 256):
-            for i, rows in forest.candidates(asked[at : at + 256], max(least, int(share * len(vectors)))):
-                score = (vectors[rows] * asked[at + i]).sum(axis=1)
-                best = _top(score, names[rows], min(k + 1, len(rows)))
-                for part, values in zip(out, (np.full(len(best), classes[at + i]), names[rows[best]], score[best]), strict=True):
-                    part.append(values)
-    return pa.table(dict(zip(("query", "found", "score"), (np.concatenate(part) for part in out), strict=True)))
+        for block in np.unique(index.column("block").to_numpy()).tolist():
+            found = _block_search(index.filter(pc.equal(index.column("block"), block)), asked, classes, radius, k, trees, share, least)
+            held = _best(tuple(np.concatenate(pair) for pair in zip(held, found, strict=True)), k + 1)
+    return pa.table(dict(zip(("query", "found", "score"), held, strict=True)))
+
+
+def _block_search(index: pa.Table, asked: np.ndarray, classes: np.ndarray, radius: float, k: int, trees: int, share: float, least: int) -> tuple[np.ndarray, ...]:
+    out: tuple[list, list, list] = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)])
+    vectors = _matrix(index)
+    names = index.column("class").to_numpy()
+    order = np.argsort(names, kind="stable")
+    vectors, names = vectors[order], names[order]
+    forest = Forest(vectors, radius, trees)
+    for at in range(0, len(asked), 256):
+        for i, rows in forest.candidates(asked[at : at + 256], max(least, int(share * len(vectors)))):
+            score = (vectors[rows] * asked[at + i]).sum(axis=1)
+            best = _top(score, names[rows], min(k + 1, len(rows)))
+            for part, values in zip(out, (np.full(len(best), classes[at + i]), names[rows[best]], score[best]), strict=True):
+                part.append(values)
+    return tuple(np.concatenate(part) for part in out)
+
+
+def _best(rows: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
+    """Of each query the k largest scores, with all that tie with the last."""
+    order = np.lexsort((-rows[2], rows[0]))
+    query, found, score = (part[order] for part in rows)
+    first = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(query)))
+    edge = np.repeat(score[first + np.minimum(k, size) - 1], size)
+    return tuple(part[score >= edge] for part in (query, found, score))
 
 
 def fit_share(vectors: np.ndarray, radius: float, k: int, trees: int, least: int, target: float, queries: int = FIT_QUERIES) -> tuple[float, float]:
-    """The smallest share whose recall of the k nearest among these distinct vectors reaches the target, and that recall."""
+    """The smallest share whose recall of the k nearest among these distinct vectors surely reaches the target, and what it surely is."""
     forest, asked = Forest(vectors, radius, trees), np.arange(min(queries, len(vectors)))
     score = vectors[asked] @ vectors.T
     score[asked, asked] = -np.inf
@@ -144,7 +167,8 @@ def fit_share(vectors: np.ndarray, radius: float, k: int, trees: int, least: int
     edge = -np.partition(-score, k - 1, axis=1)[:, k - 1]
 
     def recall(share: float) -> float:
-        return float(np.mean([min(k, int((score[i, rows] >= edge[i]).sum())) / k for i, rows in forest.candidates(vectors[asked], max(least, int(share * len(vectors))))]))
+        each = np.array([min(k, int((score[i, rows] >= edge[i]).sum())) / k for i, rows in forest.candidates(vectors[asked], max(least, int(share * len(vectors))))])
+        return float(each.mean() - 2 * each.std() / np.sqrt(len(each)))
 
     share = SHARES[min(bisect.bisect_left(SHARES, target, key=recall), len(SHARES) - 1)]
     return share, recall(share)
@@ -204,11 +228,15 @@ def nearest(
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     own = lambda count, salt: F.pmod(F.xxhash64("class", F.lit(salt)), F.lit(count)).cast("int")
     index = classes.select("class", "vector", "width", own(blocks, 1).alias("block"), every(query_blocks).alias("query_block"))
-    queries = classes.where("asks").select("class", "vector", "width", own(query_blocks, 2).alias("query_block"), every(blocks).alias("block"))
-    keys = ["width", "block", "query_block"]
+    # as many blocks a task as leave work for all
+    several = max(1, min(TASK_BLOCKS, blocks * query_blocks // (4 * vectors.sparkSession.sparkContext.defaultParallelism)))
+    tasks = -(-blocks // several)
+    queries = classes.where("asks").select("class", "vector", "width", own(query_blocks, 2).alias("query_block"), every(tasks).alias("task"))
+    index = index.withColumn("task", F.floor(F.col("block") / several).cast("int"))
+    keys = ["width", "task", "query_block"]
 
     def searched(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _block_search(left, right, radius, k, trees, share, least)
+        return _search(left, right, radius, k, trees, share, least)
 
     near = index.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(lambda a, b: searched(a, b), "query long, found long, score double")
     # k + 1 classes and those that tie with the last hold k rows besides the query's own
