@@ -1,13 +1,14 @@
 """Adaptive state replayed over logs: health, breaker, rates, buckets, profiles, caches.
 
-Breakers are windows. Averages (whose last bits hang on the order of additions), rates, buckets and
-tiers (whose steps are clamped) go through ``ordered_fold``: rows are hash-partitioned by key, sorted by time, and folded as they stream through
-the task, so a key's log is never gathered in memory. What needs no order (counters, profiles) is a
-plain aggregation; what needs only neighbours is a window.
+Breakers are windows. Averages, rates, buckets and tiers are scans (see ``scans``): a long log is folded in parts,
+side by side. States that are no numbers go through ``ordered_fold``: rows are hash-partitioned by key, sorted
+by time, and folded as they stream through the task, so a key's log is never gathered in memory. What needs no
+order (counters, profiles) is a plain aggregation; what needs only neighbours is a window.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from .routing import cooldown_s
+from .scans import Fold, at_least, at_most, linear, scan_fold, then
 
 ALPHA, TRIP_AFTER = 0.3, 3
 ADDITIVE, BACKOFF, FLOOR = 0.05, 0.5, 0.1
@@ -52,14 +54,16 @@ def _arrow(kind: str) -> pa.DataType:
 
 
 def average_log(calls: DataFrame, key: str, order: list[str], ok: str, latency_ms: str) -> DataFrame:
-    """The log with the running averages of latency and success after each call, in the order of the calls (to the last bit)."""
+    """The log with the running averages of latency and success after each call, in the order of the calls."""
 
     def step(state, good, ms):
         latency, success = state
         state = (1 - ALPHA) * latency + ALPHA * ms, (1 - ALPHA) * success + ALPHA * (1.0 if good else 0.0)
         return state, *state
 
-    return ordered_fold(calls, key, order, [ok, latency_ms], lambda: (500.0, 1.0), step, "ema_latency_ms double, ema_success double")
+    moves = lambda _, row: (linear(1 - ALPHA, ALPHA * row[1]), linear(1 - ALPHA, ALPHA if row[0] else 0.0))
+    fold = Fold(lambda: (500.0, 1.0), step, tuple, moves, lambda numbers, _: numbers)
+    return scan_fold(calls, key, order, [ok, latency_ms], fold, "ema_latency_ms double, ema_success double")
 
 
 def breaker_log(calls: DataFrame, key: str, order: list[str], ok: str) -> DataFrame:
@@ -90,7 +94,9 @@ def aimd_log(calls: DataFrame, key: str, order: list[str], ok: str, rps: float =
         rate = min(max_rps, rate + ADDITIVE) if good else max(FLOOR, rate * BACKOFF)
         return rate, rate
 
-    return ordered_fold(calls, key, order, [ok], lambda: rps, step, "rate double")
+    up, down = then(linear(1.0, ADDITIVE), at_most(max_rps)), then(linear(BACKOFF, 0.0), at_least(FLOOR))
+    fold = Fold(lambda: rps, step, lambda rate: (rate,), lambda _, row: (up if row[0] else down,), lambda numbers, _: numbers[0])
+    return scan_fold(calls, key, order, [ok], fold, "rate double")
 
 
 def token_bucket_log(calls: DataFrame, key: str, order: list[str], seconds: str, rate: float = 0.75, burst: float = 3.0) -> DataFrame:
@@ -104,7 +110,11 @@ def token_bucket_log(calls: DataFrame, key: str, order: list[str], seconds: str,
         tokens -= 1.0 if admitted else 0.0
         return (tokens, now), tokens, admitted, wait
 
-    return ordered_fold(calls, key, order, [seconds], lambda: (burst, None), step, "tokens double, admitted boolean, wait_s double")
+    # tokens lie between none and all, so the pieces stay few
+    some, full, taken = at_least(0.0), at_most(burst), [(-math.inf, 1.0, 0.0), (1.0, 1.0, -1.0)]
+    moves = lambda before, row: (then(then(some, linear(1.0, (row[0] - before[0]) * rate)), then(full, taken)),)
+    fold = Fold(lambda: (burst, None), step, lambda state: state[:1], moves, lambda numbers, last: (numbers[0], last[0]))
+    return scan_fold(calls, key, order, [seconds], fold, "tokens double, admitted boolean, wait_s double")
 
 
 def profile_log(fetches: DataFrame, key: str, order: list[str], ok: str, tier: str) -> DataFrame:
@@ -114,7 +124,50 @@ def profile_log(fetches: DataFrame, key: str, order: list[str], ok: str, tier: s
         lowest = min(lowest, t) if good else max(lowest, min(t + 1, 2))
         return lowest, lowest
 
-    return ordered_fold(fetches, key, order, [ok, tier], lambda: 0, step, "min_tier int")
+    moves = lambda _, row: (at_most(row[1]) if row[0] else at_least(min(row[1] + 1, 2)),)
+    fold = Fold(lambda: 0, step, lambda lowest: (lowest,), moves, lambda numbers, _: int(numbers[0]))
+    return scan_fold(fetches, key, order, [ok, tier], fold, "min_tier int")
+
+
+#: What happens to a limiter, beside calls that ask for a token.
+EVENTS = ["spend", "success", "block", "snapshot", "refund", "configure", "seed"]
+
+
+def limiter_log(events: DataFrame, key: str, order: list[str], seconds: str, kind: str, rps: str, burst: str, default_rps: float = 0.75, default_burst: float = 3.0, max_rps: float = 4.0) -> DataFrame:
+    """The log of mixed events with ``rate``, ``tokens``, ``ceiling`` and ``admitted`` (of calls that spend) after each.
+
+    spend takes a token if there is one; success and block move the rate up to its ceiling and down, a block
+    also takes all tokens; snapshot notes rate and tokens, and refund gives back what a block has taken since,
+    less one token; configure sets a rate (``rps``) and burst of its own and with them the ceiling; seed starts
+    at a rate learned elsewhere, without tokens, if it is below the default. Unknown kinds only let time pass.
+    """
+
+    def step(state, now, what, own_rps, own_burst):
+        rate, size, tokens, at, ceiling, noted = state
+        refilled = min(size, tokens + (now - at) * rate) if at is not None else tokens
+        admitted = None
+        if what not in ("block", "success", "configure", "seed"):
+            tokens, at = refilled, now
+        if what == "spend":
+            admitted = tokens >= 1.0
+            tokens -= 1.0 if admitted else 0.0
+        elif what == "success":
+            rate = min(ceiling, rate + ADDITIVE)
+        elif what == "block":
+            rate, tokens, at = max(FLOOR, rate * BACKOFF), 0.0, now
+        elif what == "snapshot":
+            noted = (rate, tokens)
+        elif what == "refund" and noted is not None:
+            rate, tokens = max(rate, noted[0]), min(size, tokens + noted[1] - 1.0)
+        elif what == "configure":
+            rate, size = max(FLOOR / 10, own_rps), max(float(own_burst), 1.0)
+            tokens, at, ceiling = size, now, own_rps if own_rps < default_rps else max(own_rps, max_rps)
+        elif what == "seed" and own_rps < default_rps:
+            rate, tokens, at = max(FLOOR, own_rps), 0.0, now
+        state = (rate, size, tokens, at if at is not None else now, ceiling, noted)
+        return state, rate, tokens, ceiling, admitted
+
+    return ordered_fold(events, key, order, [seconds, kind, rps, burst], lambda: (default_rps, default_burst, default_burst, None, max_rps, None), step, "rate double, tokens double, ceiling double, admitted boolean")
 
 
 def block_rates(fetches: DataFrame, key: str, ok: Column) -> DataFrame:

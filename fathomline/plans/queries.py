@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import dates, money, text, url
 from ..functions.page import classify
-from ..operators import filters, fusion, grounding, items, routing, state
+from ..operators import deadlines, filters, fusion, grounding, items, routing, state
 from ..scratch import written
 from . import tables as T
 
@@ -471,11 +471,59 @@ def tier_profile(spark, sf_dir):
 
 
 @_query(f"WITH {T.CALLS_SQL} SELECT date_trunc('hour', ts) AS hour, count(*) AS answers, count(*) FILTER (latency_ms <= 50) AS in_time, count(*) FILTER (latency_ms > 50) AS late FROM calls GROUP BY 1")
-def deadline_cut(spark, sf_dir):
+def answers_in_time(spark, sf_dir):
     in_time = F.col("latency_ms") <= 50
     return T.calls(spark, sf_dir).groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("answers"), F.sum(in_time.cast("long")).alias("in_time"), F.sum((~in_time).cast("long")).alias("late"))
 
 
+_ANSWERED_SQL = T.LISTS_SQL + """, asked AS (
+  SELECT query_id, provider, provider_pos AS p, count(*) AS docs, CASE WHEN (provider_pos + query_id) % 23 <> 5 THEN (provider_pos * provider_pos * 131 + query_id * 977) % 4000 / 1000.0::DOUBLE END AS at_s, (query_id + provider_pos) % 6 <> 0 AS ok,
+    (provider_pos * 617) % 3000 / 1000.0::DOUBLE AS latency_s, provider_pos % 6 AS calls, CASE WHEN query_id % 3 = 0 THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END AS grace, CASE WHEN query_id % 4 = 1 THEN 40 ELSE 10 END AS least FROM lists GROUP BY ALL)"""
+
+
+@_query(f"""WITH {_ANSWERED_SQL}, times AS (SELECT DISTINCT query_id, at_s AS t FROM asked WHERE at_s IS NOT NULL UNION SELECT DISTINCT query_id, m FROM asked, (VALUES (1.5::DOUBLE), (3.0::DOUBLE)) v(m)),
+at_time AS (SELECT t.query_id, t.t, any_value(grace) AS grace, any_value(least) AS least, count(*) AS n, count(*) FILTER (at_s <= t.t) AS came, count(*) FILTER (at_s <= t.t AND ok) AS answered, coalesce(sum(docs) FILTER (at_s <= t.t AND ok), 0) AS docs,
+    count(*) FILTER ((at_s IS NULL OR at_s > t.t) AND NOT (calls >= 3 AND latency_s >= 1.5)) AS quick_out, bool_or(at_s = t.t) AS arrives FROM times t JOIN asked a ON a.query_id = t.query_id GROUP BY t.query_id, t.t),
+marks AS (
+  SELECT query_id, t AS ends, 0 AS why FROM at_time WHERE came = n
+  UNION ALL SELECT query_id, t, 1 FROM at_time WHERE arrives AND answered >= 1 AND docs >= 10 AND came < n AND quick_out = 0 AND n >= 2
+  UNION ALL SELECT query_id, t + grace, 2 FROM at_time WHERE arrives AND answered >= least(2, n) AND grace > 0 AND n >= 2
+  UNION ALL SELECT query_id, t, 3 FROM at_time WHERE t >= 1.5 AND answered >= 1 AND docs >= least AND n >= 2
+  UNION ALL SELECT query_id, t, 4 FROM at_time WHERE t >= 3.0 AND answered >= 1 AND n >= 2),
+ended AS (SELECT a.query_id, coalesce(min(m.ends), max(a.at_s)) AS ends_s, coalesce(arg_min(m.why, m.ends * 10 + m.why), 0) AS why FROM asked a LEFT JOIN marks m ON m.query_id = a.query_id GROUP BY a.query_id)
+SELECT a.query_id, provider, ['all', 'predicted', 'grace', 'soft', 'hard'][why + 1] AS reason, round(ends_s, 9) AS ends_s, coalesce(at_s <= ends_s, false) AS on_time FROM asked a JOIN ended e ON e.query_id = a.query_id""")
+def deadline_cut(spark, sf_dir):
+    """Fan-outs replayed: deadlines soft and hard, a third with a time of grace, a quarter that want many documents, sources that are slow, fail or never answer."""
+    q, p = F.col("query_id"), F.col("provider_pos")
+    asked = T.lists(spark, sf_dir).groupBy("query_id", "provider", "provider_pos").agg(F.count(F.lit(1)).alias("docs"))
+    asked = asked.withColumns({"at_s": F.when((p + q) % 23 != 5, (p * p * 131 + q * 977) % 4000 / 1000.0), "ok": (q + p) % 6 != 0, "latency_s": (p * 617) % 3000 / 1000.0, "calls": p % 6})
+    found = deadlines.replay(asked, "query_id", "at_s", "docs", "ok", "latency_s", "calls", 10, min_docs=F.when(q % 4 == 1, 40).otherwise(10), grace_s=F.when(q % 3 == 0, 0.4).otherwise(0.0))
+    return found.select("query_id", "provider", "reason", F.round("ends_s", 9).alias("ends_s"), "on_time")
+
+
+@_query(f"""WITH RECURSIVE {T.CALLS_SQL}, e AS (
+  SELECT provider, event_id, i, at_s * 0.0002::DOUBLE AS now, ['spend', 'success', 'spend', 'block', 'snapshot', 'refund', 'configure', 'seed', 'spend'][event_id % 9 + 1] AS k, 0.3::DOUBLE * (1 + event_id % 4) AS rps, CAST(event_id % 5 AS INTEGER) AS burst FROM logged),
+f AS (
+  SELECT provider, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS i, 0.75::DOUBLE AS rate, 3.0::DOUBLE AS size, 3.0::DOUBLE AS tokens, now AS since, 4.0::DOUBLE AS ceiling, CAST(NULL AS DOUBLE) AS nrate, CAST(NULL AS DOUBLE) AS ntokens, CAST(NULL AS BOOLEAN) AS admitted FROM e WHERE i = 1
+  UNION ALL SELECT provider, event_id, i,
+    CASE k WHEN 'success' THEN least(ceiling, rate + 0.05::DOUBLE) WHEN 'block' THEN greatest(0.1::DOUBLE, rate * 0.5::DOUBLE) WHEN 'refund' THEN greatest(rate, coalesce(nrate, rate)) WHEN 'configure' THEN greatest(0.01::DOUBLE, rps) WHEN 'seed' THEN CASE WHEN rps < 0.75::DOUBLE THEN greatest(0.1::DOUBLE, rps) ELSE rate END ELSE rate END,
+    CASE WHEN k = 'configure' THEN greatest(burst, 1)::DOUBLE ELSE size END,
+    CASE k WHEN 'success' THEN tokens WHEN 'block' THEN 0.0::DOUBLE WHEN 'configure' THEN greatest(burst, 1)::DOUBLE WHEN 'seed' THEN CASE WHEN rps < 0.75::DOUBLE THEN 0.0::DOUBLE ELSE tokens END
+      WHEN 'refund' THEN CASE WHEN nrate IS NULL THEN full_ ELSE least(size, full_ + ntokens - 1.0::DOUBLE) END WHEN 'spend' THEN full_ - CASE WHEN full_ >= 1.0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE full_ END,
+    CASE WHEN k = 'success' OR (k = 'seed' AND rps >= 0.75::DOUBLE) THEN since ELSE now END,
+    CASE WHEN k = 'configure' THEN CASE WHEN rps < 0.75::DOUBLE THEN rps ELSE greatest(rps, 4.0::DOUBLE) END ELSE ceiling END,
+    CASE WHEN k = 'snapshot' THEN rate ELSE nrate END, CASE WHEN k = 'snapshot' THEN full_ ELSE ntokens END, CASE WHEN k = 'spend' THEN full_ >= 1.0 END
+  FROM (SELECT e.provider, e.event_id, e.i, e.now, e.k, e.rps, e.burst, f.rate, f.size, f.tokens, f.since, f.ceiling, f.nrate, f.ntokens, least(f.size, f.tokens + (e.now - f.since) * f.rate) AS full_ FROM f JOIN e ON e.provider = f.provider AND e.i = f.i + 1))
+SELECT event_id, provider, round(rate, 6) AS rate, round(tokens, 6) AS tokens, ceiling, admitted FROM f WHERE i > 0""")
+def limiter_events(spark, sf_dir):
+    """Calls, blocks, refunds, seeds and settings of limiters in one log each."""
+    key = F.col("event_id")
+    kinds = F.array(*[F.lit(k) for k in ("spend", "success", "spend", "block", "snapshot", "refund", "configure", "seed", "spend")])
+    events = T.calls(spark, sf_dir).select("event_id", "provider", (F.col("at_s") * 0.0002).alias("now"), F.get(kinds, (key % 9).cast("int")).alias("kind"), (F.lit(0.3) * (1 + key % 4)).alias("rps"), (key % 5).cast("int").alias("burst"))
+    log = state.limiter_log(events, "provider", ["event_id"], "now", "kind", "rps", "burst")
+    return log.select("event_id", "provider", F.round("rate", 6).alias("rate"), F.round("tokens", 6).alias("tokens"), "ceiling", "admitted")
+
+
 @_query(f"""WITH {T.CALLS_SQL}, a AS (SELECT event_id, provider, event_type, at_s - lag(at_s) OVER (PARTITION BY provider, event_type ORDER BY at_s, event_id) AS age FROM calls)
 SELECT event_id, CASE WHEN age <= 3600 THEN 'hit' WHEN age <= 7200 THEN 'stale' ELSE 'miss' END AS answer FROM a""")
 def ttl_cache_hits(spark, sf_dir):

@@ -195,10 +195,13 @@ def progressive_fusion(spark, sf_dir):
 
 @_query(f"WITH {T.DEDUPED_SQL} SELECT query_id, page, round(sum(1.0::DOUBLE / (60 + pos + 1)), 9) AS score, count(DISTINCT provider) AS agreement FROM deduped GROUP BY ALL")
 def late_merge(spark, sf_dir):
-    """What every fourth source answers comes late and is merged into the answer."""
-    rows = fusion.dedupe_lists(T.lists(spark, sf_dir)).select("query_id", "provider", "pos", F.col("key").alias("page"), (F.col("provider_pos") % 4 == 3).alias("late"))
-    early = rows.where("NOT late").groupBy("query_id", "page").agg(F.sum(F.lit(1.0) / (F.lit(60.0) + F.col("pos") + 1)).alias("score"), F.collect_set("provider").alias("providers"))
-    return live.late_merge(early, rows.where("late")).select("query_id", "page", F.round("score", 9).alias("score"), "agreement")
+    """Answers as a stream of files, every fourth source in the last of them; each batch is merged into the fused table. Page copies within a source count once, by rank."""
+    rows = fusion.dedupe_lists(T.lists(spark, sf_dir)).select("query_id", F.col("key").alias("page"), "provider", F.col("pos").cast("int").alias("pos"), F.timestamp_seconds(1_704_067_200 + F.col("query_id") + F.col("provider_pos") * 10).alias("at"), (F.col("provider_pos") % 4 == 3).alias("late"))
+    arrivals = fresh_path(spark, "late-arrivals")
+    rows.where("NOT late").drop("late").repartition(2).write.parquet(arrivals)
+    rows.where("late").drop("late").coalesce(1).write.mode("append").parquet(arrivals)
+    stream = spark.readStream.schema(live.SHARE).option("maxFilesPerTrigger", 1).parquet(arrivals)
+    return live.late_merge(stream, fresh_path(spark, "late-merge"), "30 days").read().select("query_id", "page", F.round("score", 9).alias("score"), "agreement")
 
 
 @_query("""SELECT event_id, CAST(json_extract_string(props, '$.' || json_keys(props)[1]) AS VARCHAR) AS first_value, len(json_keys(props)) AS fields FROM events WHERE props IS NOT NULL""")

@@ -10,11 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.state import ALPHA, TRIP_AFTER
-from ..scratch import fresh_path
+from ..operators.tables import StateTable
+from ..scratch import fresh_path, written
 
 
 def stream_health(calls: DataFrame) -> DataFrame:
@@ -58,15 +59,46 @@ def on_time(answers: DataFrame, at: str, soft_deadline: str = "90 minutes") -> D
     return answers.withWatermark(at, soft_deadline).groupBy(F.window(at, "1 hour"), "provider").agg(F.count(F.lit(1)).alias("answers"))
 
 
-def late_merge(fused: DataFrame, late: DataFrame, k: int = 60) -> DataFrame:
-    """A fused answer (query_id, page, score, providers) with stragglers (query_id, provider, pos, page) added; both are keyed, so only touched pages move.
+SHARE = "query_id long, page string, provider string, pos int, at timestamp"
 
-    ``providers`` are the names already counted; one that answered early and late counts once in ``agreement``.
+
+def answer_tables(spark: SparkSession, path: str, buckets: int = 16) -> tuple[StateTable, StateTable]:
+    """The answers that a fused result rests on, and the result, in buckets of the same pages."""
+    by = ["query_id", "page"]
+    return StateTable(spark, f"{path}/answers", [*by, "provider"], by, buckets), StateTable(spark, f"{path}/fused", by, by, buckets)
+
+
+def merge_answers(answers: StateTable, fused: StateTable, batch: DataFrame, number: int, name: str = "answers", k: int = 60) -> None:
+    """Puts a batch of answers (query_id, page, provider, pos, at) into both tables; only the pages it names move.
+
+    A source that lists a page again counts once, by its newest answer. Whatever comes twice, in another
+    order, or again after a failure between the two tables, leaves them as they would be.
+    """
+    answers.upsert(batch.select("query_id", "page", "provider", "pos", "at"), ["at", "pos"], (name, number))
+    pages = batch.select("query_id", "page").distinct()
+    known = answers.read(only=answers.touched(pages))
+    share = F.lit(1.0) / (F.lit(float(k)) + F.col("pos") + 1)
+    now = known.join(pages, ["query_id", "page"], "left_semi").groupBy("query_id", "page").agg(F.sum(share).alias("score"), F.count(F.lit(1)).alias("agreement"))
+    fused.upsert(now, batch=(name, number))
+
+
+def late_merge(arrivals: DataFrame, path: str, life: str = "1 hour", buckets: int = 16, name: str = "answers") -> StateTable:
+    """Runs a stream of answers (see SHARE) into fused results at a path, as far as there are any now, and returns the table (query_id, page, score, agreement).
+
+    Stragglers join what was fused without them. An answer that comes when its entry's ``life`` is over (by
+    the watermark) is dropped, as is one that was seen within it.
     """
-    more = late.groupBy("query_id", "page").agg(F.sum(F.lit(1.0) / (F.lit(float(k)) + F.col("pos") + 1)).alias("more"), F.collect_set("provider").alias("others"))
-    none = F.array().cast("array<string>")
-    whole = F.array_sort(F.array_union(F.coalesce("providers", none), F.coalesce("others", none)))
-    return fused.join(more, ["query_id", "page"], "full_outer").select("query_id", "page", (F.coalesce("score", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("score"), whole.alias("providers"), F.size(whole).cast("long").alias("agreement"))
+    spark = arrivals.sparkSession
+    answers, fused = answer_tables(spark, path, buckets)
+    fresh = arrivals.withWatermark("at", life).dropDuplicatesWithinWatermark(["query_id", "page", "provider", "pos", "at"])
+
+    def merge(batch: DataFrame, number: int) -> None:
+        # written once: a batch behind a stateful step must not be computed twice
+        merge_answers(answers, fused, written(batch, "late-batch"), number, name)
+
+    query = fresh.writeStream.outputMode("append").foreachBatch(merge).option("checkpointLocation", f"{path}/marks").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return fused
 
 
 def run_to_end(stream: DataFrame, mode: str, label: str) -> DataFrame:
