@@ -6,7 +6,8 @@ snippet, published. Everything is keyed by query_id, so queries spread over the
 
 from __future__ import annotations
 
-import pandas as pd
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,25 +69,32 @@ def similar_pairs(fused: DataFrame, threshold: float = 0.82) -> DataFrame:
     return scored.where(F.col("similarity") >= threshold).select("query_id", "first", "second", "similarity")
 
 
-def collapse_syndication(fused: DataFrame, threshold: float = 0.82) -> DataFrame:
-    """The fused list without syndicated copies: in order, a page goes if a kept one before it is similar. Adds ``near_duplicates``.
+def suppressed(pairs: DataFrame) -> DataFrame:
+    """(query_id, place, kept): the pages that go, each with the first kept page that it is similar to; pairs: (query_id, first, second), first placed higher.
 
-    The decision is greedy and not transitive, so it is a walk over each query's similar pairs (the
-    pages without a similar one are kept without it).
+    In order, a page goes if a kept one before it is similar; the decision is greedy and not transitive. It
+    is made in rounds for all queries and pages at once: a page none of whose earlier similar pages is still
+    in question stays, those similar to it go, and what went puts no other in question. The last page of the
+    longest chain of pages that hang on one another decides the rounds; copies of one page take one.
     """
+    pairs = written(pairs.select("query_id", "first", "second"), "similar-pairs")
+    open_, gone = pairs, []
+    while not open_.isEmpty():
+        doubtful = open_.select("query_id", F.col("second").alias("first")).distinct()
+        ruled = open_.join(open_.join(doubtful, ["query_id", "first"], "left_anti").select("query_id", "second").distinct(), ["query_id", "second"], "left_semi")
+        now = written(ruled.select("query_id", F.col("second").alias("place")).distinct(), "suppressed")
+        gone.append(now)
+        open_ = written(open_.join(now.withColumnRenamed("place", "second"), ["query_id", "second"], "left_anti").join(now.withColumnRenamed("place", "first"), ["query_id", "first"], "left_anti").select(pairs.columns), "open-pairs")
+    if not gone:
+        return pairs.select("query_id", F.col("second").alias("place"), F.col("first").alias("kept")).limit(0)
+    out = functools.reduce(DataFrame.union, gone)
+    by = pairs.join(out.withColumnRenamed("place", "second"), ["query_id", "second"], "left_semi").join(out.withColumnRenamed("place", "first"), ["query_id", "first"], "left_anti")
+    return by.groupBy("query_id", F.col("second").alias("place")).agg(F.min("first").alias("kept"))
 
-    def walk(pairs: pd.DataFrame) -> pd.DataFrame:
-        gone: dict[int, int] = {}
-        for second, group in pairs.sort_values(["second", "first"]).groupby("second"):
-            for first in group["first"]:
-                if first not in gone:
-                    gone[int(second)] = int(first)
-                    break
-        return pd.DataFrame({"query_id": pairs["query_id"].iloc[0], "place": list(gone), "kept": list(gone.values())}, columns=["query_id", "place", "kept"])
-
-    kind = dict(fused.dtypes)["query_id"]
-    gone = similar_pairs(fused, threshold).groupBy("query_id").applyInPandas(lambda pdf: walk(pdf), f"query_id {kind}, place int, kept int")
-    gone = written(gone, "syndicated")
+
+def collapse_syndication(fused: DataFrame, threshold: float = 0.82) -> DataFrame:
+    """The fused list without syndicated copies: in order, a page goes if a kept one before it is similar. Adds ``near_duplicates``."""
+    gone = written(suppressed(similar_pairs(fused, threshold)), "syndicated")
     copies = gone.join(fused.select("query_id", "place", "url"), ["query_id", "place"]).groupBy("query_id", F.col("kept").alias("place")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "url"))), lambda c: c["url"]).alias("near_duplicates"))
     stay = fused.join(gone.select("query_id", "place"), ["query_id", "place"], "left_anti")
     return stay.join(copies, ["query_id", "place"], "left").withColumn("near_duplicates", F.coalesce("near_duplicates", F.array().cast("array<string>")))

@@ -1,4 +1,4 @@
-"""Robots rules as rows: parsing, canonical paths, the longest match."""
+"""Robots rules as rows: parsing, canonical paths, the longest match by way of the patterns' literal heads."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import bound
+
 #: Patterns of a file that are read; a file of more is cut there, as readers of such files do.
 MAX_RULES = 2000
 _PLAIN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
@@ -79,8 +81,27 @@ def parse(robots: DataFrame) -> DataFrame:
     return robots.select("origin", "body").mapInArrow(parsed, _RULES)
 
 
-def _like(path: Column, like: Column) -> Column:
-    return F.call_function("like", path, like)
+def literal_head(pattern: Column) -> Column:
+    """What a pattern begins with, up to its first wildcard or closing mark."""
+    return F.regexp_replace(F.substring_index(pattern, "*", 1), "[$]$", "")
+
+
+def matches(path: Column, pattern: Column) -> Column:
+    """Whether a path fits a pattern: ``*`` is any run, the end is open unless ``$`` closes it. The parts between wildcards are looked for from left to right, so time grows with the path."""
+    closed = pattern.endswith("$")
+    body = F.when(closed, F.substr(pattern, F.lit(1), F.length(pattern) - 1)).otherwise(pattern)
+
+    def placed(parts: Column) -> Column:
+        n = F.size(parts)
+        first, last = F.get(parts, F.lit(0)), F.get(parts, n - 1)
+        begin = F.when(path.startswith(first), F.length(first) + 1).otherwise(0)
+        inner = F.slice(parts, 2, F.greatest(n - F.when(closed, 2).otherwise(1), F.lit(0)))
+        step = lambda at, part: F.when(at > 0, bound(F.call_function("locate", part, path, at), lambda i: F.when(i > 0, i + F.length(part)).otherwise(0))).otherwise(0)
+        at = F.aggregate(inner, begin, step)
+        ends = path.endswith(last) & (at <= F.length(path) - F.length(last) + 1)
+        return F.when(closed & (n == 1), path == first).when(closed, (at > 0) & ends).otherwise(at > 0)
+
+    return bound(F.split(body, r"\*+"), placed)
 
 
 def decide(requests: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
@@ -90,22 +111,17 @@ def decide(requests: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
     best = named.groupBy("origin").agg(F.max(F.struct(weight.alias("w"), "agent"))["agent"].alias("agent"))
     own = named.join(best, ["origin", "agent"])
     delay = own.where(F.col("crawl_delay").isNotNull()).groupBy("origin").agg(F.max(F.struct("seq", "crawl_delay"))["crawl_delay"].alias("crawl_delay"))
-    # an origin's patterns are one bounded row, so a path meets them without a row a pair
-    patterns = own.where(F.col("pattern").isNotNull()).groupBy("origin").agg(F.collect_list(F.struct(F.length("pattern").alias("n"), F.col("allow").cast("int").alias("a"), _pattern(F.col("pattern")).alias("like"))).alias("patterns"))
-    asked = requests.select("origin", "path").withColumn("spelled", canonical_path_column(F.col("path"))).join(patterns, "origin", "left").join(delay, "origin", "left")
-    met = F.array_max(F.filter("patterns", lambda p: _like(F.col("spelled"), p["like"])))
-    return asked.select("origin", "path", (F.coalesce(met["a"], F.lit(1)) == 1).alias("allowed"), F.nullif(F.col("crawl_delay"), F.lit(0.0)).alias("crawl_delay"))
+    patterns = own.where(F.col("pattern").isNotNull()).select("origin", "pattern", literal_head(F.col("pattern")).alias("head"), F.struct(F.length("pattern").alias("n"), F.col("allow").cast("int").alias("a")).alias("rank"))
+    # a path meets the patterns whose literal head it begins with: of its beginnings, those as long as a head of its origin
+    heads = patterns.groupBy("origin").agg(F.collect_set(F.length("head")).alias("lengths"))
+    paths = requests.select("origin", "path").distinct().withColumn("spelled", canonical_path_column(F.col("path")))
+    begins = paths.join(heads, "origin").select("origin", "path", "spelled", F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("spelled")), lambda n: F.substr("spelled", F.lit(1), n))).alias("head"))
+    met = begins.join(patterns, ["origin", "head"]).where(matches(F.col("spelled"), F.col("pattern"))).groupBy("origin", "path").agg(F.max("rank")["a"].alias("a"))
+    asked = requests.select("origin", "path").join(met, ["origin", "path"], "left").join(delay, "origin", "left")
+    return asked.select("origin", "path", (F.coalesce("a", F.lit(1)) == 1).alias("allowed"), F.nullif(F.col("crawl_delay"), F.lit(0.0)).alias("crawl_delay"))
 
 
 def permitted(decisions: DataFrame, policy: str = "enforce") -> DataFrame:
     """decisions with ``permitted`` and ``warning``: ``enforce`` refuses what the rules disallow, ``warn`` lets it pass with a warning, ``off`` does not look."""
     bad = ~F.col("allowed")
     return decisions.withColumn("permitted", ~bad if policy == "enforce" else F.lit(True)).withColumn("warning", bad if policy == "warn" else F.lit(False))
-
-
-def _pattern(pattern: Column) -> Column:
-    """A LIKE pattern: ``*`` is any run, the end is open unless ``$`` closes it."""
-    closed = pattern.endswith("$")
-    body = F.when(closed, F.substr(pattern, F.lit(1), F.length(pattern) - 1)).otherwise(pattern)
-    literal = F.replace(F.replace(body, F.lit("%"), F.lit("\\%")), F.lit("_"), F.lit("\\_"))
-    return F.concat(F.regexp_replace(literal, r"\*+", "%"), F.when(closed, F.lit("")).otherwise(F.lit("%")))

@@ -201,7 +201,7 @@ def late_merge(spark, sf_dir):
     rows.where("NOT late").drop("late").repartition(2).write.parquet(arrivals)
     rows.where("late").drop("late").coalesce(1).write.mode("append").parquet(arrivals)
     stream = spark.readStream.schema(live.SHARE).option("maxFilesPerTrigger", 1).parquet(arrivals)
-    return live.late_merge(stream, fresh_path(spark, "late-merge"), "30 days").read().select("query_id", "page", F.round("score", 9).alias("score"), "agreement")
+    return live.late_stream(stream, fresh_path(spark, "late-merge"), "30 days").read().select("query_id", "page", F.round("score", 9).alias("score"), "agreement")
 
 
 @_query("""SELECT event_id, CAST(json_extract_string(props, '$.' || json_keys(props)[1]) AS VARCHAR) AS first_value, len(json_keys(props)) AS fields FROM events WHERE props IS NOT NULL""")

@@ -59,6 +59,17 @@ def on_time(answers: DataFrame, at: str, soft_deadline: str = "90 minutes") -> D
     return answers.withWatermark(at, soft_deadline).groupBy(F.window(at, "1 hour"), "provider").agg(F.count(F.lit(1)).alias("answers"))
 
 
+def late_merge(fused: DataFrame, late: DataFrame, k: int = 60) -> DataFrame:
+    """A fused answer (query_id, page, score, providers) with stragglers (query_id, provider, pos, page) added; both are keyed, so only touched pages move.
+
+    ``providers`` are the names already counted; one that answered early and late counts once in ``agreement``.
+    """
+    more = late.groupBy("query_id", "page").agg(F.sum(F.lit(1.0) / (F.lit(float(k)) + F.col("pos") + 1)).alias("more"), F.collect_set("provider").alias("others"))
+    none = F.array().cast("array<string>")
+    whole = F.array_sort(F.array_union(F.coalesce("providers", none), F.coalesce("others", none)))
+    return fused.join(more, ["query_id", "page"], "full_outer").select("query_id", "page", (F.coalesce("score", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("score"), whole.alias("providers"), F.size(whole).cast("long").alias("agreement"))
+
+
 SHARE = "query_id long, page string, provider string, pos int, at timestamp"
 
 
@@ -82,7 +93,7 @@ def merge_answers(answers: StateTable, fused: StateTable, batch: DataFrame, numb
     fused.upsert(now, batch=(name, number))
 
 
-def late_merge(arrivals: DataFrame, path: str, life: str = "1 hour", buckets: int = 16, name: str = "answers") -> StateTable:
+def late_stream(arrivals: DataFrame, path: str, life: str = "1 hour", buckets: int = 16, name: str = "answers") -> StateTable:
     """Runs a stream of answers (see SHARE) into fused results at a path, as far as there are any now, and returns the table (query_id, page, score, agreement).
 
     Stragglers join what was fused without them. An answer that comes when its entry's ``life`` is over (by

@@ -226,3 +226,48 @@ def test_containment_of_long_short_and_odd_items(spark):
     got = grounding.containing(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item string"))
     want = {(d, i) for d, t in docs for i, s in items if t is not None and s is not None and s in t}
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_suppression_in_rounds_equals_the_walk(spark):
+    import random
+
+    draw = random.Random(9)
+    pairs, want = [], set()
+    for q in range(60):
+        n = draw.randint(2, 14)
+        near = sorted({tuple(sorted(draw.sample(range(n), 2))) for _ in range(draw.randint(0, 2 * n))}) if q else [(i, i + 1) for i in range(13)]
+        gone = {}
+        for page in range(n if q else 14):
+            kept = [a for a, b in near if b == page and a not in gone]
+            if kept:
+                gone[page] = min(kept)
+        pairs += [(q, a, b) for a, b in near]
+        want |= {(q, page, by) for page, by in gone.items()}
+    got = fusion.suppressed(spark.createDataFrame(pairs, "query_id int, first int, second int")).collect()
+    assert {(r.query_id, r.place, r.kept) for r in got} == want
+    assert fusion.suppressed(spark.createDataFrame([], "query_id int, first int, second int")).count() == 0
+
+
+def test_robots_patterns_equal_a_plain_matcher(spark):
+    import random
+    import re
+
+    draw = random.Random(10)
+    word = lambda n: "".join(draw.choice("ab/") for _ in range(n))
+    rules = [(f"o{i % 5}", "*", i, draw.random() < 0.5, "/" + "*".join(word(draw.randint(0, 3)) for _ in range(draw.randint(1, 4))) + draw.choice(["", "$"]), None) for i in range(200)]
+    rules += [("o0", "*", 900, False, "*b$", None), ("o0", "*", 901, True, "/$", None)]
+    asks = [(f"o{draw.randrange(6)}", "/" + word(draw.randint(0, 8))) for _ in range(500)]
+    got = robots.decide(spark.createDataFrame(asks, "origin string, path string"), spark.createDataFrame(rules, "origin string, agent string, seq int, allow boolean, pattern string, crawl_delay double"), "me").collect()
+    assert len(got) == 500
+
+    def allowed(origin, path):
+        fits = [(len(p), a) for o, _, _, a, p, _ in rules if o == origin and re.match("^" + ".*".join(map(re.escape, p.removesuffix("$").split("*"))) + ("$" if p.endswith("$") else ""), path)]
+        return max(fits, default=(0, True))[1]
+
+    assert all(r.allowed == allowed(r.origin, r.path) for r in got)
+
+
+def test_robots_patterns_of_many_wildcards_take_no_time(spark):
+    rules = spark.createDataFrame([("o", "*", 0, False, "/" + "*a" * 40 + "*b$", None)], "origin string, agent string, seq int, allow boolean, pattern string, crawl_delay double")
+    asks = spark.createDataFrame([("o", "/" + "a" * 200_000)], "origin string, path string")
+    assert robots.decide(asks, rules, "me").first().allowed is True

@@ -96,7 +96,7 @@ def test_answers_after_the_life_of_an_entry_are_dropped(spark, tmp_path):
         spark.createDataFrame([row], ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "a"))
         del n
         stream = spark.readStream.schema(live.SHARE).parquet(str(tmp_path / "a"))
-        fused = live.late_merge(stream, str(tmp_path / "state"), "1 hour", 2)
+        fused = live.late_stream(stream, str(tmp_path / "state"), "1 hour", 2)
     assert {(r.query_id, r.agreement) for r in fused.read().collect()} == {(1, 1), (2, 1), (3, 2)}
 
 
