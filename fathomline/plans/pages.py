@@ -39,6 +39,30 @@ def page_markdown(spark, sf_dir):
     return found.select("page_id", F.md5("m").alias("markdown_md5"), F.length("m").cast("long").alias("n"))
 
 
+@_query("""SELECT p_partkey AS page_id, CASE WHEN p_partkey % 3 = 2 THEN 'Home' || chr(10) || chr(10) || 'short note' ELSE '# About ' || p_name || chr(10) || chr(10) || rtrim(repeat('What is known of ' || p_name || ' follows. ', 3)) || chr(10) || chr(10)
+  || CASE WHEN p_partkey % 3 = 1 THEN 'Read on' || chr(10) || chr(10) ELSE '' END || rtrim(repeat('It was made in ' || p_brand || ' and sold. ', CAST(3 + p_size % 4 AS INTEGER))) END AS content FROM part""")
+def page_content(spark, sf_dir):
+    """What a page says between a menu and a list of teasers that no tag tells from it; a page of a few words is taken whole."""
+    key, name = F.col("p_partkey"), F.col("p_name")
+    link = lambda n: F.concat(F.lit("<li><a href='/x'>More of "), name, F.lit(f" {n}</a></li>"))
+    menu = F.concat(F.lit("<div class=top><ul>"), *[link(i) for i in range(4)], F.lit("</ul></div>"))
+    said = lambda *parts: F.array_join(F.array_repeat(F.concat(*parts), 3), " ")
+    sold = F.array_join(F.array_repeat(F.concat(F.lit("It was made in "), "p_brand", F.lit(" and sold.")), (F.col("p_size") % 4 + 3).cast("int")), " ")
+    body = F.concat(F.lit("<h1>About "), name, F.lit("</h1><p>"), said(F.lit("What is known of "), name, F.lit(" follows.")), F.lit("</p>"), F.when(key % 3 == 1, "<p><a href='/on'>Read on</a></p>").otherwise(""), F.lit("<p>"), sold, F.lit("</p>"))
+    page = F.when(key % 3 == 2, F.lit("<div>Home</div><div>short note</div>")).otherwise(F.concat(menu, F.lit("<div>"), body, F.lit("</div><div>"), menu, F.lit("</div>")))
+    return T.table(spark, sf_dir, "part").select(key.alias("page_id"), markdown.to_markdown(F.concat(F.lit("<title>T</title><body>"), page, F.lit("</body>")), main=True).alias("content"))
+
+
+@_query("""SELECT p_partkey AS page_id, p_name AS name, CASE WHEN p_partkey * 37 % 6000 + 9 < 3000 THEN 'https://shop.example.com/c/' || p_partkey END AS link, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS VARCHAR) END AS distance FROM part""")
+def card_marks(spark, sf_dir):
+    """Cards whose link stands some way behind their data, near enough or not, and whose text gives a distance or a mileage."""
+    key = F.col("p_partkey")
+    data = F.to_json(F.struct(F.col("p_name").alias("name"), F.floor("p_retailprice").alias("price"), F.concat(F.lit("i"), key.cast("string")).alias("sku")))
+    html = F.concat(F.lit("<div data-item='"), data, F.lit("'></div>"), F.repeat(F.lit("."), (key * 37 % 6000).cast("int")), F.lit('<a href="/c/'), key.cast("string"), F.lit('">open</a><p>Salem, OR '), F.when(key % 2 == 0, F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit(" mi)"))).otherwise(F.concat(F.col("p_size").cast("string"), F.lit(",000 mi"))), F.lit("</p>"))
+    pages = T.table(spark, sf_dir, "part").select(key.alias("page_id"), F.lit("https://shop.example.com/list").alias("url"), html.alias("html"))
+    return records.generic_listings(written(pages, "card-pages")).select("page_id", "name", "link", "distance")
+
+
 _STATE_SQL = """p AS (SELECT *, lpad(CAST(p_partkey AS VARCHAR), 17, '0') AS vin, '$' || format('{:,}', CAST(floor(p_retailprice) AS BIGINT)) AS price FROM part)"""
 
 

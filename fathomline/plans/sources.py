@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import fusion, robots
+from ..operators import endpoints, fusion, robots
 from ..scratch import fresh_path
-from ..sources import apis, listings, serp
-from ..streaming import live
+from ..sources import apis, captures, listings, serp
+from ..streaming import caches, live
 from . import tables as T
 from .queries import _query, parse_operators
 
@@ -204,6 +204,53 @@ def late_merge(spark, sf_dir):
     return live.late_stream(stream, fresh_path(spark, "late-merge"), "30 days").read().select("query_id", "page", F.round("score", 9).alias("score"), "agreement")
 
 
+@_query("WITH " + T.DOCUMENTS_SQL + """, a AS (SELECT doc_id, doc_id // 20 AS query, ['wikipedia', 'ddg', 'crossref'][doc_id // 20 % 3 + 1] AS provider, 'https://' || lang || '.example.com/' || doc_id AS url, 'page ' || doc_id AS title FROM docs WHERE doc_id // 20 % 2 = 0 AND doc_id // 20 % 3 < 2)
+SELECT provider, query, row_number() OVER (PARTITION BY query ORDER BY doc_id) - 1 AS rank, CASE provider WHEN 'wikipedia' THEN 'https://en.wikipedia.org/wiki/page_' || doc_id ELSE url END AS url, title FROM a""")
+def captured_answers(spark, sf_dir):
+    """Answers of three sources on two days as files; those of two sources and one day are read back."""
+    docs = T.documents(spark, sf_dir).select("doc_id", F.floor(F.col("doc_id") / 20).alias("query"), F.concat(F.lit("https://"), "lang", F.lit(".example.com/"), F.col("doc_id").cast("string")).alias("url"), F.concat(F.lit("page "), F.col("doc_id").cast("string")).alias("title"))
+    one = F.when(F.col("query") % 3 == 1, F.concat(F.lit('<a class="result__a" href="'), "url", F.lit('">'), "title", F.lit("</a>"))).otherwise(F.to_json(F.struct("title", F.lit("x").alias("snippet"))))
+    said = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", one.alias("one")))), lambda x: x["one"])
+    body = F.when(F.col("query") % 3 == 1, F.array_join("said", "\n")).otherwise(F.concat(F.lit('{"query":{"search":['), F.array_join("said", ","), F.lit("]}}")))
+    days = F.when(F.col("query") % 2 == 0, "2024-05-01").otherwise("2024-05-02")
+    made = docs.groupBy("query").agg(said.alias("said")).select(F.get(F.array(F.lit("wikipedia"), F.lit("ddg"), F.lit("crossref")), (F.col("query") % 3).cast("int")).alias("provider"), days.alias("day"), "query", body.alias("body"))
+    root = fresh_path(spark, "captures")
+    made.write.partitionBy(*captures.LAYOUT).text(root)
+    return captures.answers(captures.captures(spark, root).where("day = DATE'2024-05-01'"), ["wikipedia", "ddg"]).select("provider", "query", "rank", "url", "title")
+
+
+@_query(f"""WITH {T.CALLS_SQL}, a AS (SELECT event_id, provider, at_s - lag(at_s) OVER (PARTITION BY provider ORDER BY at_s, event_id) AS age FROM calls)
+SELECT event_id, CASE WHEN age <= 3600 THEN 'hit' WHEN age <= 7200 THEN 'stale' ELSE 'miss' END AS answer FROM a""")
+def stream_cache_hits(spark, sf_dir):
+    """Reads of each source's cache entry as a stream of two files, answered from keyed state with timers."""
+    path = fresh_path(spark, "cache-reads")
+    reads = T.calls(spark, sf_dir).select("event_id", F.col("provider").cast("string").alias("k"), "at_s", F.col("ts").cast("timestamp").alias("ts"), F.lit(None).cast("double").alias("lasts"))
+    half = reads.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0] or 0
+    for part in (reads.where(F.col("event_id") <= half), reads.where(F.col("event_id") > half)):
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(reads.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    with caches.keyed_state(spark):
+        return live.run_to_end(caches.answered(stream, "k", caches.CacheReads(3600, 3600), "1 day"), "append", "stream-cache").select("event_id", "answer")
+
+
+@_query(f"""WITH RECURSIVE {T.CALLS_SQL}, w AS (SELECT provider, event_id, i, ['ok', 'degraded', 'empty', 'degraded', 'blocked', 'degraded', 'degraded'][event_id * 7 % 11 % 7 + 1] AS s0, ['empty', 'ok', 'empty', 'degraded', 'empty'][event_id * 13 % 17 % 5 + 1] AS s1 FROM logged),
+f AS (SELECT DISTINCT provider, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS INTEGER) AS lead, CAST([] AS BOOLEAN[]) AS memory, 0 AS skips, '' AS asked, CAST(NULL AS INTEGER) AS answered FROM w
+  UNION ALL SELECT provider, event_id, i, CASE WHEN answered = 1 THEN 1 WHEN answered = 0 THEN NULL ELSE lead END,
+    CASE WHEN asked = '0 1' AND s0 = 'degraded' THEN list_append(memory, answered IS NOT NULL)[-3:] ELSE memory END, skips, asked, answered
+  FROM (SELECT *, CASE WHEN asked = '1' AND s1 = 'ok' THEN 1 WHEN asked = '1 0' AND s0 = 'ok' THEN 0 WHEN asked IN ('0', '0 1') AND s0 = 'ok' THEN 0 WHEN asked = '0 1' AND s1 = 'ok' THEN 1 END AS answered
+    FROM (SELECT *, CASE WHEN lead = 1 THEN CASE WHEN s1 = 'ok' THEN '1' ELSE '1 0' END WHEN s0 IN ('ok', 'blocked') THEN '0' WHEN brushed AND skips % 8 <> 0 THEN '0' ELSE '0 1' END AS asked
+      FROM (SELECT w.provider, w.event_id, w.i, w.s0, w.s1, f.lead, f.memory, brushed, f.skips + CASE WHEN brushed AND (f.lead IS NULL OR w.s1 <> 'ok') THEN 1 ELSE 0 END AS skips
+        FROM (SELECT w.*, w.s0 = 'degraded' AND len(f.memory) = 3 AND NOT list_contains(f.memory, true) AS brushed FROM f JOIN w ON w.provider = f.provider AND w.i = f.i + 1) w JOIN f ON w.provider = f.provider AND w.i = f.i + 1))))
+SELECT event_id, provider, asked, answered, lead FROM f WHERE i > 0""")
+def endpoint_leads(spark, sf_dir):
+    """Searches of providers with two endpoints, whose answers follow from the event."""
+    key = F.col("event_id")
+    pick = lambda words, at: F.get(F.array(*[F.lit(w) for w in words]), at.cast("int"))
+    said = F.concat_ws(" ", pick(["ok", "degraded", "empty", "degraded", "blocked", "degraded", "degraded"], key * 7 % 11 % 7), pick(["empty", "ok", "empty", "degraded", "empty"], key * 13 % 17 % 5))
+    log = endpoints.endpoint_log(T.calls(spark, sf_dir).select("event_id", "provider", said.alias("said")), "provider", ["event_id"], "said")
+    return log.select("event_id", "provider", "asked", "answered", "lead")
+
+
 @_query("""SELECT event_id, CAST(json_extract_string(props, '$.' || json_keys(props)[1]) AS VARCHAR) AS first_value, len(json_keys(props)) AS fields FROM events WHERE props IS NOT NULL""")
 def props_json(spark, sf_dir):
     rows = T.table(spark, sf_dir, "events").where("props IS NOT NULL")
