@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import bound
+from ..functions.money import money_text
 from ..functions.url import canonical_url, doc_domain
 
 # Availabilities under which an offer cannot be taken.
@@ -64,3 +65,10 @@ def merge_items(items: DataFrame) -> DataFrame:
     loner = F.col("product").startswith("_").cast("int")
     order = Window.partitionBy("group").orderBy(F.col("amount").isNull(), F.desc("common"), "currency", F.coalesce("amount", F.lit(0.0)), loner, "pos", "product")
     return merged.withColumn("place", F.row_number().over(order)).drop("common", "pos")
+
+
+def item_documents(items: DataFrame, source: str = "marketplace") -> DataFrame:
+    """(group, rank, url, title, snippet, source) of items (group, place, url, title, seller, currency, amount): products as documents of a search, what they cost and who sells them in the snippet."""
+    who = F.coalesce(F.nullif(F.col("seller"), F.lit("")), doc_domain(F.col("url")))
+    said = F.concat(F.coalesce(money_text(F.col("amount"), F.col("currency")), F.lit("")), F.lit(" · "), who)
+    return items.select("group", (F.col("place") - 1).alias("rank"), "url", "title", said.alias("snippet"), F.lit(source).alias("source"))

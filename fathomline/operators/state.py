@@ -238,3 +238,19 @@ def memo_hits(reads: DataFrame, key: str, at: str, lasts: Column, order: str) ->
 def with_stale_if_error(log: DataFrame, ok: Column, stale_s: float) -> DataFrame:
     """A cache log (age_s, answer) in which a failed fetch is answered by what is not too old: ``stale_if_error``; else ``error``."""
     return log.withColumn("answer", F.when((F.col("answer") == "miss") & ~ok, F.when(F.col("age_s") <= stale_s, "stale_if_error").otherwise("error")).otherwise(F.col("answer")))
+
+
+def covering_entries(asks: DataFrame, entries: DataFrame, key: str, ttl_s: float) -> DataFrame:
+    """asks (ask_id, key, at_s, k) with the cache ``entry`` that answers each, null for none: its first k rows are the answer.
+
+    entries (entry, key, at_s, k): what was remembered of a key, each with the number of results it was made
+    for. An entry never gives way to a narrower one, so a key holds the widest so far, the newest of those; it
+    answers for ``ttl_s`` seconds whoever asks for no more than it has. Both sides meet by time, in one pass.
+    """
+    both = entries.select(F.col(key).alias("key"), "at_s", F.lit(0).alias("kind"), F.col("k").cast("long").alias("k"), F.col("entry"), F.lit(None).cast(dict(asks.dtypes)["ask_id"]).alias("ask_id")).unionByName(
+        asks.select(F.col(key).alias("key"), "at_s", F.lit(1).alias("kind"), F.col("k").cast("long").alias("k"), F.lit(None).cast(dict(entries.dtypes)["entry"]).alias("entry"), "ask_id"))
+    until = Window.partitionBy("key").orderBy("at_s", "kind", "entry").rowsBetween(Window.unboundedPreceding, 0)
+    held = F.max(F.when(F.col("kind") == 0, F.struct("k", "at_s", "entry"))).over(until)
+    asked = both.withColumn("held", held).where("kind = 1")
+    covers = (F.col("held.k") >= F.col("k")) & (F.col("at_s") - F.col("held.at_s") <= ttl_s)
+    return asked.select("ask_id", F.col("key").alias(key), "at_s", "k", F.when(covers, F.col("held.entry")).alias("entry"))

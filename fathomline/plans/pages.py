@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import asking, markdown, net, text
-from ..operators import research, robots, routing, state
+from ..operators import items, research, robots, routing, state
 from ..scratch import written
 from ..sources import apis, cards, listings, records, serp, video
 from . import tables as T
 from .queries import _query
-from .sources import _ANSWERS_SQL, _FOLD_SQL, _answers, _bodies, _plain
+from .sources import _ANSWERS_SQL, _FOLD_SQL, _HEALTH_SQL, _answers, _bodies, _plain
 
 
 def _pick(key, *values):
@@ -88,11 +89,14 @@ def _state_pages(spark, sf_dir):
     return written(made, "state-pages")  # a table, as captured pages are
 
 
-@_query(f"""WITH {_STATE_SQL}, h AS (SELECT *, p_partkey % 3 AS n FROM p)
-SELECT p_partkey AS page_id, 1 AS place, CASE WHEN p_partkey % 4 = 1 THEN vin ELSE CASE WHEN p_partkey % 4 = 0 THEN p_brand || ' ' ELSE '' END || p_name END AS key, CASE p_partkey % 4
+_ROW_SQL = """CASE p_partkey % 4
   WHEN 0 THEN p_brand || ' ' || p_name || ' | ' || price || ' | https://shop.example.com/d/K' || (100000 + p_partkey) || '-x'
-  WHEN 1 THEN '2020 Maker M' || p_partkey || ' | ' || price || ' | ' || format('{{:,}}', p_size * 1000) || ' mi | Manual | VIN ' || vin || ' | ' || p_brand || ' (Salem, OR) | distance ' || (p_size + 3) || ' | history: ' || n || CASE WHEN n = 1 THEN ' accident' ELSE ' accidents' END || ', clean title, no salvage title/lemon record'
-  ELSE p_name || ' | ' || price || ' | https://shop.example.com/i/' || p_partkey END AS row FROM h WHERE p_partkey % 4 <> 3""")
+  WHEN 1 THEN '2020 Maker M' || p_partkey || ' | ' || price || ' | ' || format('{:,}', p_size * 1000) || ' mi | Manual | VIN ' || vin || ' | ' || p_brand || ' (Salem, OR) | distance ' || (p_size + 3) || ' | history: ' || n || CASE WHEN n = 1 THEN ' accident' ELSE ' accidents' END || ', clean title, no salvage title/lemon record'
+  ELSE p_name || ' | ' || price || ' | https://shop.example.com/i/' || p_partkey END"""
+
+
+@_query(f"""WITH {_STATE_SQL}, h AS (SELECT *, p_partkey % 3 AS n FROM p)
+SELECT p_partkey AS page_id, 1 AS place, CASE WHEN p_partkey % 4 = 1 THEN vin ELSE CASE WHEN p_partkey % 4 = 0 THEN p_brand || ' ' ELSE '' END || p_name END AS key, {_ROW_SQL} AS row FROM h WHERE p_partkey % 4 <> 3""")
 def state_listings(spark, sf_dir):
     """Listings that only a page's own state holds, with the link, distance and history that stand elsewhere in it."""
     return listings.listing_rows(_state_pages(spark, sf_dir), generic=True)
@@ -118,6 +122,58 @@ def page_documents(spark, sf_dir):
     return found.select("page_id", "title", F.col("text").isNotNull().alias("has_text"), F.col("text").contains("\n\n## Listings\n\n").alias("has_listings"), F.nullif(F.regexp_extract("text", r"own data reports ([\d,]+) results", 1), F.lit("")).alias("total"))
 
 
+@_query(f"""WITH {_STATE_SQL}, h AS (SELECT *, p_partkey % 3 AS n FROM p), r AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'openabout' WHEN 3 THEN p_name ELSE 'Page of ' || p_partkey END AS prose, {_ROW_SQL} AS row FROM h)
+SELECT p_partkey AS page_id, prose || CASE WHEN p_partkey % 4 = 3 THEN '' ELSE chr(10) || chr(10) || '## Listings' || chr(10) || chr(10) || CASE WHEN p_partkey > 0 THEN 'The page''s own data reports ' || format('{{:,}}', p_partkey) || ' results in all.' || chr(10) || chr(10) ELSE '' END || '- ' || row END AS text FROM r""")
+def page_texts(spark, sf_dir):
+    """The whole text of pages with listings: their prose, and the section of what it does not name."""
+    pages = _state_pages(spark, sf_dir).withColumn("html", F.concat(F.lit("<title>Page of "), F.col("page_id").cast("string"), F.lit("</title>"), "html"))
+    return listings.with_listings(pages, markdown.to_markdown(F.col("html"))).select("page_id", "text")
+
+
+@_query("""SELECT page_id, length(html) AS length, count(*) OVER (PARTITION BY html) AS copies FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN html ELSE substr(html, 1, 40) END AS html FROM pages)""")
+def body_keys(spark, sf_dir):
+    """How many fetched bodies are the same, by length and hash."""
+    bodies = T.table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, F.col("html")).otherwise(F.substring("html", 1, 40)).alias("html")).withColumn("key", net.body_key(F.col("html")))
+    return bodies.select("page_id", F.col("key.length").cast("long").alias("length"), F.count(F.lit(1)).over(Window.partitionBy("key")).alias("copies"))
+
+
+@_query("SELECT p_partkey AS query_id, p_partkey % 4 IN (0, 1) AS gated FROM part")
+def feed_states(spark, sf_dir):
+    """Marketplace pages whose feed is null, empty, filled or not there."""
+    key = F.col("p_partkey")
+    feed = _pick(key, '"feed_units":null', '"feed_units" : { "edges" : [ ] , "n":1}', F.concat(F.lit('"feed_units":{"edges":[{"title":'), F.to_json(F.struct("p_name")), F.lit("}]}")), "")
+    return serp.feed_gated(T.table(spark, sf_dir, "part").select(key.alias("query_id"), F.concat(F.lit('<script>{"marketplace_search":{'), feed, F.lit("}}</script>")).alias("body")))
+
+
+_COVER_SQL = """SELECT a.event_id, arg_max(e.event_id, e.k * 1e12 + e.at_s) AS entry_id, max(e.k) AS entry_k, arg_max(e.at_s, e.k * 1e12 + e.at_s) AS entry_at, any_value(a.k) AS k, any_value(a.at_s) AS at_s
+  FROM (SELECT *, event_id % 25 + 1 AS k FROM calls WHERE event_id % 3 <> 0) a LEFT JOIN (SELECT *, event_id // 3 % 30 + 1 AS k FROM calls WHERE event_id % 3 = 0) e ON e.provider = a.provider AND e.at_s <= a.at_s GROUP BY a.event_id"""
+
+
+@_query(f"WITH {T.CALLS_SQL}, c AS ({_COVER_SQL}) SELECT event_id, CASE WHEN entry_k >= k AND at_s - entry_at <= 2000000 THEN entry_id END AS entry FROM c")
+def superset_cache(spark, sf_dir):
+    """Every third call leaves an answer of some width; the others ask for another, and get it from the widest that still holds."""
+    calls = T.calls(spark, sf_dir)
+    entries = calls.where("event_id % 3 = 0").select(F.col("event_id").alias("entry"), "provider", "at_s", (F.floor(F.col("event_id") / 3) % 30 + 1).alias("k"))
+    asks = calls.where("event_id % 3 <> 0").select(F.col("event_id").alias("ask_id"), "provider", "at_s", (F.col("event_id") % 25 + 1).alias("k"))
+    return state.covering_entries(asks, entries, "provider", 2_000_000).select(F.col("ask_id").alias("event_id"), "entry")
+
+
+@_query(f"WITH RECURSIVE {T.CALLS_SQL}, {_HEALTH_SQL} SELECT provider, i AS calls, round(lat, 1) AS ema_latency_ms, round(suc, 3) AS ema_success FROM f QUALIFY row_number() OVER (PARTITION BY provider ORDER BY i DESC) = 1")
+def health_figures(spark, sf_dir):
+    """The averages of the health report, in its short figures."""
+    found = state.health_report(T.calls(spark, sf_dir).select("event_id", "provider", "ok", "latency_ms"), "provider", ["event_id"], "ok", "latency_ms")
+    return found.select("provider", "calls", "ema_latency_ms", "ema_success")
+
+
+@_query("""SELECT s_nationkey AS "group", row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS rank, 'https://www.shop' || s_suppkey || '.example.com/p' AS url, s_name AS title,
+  CASE s_suppkey % 3 WHEN 0 THEN '$' || format('{:,}', CAST(floor(abs(s_acctbal)) AS BIGINT)) WHEN 1 THEN format('{:,}', CAST(floor(abs(s_acctbal)) AS BIGINT)) || '.50 EUR' ELSE '' END || ' · ' || CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'shop' || s_suppkey || '.example.com' END AS snippet FROM supplier""")
+def item_documents(spark, sf_dir):
+    key, price = F.col("s_suppkey"), F.floor(F.abs("s_acctbal"))
+    place = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    rows = T.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("group"), place.alias("place"), F.concat(F.lit("https://www.shop"), key.cast("string"), F.lit(".example.com/p")).alias("url"), F.col("s_name").alias("title"), F.when(key % 2 == 0, F.col("s_name")).otherwise("").alias("seller"), F.when(key % 3 == 1, "EUR").otherwise("USD").alias("currency"), F.when(key % 3 == 0, price.cast("double")).when(key % 3 == 1, price + 0.5).alias("amount"))
+    return items.item_documents(rows).select("group", F.col("rank").cast("long").alias("rank"), "url", "title", "snippet")
+
+
 # --- cards and products ---------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fathomline.operators import deadlines
+from fathomline.operators import deadlines, state
 from fathomline.operators.tables import StateTable
 from fathomline.streaming import live
 
@@ -138,3 +138,10 @@ def test_deadlines_equal_the_loop(spark):
         assert r.on_time == (r.at is not None and r.at <= r.ends_s)
     odd = spark.createDataFrame([(None, None, None, None, None, None, None)], "q int, p int, at double, docs int, ok boolean, latency double, calls int")
     assert deadlines.replay(odd, "q", "at", "docs", "ok", "latency", "calls", 10).first().on_time is False
+
+
+def test_entries_that_cover(spark):
+    entries = [("e1", "a", 1.0, 5), ("e2", "a", 2.0, 3), ("e3", "a", 3.0, 5), ("e4", "a", 9.0, 9), ("n1", None, 1.0, 2)]
+    asks = [(0, "a", 0.5, 1), (1, "a", 1.0, 5), (2, "a", 2.5, 4), (3, "a", 3.0, 5), (4, "a", 4.0, 6), (5, "a", 8.5, 2), (6, "a", 9.0, 9), (7, None, 2.0, 2), (8, "b", 1.0, 1)]
+    got = state.covering_entries(spark.createDataFrame(asks, "ask_id int, q string, at_s double, k int"), spark.createDataFrame(entries, "entry string, q string, at_s double, k int"), "q", 5.0).collect()
+    assert {r.ask_id: r.entry for r in got} == {0: None, 1: "e1", 2: "e1", 3: "e3", 4: None, 5: None, 6: "e4", 7: "n1", 8: None}
