@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +65,13 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Itera
             yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Returns memory that a task has freed to the system: its worker serves tasks of other stages, too, and what allocators keep adds up."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_sizes(texts: pa.Array):
     """UTF-8 bytes of each text, 0 for null."""
     import pyarrow.compute as pc
@@ -87,5 +96,6 @@ def kept_rows(docs: DataFrame, text_col: str, keep: Callable[[pa.Array], object]
     def filtered(batches):
         for batch in by_bytes(batches, f"c{at}", batch_bytes):
             yield batch.filter(pa.array(keep(batch.column(at)), pa.bool_()))
+        give_back()
 
     return plain.mapInArrow(filtered, plain.schema).toDF(*names)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, cut_lineage, output, written
+from .common import by_bytes, cut_lineage, give_back, output, written
 from .words import mix, shingles, word_hashes
 
 BATCH_BYTES = 1_000_000
@@ -101,6 +101,7 @@ def _sketch(rows: DataFrame, size: int, per_band: int, bands: int) -> DataFrame:
             slots = (mix(signatures) & np.uint64(255)).astype(np.uint8)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1).view(np.int64)))
             yield output(schema, [batch.column("key"), batch.column("mark"), n, *_set_ids(element, ends), lists, [row.tobytes() for row in slots]])
+        give_back()
 
     return rows.withColumn("mark", F.xxhash64("text")).mapInArrow(sketched, "key long, mark long, n_shingles long, set_a long, set_b long, bands array<long>, slots binary")
 
@@ -112,6 +113,7 @@ def _sets(rows: DataFrame, size: int) -> DataFrame:
         for batch in by_bytes(batches, "text", BATCH_BYTES):
             element, ends = shingles(*word_hashes(batch.column("text")), size)
             yield output(schema, [*_set_ids(element, ends), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(element.view(np.int64)))])
+        give_back()
 
     return rows.mapInArrow(listed, "set_a long, set_b long, elements array<long>")
 
@@ -142,6 +144,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                     found.append((a, b))
             if found:
                 yield output(schema, [list(c) for c in zip(*found, strict=True)])
+        give_back()
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "xs", "ys").mapInArrow(confirmed, "a long, b long")
 

@@ -24,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_bytes, output
+from .common import by_bytes, give_back, output
 from .unit_encoder import encoder
 
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 #: Windows and pieces of a block, a piece's largest and an item's smallest size, and tokens a window that a block leaves free for the differences' remains.
 BLOCK_WINDOWS, BLOCK_PIECES, ITEM_TOKENS, LEAST_ITEM, SLACK_TOKENS = 256, 65_536, 256, 64, 4
 
@@ -187,6 +187,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
                 yield output(schema, [list(c) for c in zip(*whole, strict=True)])
                 whole = []
         yield from flush(last=True)
+        give_back()
 
     rows = docs.select(docs[id_col].cast("long").alias("key"), docs[text_col].cast("string").alias("text"))
     out = rows.mapInArrow(pieces, "key long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
