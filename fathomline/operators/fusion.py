@@ -48,53 +48,83 @@ def rrf(deduped: DataFrame, weights: DataFrame | None = None, k: int = RRF_K) ->
     return fused.select("query_id", "page", F.col("best.url").alias("url"), F.col("best.title").alias("title"), F.col("best.snippet").alias("snippet"), "published", "sources", F.size("sources").alias("agreement"), "score", F.row_number().over(order).alias("place"))
 
 
-def similar_pairs(fused: DataFrame, threshold: float = 0.82) -> DataFrame:
-    """(query_id, first, second, similarity): pages of one query on different domains whose titles and snippets overlap; first is placed higher.
+def _pages(fused: DataFrame) -> DataFrame:
+    """(query_id, place, domain, class, set) of the pages whose titles and snippets have words; a class is the pages of one query with one set of shingles, named by its first place."""
+    probe = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit("")))
+    sets = fused.select("query_id", "place", doc_domain(F.col("url")).alias("domain"), F.array_sort(shingles(probe)).alias("set")).where(F.size("set") > 0)
+    named = sets.withColumn("a", F.xxhash64("set")).withColumn("b", F.xxhash64(F.lit(1), "set"))
+    classes = named.groupBy("query_id", "a", "b").agg(F.min("place").alias("class"))
+    return named.join(classes, ["query_id", "a", "b"]).select("query_id", "place", "domain", "class", "set")
+
+
+def _similar_classes(pages: DataFrame, threshold: float) -> DataFrame:
+    """(query_id, first, second, similarity) of classes whose sets overlap, each pair once.
 
     Pairs meet on shared shingles of the rarer part of each set (a prefix that any similar pair must
-    share), so pages without common wording never meet.
+    share), so classes without common wording never meet.
     """
-    probe = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit("")))
-    sets = fused.select("query_id", "place", doc_domain(F.col("url")).alias("domain"), shingles(probe).alias("set")).where(F.size("set") > 0)
-    each = sets.select("query_id", "place", F.explode("set").alias("shingle"))
+    sets = pages.where(F.col("place") == F.col("class")).select("query_id", "class", "set")
+    each = sets.select("query_id", "class", F.explode("set").alias("shingle"))
     counted = each.join(each.groupBy("query_id", "shingle").agg(F.count(F.lit(1)).alias("df")), ["query_id", "shingle"])
-    rare = Window.partitionBy("query_id", "place").orderBy("df", "shingle")
-    whole = Window.partitionBy("query_id", "place")
+    rare = Window.partitionBy("query_id", "class").orderBy("df", "shingle")
+    whole = Window.partitionBy("query_id", "class")
     prefix = counted.withColumn("n", F.count(F.lit(1)).over(whole)).withColumn("i", F.row_number().over(rare)).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).where("df > 1")
-    a, b = prefix.select("query_id", "shingle", F.col("place").alias("first")), prefix.select("query_id", "shingle", F.col("place").alias("second"))
+    a, b = prefix.select("query_id", "shingle", F.col("class").alias("first")), prefix.select("query_id", "shingle", F.col("class").alias("second"))
     near = a.join(b, ["query_id", "shingle"]).where("first < second").select("query_id", "first", "second").distinct()
-    left, right = sets.select("query_id", F.col("place").alias("first"), F.col("domain").alias("da"), F.col("set").alias("sa")), sets.select("query_id", F.col("place").alias("second"), F.col("domain").alias("db"), F.col("set").alias("sb"))
+    left, right = sets.select("query_id", F.col("class").alias("first"), F.col("set").alias("sa")), sets.select("query_id", F.col("class").alias("second"), F.col("set").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
-    scored = near.join(left, ["query_id", "first"]).join(right, ["query_id", "second"]).where("da <> db").withColumn("similarity", common / (F.size("sa") + F.size("sb") - common).cast("double"))
+    scored = near.join(left, ["query_id", "first"]).join(right, ["query_id", "second"]).withColumn("similarity", common / (F.size("sa") + F.size("sb") - common).cast("double"))
     return scored.where(F.col("similarity") >= threshold).select("query_id", "first", "second", "similarity")
 
 
-def suppressed(pairs: DataFrame) -> DataFrame:
-    """(query_id, place, kept): the pages that go, each with the first kept page that it is similar to; pairs: (query_id, first, second), first placed higher.
+def _both_ways(pairs: DataFrame, pages: DataFrame) -> DataFrame:
+    """(query_id, class, other, similarity): each class with itself and with those it is similar to."""
+    there = pairs.select("query_id", F.col("first").alias("class"), F.col("second").alias("other"), "similarity")
+    back = pairs.select("query_id", F.col("second").alias("class"), F.col("first").alias("other"), "similarity")
+    return there.union(back).union(pages.where(F.col("place") == F.col("class")).select("query_id", "class", F.col("class").alias("other"), F.lit(1.0)))
+
 
-    In order, a page goes if a kept one before it is similar; the decision is greedy and not transitive. It
-    is made in rounds for all queries and pages at once: a page none of whose earlier similar pages is still
-    in question stays, those similar to it go, and what went puts no other in question. The last page of the
-    longest chain of pages that hang on one another decides the rounds; copies of one page take one.
+def similar_pairs(fused: DataFrame, threshold: float = 0.82) -> DataFrame:
+    """(query_id, first, second, similarity): all pairs of pages of one query on different domains whose titles and snippets overlap; first is placed higher."""
+    pages = written(_pages(fused), "probes")
+    met = _both_ways(_similar_classes(pages, threshold), pages)
+    left, right = pages.select("query_id", "class", F.col("place").alias("first"), F.col("domain").alias("da")), pages.select("query_id", F.col("class").alias("other"), F.col("place").alias("second"), F.col("domain").alias("db"))
+    return met.join(left, ["query_id", "class"]).join(right, ["query_id", "other"]).where("first < second AND da <> db").select("query_id", "first", "second", "similarity")
+
+
+def suppressed(pages: DataFrame, near: DataFrame) -> DataFrame:
+    """(query_id, place, kept): the pages that go, each with the first kept page that it is similar to.
+
+    In order, a page goes if a kept one before it is similar and on another domain; pages: (query_id, place,
+    domain, class), near: (query_id, class, other), a class with itself too. The decision is greedy and not
+    transitive. Pages of one class and domain never meet, so the first of such a group stands for it; groups of one
+    class always meet, so a class keeps one group at most. Hence it is made in rounds over classes, without
+    pairs of pages: the first group in question of a class stays if no similar class has an earlier one in
+    question; what stays settles its class and rules out later groups of other domains in the similar ones.
     """
-    pairs = written(pairs.select("query_id", "first", "second"), "similar-pairs")
-    open_, gone = pairs, []
+    groups = pages.groupBy("query_id", "class", "domain").agg(F.min("place").alias("at"))
+    open_, kept = written(groups, "open-groups"), []
+    near = written(near.select("query_id", "class", "other"), "similar-classes")
     while not open_.isEmpty():
-        doubtful = open_.select("query_id", F.col("second").alias("first")).distinct()
-        ruled = open_.join(open_.join(doubtful, ["query_id", "first"], "left_anti").select("query_id", "second").distinct(), ["query_id", "second"], "left_semi")
-        now = written(ruled.select("query_id", F.col("second").alias("place")).distinct(), "suppressed")
-        gone.append(now)
-        open_ = written(open_.join(now.withColumnRenamed("place", "second"), ["query_id", "second"], "left_anti").join(now.withColumnRenamed("place", "first"), ["query_id", "first"], "left_anti").select(pairs.columns), "open-pairs")
-    if not gone:
-        return pairs.select("query_id", F.col("second").alias("place"), F.col("first").alias("kept")).limit(0)
-    out = functools.reduce(DataFrame.union, gone)
-    by = pairs.join(out.withColumnRenamed("place", "second"), ["query_id", "second"], "left_semi").join(out.withColumnRenamed("place", "first"), ["query_id", "first"], "left_anti")
-    return by.groupBy("query_id", F.col("second").alias("place")).agg(F.min("first").alias("kept"))
+        heads = written(open_.groupBy("query_id", "class").agg(F.min(F.struct("at", "domain")).alias("h")).select("query_id", "class", "h.*"), "heads")
+        earlier = heads.select("query_id", F.col("class").alias("other"), F.col("at").alias("before"))
+        waits = heads.join(near, ["query_id", "class"]).join(earlier, ["query_id", "other"]).where("before < at").select("query_id", "class").distinct()
+        stay = written(heads.join(waits, ["query_id", "class"], "left_anti"), "kept-groups")
+        kept.append(stay)
+        ruling = stay.join(near, ["query_id", "class"]).select("query_id", F.col("other").alias("class"), F.col("at").alias("since"), F.col("domain").alias("by"))
+        out = open_.join(ruling, ["query_id", "class"]).where("since < at AND by <> domain").select("query_id", "class", "domain").distinct()
+        rest = open_.join(stay.select("query_id", "class"), ["query_id", "class"], "left_anti")
+        open_ = written(rest.join(out, ["query_id", "class", "domain"], "left_anti").select(groups.columns), "open-groups")
+    if not kept:
+        return pages.select("query_id", "place", F.col("place").alias("kept")).limit(0)
+    ruling = functools.reduce(DataFrame.union, kept).join(near, ["query_id", "class"]).select("query_id", F.col("other").alias("class"), F.col("at").alias("since"), F.col("domain").alias("by"))
+    return pages.join(ruling, ["query_id", "class"]).where("since < place AND by <> domain").groupBy("query_id", "place").agg(F.min("since").alias("kept"))
 
 
 def collapse_syndication(fused: DataFrame, threshold: float = 0.82) -> DataFrame:
     """The fused list without syndicated copies: in order, a page goes if a kept one before it is similar. Adds ``near_duplicates``."""
-    gone = written(suppressed(similar_pairs(fused, threshold)), "syndicated")
+    pages = written(_pages(fused), "probes")
+    gone = written(suppressed(pages, _both_ways(_similar_classes(pages, threshold), pages)), "syndicated")
     copies = gone.join(fused.select("query_id", "place", "url"), ["query_id", "place"]).groupBy("query_id", F.col("kept").alias("place")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "url"))), lambda c: c["url"]).alias("near_duplicates"))
     stay = fused.join(gone.select("query_id", "place"), ["query_id", "place"], "left_anti")
     return stay.join(copies, ["query_id", "place"], "left").withColumn("near_duplicates", F.coalesce("near_duplicates", F.array().cast("array<string>")))

@@ -158,6 +158,16 @@ def robots_decision(spark, sf_dir):
     return robots.decide(asked, rules, "fathom-reader")
 
 
+@_query("SELECT source || '-' || (doc_id // 3000) AS origin, '/d' || doc_id AS path, doc_id % 3 = 0 OR doc_id % 10 = 8 AS allowed FROM documents WHERE source IS NOT NULL")
+def robots_rules(spark, sf_dir):
+    """Each origin's own file: its folder is closed, every third page open by name, others by a longer wildcard, and one ending closed by a shorter one."""
+    docs = T.table(spark, sf_dir, "documents").where("source IS NOT NULL").select("doc_id", F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 3000).cast("string")).alias("origin"))
+    named = F.concat(F.lit("Allow: /d"), F.col("doc_id").cast("string"), F.lit("$"))
+    bodies = docs.groupBy("origin").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("doc_id") % 3 == 0, named))), "\n").alias("open"))
+    bodies = bodies.select("origin", F.concat(F.lit("User-agent: *\nDisallow: /d\nDisallow: *9$\nAllow: /d*8$\n"), "open").alias("body"))
+    return robots.decide(docs.select("origin", F.concat(F.lit("/d"), F.col("doc_id").cast("string")).alias("path")), robots.parse(bodies), "fathom-reader").select("origin", "path", "allowed")
+
+
 _HEALTH_SQL = """f AS (
   SELECT provider, event_id, i, 0.7::DOUBLE * 500.0 + 0.3::DOUBLE * latency_ms AS lat, 0.7::DOUBLE + 0.3::DOUBLE * ok::INT AS suc FROM logged WHERE i = 1
   UNION ALL SELECT l.provider, l.event_id, l.i, 0.7::DOUBLE * f.lat + 0.3::DOUBLE * l.latency_ms, 0.7::DOUBLE * f.suc + 0.3::DOUBLE * l.ok::INT FROM f JOIN logged l ON l.provider = f.provider AND l.i = f.i + 1)"""

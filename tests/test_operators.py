@@ -232,20 +232,36 @@ def test_suppression_in_rounds_equals_the_walk(spark):
     import random
 
     draw = random.Random(9)
-    pairs, want = [], set()
-    for q in range(60):
-        n = draw.randint(2, 14)
-        near = sorted({tuple(sorted(draw.sample(range(n), 2))) for _ in range(draw.randint(0, 2 * n))}) if q else [(i, i + 1) for i in range(13)]
+    pages, near, want = [], [], set()
+    for q in range(80):
+        n, kinds, sites = draw.randint(1, 16), draw.randint(1, 8), draw.randint(1, 5)
+        if q == 0:  # a chain: each page is similar to the next only
+            own, links = [(i, f"d{i}", i) for i in range(14)], {(i, i + 1) for i in range(13)}
+        else:
+            raw = [(draw.randrange(kinds), f"d{draw.randrange(sites)}") for _ in range(n)]
+            first = {}
+            own = [(i, d, first.setdefault(k, i)) for i, (k, d) in enumerate(raw)]
+            names = sorted(set(first.values()))
+            links = {tuple(sorted(draw.sample(names, 2))) for _ in range(draw.randint(0, 2 * len(names)))} if len(names) > 1 else set()
+        links |= {(c, c) for _, _, c in own}
         gone = {}
-        for page in range(n if q else 14):
-            kept = [a for a, b in near if b == page and a not in gone]
-            if kept:
-                gone[page] = min(kept)
-        pairs += [(q, a, b) for a, b in near]
-        want |= {(q, page, by) for page, by in gone.items()}
-    got = fusion.suppressed(spark.createDataFrame(pairs, "query_id int, first int, second int")).collect()
+        for place, domain, c in own:
+            before = [p for p, d, k in own if p < place and d != domain and p not in gone and ((c, k) in links or (k, c) in links)]
+            if before:
+                gone[place] = min(before)
+        pages += [(q, place, d, c) for place, d, c in own]
+        near += [(q, a, b) for a, b in links] + [(q, b, a) for a, b in links if a != b]
+        want |= {(q, place, by) for place, by in gone.items()}
+    made = spark.createDataFrame(pages, "query_id int, place int, domain string, class int")
+    got = fusion.suppressed(made, spark.createDataFrame(near, "query_id int, class int, other int")).collect()
     assert {(r.query_id, r.place, r.kept) for r in got} == want
-    assert fusion.suppressed(spark.createDataFrame([], "query_id int, first int, second int")).count() == 0
+    assert fusion.suppressed(made.limit(0), spark.createDataFrame([], "query_id int, class int, other int")).count() == 0
+
+
+def test_copies_of_one_page_on_many_domains_make_no_pairs(spark):
+    fused = spark.range(3000).select(F.lit(1).alias("query_id"), F.col("id").cast("int").alias("place"), F.concat(F.lit("https://d"), F.col("id").cast("string"), F.lit(".com/")).alias("url"), F.lit("one title of many words here").alias("title"), F.lit("").alias("snippet"))
+    kept = fusion.collapse_syndication(fused).collect()
+    assert [(r.place, len(r.near_duplicates)) for r in kept] == [(0, 2999)]
 
 
 def test_robots_patterns_equal_a_plain_matcher(spark):
