@@ -142,7 +142,7 @@ class _Block:
         return list(rows)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", item_tokens: int = ITEM_TOKENS, block_windows: int = BLOCK_WINDOWS, block_pieces: int = BLOCK_PIECES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", item_tokens: int = ITEM_TOKENS, block_windows: int = BLOCK_WINDOWS, block_pieces: int = BLOCK_PIECES, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Pieces (id, start, length, ids_crc32, doc_tokens, sequence_id, offset); tokenizer: path of a tokenizers file on every worker."""
     schema = pa.schema([("key", pa.int64()), *((n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])
 
@@ -165,7 +165,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
                 yield output(schema, columns)
 
         whole: list[tuple] = []  # windows that one document fills
-        for batch in by_bytes(batches, "text", BATCH_BYTES):
+        for batch in by_bytes(batches, "text", batch_bytes):
             ids, ends = encoder(tokenizer).encode(batch.column("text"))
             ids, ends = ids.astype("<u4"), ends.tolist()
             end = np.array([end_id], "<u4").tobytes()
