@@ -52,7 +52,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # small batches: the workers still hold what the stages before have loaded
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), batch_bytes=1_000_000)
 
 
 STAGES = [("toxicity", toxicity), ("language", language), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("packing", packing)]
