@@ -55,7 +55,7 @@ def stackexchange(rows: DataFrame) -> DataFrame:
 
 def crossref(rows: DataFrame) -> DataFrame:
     body = F.from_json("body", "status string, message struct<items:array<struct<URL:string,title:array<string>,abstract:string,issued:struct<`date-parts`:array<array<int>>>>>>")
-    return _documents(rows, "crossref", body["message"]["items"], body["status"], lambda d: (F.when(_or_empty(F.get(d["title"], F.lit(0))) != "", d["URL"]), strip_tags(_or_empty(F.get(d["title"], F.lit(0)))), F.substring(strip_tags(_or_empty(d["abstract"])), 1, 400), iso_from_parts(F.get(d["issued"]["date-parts"], F.lit(0)))))
+    return _documents(rows, "crossref", body["message"]["items"], body["status"], lambda d: (F.when(strip_tags(_or_empty(F.get(d["title"], F.lit(0)))) != "", d["URL"]), strip_tags(_or_empty(F.get(d["title"], F.lit(0)))), F.substring(strip_tags(_or_empty(d["abstract"])), 1, 400), iso_from_parts(F.get(d["issued"]["date-parts"], F.lit(0)))))
 
 
 def abstract_of(index: Column) -> Column:

@@ -26,3 +26,8 @@ def same_as_sql(spark, folder, name, **tables):
 def test_copies_of_a_page_in_other_languages_ground_each_other(spark, tmp_path):
     rows = [(0, "one text", "en", "src1", 8), (100, "one text", "fr", "src2", 8), (200, "one text", None, None, 8), (301, "other", "en", "src1", 5), (501, "", "en", None, 0), (601, None, "en", "src1", 0)]
     same_as_sql(spark, tmp_path, "citation_grounding", documents=spark.createDataFrame(rows, DOCUMENTS))
+
+
+def test_a_title_of_blanks_is_no_title(spark, tmp_path):
+    rows = [(i, text, "en", "src1", 9) for i, text in enumerate(["A title\nmore", "1 - 2\nmore", "12\nmore", " 7  B \nmore", "\nmore"])]
+    same_as_sql(spark, tmp_path, "crossref_answers", documents=spark.createDataFrame(rows, DOCUMENTS))
