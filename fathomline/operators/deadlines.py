@@ -22,7 +22,7 @@ def _column(x: Column | float) -> Column:
 
 
 def replay(answers: DataFrame, query: str, at: str, docs: str, ok: str, latency_s: str, calls: str, k: Column | int, soft_s: Column | float = SOFT_S, hard_s: Column | float = HARD_S, min_docs: Column | int = MIN_DOCS, quorum: Column | int = QUORUM, grace_s: Column | float = 0.0) -> DataFrame:
-    """answers (a row a source that was asked) with ``ends_s``, the ``reason`` and ``on_time``.
+    """answers (a row a source that was asked) with ``ends_s``, the ``reason``, ``on_time`` and ``marks``: when each reason alone would have ended the fan-out.
 
     at: seconds from the beginning, null for a source that never answers; ok and docs: what came; latency_s and
     calls: the source's average before and the calls it rests on. A time of grace of 0 is none; one source
@@ -41,7 +41,8 @@ def replay(answers: DataFrame, query: str, at: str, docs: str, ok: str, latency_
     out, slow_out = F.col("n_") - F.col("came_"), F.col("known_") - F.col("slow_came_")
     row = {
         "predicted": (F.col("answered_") >= 1) & (F.col("docs_") >= _column(k)) & (out > 0) & (out == slow_out) & (F.col("n_") >= 2),
-        "soft": (t >= soft) & (F.col("answered_") >= 1) & ((F.col("docs_") >= least) | (t >= hard)) & (F.col("n_") >= 2),
+        "soft": (t >= soft) & (F.col("answered_") >= 1) & (F.col("docs_") >= least) & (F.col("n_") >= 2),
+        "hard": (t >= hard) & (F.col("answered_") >= 1) & (F.col("n_") >= 2),
     }
     first = lambda condition, when=t: F.min(F.when(condition & t.isNotNull(), when)).over(every)
     by = lambda limit: (some(number(good & (t <= limit)).over(every)), some(F.sum(F.when(t <= limit, docs_of)).over(every)))
@@ -50,7 +51,7 @@ def replay(answers: DataFrame, query: str, at: str, docs: str, ok: str, latency_
     ends = F.struct(
         F.max(t).over(every).alias("all"), first(row["predicted"]).alias("predicted"),
         first((F.col("answered_") >= F.least(enough, F.col("n_"))) & (grace > 0) & several, t + grace).alias("grace"),
-        F.least(F.when(several & (had >= 1) & ((had_docs >= least) | (soft >= hard)), soft), first(row["soft"])).alias("soft"), F.when(several & (had_late >= 1), hard).alias("hard"),
+        F.least(F.when(several & (had >= 1) & ((had_docs >= least) | (soft >= hard)), soft), first(row["soft"])).alias("soft"), F.least(F.when(several & (had_late >= 1), hard), first(row["hard"])).alias("hard"),
     )
     found = seen.withColumn("ends_", ends)
     names = ["all", "predicted", "grace", "soft", "hard"]
@@ -61,4 +62,5 @@ def replay(answers: DataFrame, query: str, at: str, docs: str, ok: str, latency_
     found = found.withColumn("ends_s", F.coalesce(F.least(*marks), F.col("ends_.all")))
     reason = F.coalesce(*[F.when(m == F.col("ends_s"), n) for n, m in zip(names, marks, strict=True)], F.lit("all"))
     on_time = F.coalesce(t <= F.col("ends_s"), F.lit(False))
+    found = found.withColumn("marks", F.struct(*[m.alias(n) for n, m in zip(names, marks, strict=True)]))
     return found.withColumn("reason", reason).withColumn("on_time", on_time).drop("n_", "answered_", "docs_", "came_", "known_", "slow_came_", "ends_", "all_")

@@ -31,3 +31,8 @@ def test_copies_of_a_page_in_other_languages_ground_each_other(spark, tmp_path):
 def test_a_title_of_blanks_is_no_title(spark, tmp_path):
     rows = [(i, text, "en", "src1", 9) for i, text in enumerate(["A title\nmore", "1 - 2\nmore", "12\nmore", " 7  B \nmore", "\nmore"])]
     same_as_sql(spark, tmp_path, "crossref_answers", documents=spark.createDataFrame(rows, DOCUMENTS))
+
+
+def test_reasons_of_marks_that_lie_close(spark, tmp_path):
+    rows = [(i, f"text {i}", "en", f"src{i % 23}", 6) for i in range(60_000) if i % 7 < 2 + i // 1000 % 5]
+    same_as_sql(spark, tmp_path, "deadline_cut", documents=spark.createDataFrame(rows, DOCUMENTS))
