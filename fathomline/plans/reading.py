@@ -88,7 +88,7 @@ def lean_read(spark, sf_dir):
         .when(F.col("place") == 0, "404: Not Found")
         .otherwise(F.concat(F.lit("---\ntitle: \"Page "), key, F.lit("\"\n---\nbody"), F.repeat(F.lit("z"), 300)))
     )
-    bodies = found.select(F.get("lean_urls", F.lit(0)).alias("lean_url"), body.alias("body"))
+    bodies = found.select("page_id", F.get("lean_urls", F.lit(0)).alias("lean_url"), body.alias("body"))
     return lean.read(found, bodies).select("page_id", "title", "text")
 
 

@@ -36,3 +36,8 @@ def test_a_title_of_blanks_is_no_title(spark, tmp_path):
 def test_reasons_of_marks_that_lie_close(spark, tmp_path):
     rows = [(i, f"text {i}", "en", f"src{i % 23}", 6) for i in range(60_000) if i % 7 < 2 + i // 1000 % 5]
     same_as_sql(spark, tmp_path, "deadline_cut", documents=spark.createDataFrame(rows, DOCUMENTS))
+
+
+def test_pages_with_one_lighter_form(spark, tmp_path):
+    rows = [(i, "", "") for i in (1, 2, 4, 8, 90_001, 180_001, 90_002)]
+    same_as_sql(spark, tmp_path, "lean_read", pages=spark.createDataFrame(rows, "page_id long, url string, html string"))
