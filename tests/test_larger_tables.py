@@ -1,6 +1,7 @@
 """Queries against their SQL on rows that only larger tables hold, and how often rows move."""
 
 import duckdb
+import pytest
 from fathomline.plans import pages as _pages  # noqa: F401
 from fathomline.plans import queries
 from fathomline.plans import reading as _reading  # noqa: F401
@@ -41,3 +42,9 @@ def test_reasons_of_marks_that_lie_close(spark, tmp_path):
 def test_pages_with_one_lighter_form(spark, tmp_path):
     rows = [(i, "", "") for i in (1, 2, 4, 8, 90_001, 180_001, 90_002)]
     same_as_sql(spark, tmp_path, "lean_read", pages=spark.createDataFrame(rows, "page_id long, url string, html string"))
+
+
+@pytest.mark.parametrize("name", ["state_listings", "page_texts"])
+def test_a_year_inside_a_longer_number_is_said(spark, tmp_path, name):
+    rows = [(key, "goldenrod lace", "Brand#12", "T", 7, 920.5) for key in (20_201, 20_205, 120_201, 1_020_209, 13)]
+    same_as_sql(spark, tmp_path, name, part=spark.createDataFrame(rows, PART))
