@@ -2,6 +2,9 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
+
+from fathomline.operators import items
 from fathomline.plans import pages as _pages  # noqa: F401
 from fathomline.plans import queries
 from fathomline.plans import reading as _reading  # noqa: F401
@@ -48,3 +51,12 @@ def test_pages_with_one_lighter_form(spark, tmp_path):
 def test_a_year_inside_a_longer_number_is_said(spark, tmp_path, name):
     rows = [(key, "goldenrod lace", "Brand#12", "T", 7, 920.5) for key in (20_201, 20_205, 120_201, 1_020_209, 13)]
     same_as_sql(spark, tmp_path, name, part=spark.createDataFrame(rows, PART))
+
+
+def test_offers_move_once(spark):
+    row = "id % 3 AS `group`, concat('part:', id) AS identity, id AS pos, 'https://s.com/a' AS url, 't' AS title, 's' AS seller, '' AS brand, '' AS image, 'USD' AS currency, 1.0D AS amount, '' AS availability, '' AS condition, 1.0D AS rating, 1 AS reviews"
+    offers = spark.sql(f"SELECT {row} FROM range(10)")
+    for made in (items.products(offers), items.merge_items(offers)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
+    assert items.merge_items(offers).where(F.col("place") == 1).count() == 3
