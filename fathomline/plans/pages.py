@@ -109,7 +109,8 @@ def state_totals(spark, sf_dir):
 
 @_query("SELECT p_partkey AS page_id, lpad(CAST(p_partkey AS VARCHAR), 17, '0') AS key, (p_partkey % 3) || CASE WHEN p_partkey % 3 = 1 THEN ' accident' ELSE ' accidents' END || ', clean title, no salvage title/lemon record' AS history FROM part WHERE p_partkey % 4 = 1")
 def vehicle_histories(spark, sf_dir):
-    return records.histories(records.page_objects(_state_pages(spark, sf_dir)))
+    objects = records.page_objects(_state_pages(spark, sf_dir)).select("page_id", "path", "vin", "flags", "codes")
+    return records.histories(written(objects.where("vin IS NOT NULL OR size(flags) + size(codes) > 0"), "vehicle-objects"))
 
 
 @_query("""SELECT p_partkey AS page_id, 'Page of ' || p_partkey AS title, 'Page of ' || p_partkey || ': ' || CASE WHEN p_partkey % 4 = 3 THEN p_name ELSE 'open about' END IS NOT NULL AS has_text,

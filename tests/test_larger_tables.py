@@ -1,6 +1,7 @@
 """Queries against their SQL on rows that only larger tables hold, and how often rows move."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from fathomline.plans import pages as _pages  # noqa: F401
 from fathomline.plans import queries
 from fathomline.plans import reading as _reading  # noqa: F401
 from fathomline.plans import sources as _sources  # noqa: F401
+from fathomline.sources import records
 from oracle import rows_of
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -60,3 +62,10 @@ def test_offers_move_once(spark):
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1
     assert items.merge_items(offers).where(F.col("place") == 1).count() == 3
+
+
+def test_objects_of_many_pages_come_in_few_batches():
+    html = '<script>var a = {"vin": "1ABCD23E4F5G67891", "price": 5}</script>'
+    n = 3 * records.BATCH_ROWS
+    pages = pa.RecordBatch.from_pydict({"page_id": list(range(n)), "page": ["https://a.com/"] * n, "html": [html] * n})
+    assert [b.num_rows for b in records.opened([pages])] == [records.BATCH_ROWS] * 3
