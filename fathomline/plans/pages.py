@@ -51,7 +51,7 @@ def page_content(spark, sf_dir):
     sold = F.array_join(F.array_repeat(F.concat(F.lit("It was made in "), "p_brand", F.lit(" and sold.")), (F.col("p_size") % 4 + 3).cast("int")), " ")
     body = F.concat(F.lit("<h1>About "), name, F.lit("</h1><p>"), said(F.lit("What is known of "), name, F.lit(" follows.")), F.lit("</p>"), F.when(key % 3 == 1, "<p><a href='/on'>Read on</a></p>").otherwise(""), F.lit("<p>"), sold, F.lit("</p>"))
     page = F.when(key % 3 == 2, F.lit("<div>Home</div><div>short note</div>")).otherwise(F.concat(menu, F.lit("<div>"), body, F.lit("</div><div>"), menu, F.lit("</div>")))
-    return T.table(spark, sf_dir, "part").select(key.alias("page_id"), markdown.to_markdown(F.concat(F.lit("<title>T</title><body>"), page, F.lit("</body>")), main=True).alias("content"))
+    return T.spread(T.table(spark, sf_dir, "part"), "p_partkey").select(key.alias("page_id"), markdown.to_markdown(F.concat(F.lit("<title>T</title><body>"), page, F.lit("</body>")), main=True).alias("content"))
 
 
 @_query("""SELECT p_partkey AS page_id, p_name AS name, CASE WHEN p_partkey * 37 % 6000 + 9 < 3000 THEN 'https://shop.example.com/c/' || p_partkey END AS link, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS VARCHAR) END AS distance FROM part""")

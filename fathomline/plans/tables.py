@@ -11,6 +11,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows dealt over three tasks a core: a table of small rows is one file part, however much work each of its rows is."""
+    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 #: Documents a query of the lists() view covers.
 PER_QUERY = 100
 

@@ -64,6 +64,13 @@ def test_offers_move_once(spark):
     assert items.merge_items(offers).where(F.col("place") == 1).count() == 3
 
 
+@pytest.mark.parametrize("name", ["page_content", "listing_rows", "doi_records"])
+def test_pages_made_of_one_file_are_dealt_to_all_cores(spark, tmp_path, name):
+    spark.createDataFrame([(1, "goldenrod lace", "Brand#12", "T", 7, 920.5)], PART).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    plan = queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(p_partkey#" in plan and f", {3 * spark.sparkContext.defaultParallelism}), REPARTITION_BY_NUM" in plan
+
+
 def test_objects_of_many_pages_come_in_few_batches():
     html = '<script>var a = {"vin": "1ABCD23E4F5G67891", "price": 5}</script>'
     n = 3 * records.BATCH_ROWS
