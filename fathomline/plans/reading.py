@@ -213,7 +213,7 @@ def listing_rows(spark, sf_dir):
         F.struct((F.col("p_size") * 1000).alias("value"), F.when(key % 2 == 0, "SMI").otherwise("KMT").alias("unitCode")).alias("mileageFromOdometer"),
     ))
     html = F.concat(F.lit('<script type="application/ld+json">['), node, F.lit(","), node, F.lit("]</script><p>"), F.when(key % 4 == 3, vin).otherwise("see below"), F.lit("</p>"))
-    pages = T.table(spark, sf_dir, "part").select(key.alias("page_id"), F.lit("https://cars.example.com/list/all").alias("url"), html.alias("html"))
+    pages = T.spread(T.table(spark, sf_dir, "part"), "p_partkey").select(key.alias("page_id"), F.lit("https://cars.example.com/list/all").alias("url"), html.alias("html"))
     return listings.listing_rows(pages)
 
 
