@@ -57,7 +57,7 @@ def lean_rules(spark, sf_dir):
 def doi_records(spark, sf_dir):
     """A paper's record from one index, its abstract and open copy from another where the first has none."""
     key = F.col("p_partkey").cast("string")
-    part = T.table(spark, sf_dir, "part")
+    part = T.spread(T.table(spark, sf_dir, "part"), "p_partkey")
     doi = F.concat(F.lit("10.1073/x"), key)
     found = lean.targets(part.select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://www.pnas.org/doi/abs/"), doi).alias("url")))
     first = F.to_json(F.struct(F.struct(F.array("p_name").alias("title"), F.when(F.col("p_partkey") % 2 == 0, "<jats:p>By the first</jats:p>").alias("abstract"), F.array(F.lit("Journal")).alias("container-title"), F.array(F.struct(F.lit("Ann").alias("given"), F.lit("Bell").alias("family"))).alias("author"), F.struct(F.array(F.array(F.lit(2020)))).alias("issued")).alias("message")))
