@@ -60,7 +60,7 @@ def card_marks(spark, sf_dir):
     key = F.col("p_partkey")
     data = F.to_json(F.struct(F.col("p_name").alias("name"), F.floor("p_retailprice").alias("price"), F.concat(F.lit("i"), key.cast("string")).alias("sku")))
     html = F.concat(F.lit("<div data-item='"), data, F.lit("'></div>"), F.repeat(F.lit("."), (key * 37 % 6000).cast("int")), F.lit('<a href="/c/'), key.cast("string"), F.lit('">open</a><p>Salem, OR '), F.when(key % 2 == 0, F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit(" mi)"))).otherwise(F.concat(F.col("p_size").cast("string"), F.lit(",000 mi"))), F.lit("</p>"))
-    pages = T.table(spark, sf_dir, "part").select(key.alias("page_id"), F.lit("https://shop.example.com/list").alias("url"), html.alias("html"))
+    pages = T.spread(T.table(spark, sf_dir, "part"), "p_partkey").select(key.alias("page_id"), F.lit("https://shop.example.com/list").alias("url"), html.alias("html"))
     return records.generic_listings(written(pages, "card-pages")).select("page_id", "name", "link", "distance")
 
 
