@@ -118,8 +118,7 @@ def vehicle_histories(spark, sf_dir):
 def page_documents(spark, sf_dir):
     """Title, text and, where the text lacks them, the listings under the total that the page gives."""
     pages = _state_pages(spark, sf_dir).withColumn("html", F.concat(F.lit("<title>Page of "), F.col("page_id").cast("string"), F.lit("</title>"), "html"))
-    texts = listings.with_listings(pages, markdown.to_markdown(F.col("html")))
-    found = pages.select("page_id", text.title_of(F.col("html")).alias("title")).join(texts, "page_id")
+    found = listings.with_listings(pages, markdown.to_markdown(F.col("html")), text.title_of(F.col("html")).alias("title"))
     return found.select("page_id", "title", F.col("text").isNotNull().alias("has_text"), F.col("text").contains("\n\n## Listings\n\n").alias("has_listings"), F.nullif(F.regexp_extract("text", r"own data reports ([\d,]+) results", 1), F.lit("")).alias("total"))
 
 

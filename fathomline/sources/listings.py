@@ -10,6 +10,7 @@ from ..functions import bound
 from ..functions.money import identity_for, money_text, parse_price, price_from_meta, price_from_offer
 from ..functions.net import resolved
 from ..functions.text import visible_text
+from ..scratch import written
 from .objects import objects_column
 from .records import generic_listings, is_engine, merged, result_counts, row_text, without_twins
 
@@ -97,27 +98,32 @@ def listing_rows(pages: DataFrame, prose: Column | None = None, generic: bool =
     filled from its copies (JSON-LD first, then, with ``generic``, the page's own state), at most MOST_ROWS
     rows a page. ``prose``: the text to search, the visible text where it is not given.
     """
-    text = pages.select("page_id", (visible_text(F.col("html")) if prose is None else prose).alias("prose"))
+    return _rows_beside(pages, pages.select("page_id", (visible_text(F.col("html")) if prose is None else prose).alias("prose")), generic)
+
+
+def _rows_beside(pages: DataFrame, texts: DataFrame, generic: bool) -> DataFrame:
+    """listing_rows beside texts (page_id, prose)."""
     found = ld_listings(pages)
     if generic:
         state = generic_listings(pages).withColumn("ids", F.lit(None).cast("array<string>"))
         found = found.unionByName(state.withColumn("path", F.concat(F.array(F.lit(1 << 30)), "path")))
     once = merged(found)
     if generic:
-        once = without_twins(once)
-    new = once.join(text, "page_id").where(~F.col("prose").contains(F.col("key")))
+        once = without_twins(written(once, "page-listings"))
+    new = once.join(texts.select("page_id", "prose"), "page_id").where(~F.col("prose").contains(F.col("key")))
     ranked = new.withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy("path")))
     return ranked.where(F.col("place") <= MOST_ROWS).select("page_id", "place", "key", row_text().alias("row"))
 
 
-def with_listings(pages: DataFrame, prose: Column) -> DataFrame:
-    """(page_id, text): each page's prose and, where it has listings that the prose does not name, a section of them headed by the total that the page's data gives; a search without matches says so."""
-    rows = listing_rows(pages, prose, generic=True)
+def with_listings(pages: DataFrame, prose: Column, *also: Column) -> DataFrame:
+    """(page_id, text, and what else is asked of each page): each page's prose and, where it has listings that the prose does not name, a section of them headed by the total that the page's data gives; a search without matches says so."""
+    texts = written(pages.select("page_id", prose.alias("prose"), *also), "page-prose")  # read twice
+    rows = _rows_beside(pages, texts, generic=True)
     lines = rows.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "row"))), lambda r: F.concat(F.lit("- "), r["row"])), "\n").alias("lines"))
-    whole = pages.select("page_id", prose.alias("prose")).join(lines, "page_id", "left").join(result_counts(pages), "page_id", "left")
+    whole = texts.join(lines, "page_id", "left").join(result_counts(pages), "page_id", "left")
     total = F.when(F.col("total") > 0, F.concat(F.lit("The page's own data reports "), F.format_number("total", 0), F.lit(" results in all.\n\n"))).otherwise("")
     section = F.when(F.col("lines").isNotNull(), F.concat(F.lit("\n\n## Listings\n\n"), total, "lines")).when((F.col("total") == 0) & (F.length("prose") < 500), "\n\n## Listings\n\nNo matches: the page's own data reports 0 results.").otherwise("")
-    return whole.select("page_id", F.concat("prose", section).alias("text"))
+    return whole.select("page_id", F.concat("prose", section).alias("text"), *texts.columns[2:])
 
 
 def _struct() -> str:

@@ -76,3 +76,16 @@ def test_objects_of_many_pages_come_in_few_batches():
     n = 3 * records.BATCH_ROWS
     pages = pa.RecordBatch.from_pydict({"page_id": list(range(n)), "page": ["https://a.com/"] * n, "html": [html] * n})
     assert [b.num_rows for b in records.opened([pages])] == [records.BATCH_ROWS] * 3
+
+
+def test_pages_are_read_for_marks_once(spark, tmp_path, monkeypatch):
+    calls = []
+    real = records.page_marks
+    monkeypatch.setattr(records, "page_marks", lambda pages: calls.append(pages) or real(pages))
+    html = "<div data-item='{\"name\":\"goldenrod\",\"price\":5,\"sku\":\"K100000\"}'></div><a href=\"/d/K100000-x\">open</a>"
+    rows = [(1, "https://a.com/list", html), (2, "https://a.com/list", "<a href=\"/d/1\">open</a>"), (3, "https://a.com/list", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = records.generic_listings(pages)
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r.page_id, r.link) for r in found.collect()] == [(1, "https://a.com/d/K100000-x")]
+    assert [r.page_id for r in calls[0].collect()] == [1]
