@@ -13,6 +13,7 @@ import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -42,24 +43,27 @@ class _Remembering(StatefulProcessor):
         self.handle = handle
         self.kept = handle.getValueState("kept", "number double")
 
-    def answer(self, kept: float | None, at: float, row: dict) -> tuple[object, float | None, float | None]:
+    def answer(self, kept: float | None, at: float, lasts: float | None) -> tuple[object, float | None, float | None]:
         raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        reads = pd.concat(list(rows)).sort_values(["at_s", "event_id"], kind="stable").to_dict("records")
-        kept = self.kept.get()[0] if self.kept.exists() else None
-        answers, ends = [], None
-        for row in reads:
-            said, kept, ends = self.answer(kept, row["at_s"], row)
+        # plain columns: a frame's own sort and records cost more than the reads of most keys
+        at, ids, lasts = (np.concatenate(c) for c in zip(*((r["at_s"].to_numpy(), r["event_id"].to_numpy(), r["lasts"].to_numpy(float)) for r in rows), strict=True))
+        order = np.lexsort((ids, at))
+        stood = self.kept.get()
+        kept, answers, ends = stood[0] if stood else None, [], None
+        for second, lasting in zip(at[order].tolist(), lasts[order].tolist(), strict=True):
+            said, kept, ends = self.answer(kept, second, lasting)
             answers.append(said)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if kept is None:
-            self.kept.clear()
-        else:
+        if stood:  # only what is remembered has a timer
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+        if kept is not None:
             self.kept.update((kept,))
             self.handle.registerTimer(math.floor(ends * 1000) + 1)
-        yield pd.DataFrame({"event_id": [r["event_id"] for r in reads], "answer": answers})
+        elif stood:
+            self.kept.clear()
+        yield pd.DataFrame({"event_id": ids[order], "answer": answers})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.kept.clear()
@@ -75,7 +79,7 @@ class CacheReads(_Remembering):
     def __init__(self, ttl_s: float, stale_s: float):
         self.ttl_s, self.stale_s = ttl_s, stale_s
 
-    def answer(self, kept, at, row):
+    def answer(self, kept, at, lasts):
         age = math.inf if kept is None else at - kept
         said = "hit" if age <= self.ttl_s else "stale" if age <= self.ttl_s + self.stale_s else "miss"
         return said, at, at + self.ttl_s + self.stale_s
@@ -84,9 +88,8 @@ class CacheReads(_Remembering):
 class Memos(_Remembering):
     """Whether the read before left a remark that still holds; ``lasts``: how long a read's own does, null for none."""
 
-    def answer(self, kept, at, row):
+    def answer(self, kept, at, lasts):
         said = "memo" if kept is not None and at <= kept else "asked"
-        lasts = row["lasts"]
         until = None if lasts is None or math.isnan(lasts) else at + lasts
         return said, until, until
 

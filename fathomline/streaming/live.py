@@ -6,7 +6,7 @@ number, so a batch that is run again replaces itself.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -112,14 +112,20 @@ def late_stream(arrivals: DataFrame, path: str, life: str = "1 hour", buckets: i
     return fused
 
 
-def run_to_end(stream: DataFrame, mode: str, label: str) -> DataFrame:
-    """Runs a stream over what is there now; all rows it put out, with the number of their ``batch``."""
+def run_to_end(stream: DataFrame, mode: str, label: str, *arrivals: Callable[[], None]) -> DataFrame:
+    """Runs a stream over what is there now; all rows it put out, with the number of their ``batch``. After each of the ``arrivals`` it goes on from where it stood."""
     spark = stream.sparkSession
     out, marks = fresh_path(spark, label), fresh_path(spark, f"{label}-marks")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", marks).trigger(availableNow=True).start()
-    query.awaitTermination()
+    def run() -> None:
+        query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", marks).trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    run()
+    for arrive in arrivals:
+        arrive()
+        run()
     return spark.read.parquet(out)
