@@ -49,9 +49,9 @@ def rrf(deduped: DataFrame, weights: DataFrame | None = None, k: int = RRF_K) ->
 
 
 def _pages(fused: DataFrame) -> DataFrame:
-    """(query_id, place, domain, class, set) of the pages whose titles and snippets have words; a class is the pages of one query with one set of shingles, named by its first place."""
+    """(query_id, place, domain, class, set) of the pages whose titles and snippets have words; a class is the pages of one query with one set of shingles, named by its first place. A set holds the shingles' 64-bit hashes, as their words would be moved and written several times over."""
     probe = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit("")))
-    sets = fused.select("query_id", "place", doc_domain(F.col("url")).alias("domain"), F.array_sort(shingles(probe)).alias("set")).where(F.size("set") > 0)
+    sets = fused.select("query_id", "place", doc_domain(F.col("url")).alias("domain"), F.array_sort(F.array_distinct(F.transform(shingles(probe), lambda s: F.xxhash64(s)))).alias("set")).where(F.size("set") > 0)
     named = sets.withColumn("a", F.xxhash64("set")).withColumn("b", F.xxhash64(F.lit(1), "set"))
     classes = named.groupBy("query_id", "a", "b").agg(F.min("place").alias("class"))
     return named.join(classes, ["query_id", "a", "b"]).select("query_id", "place", "domain", "class", "set")
@@ -65,7 +65,7 @@ def _similar_classes(pages: DataFrame, threshold: float) -> DataFrame:
     """
     sets = pages.where(F.col("place") == F.col("class")).select("query_id", "class", "set")
     each = sets.select("query_id", "class", F.explode("set").alias("shingle"))
-    counted = each.join(each.groupBy("query_id", "shingle").agg(F.count(F.lit(1)).alias("df")), ["query_id", "shingle"])
+    counted = each.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("query_id", "shingle")))
     rare = Window.partitionBy("query_id", "class").orderBy("df", "shingle")
     whole = Window.partitionBy("query_id", "class")
     prefix = counted.withColumn("n", F.count(F.lit(1)).over(whole)).withColumn("i", F.row_number().over(rare)).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).where("df > 1")

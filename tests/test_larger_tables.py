@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fathomline.operators import items
+from fathomline.operators import fusion, items
 from fathomline.plans import pages as _pages  # noqa: F401
 from fathomline.plans import queries
 from fathomline.plans import reading as _reading  # noqa: F401
@@ -89,3 +89,10 @@ def test_pages_are_read_for_marks_once(spark, tmp_path, monkeypatch):
     assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
     assert [(r.page_id, r.link) for r in found.collect()] == [(1, "https://a.com/d/K100000-x")]
     assert [r.page_id for r in calls[0].collect()] == [1]
+
+
+def test_sets_of_shingles_move_as_hashes(spark):
+    rows = [(1, 1, "https://a.com/1", "one two three four", "five"), (1, 2, "https://b.com/1", "one two three four", "five"), (1, 3, "https://c.com/1", "other words than these", "")]
+    fused = spark.createDataFrame(rows, "query_id long, place long, url string, title string, snippet string")
+    assert dict(fusion._pages(fused).dtypes)["set"] == "array<bigint>"
+    assert [(r.first, r.second, r.similarity) for r in fusion.similar_pairs(fused).collect()] == [(1, 2, 1.0)]
