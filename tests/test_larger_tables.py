@@ -10,7 +10,7 @@ from fathomline.plans import pages as _pages  # noqa: F401
 from fathomline.plans import queries
 from fathomline.plans import reading as _reading  # noqa: F401
 from fathomline.plans import sources as _sources  # noqa: F401
-from fathomline.sources import records
+from fathomline.sources import objects, records
 from oracle import rows_of
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -96,3 +96,12 @@ def test_sets_of_shingles_move_as_hashes(spark):
     fused = spark.createDataFrame(rows, "query_id long, place long, url string, title string, snippet string")
     assert dict(fusion._pages(fused).dtypes)["set"] == "array<bigint>"
     assert [(r.first, r.second, r.similarity) for r in fusion.similar_pairs(fused).collect()] == [(1, 2, 1.0)]
+
+
+def test_objects_of_long_pages_come_in_small_batches(spark):
+    page = "x" * 1000 + '{"at":{"n":1}} "at": {"n":2} "at":'
+    rows = spark.range(0, 1200, 1, 1).select("id", F.concat(F.lit(page), F.col("id").cast("string")).alias("html"))
+    found = rows.select("id", objects.objects_column(F.col("html"), '"at":').alias("found"), objects.objects_column(F.lit(None).cast("string"), '"at":').alias("none"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan  # a hundred pages a batch, not 10,000
+    assert {(tuple(r.found), tuple(r.none)) for r in found.collect()} == {(('{"n":1}', '{"n":2}'), ())} and found.count() == 1200
