@@ -121,9 +121,8 @@ def host_allowed(url: Column, domains: Column) -> Column:
 
 def domain_allowed(domain: Column, allowed: Column) -> Column:
     """As host_allowed for a domain with a port, against entries that may say ``www.``."""
-    host = F.substring_index(F.lower(domain), ":", 1)
-    entry = lambda a: F.regexp_replace(F.trim(F.lower(a)), r"^www\.", "")
-    return F.exists(allowed, lambda a: (entry(a) != "") & ((host == entry(a)) | host.endswith(F.concat(F.lit("."), entry(a)))))
+    entries = F.transform(allowed, lambda a: F.regexp_replace(F.trim(F.lower(a)), r"^www\.", ""))
+    return bound(F.substring_index(F.lower(domain), ":", 1), lambda host: F.exists(entries, lambda a: (a != "") & ((host == a) | host.endswith(F.concat(F.lit("."), a)))))
 
 
 def operator_host(raw: Column) -> Column:
@@ -144,12 +143,17 @@ def is_self_redirect(url: Column, own: str, marker: str) -> Column:
 
 def is_product_url(url: Column) -> Column:
     """Whether a URL names one product rather than a listing, an article or an account page."""
-    low = F.lower(url)
-    path = path_of(low)
-    bad = F.lit(False)
-    for part in NON_PRODUCT:
-        bad = bad | low.contains(part)
-    strong = F.lit(False)
-    for part in PRODUCT:
-        strong = strong | path.contains(part)
-    return ~bad & (F.length(path) > 8) & (strong | path.rlike(r"\d{5,}"))
+
+    def one(low: Column) -> Column:
+        bad = F.lit(False)
+        for part in NON_PRODUCT:
+            bad = bad | low.contains(part)
+        return ~bad & bound(path_of(low), by_path)
+
+    def by_path(path: Column) -> Column:
+        strong = F.lit(False)
+        for part in PRODUCT:
+            strong = strong | path.contains(part)
+        return (F.length(path) > 8) & (strong | path.rlike(r"\d{5,}"))
+
+    return bound(F.lower(url), one)

@@ -202,14 +202,15 @@ SELECT query_id, 'https://shop.example.com/product/item-' || (l_partkey + 10000)
 FROM r JOIN part ON p_partkey = l_partkey WHERE nth <= 4""")
 def marketplace_items(spark, sf_dir):
     """The products of the first four product pages of an order; pages of odd parts hold none, so the link stands for itself."""
-    part = T.table(spark, sf_dir, "part")
+    part, lines = T.spread(T.table(spark, sf_dir, "part"), "p_partkey"), T.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    parts = T.parts_of(lines)  # dealt by order once, as numbers, for the links and their ranks
     page = lambda key: F.concat(F.lit("https://shop.example.com/product/item-"), (key + 10_000).cast("string"))
-    docs = T.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("query_id"), "l_partkey").agg(F.min("l_linenumber").alias("place")).select("query_id", "place", page(F.col("l_partkey")).alias("url"), F.lit("found").alias("title"))
+    docs = lines.repartition(parts, "l_orderkey").groupBy(F.col("l_orderkey").alias("query_id"), "l_partkey").agg(F.min("l_linenumber").alias("place")).select("query_id", "place", page(F.col("l_partkey")).alias("url"), F.lit("found").alias("title"))
     node = lambda name, url: F.struct(F.lit("Product").alias("@type"), name.alias("name"), url.alias("url"), F.struct(F.col("p_retailprice").cast("string").alias("price"), F.lit("USD").alias("priceCurrency")).alias("offers"))
     other = F.lit("https://shop.example.com/product/other-1")
     nodes = F.to_json(F.array(node(F.lit("also bought"), other), node(F.col("p_name"), page(F.col("p_partkey")))))
     pages = part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("page_id"), F.concat(page(F.col("p_partkey")), F.lit("?utm_source=x")).alias("url"), F.concat(F.lit('<script type="application/ld+json">'), nodes, F.lit("</script>")).alias("html"))
-    return cards.find_items(docs, pages, F.array(F.lit("www.shop.example.com")), most=4).select("query_id", "url", "title", "amount", "own")
+    return cards.find_items(docs, pages, F.array(F.lit("www.shop.example.com")), most=4, parts=parts).select("query_id", "url", "title", "amount", "own")
 
 
 # --- videos -----------------------------------------------------------------------

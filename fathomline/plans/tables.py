@@ -16,6 +16,15 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism, key)
 
 
+#: Rows a task takes where what is made of a row is much longer than the row.
+PART_ROWS = 1 << 18
+
+
+def parts_of(df: DataFrame) -> int:
+    """Tasks of about PART_ROWS rows, three a core at least: long texts that are much alike shrink so far in a shuffle that bytes say little of what a task will hold."""
+    return max(3 * df.sparkSession.sparkContext.defaultParallelism, df.count() // PART_ROWS)
+
+
 #: Documents a query of the lists() view covers.
 PER_QUERY = 100
 

@@ -73,16 +73,18 @@ def with_payload(payload: DataFrame, cards: DataFrame) -> DataFrame:
     return payload.select(*columns, F.lit("payload").alias("found_in")).unionByName(rest.select(*columns, F.lit("card").alias("found_in")))
 
 
-def find_items(docs: DataFrame, pages: DataFrame, domains: Column, most: int = 8) -> DataFrame:
+def find_items(docs: DataFrame, pages: DataFrame, domains: Column, most: int = 8, parts: int | None = None) -> DataFrame:
     """(query_id, url, title, amount, currency, own): the products behind the links of a fan-out.
 
     docs (query_id, place, url, title): the first ``most`` product pages of the allowed domains of each
     query; pages (page_id, url, html): captured pages, met by canonical URL. Of a page that holds nodes with
-    its own URL only those count. A link whose page gave nothing stands for itself.
+    its own URL only those count. A link whose page gave nothing stands for itself. Links meet pages in ``parts``
+    tasks, or as many as the session finds fit.
     """
     page = canonical_url(F.col("url"))
-    fit = docs.where(is_product_url(F.col("url")) & ((F.size(domains) == 0) | domain_allowed(netloc_of(F.col("url")), domains))).withColumn("at", page)
-    fit = fit.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy("place", "url"))).where(F.col("nth") <= most)
+    fit = docs.where(is_product_url(F.col("url")) & ((F.size(domains) == 0) | domain_allowed(netloc_of(F.col("url")), domains)))
+    fit = fit.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy("place", "url"))).where(F.col("nth") <= most).drop("nth", "place").withColumn("at", page)
+    fit = fit if parts is None else fit.repartition(parts, "at")
     known = jsonld_items(pages).join(pages.select("page_id", page.alias("at")), "page_id").withColumn("own", canonical_url(F.col("url")) == F.col("at"))
     owned = F.max(F.col("own").cast("int")).over(Window.partitionBy("page_id")) == 1
     known = known.withColumn("owned", owned).where("own OR NOT owned").select("at", F.col("url").alias("item_url"), F.col("title").alias("item"), "amount", "currency", "own")

@@ -10,6 +10,7 @@ from fathomline.plans import pages as _pages  # noqa: F401
 from fathomline.plans import queries
 from fathomline.plans import reading as _reading  # noqa: F401
 from fathomline.plans import sources as _sources  # noqa: F401
+from fathomline.plans import tables as T
 from fathomline.sources import objects, records
 from oracle import rows_of
 
@@ -105,3 +106,12 @@ def test_objects_of_long_pages_come_in_small_batches(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan  # a hundred pages a batch, not 10,000
     assert {(tuple(r.found), tuple(r.none)) for r in found.collect()} == {(('{"n":1}', '{"n":2}'), ())} and found.count() == 1200
+
+
+def test_links_are_dealt_once_as_numbers_and_by_their_count(spark, tmp_path, monkeypatch):
+    lines = [(i // 7, i * 5 % 300, i % 7 + 1) for i in range(1400)] + [(3, 105, 1), (3, 105, 9)]
+    part = spark.createDataFrame([(i, f"part {i}", "Brand#1", "T", 7, 900.0 + i) for i in range(300)], PART)
+    monkeypatch.setattr(T, "PART_ROWS", 60)
+    same_as_sql(spark, tmp_path, "marketplace_items", part=part, lineitem=spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int"))
+    plan = queries.QUERIES["marketplace_items"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in plan and "hashpartitioning(l_orderkey" in plan and ", 23), REPARTITION_BY_NUM" in plan
