@@ -5,6 +5,10 @@ writes such folders itself (``write.partitionBy("provider", "day", "query").text
 filters on them name the folders that are read, and a body is read only where it is used. Every provider's
 parser makes the same row, refusals apart.
 
+A folder a query costs a file made, moved and listed each, so what Spark itself captures is packed: ``pack`` writes
+tables under ``provider=P/day=YYYY-MM-DD`` whose rows are captures, and ``packed`` reads them. Filters on provider and
+day name folders there, too; the files grow with the bytes and not with the number of queries.
+
 Several files of one query, and the same query on several days, are captures of their own. Empty files give
 no results; folders of unknown providers are shown by ``captures`` and left out by ``answers``; a root
 without a capture gives an empty table.
@@ -21,6 +25,7 @@ from pyspark.sql import functions as F
 from . import apis, serp
 
 LAYOUT = ["provider", "day", "query"]
+PACKED = ["provider", "day"]
 
 
 def captures(spark: SparkSession, root: str) -> DataFrame:
@@ -29,6 +34,17 @@ def captures(spark: SparkSession, root: str) -> DataFrame:
     return read.select(*LAYOUT, "body")
 
 
+def pack(rows: DataFrame, root: str) -> None:
+    """Writes captures (provider, day, query, body) under a root, many to a file."""
+    rows.select(*LAYOUT, "body").write.partitionBy(*PACKED).parquet(root)
+
+
+def packed(spark: SparkSession, root: str) -> DataFrame:
+    """(provider, day, query, body) of all packed captures."""
+    read = spark.read.schema("query long, body string, provider string, day date").parquet(root)
+    return read.select(*LAYOUT, "body")
+
+
 #: Providers and what reads their answers: (query_id, body) into documents; refusals are rows without a URL.
 PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "wikipedia": apis.wikipedia, "hackernews": apis.hackernews, "github": apis.github, "marginalia": apis.marginalia, "stackexchange": apis.stackexchange, "crossref": apis.crossref, "openalex": apis.openalex, "arxiv": apis.arxiv,

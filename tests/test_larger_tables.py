@@ -9,9 +9,9 @@ from fathomline.operators import fusion, items
 from fathomline.plans import pages as _pages  # noqa: F401
 from fathomline.plans import queries
 from fathomline.plans import reading as _reading  # noqa: F401
-from fathomline.plans import sources as _sources  # noqa: F401
+from fathomline.plans import sources as _sources
 from fathomline.plans import tables as T
-from fathomline.sources import objects, records
+from fathomline.sources import captures, objects, records
 from oracle import rows_of
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -115,3 +115,28 @@ def test_links_are_dealt_once_as_numbers_and_by_their_count(spark, tmp_path, mon
     same_as_sql(spark, tmp_path, "marketplace_items", part=part, lineitem=spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int"))
     plan = queries.QUERIES["marketplace_items"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(query_id" not in plan and "hashpartitioning(l_orderkey" in plan and ", 23), REPARTITION_BY_NUM" in plan
+
+
+def test_captures_make_no_folder_a_query(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(_sources, "fresh_path", lambda spark, label: f"{tmp_path}/{label}")
+    rows = [(i, f"text {i}", "en", "src1", 9) for i in range(400)]
+    same_as_sql(spark, tmp_path, "captured_answers", documents=spark.createDataFrame(rows, DOCUMENTS))
+    folders = [p for p in (tmp_path / "captures").rglob("*") if p.is_dir()]
+    assert len(folders) == 3 + 6 and not list((tmp_path / "captures").rglob("query=*"))
+    found = captures.packed(spark, f"{tmp_path}/captures")
+    assert found.count() == 20
+    plan = captures.answers(found.where("day = DATE'2024-05-01'"), ["ddg"])._jdf.queryExecution().executedPlan().toString()
+    assert "day" in (read := plan.split("PartitionFilters:")[1].split("]")[0]) and "provider" in read
+
+
+def test_packed_captures_are_read_as_single_files(spark, tmp_path):
+    rows = [("wikipedia", "2024-01-01", 1, '{"query":{"search":[{"title":"A b"}]}}'), ("wikipedia", "2024-01-01", 1, '{"error":{"info":"slow down"}}'), ("ddg", "2024-01-02", 7, ""), ("other", "2024-01-01", 1, "two\nlines")]
+    made = spark.createDataFrame(rows, "provider string, day string, query long, body string")
+    made.write.partitionBy(*captures.LAYOUT).text(f"{tmp_path}/single")
+    captures.pack(made, f"{tmp_path}/packed")
+    captures.pack(made.limit(0), f"{tmp_path}/none")
+    single, packed = captures.captures(spark, f"{tmp_path}/single"), captures.packed(spark, f"{tmp_path}/packed")
+    assert single.dtypes == packed.dtypes and captures.packed(spark, f"{tmp_path}/none").count() == 0
+    told = lambda found: sorted(str(r) for r in captures.answers(found).collect())
+    assert sorted((r.provider, str(r.day), r.query, r.body) for r in packed.collect()) == sorted(rows)
+    assert len(told(packed)) == 2 and told(single) == told(packed)
